@@ -40,3 +40,33 @@ def q_fact_finished(spark, sf_dir):
 @register("entity_dim", oracle.ENTITY_DIM)
 def q_entity_dim(spark, sf_dir):
     return marts.dim_teams(marts.stg_matches(Tables(spark, sf_dir)))
+
+
+# --- data-quality suites and the anomaly experiment -------------------------------
+
+def _experiment(spark, sf_dir, output):
+    from . import experiment
+    clean = experiment.clean_marts(spark, sf_dir)
+    return experiment.run(spark, clean)[output]
+
+
+@register("dq_suite", oracle.suite_sql())
+def q_dq_suite(spark, sf_dir):
+    """All three suites over the clean marts (union evaluated once, split by membership)."""
+    from pyspark.sql import functions as F
+
+    from ..operators import quality
+    from . import experiment, suites
+    models = experiment.with_features(experiment.clean_marts(spark, sf_dir, checkpoint=False))
+    rules, member = suites.union_rules(list(suites.CONDITIONS))
+    res = quality.evaluate(spark, rules, models)
+    mem = spark.createDataFrame(member, "condition string, rule_id int")
+    return res.join(mem, "rule_id").select("condition", "model", "column", "test", "args", "test_name",
+                                           "status", "failures", F.col("failing_rows"))
+
+
+for _name, _out in [("detection_results", "results"), ("inject_manifest", "manifest"),
+                    ("detections", "detections"), ("detection_matrix", "matrix"),
+                    ("detection_coverage", "coverage"), ("detection_gain", "gain")]:
+    register(_name, oracle.experiment_sql(_out))(
+        lambda spark, sf_dir, _o=_out: _experiment(spark, sf_dir, _o))
