@@ -70,3 +70,21 @@ for _name, _out in [("detection_results", "results"), ("inject_manifest", "manif
                     ("detection_coverage", "coverage"), ("detection_gain", "gain")]:
     register(_name, oracle.experiment_sql(_out))(
         lambda spark, sf_dir, _o=_out: _experiment(spark, sf_dir, _o))
+
+
+# --- reconciliation ------------------------------------------------------------------
+
+def _recon(fn_name):
+    def run(spark, sf_dir):
+        from . import recon
+        return getattr(recon, fn_name)(spark, sf_dir)
+    return run
+
+
+for _name, _fn, _out in [("recon_counts", "recon_counts", "counts"), ("recon_nulls", "recon_nulls", "nulls"),
+                         ("recon_checksum", "recon_checksum", "checksum"),
+                         ("recon_diff_rows", "recon_diff_rows", "diff_rows"),
+                         ("recon_diff_cells", "recon_diff_cells", "diff_cells"),
+                         ("recon_first_diffs", "recon_first_diffs", "first_diffs"),
+                         ("recon_summary", "recon_summary", "summary"), ("recon_status", "recon_status", "status")]:
+    register(_name, oracle.recon_sql(_out))(_recon(_fn))
