@@ -88,3 +88,113 @@ for _name, _fn, _out in [("recon_counts", "recon_counts", "counts"), ("recon_nul
                          ("recon_first_diffs", "recon_first_diffs", "first_diffs"),
                          ("recon_summary", "recon_summary", "summary"), ("recon_status", "recon_status", "status")]:
     register(_name, oracle.recon_sql(_out))(_recon(_fn))
+
+
+# --- sources, marts extras, selections ------------------------------------------------
+
+@register("nested_explode", oracle.NESTED_EXPLODE)
+def q_nested_explode(spark, sf_dir):
+    """Events → bounded JSON documents → parse with a fixed schema → unnest → fields."""
+    from ..sources import events as ev
+    docs = ev.event_documents(ev.event_rows(Tables(spark, sf_dir)))
+    return ev.explode_documents(docs).select("match_data.*")
+
+
+@register("nested_variant", oracle.NESTED_EXPLODE)
+def q_nested_variant(spark, sf_dir):
+    """Same documents through VARIANT: parse_json → explode events → variant_get fields."""
+    from ..sources import events as ev
+    docs = ev.event_documents(ev.event_rows(Tables(spark, sf_dir)))
+    return ev.variant_fields(ev.explode_documents_variant(docs)).select("match_data.*")
+
+
+@register("json_props_extract", oracle.JSON_PROPS)
+def q_json_props(spark, sf_dir):
+    from pyspark.sql import functions as F
+    e = Tables(spark, sf_dir).events(["event_id", "user_id", "event_type", "props"])
+    return e.select("event_id", "user_id", "event_type",
+                    F.get_json_object("props", "$.k").try_cast("int").alias("k"),
+                    F.size(F.json_object_keys("props")).alias("n_keys"))
+
+
+@register("newest_files")
+def q_newest_files(spark, sf_dir):
+    from ..sources.files import newest_files
+    return newest_files(spark, sf_dir, 30, "*.parquet")
+
+
+@register("two_sided_unpivot", oracle.TWO_SIDED)
+def q_two_sided(spark, sf_dir):
+    from ..operators.unpivot import two_sided
+    return two_sided(_fct(spark, sf_dir), [
+        {"team_id": "home_team_id", "goals_scored": "home_team_score", "goals_conceded": "away_team_score"},
+        {"team_id": "away_team_id", "goals_scored": "away_team_score", "goals_conceded": "home_team_score"},
+    ], keep=["match_id", "match_date"])
+
+
+@register("rolling_form", oracle.ROLLING_FORM)
+def q_rolling_form(spark, sf_dir):
+    from ..operators.rolling import trailing_mean
+    side = q_two_sided(spark, sf_dir)
+    r = trailing_mean(side, "team_id", ["match_date", "match_id"],
+                      {"avg_goals_scored_last_5": "goals_scored", "avg_goals_conceded_last_5": "goals_conceded"})
+    return r.select("team_id", "match_id", "match_date", "goals_scored", "goals_conceded",
+                    "avg_goals_scored_last_5", "avg_goals_conceded_last_5")
+
+
+@register("incremental_load", oracle.INCREMENTAL_LOAD)
+def q_incremental(spark, sf_dir):
+    """Initial load up to a cut-off date, then one incremental run over the full source."""
+    from pyspark.sql import functions as F
+    fct = _fct(spark, sf_dir)
+    t0 = fct.filter(F.col("match_date") <= F.lit(oracle.INCREMENTAL_CUTOFF).cast("date"))
+    return marts.upsert(t0, marts.incremental_batch(fct, t0), "match_id")
+
+
+@register("upsert_by_key", oracle.UPSERT_BY_KEY)
+def q_upsert(spark, sf_dir):
+    """A correction feed (two versions per key) replaces one season's rows."""
+    from pyspark.sql import functions as F
+    fct = _fct(spark, sf_dir)
+    corr = (fct.filter(F.col("season") == oracle.UPSERT_SEASON)
+            .withColumns({"home_team_score": F.col("away_team_score"), "away_team_score": F.col("home_team_score")}))
+    batch = corr.unionByName(corr.withColumn("home_team_score", F.col("home_team_score") + 1))
+    return marts.upsert(fct, batch, "match_id", prefer=["home_team_score"])
+
+
+@register("either_side_filter", oracle.EITHER_SIDE)
+def q_either_side(spark, sf_dir):
+    from ..operators.latest import either_side
+    return either_side(_fct(spark, sf_dir), "home_team_id", "away_team_id", oracle.EITHER_SIDE_TEAM)
+
+
+@register("latest_form", oracle.LATEST_FORM)
+def q_latest_form(spark, sf_dir):
+    """Latest feature row per team and role (home / away), all teams at once."""
+    from pyspark.sql import functions as F
+
+    from ..operators.latest import latest_by
+    from ..operators.unpivot import two_sided
+    tr = marts.training_dataset(_fct(spark, sf_dir))
+    sides = two_sided(tr, [
+        {"team_id": "home_team_id", "role": F.lit("home"), "avg_goals_scored_last_5": "home_avg_goals_scored_last_5",
+         "avg_goals_conceded_last_5": "home_avg_goals_conceded_last_5"},
+        {"team_id": "away_team_id", "role": F.lit("away"), "avg_goals_scored_last_5": "away_avg_goals_scored_last_5",
+         "avg_goals_conceded_last_5": "away_avg_goals_conceded_last_5"},
+    ], keep=["match_id", "match_date"])
+    out = latest_by(sides, ["team_id", "role"], ["match_date", "match_id"])
+    return out.select("team_id", "role", "match_id", "match_date", "avg_goals_scored_last_5",
+                      "avg_goals_conceded_last_5")
+
+
+@register("latest_per_key", oracle.LATEST_PER_KEY)
+def q_latest_per_key(spark, sf_dir):
+    from ..operators.latest import latest_by
+    e = Tables(spark, sf_dir).events(["user_id", "ts", "event_id", "event_type", "value"])
+    return latest_by(e, ["user_id"], ["ts", "event_id"])
+
+
+@register("nth_key_targets", oracle.NTH_KEYS)
+def q_nth_keys(spark, sf_dir):
+    from ..operators.latest import nth_keys
+    return nth_keys(_fct(spark, sf_dir), "match_id", [0, 1, 10, 11, 12, 13, 14, 20, 21, 22])
