@@ -198,3 +198,64 @@ def q_latest_per_key(spark, sf_dir):
 def q_nth_keys(spark, sf_dir):
     from ..operators.latest import nth_keys
     return nth_keys(_fct(spark, sf_dir), "match_id", [0, 1, 10, 11, 12, 13, 14, 20, 21, 22])
+
+
+# --- warehouse rules, profile, suggestion, merge --------------------------------------
+
+def _wh_rules_static():
+    """The warehouse suite with column lists from the test tables' schemas (for the oracle)."""
+    from . import warehouse
+    from .oracle import WAREHOUSE_TYPES
+    return warehouse.warehouse_rules({t: list(WAREHOUSE_TYPES[t]) for t in warehouse.NOT_NULL_TABLES})
+
+
+def _wh_query(tests):
+    def run(spark, sf_dir):
+        from . import warehouse
+        return warehouse.evaluate(spark, sf_dir, tests)
+    return run
+
+
+for _name, _tests in [("dq_not_null", ("not_null",)), ("dq_unique", ("unique",)),
+                      ("dq_accepted_values", ("accepted_values",)), ("dq_relationships", ("relationships",)),
+                      ("dq_warehouse", None)]:
+    _rules = [r for r in _wh_rules_static() if _tests is None or r.test in _tests]
+    register(_name, oracle.rules_results_sql(_rules))(_wh_query(_tests))
+
+
+@register("dq_profile", oracle.profile_sql(("orders", "lineitem", "customer", "events")))
+def q_dq_profile(spark, sf_dir):
+    from . import warehouse
+    return warehouse.profile(spark, sf_dir)
+
+
+def _rules_df(spark, rules):
+    return spark.createDataFrame([(r.model, r.column, r.test, r.args_json) for r in rules],
+                                 "model string, column string, test string, args string")
+
+
+@register("dq_suggest_warehouse", oracle.warehouse_suggest_sql())
+def q_suggest_warehouse(spark, sf_dir):
+    from ..operators.suggest import suggest
+    t = Tables(spark, sf_dir)
+    return _rules_df(spark, suggest({n: t.read(n) for n in oracle.WAREHOUSE_SUGGEST_TABLES}))
+
+
+def _mart_suggestions(spark, sf_dir):
+    from ..operators.suggest import suggest
+    stg = marts.stg_matches(Tables(spark, sf_dir))
+    return suggest({"dim_teams": marts.dim_teams(stg), "fct_matches": marts.fct_matches(stg)})
+
+
+@register("dq_suggest_rules", oracle.mart_suggest_sql())
+def q_suggest_rules(spark, sf_dir):
+    return _rules_df(spark, _mart_suggestions(spark, sf_dir))
+
+
+@register("rules_merge", oracle.rules_merge_sql())
+def q_rules_merge(spark, sf_dir):
+    from ..operators import rules as R
+    from . import suites, warehouse
+    base = warehouse.rules_frame(spark, suites.suite_rules("manual_only"), "baseline")
+    new = warehouse.rules_frame(spark, _mart_suggestions(spark, sf_dir), "suggested")
+    return R.merge(base, new)
