@@ -38,7 +38,7 @@ def with_features(models: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def batch_results(spark: SparkSession, clean: dict[str, DataFrame], batch_id: str,
-                  conditions: list[str]) -> tuple[DataFrame, DataFrame]:
+                  conditions) -> tuple[DataFrame, DataFrame]:
     """Test results of every condition on one corrupted batch, and its manifest."""
     corrupted, manifest = inject.apply(spark, clean, inject.BATCHES[batch_id], batch_id)
     models = with_features(corrupted)
@@ -52,7 +52,8 @@ def batch_results(spark: SparkSession, clean: dict[str, DataFrame], batch_id: st
 
 
 def run(spark: SparkSession, clean: dict[str, DataFrame], batches: list[str] | None = None,
-        conditions: list[str] | None = None) -> dict[str, DataFrame]:
+        conditions: list[str] | dict | None = None) -> dict[str, DataFrame]:
+    """``conditions``: suite names or a mapping condition → rules (default: the three suites)."""
     batches = batches or list(inject.BATCHES)
     conditions = conditions or list(suites.CONDITIONS)
     results, manifests = None, None
@@ -63,9 +64,31 @@ def run(spark: SparkSession, clean: dict[str, DataFrame], batches: list[str] | N
     # results are one row per (batch, condition, rule): materialise once, every report reuses them
     results = results.checkpoint()
     manifests = manifests.checkpoint()
-    conds = spark.createDataFrame([(b, c) for b in batches for c in conditions], "batch_id string, condition string")
+    conds = spark.createDataFrame([(b, c) for b in batches for c in list(conditions)],
+                                  "batch_id string, condition string")
     det = scoring.detections(results, manifests, scoring.detectors_frame(spark, suites.DETECTORS), conds)
     mx = scoring.matrix(det)
     cov = scoring.coverage(mx)
     return {"results": results, "manifest": manifests, "detections": det, "matrix": mx,
             "coverage": cov, "gain": scoring.gain(cov)}
+
+
+def audit(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Suggest rules on the clean marts, merge them into the baseline suite, run the
+    experiment with the merged suite as a condition and classify every suggestion."""
+    from ..operators import rules as RS
+    from ..operators.suggest import suggest
+    from . import warehouse
+    clean = clean_marts(spark, sf_dir)
+    generated = suggest({"dim_teams": clean["dim_teams"], "fct_matches": clean["fct_matches"]})
+    base = suites.suite_rules("manual_only")
+    merged_rules = list(base) + [r for r in generated if r.key not in {b.key for b in base}]
+    out = run(spark, clean, conditions={"manual_only": base, "suggested_merged": merged_rules})
+    gen_df = warehouse.rules_frame(spark, generated, "suggested")
+    base_df = warehouse.rules_frame(spark, base, "baseline")
+    merged_df = RS.merge(base_df, gen_df)
+    useful = RS.useful_families(out["detections"], scoring.detectors_frame(spark, suites.DETECTORS),
+                                "suggested_merged")
+    fired = out["results"].filter(F.col("status") == "fail")
+    classified = RS.classify(gen_df, merged_df, base_df, useful, fired)
+    return {"classified": classified, "summary": RS.audit_summary(classified), "useful": useful, **out}

@@ -259,3 +259,17 @@ def q_rules_merge(spark, sf_dir):
     base = warehouse.rules_frame(spark, suites.suite_rules("manual_only"), "baseline")
     new = warehouse.rules_frame(spark, _mart_suggestions(spark, sf_dir), "suggested")
     return R.merge(base, new)
+
+
+# --- rule audit (rows-only: the suggested suite is itself data-derived) ----------------
+
+@register("rules_audit")
+def q_rules_audit(spark, sf_dir):
+    from . import experiment
+    return experiment.audit(spark, sf_dir)["classified"]
+
+
+@register("rules_audit_summary")
+def q_rules_audit_summary(spark, sf_dir):
+    from . import experiment
+    return experiment.audit(spark, sf_dir)["summary"]

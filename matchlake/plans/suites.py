@@ -124,13 +124,16 @@ def suite_rules(name: str) -> list[Rule]:
     return flatten_tree(CONDITIONS[name])
 
 
-def union_rules(conditions: list[str]) -> tuple[list[Rule], list[tuple[str, int]]]:
-    """Distinct rules over several suites + (condition, rule index) membership."""
+def union_rules(conditions: list[str] | dict[str, list[Rule]]) -> tuple[list[Rule], list[tuple[str, int]]]:
+    """Distinct rules over several suites + (condition, rule index) membership.
+
+    ``conditions`` are suite names, or a mapping condition → rule list."""
     rules: list[Rule] = []
     index: dict[str, int] = {}
     member: list[tuple[str, int]] = []
-    for c in conditions:
-        for r in suite_rules(c):
+    suites = conditions if isinstance(conditions, dict) else {c: suite_rules(c) for c in conditions}
+    for c, rs in suites.items():
+        for r in rs:
             if r.key not in index:
                 index[r.key] = len(rules)
                 rules.append(r)
