@@ -273,3 +273,21 @@ def q_rules_audit(spark, sf_dir):
 def q_rules_audit_summary(spark, sf_dir):
     from . import experiment
     return experiment.audit(spark, sf_dir)["summary"]
+
+
+# --- run analytics --------------------------------------------------------------------
+
+def _runs(fn):
+    def run(spark, sf_dir):
+        from . import runs
+        return getattr(runs, fn)(spark, sf_dir)
+    return run
+
+
+for _name, _fn, _sql in [("stage_latest", "stage_latest", oracle.STAGE_LATEST),
+                         ("run_totals", "run_totals", oracle.RUN_TOTALS),
+                         ("trial_stats", "trial_stats", oracle.trial_stats_sql()),
+                         ("trial_counts", "trial_counts", oracle.TRIAL_COUNTS),
+                         ("log_summary", "log_summary", oracle.log_sql("summary")),
+                         ("log_failed_tests", "log_failed_tests", oracle.log_sql("failed"))]:
+    register(_name, _sql)(_runs(_fn))
