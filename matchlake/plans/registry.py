@@ -291,3 +291,17 @@ for _name, _fn, _sql in [("stage_latest", "stage_latest", oracle.STAGE_LATEST),
                          ("log_summary", "log_summary", oracle.log_sql("summary")),
                          ("log_failed_tests", "log_failed_tests", oracle.log_sql("failed"))]:
     register(_name, _sql)(_runs(_fn))
+
+
+# --- classifier (rows-only: a random forest has no SQL twin) --------------------------
+
+@register("match_outcome_model")
+def q_match_outcome_model(spark, sf_dir):
+    from . import predict
+    return predict.model_metrics(spark, sf_dir)
+
+
+@register("pair_scores")
+def q_pair_scores(spark, sf_dir):
+    from . import predict
+    return predict.pair_scores(spark, sf_dir)
