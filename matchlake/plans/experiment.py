@@ -27,7 +27,10 @@ def clean_marts(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> di
     dim = marts.dim_teams(stg)
     if checkpoint:
         dim = dim.checkpoint()
-    return {"fct_matches": marts.fct_matches(stg), "dim_teams": dim}
+    fct = marts.fct_matches(stg)
+    if checkpoint:
+        fct = fct.checkpoint()
+    return {"fct_matches": fct, "dim_teams": dim}
 
 
 def with_features(models: dict[str, DataFrame]) -> dict[str, DataFrame]:

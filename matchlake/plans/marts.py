@@ -21,6 +21,14 @@ FEATURE_COLUMNS = ("match_id", "match_date", "match_result", "home_team_id", "ho
                    "away_avg_goals_conceded_last_5")
 
 
+def as_table(df: DataFrame) -> DataFrame:
+    """Materialise a mart (reliable checkpoint in the shared checkpoint folder) and cut its
+    lineage: later plans read the stored rows, and a lost executor does not re-run joins."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def stg_matches(tables: Tables) -> DataFrame:
     return staged(event_rows(tables))
 

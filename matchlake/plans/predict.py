@@ -18,7 +18,7 @@ from . import marts
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.training_dataset(marts.fct_matches(marts.stg_matches(Tables(spark, sf_dir))))
+    return marts.training_dataset(marts.as_table(marts.fct_matches(marts.stg_matches(Tables(spark, sf_dir)))))
 
 
 def latest_role_form(feat: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def source_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The source store's marts; staging is materialised once (reliable checkpoint)."""
     ensure_checkpoint_dir(spark)
     stg = marts.stg_matches(Tables(spark, sf_dir)).checkpoint()
-    fct = marts.fct_matches(stg)
+    fct = marts.as_table(marts.fct_matches(stg))
     return {"dim_teams": marts.dim_teams(stg), "fct_matches": fct,
             "fct_training_dataset": marts.training_dataset(fct)}
 

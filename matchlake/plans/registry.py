@@ -24,7 +24,9 @@ def register(name: str, sql: str | None = None):
 
 
 def _fct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.fct_matches(marts.stg_matches(Tables(spark, sf_dir)))
+    """The fact as a materialised table (as the reference materialises it): queries that use
+    it several times (feature view, joins back) read it instead of re-running its joins."""
+    return marts.as_table(marts.fct_matches(marts.stg_matches(Tables(spark, sf_dir))))
 
 
 @register("training_dataset", oracle.TRAINING_DATASET)
@@ -34,7 +36,7 @@ def q_training_dataset(spark, sf_dir):
 
 @register("fact_finished", oracle.FACT_FINISHED)
 def q_fact_finished(spark, sf_dir):
-    return _fct(spark, sf_dir)
+    return marts.fct_matches(marts.stg_matches(Tables(spark, sf_dir)))
 
 
 @register("entity_dim", oracle.ENTITY_DIM)
@@ -57,7 +59,7 @@ def q_dq_suite(spark, sf_dir):
 
     from ..operators import quality
     from . import experiment, suites
-    models = experiment.with_features(experiment.clean_marts(spark, sf_dir, checkpoint=False))
+    models = experiment.with_features(experiment.clean_marts(spark, sf_dir))
     rules, member = suites.union_rules(list(suites.CONDITIONS))
     res = quality.evaluate(spark, rules, models)
     mem = spark.createDataFrame(member, "condition string, rule_id int")
