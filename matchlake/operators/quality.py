@@ -116,14 +116,19 @@ def _unique_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | N
 
 def _relationship_rules(df: DataFrame, parent: DataFrame, pfield: str,
                         items: list[tuple[int, Rule]]) -> DataFrame:
-    """Child rows without a parent, for every rule targeting ``parent.pfield``."""
+    """Child rows without a parent, for every rule targeting ``parent.pfield``.
+
+    Child values are pre-aggregated to (rule, value, rows) before the anti join, so a hot
+    child value is combined map-side and crosses the shuffle once; parent keys are
+    de-duplicated. Failures are child *rows*.
+    """
     ptype = parent.schema[pfield].dataType
     pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.col(r.column).cast(ptype).alias("v")) for i, r in items])
-    child = df.select(F.explode(pairs).alias("p")).select("p.rule_id", "p.v").filter(F.col("v").isNotNull())
+    child = (df.select(F.explode(pairs).alias("p")).select("p.rule_id", "p.v").filter(F.col("v").isNotNull())
+             .groupBy("rule_id", "v").agg(F.count(F.lit(1)).alias("n")))
     keys = parent.select(F.col(pfield).alias("v")).filter(F.col("v").isNotNull()).distinct()
     orphans = child.join(keys, "v", "left_anti")
-    return orphans.groupBy("rule_id").agg(F.count(F.lit(1)).alias("failures"),
-                                          F.count(F.lit(1)).alias("failing_rows"))
+    return orphans.groupBy("rule_id").agg(F.sum("n").alias("failures"), F.sum("n").alias("failing_rows"))
 
 
 def evaluate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame]) -> DataFrame:

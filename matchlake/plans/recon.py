@@ -35,8 +35,10 @@ def source_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ensure_checkpoint_dir(spark)
     stg = marts.stg_matches(Tables(spark, sf_dir)).checkpoint()
     fct = marts.as_table(marts.fct_matches(stg))
-    return {"dim_teams": marts.dim_teams(stg), "fct_matches": fct,
-            "fct_training_dataset": marts.training_dataset(fct)}
+    # every table is read by several comparisons (both checksums, the diff, the null
+    # profile): materialise each once, as the source store holds them as tables
+    return {"dim_teams": marts.as_table(marts.dim_teams(stg)), "fct_matches": fct,
+            "fct_training_dataset": marts.as_table(marts.training_dataset(fct))}
 
 
 def drift(features: DataFrame) -> DataFrame:
