@@ -1,21 +1,27 @@
 """Trailing-window mean over the k rows *before* each row (the row itself excluded).
 
 Semantics equal ``AVG(v) OVER (PARTITION BY entity ORDER BY o1 NULLS LAST, o2 ...
-ROWS BETWEEN k PRECEDING AND 1 PRECEDING)``: NULL when no row precedes.
+ROWS BETWEEN k PRECEDING AND 1 PRECEDING)``: NULL when no non-NULL value precedes.
 
 A plain window puts each entity in one task; with few entities and long histories
 (one entity may own a third of the rows) that task is the whole job. Here every
-entity's history is cut into chunks (by default: one per value of the first order
-column, e.g. a day), each chunk is windowed on its own, and the k rows that precede a
-chunk are brought to it as a *halo*:
-
-1. hash-partition rows by (entity, chunk) — the only shuffle of the full data;
-2. keep the last k rows of every chunk (window inside the same partitioning);
-3. number those tail rows per entity — at most k rows per chunk, so this small table
-   grows with the number of chunks, not with the rows;
-4. for every chunk, the k tail rows right before its first tail row are its halo
-   (equi-join on (entity, position));
-5. union halo and chunk rows and take the ordinary k-row frame per (entity, chunk).
+entity's history is cut into chunks (by default one per value of the first order
+column, e.g. a day) and the k rows that precede a chunk are brought to it as a *halo*:
+
+1. hash-partition rows by (entity, chunk) — the only shuffle of the full data. Keys
+   are encoded as never-NULL (is-null flag, value) pairs, so NULL entities and the
+   NULL-date chunk behave like SQL partitions and every later join on them is a plain
+   equi-join on the same partitioning;
+2. in that partitioning, one pass computes the in-chunk frame (sum, count over the k
+   previous rows), the row's position in its chunk, and the chunk's last k rows, which
+   are gathered per chunk (no shuffle: the grouping keys are the partitioning keys);
+3. over the small chunk table (one row per chunk: grows with chunks, not rows) a
+   k-chunk frame per entity gives each chunk the last k rows before it — its halo;
+4. rows join their chunk's halo (the big side keeps its partitioning) and the first k
+   rows of a chunk add the halo's last k-p+1 values.
+
+Sums are taken over doubles; for integral inputs the result is bit-equal to the plain
+window, for fractional inputs it can differ in the last bits (summation order).
 """
 
 from __future__ import annotations
@@ -32,46 +38,83 @@ def _desc(c: str) -> Column:
     return F.col(c).desc_nulls_first()
 
 
+def _sentinel(dtype):
+    from pyspark.sql import types as T
+    if isinstance(dtype, T.DateType):
+        return F.lit("1970-01-01").cast("date")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01 00:00:00").cast(dtype)
+    if isinstance(dtype, T.StringType):
+        return F.lit("")
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    return F.lit(0).cast(dtype)
+
+
 def trailing_mean(df: DataFrame, entity: str, order: list[str], values: dict[str, str], k: int = 5,
                   chunk: list[Column] | None = None) -> DataFrame:
-    """Add one column per ``values`` item (output name → input column).
+    """Return (entity, *order, *value inputs, *outputs); ``values`` maps output → input column.
 
-    ``chunk`` are expressions that never decrease along ``order`` (default: the first
-    order column). Rows with equal ``order`` values must be interchangeable for the
-    result to be deterministic, exactly as with the plain window.
+    Only those columns flow through the operator (join other columns back on the order
+    key if needed). ``chunk`` are expressions that never decrease along ``order``
+    (default: the first order column). Rows with equal ``order`` values must be
+    interchangeable for the result to be deterministic, exactly as with the plain window.
     """
     chunk = chunk if chunk is not None else [F.col(order[0])]
-    kcols = [f"_k{i}" for i in range(len(chunk))]
-    vin = list(values.values())
+    vin = list(dict.fromkeys(values.values()))
     base_cols = list(dict.fromkeys([entity, *order, *vin]))
-    other = [c for c in df.columns if c not in base_cols]
-    keyed = df.select(*base_cols, *other, *[c.alias(n) for c, n in zip(chunk, kcols)])
-    part = [entity, *kcols]
-    p = keyed.repartition(*part)
-
-    # 2. last k rows of every chunk
-    w_tail = Window.partitionBy(*part).orderBy(*[_desc(c) for c in order])
-    tail = (p.select(*part, *list(dict.fromkeys([*order, *vin])))
-            .withColumn("_rd", F.row_number().over(w_tail))
-            .filter(F.col("_rd") <= k).drop("_rd"))
-    # 3. position of tail rows per entity (small: <= k rows per chunk)
-    w_pos = Window.partitionBy(entity).orderBy(*[_asc(c) for c in kcols], *[_asc(c) for c in order])
-    tail = tail.withColumn("_g", F.row_number().over(w_pos))
-    # 4. halo of each chunk = the k tail rows before its first tail row
-    starts = tail.groupBy(*part).agg(F.min("_g").alias("_g0"))
-    want = starts.select(*part, F.explode(F.sequence(F.col("_g0") - k, F.col("_g0") - 1)).alias("_g"))
-    halo_src = tail.select(entity, "_g", *list(dict.fromkeys([*order, *vin])))
-    halo = want.join(halo_src, [entity, "_g"]).drop("_g")
-    # 5. ordinary frame inside each chunk, halo rows first
-    main = p.withColumn("_h", F.lit(1))
-    halo = halo.withColumn("_h", F.lit(0))
-    for c in other:
-        halo = halo.withColumn(c, F.lit(None).cast(keyed.schema[c].dataType))
-    u = main.unionByName(halo)
-    w = (Window.partitionBy(*part).orderBy(F.col("_h"), *[_asc(c) for c in order])
-         .rowsBetween(-k, -1))
-    out = u.select("*", *[F.avg(F.col(src)).over(w).alias(dst) for dst, src in values.items()])
-    return out.filter(F.col("_h") == 1).drop("_h", *kcols)
+    raw = df.select(*base_cols, F.col(entity).alias("_e"), *[c.alias(f"_c{i}") for i, c in enumerate(chunk)])
+    enc, part = [], []
+    for i, name in enumerate(["_e", *[f"_c{i}" for i in range(len(chunk))]]):
+        c = F.col(name)
+        enc += [c.isNull().alias(f"_n{i}"), F.coalesce(c, _sentinel(raw.schema[name].dataType)).alias(f"_v{i}")]
+        part += [f"_n{i}", f"_v{i}"]
+    keyed = raw.select(*base_cols, *enc).repartition(*part)
+    kpart = part[2:]  # chunk part of the key
+
+    # 2. one pass inside the (entity, chunk) partitioning
+    w_in = Window.partitionBy(*part).orderBy(*[_asc(c) for c in order])
+    w_frame = w_in.rowsBetween(-k, -1)
+    w_rev = Window.partitionBy(*part).orderBy(*[_desc(c) for c in order])
+    rows = keyed.select(
+        *base_cols, *part,
+        F.row_number().over(w_in).alias("_p"),
+        F.row_number().over(w_rev).alias("_rd"),
+        *[F.sum(F.col(v).cast("double")).over(w_frame).alias(f"_s{i}") for i, v in enumerate(vin)],
+        *[F.count(F.col(v)).over(w_frame).alias(f"_k{i}") for i, v in enumerate(vin)])
+    # element sort key: (is-null, value) per order column = ascending, NULLs last. The
+    # element carries every input column, so this branch reads the same columns as the
+    # main one and both share the single exchange (ReusedExchange in the plan).
+    elem = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c).alias(f"o_{c}"))],
+                    *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(vin)],
+                    *[F.col(c).alias(f"b_{c}") for c in base_cols if c not in order])
+    tails = (rows.filter(F.col("_rd") <= k).groupBy(*part)
+             .agg(F.array_sort(F.collect_list(elem)).alias("_t")))
+
+    # 3. halo per chunk: last k rows of the (at most k) previous chunks of the entity
+    w_prev = (Window.partitionBy(*part[:2]).orderBy(*[F.col(c).asc() for c in kpart]).rowsBetween(-k, -1))
+    prev = F.flatten(F.collect_list("_t").over(w_prev))
+    halo = tails.select(*part, prev.alias("_prev"))
+    halo = halo.select(*part, F.when(F.size("_prev") > 0, F.slice("_prev", F.greatest(
+        F.size("_prev") - k + 1, F.lit(1)), F.lit(k))).alias("_halo"))
+
+    # 4. add the halo's contribution to the first k rows of each chunk
+    j = rows.join(halo, part, "left")
+    need = F.lit(k) - F.col("_p") + 1
+    size = F.coalesce(F.size("_halo"), F.lit(0))
+    take = F.when(need > 0, F.least(need, size)).otherwise(F.lit(0))
+    sl = F.when(take > 0, F.slice("_halo", size - take + 1, take))
+    outs = []
+    for dst, src_col in values.items():
+        vi = vin.index(src_col)
+        hsum = F.coalesce(F.aggregate(sl, F.lit(0.0), lambda acc, x: acc + F.coalesce(x[f"v{vi}"], F.lit(0.0))),
+                          F.lit(0.0))
+        hcnt = F.coalesce(F.aggregate(sl, F.lit(0), lambda acc, x: acc + F.when(x[f"v{vi}"].isNotNull(), 1)
+                                      .otherwise(0)), F.lit(0))
+        tot = F.coalesce(F.col(f"_s{vi}"), F.lit(0.0)) + hsum
+        cnt = F.col(f"_k{vi}") + hcnt
+        outs.append(F.when(cnt > 0, tot / cnt).alias(dst))
+    return j.select(*base_cols, *outs)
 
 
 def trailing_mean_plain(df: DataFrame, entity: str, order: list[str], values: dict[str, str],
