@@ -216,3 +216,32 @@ def profile(df: DataFrame, top: int = 20) -> DataFrame:
                              F.col(f"a{i}").alias("approx_distinct"), F.col(f"lo{i}").alias("min"),
                              F.col(f"hi{i}").alias("max")))
     return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+
+
+def validate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame]) -> DataFrame:
+    """Rule-table validation: unknown model / column / test, missing arguments → invalid + reason."""
+    cols = {m: set(df.columns) for m, df in models.items()}
+    rows = []
+    for i, r in enumerate(rules):
+        reason = None
+        if r.model not in cols:
+            reason = f"unknown model {r.model}"
+        elif r.column not in cols[r.model]:
+            reason = f"unknown column {r.model}.{r.column}"
+        elif r.test not in TESTS:
+            reason = f"unknown test {r.test}"
+        elif r.test == "accepted_values" and not r.arg("values"):
+            reason = "accepted_values without values"
+        elif r.test == "relationships" and (r.arg("to") not in cols or r.arg("field") not in cols.get(r.arg("to"), ())):
+            reason = "relationships target missing"
+        rows.append((i, r.model, r.column, r.test, r.args_json, reason is None, reason))
+    return spark.createDataFrame(rows, "rule_id int, model string, column string, test string, args string, "
+                                       "valid boolean, reason string")
+
+
+def describe(df: DataFrame, name: str, sample: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(column, type) rows of a table and a small sample (the context a rule author needs)."""
+    spark = df.sparkSession
+    cols = spark.createDataFrame([(name, f.name, f.dataType.simpleString()) for f in df.schema.fields],
+                                 "table string, column string, type string")
+    return cols, df.limit(sample)

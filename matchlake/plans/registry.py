@@ -307,3 +307,87 @@ def q_match_outcome_model(spark, sf_dir):
 def q_pair_scores(spark, sf_dir):
     from . import predict
     return predict.pair_scores(spark, sf_dir)
+
+
+# --- profiles, copies, verification, combined summary ---------------------------------
+
+@register("json_key_profile", oracle.JSON_KEY_PROFILE)
+def q_json_key_profile(spark, sf_dir):
+    from pyspark.sql import functions as F
+    e = Tables(spark, sf_dir).events(["event_type", "props"])
+    k = e.select(F.explode(F.json_object_keys("props")).alias("key"), "event_type")
+    return k.groupBy("key").agg(F.count(F.lit(1)).alias("events"),
+                                F.count_distinct("event_type").alias("event_types"))
+
+
+@register("document_profile", oracle.DOC_PROFILE)
+def q_document_profile(spark, sf_dir):
+    """Documents landed from the event stream: count, events, events per document."""
+    from pyspark.sql import functions as F
+
+    from ..sources import events as ev
+    docs = ev.event_documents(ev.event_rows(Tables(spark, sf_dir)))
+    n = F.json_array_length(F.get_json_object("json", "$.events"))
+    return docs.select(n.alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").cast("bigint").alias("events"),
+                                         F.max("n").cast("bigint").alias("max_events_per_document"),
+                                         F.min("n").cast("bigint").alias("min_events_per_document"))
+
+
+@register("copy_summary", oracle.copy_summary_sql())
+def q_copy_summary(spark, sf_dir):
+    """Copy the marts to a second store (snappy Parquet under the shared folder), re-read, count."""
+    from pyspark.sql import functions as F
+
+    from ..session import scratch_path
+    from ..sources.files import materialise
+    from . import recon
+    src = recon.source_marts(spark, sf_dir)
+    parts = []
+    for name in ("dim_teams", "fct_matches", "fct_training_dataset"):
+        df = src[name]
+        copied = materialise(recon.migrated(df), scratch_path(spark, f"copy-{name}"))
+        n_src = df.count()
+        parts.append(copied.agg(F.count(F.lit(1)).alias("target_rows")).select(
+            F.lit(name).alias("table"), F.lit(n_src).cast("bigint").alias("source_rows"), "target_rows",
+            F.when(F.col("target_rows") == F.lit(n_src), "success").otherwise("failed").alias("status")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("inject_verify", oracle.inject_verify_sql())
+def q_inject_verify(spark, sf_dir):
+    from ..operators import inject
+    from . import experiment
+    clean = experiment.clean_marts(spark, sf_dir)
+    out = None
+    for b, specs in inject.BATCHES.items():
+        corrupted, _ = inject.apply(spark, clean, specs, b)
+        from pyspark.sql import functions as F
+        v = inject.verify(corrupted, specs).select(F.lit(b).alias("batch_id"), "anomaly_id", "present")
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+@register("research_summary")
+def q_research_summary(spark, sf_dir):
+    """One row combining the run's artefacts: detection coverage and gain, reconciliation
+    status and the rule audit (missing artefacts would stay NULL)."""
+    from pyspark.sql import functions as F
+
+    from . import experiment, recon
+    a = experiment.audit(spark, sf_dir)
+    cov = a["coverage"]
+    base = cov.filter(F.col("condition") == "manual_only").select(
+        F.struct("total_detected", "overall_detection_rate")).scalar()
+    comp = cov.filter(F.col("condition") == "suggested_merged").select(
+        F.struct("total_detected", "overall_detection_rate")).scalar()
+    rs = recon.recon_status(spark, sf_dir).select(F.struct("compared", "match_count", "status")).scalar()
+    return a["summary"].select(
+        base.getField("total_detected").alias("baseline_detected"),
+        comp.getField("total_detected").alias("suggested_detected"),
+        (comp.getField("total_detected") - base.getField("total_detected")).alias("additional_detections"),
+        "useful_count", "redundant_count", "low_value_count", "invalid_count",
+        rs.getField("compared").alias("tables_compared"), rs.getField("match_count").alias("tables_matching"),
+        rs.getField("status").alias("reconciliation_status"))
