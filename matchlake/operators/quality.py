@@ -100,18 +100,30 @@ def _agg_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None
     return one.selectExpr(f"stack({len(items)}, {stack}) as (rule_id, failures, failing_rows)")
 
 
+def _type_family(dt) -> str:
+    return "bigint" if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else dt.simpleString()
+
+
 def _unique_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
-    """All unique rules of a model in one shuffle: (rule, value) → count, keep count > 1.
+    """All unique rules of a model: one shuffle per column-type family (usually one or two).
 
-    Partial aggregation combines hot values map-side before the shuffle.
+    Values stay typed (integral columns widened to bigint), rows are exploded to
+    (rule, value), grouped, and values seen more than once are counted. Partial
+    aggregation combines hot values map-side before the shuffle.
     """
     if not items:
         return None
-    pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.to_json(F.struct(F.col(r.column).alias("v"))).alias("v"),
-                               F.col(r.column).isNull().alias("n")) for i, r in items])
-    e = df.select(F.explode(pairs).alias("p")).filter(~F.col("p.n"))
-    dup = e.groupBy("p.rule_id", "p.v").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > 1)
-    return dup.groupBy("rule_id").agg(F.count(F.lit(1)).alias("failures"), F.sum("cnt").alias("failing_rows"))
+    fams: dict[str, list[tuple[int, Rule]]] = {}
+    for i, r in items:
+        fams.setdefault(_type_family(df.schema[r.column].dataType), []).append((i, r))
+    out = None
+    for fam, xs in fams.items():
+        pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.col(r.column).cast(fam).alias("v")) for i, r in xs])
+        e = df.select(F.explode(pairs).alias("p")).select("p.rule_id", "p.v").filter(F.col("v").isNotNull())
+        dup = e.groupBy("rule_id", "v").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > 1)
+        g = dup.groupBy("rule_id").agg(F.count(F.lit(1)).alias("failures"), F.sum("cnt").alias("failing_rows"))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 def _relationship_rules(df: DataFrame, parent: DataFrame, pfield: str,
