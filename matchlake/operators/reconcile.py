@@ -71,6 +71,30 @@ def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
                   .cast("string").alias("checksum"))
 
 
+BLOCK = 10_000
+
+
+def _expand(groups: DataFrame, key: str, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """(key, _n copies of _row) → one row per copy with its occurrence number in the key.
+
+    Occurrence numbers follow the row text order inside a key: a running total over the
+    residual *groups* (one row per distinct row, never per copy) gives each group its
+    first number. Copies are produced in blocks of at most ``block``: the block list is
+    redistributed before it is expanded, so a row repeated a billion times is spread
+    over many tasks instead of one array in one task.
+    """
+    txt = row_text([f"_row.{c}" for c in columns])
+    w = (Window.partitionBy(key).orderBy(txt, F.md5(F.to_json("_row")))
+         .rowsBetween(Window.unboundedPreceding, -1))
+    g = groups.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    blocks = g.select(key, "_row", "_n", "_base",
+                      F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("long"))).alias("_b"))
+    blocks = blocks.repartition(key, "_b")
+    i = F.explode(F.sequence(F.col("_b") * block, F.least(F.col("_n"), (F.col("_b") + 1) * block) - 1))
+    return blocks.select(key, "_row", "_base", i.alias("_i")).select(
+        key, "_row", (F.col("_base") + F.col("_i") + 1).alias("_occ"))
+
+
 def paired(left: DataFrame, right: DataFrame, key: str, columns: list[str], numeric: list[str] | None = None,
            eps: float = DEFAULT_TOLERANCE) -> DataFrame:
     """Rows not identical on both sides, paired by occurrence within their key.
@@ -96,15 +120,10 @@ def paired(left: DataFrame, right: DataFrame, key: str, columns: list[str], nume
     rn = F.coalesce(F.col("r._n"), F.lit(0))
     surplus = j.select(F.coalesce(F.col(f"l.{key}"), F.col(f"r.{key}")).alias(key),
                        (ln - rn).alias("_s"), F.col("l._row").alias("_lrow"), F.col("r._row").alias("_rrow"))
-    lres = (surplus.filter(F.col("_s") > 0)
-            .select(key, F.explode(F.array_repeat(F.col("_lrow"), F.col("_s").cast("int"))).alias("_row")))
-    rres = (surplus.filter(F.col("_s") < 0)
-            .select(key, F.explode(F.array_repeat(F.col("_rrow"), (-F.col("_s")).cast("int"))).alias("_row")))
-    # occurrence index within the key, over residual rows only
-    txt = row_text([f"_row.{c}" for c in columns])
-    w = Window.partitionBy(key).orderBy(txt)
-    lres = lres.withColumn("_occ", F.row_number().over(w))
-    rres = rres.withColumn("_occ", F.row_number().over(w))
+    lres = _expand(surplus.filter(F.col("_s") > 0).select(key, F.col("_s").alias("_n"), F.col("_lrow").alias("_row")),
+                   key, columns)
+    rres = _expand(surplus.filter(F.col("_s") < 0).select(key, (-F.col("_s")).alias("_n"), F.col("_rrow").alias("_row")),
+                   key, columns)
     p = lres.alias("l").join(rres.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
                              & (F.col("l._occ") == F.col("r._occ")), "full")
     side = (F.when(F.col("l._row").isNull(), F.lit("right_only"))

@@ -70,3 +70,10 @@ def test_migrated_copy_normalises_names_and_dates(spark):
     assert m.columns == ["ID", "D"]
     a, b = R.normalise(df, ["id", "d"]), R.normalise(m, ["id", "d"])
     assert a.collect() == b.collect()
+
+
+def test_expand_in_blocks_numbers_occurrences(spark):
+    g = spark.createDataFrame([("k", 10, ("b",)), ("k", 2, ("a",)), ("z", 1, ("a",))],
+                              "k string, _n long, _row struct<x:string>")
+    out = sorted((r.k, r._row.x, r._occ) for r in R._expand(g, "k", ["x"], block=3).collect())
+    assert out == [("k", "a", 1), ("k", "a", 2)] + [("k", "b", i) for i in range(3, 13)] + [("z", "a", 1)]
