@@ -57,18 +57,16 @@ def metric_stats(df: DataFrame, group: str, metrics: list[str], places: int = 4)
     return g.select(group, F.explode(rows).alias("x")).select(group, "x.*")
 
 
-def render_log(results: DataFrame, order: list[str]) -> DataFrame:
-    """Test results → runner-style log lines (``value``) — one line per test plus a summary line.
+def render_log(results: DataFrame, total: int) -> DataFrame:
+    """Test results → runner-style log lines (``value``): one per test plus a summary line.
 
-    The numbering window runs over the results table, which has one row per rule."""
-    from pyspark.sql import Window
-    w = Window.orderBy(*order)
-    n = results.count()
+    Lines are numbered by the rule's declared position (``rule_id``), so no ordering
+    window or extra pass is needed; ``total`` is the number of rules in the suite."""
     word = F.upper(F.col("status"))
     tail = F.when(F.col("status") == "fail", F.concat(F.lit("FAIL "), F.col("failures").cast("string"))) \
         .otherwise(word)
-    lines = results.select(F.concat(F.row_number().over(w).cast("string"), F.lit(f" of {n} "),
-                                    tail, F.lit(" "), F.col("test_name"), F.lit(" [") , tail,
+    lines = results.select(F.concat((F.col("rule_id") + 1).cast("string"), F.lit(f" of {total} "),
+                                    tail, F.lit(" "), F.col("test_name"), F.lit(" ["), tail,
                                     F.lit("]")).alias("value"))
     cnt = results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pass", "fail", "error")])
     summary = cnt.select(F.concat(F.lit("Done. PASS="), F.col("pass").cast("string"), F.lit(" WARN=0 ERROR="),

@@ -54,8 +54,10 @@ def trial_counts(spark, sf_dir):
 
 def test_log(spark, sf_dir) -> DataFrame:
     """The warehouse suite's results rendered as a runner log (then parsed back by the queries)."""
-    res = warehouse.evaluate(spark, sf_dir).checkpoint()
-    return runlog.render_log(res, ["model", "column", "test", "args"])
+    from ..operators import quality
+    rules = warehouse.warehouse_rules(warehouse.table_columns(spark, sf_dir))
+    res = quality.evaluate(spark, rules, warehouse.warehouse_models(spark, sf_dir, rules)).checkpoint()
+    return runlog.render_log(res, len(rules))
 
 
 def log_summary(spark, sf_dir):
