@@ -89,3 +89,35 @@ def failed_tests(lines: DataFrame) -> DataFrame:
     """Distinct test names from ``FAIL n name`` lines (the bracketed status is not a name)."""
     names = lines.select(F.regexp_extract("value", r"^\d+ of \d+ " + FAILED_TEST, 1).alias("test_name"))
     return names.filter(F.col("test_name") != "").distinct()
+
+
+def parse_run_stats(lines: DataFrame) -> DataFrame:
+    """Run statistics from runner output: models / data tests found, elapsed seconds.
+
+    One row per log with the first non-NULL value of each field over its lines."""
+    found = F.regexp_extract("value", FOUND, 1)
+    tests = F.regexp_extract("value", FOUND, 2)
+    secs = F.regexp_extract("value", FINISHED, 1)
+    return lines.agg(F.max(F.when(found != "", found.cast("int"))).alias("models"),
+                     F.max(F.when(tests != "", tests.cast("int"))).alias("data_tests"),
+                     F.max(F.when(secs != "", secs.cast("double"))).alias("elapsed_seconds"))
+
+
+STAGE_SCHEMA = ("stage_name string, start_ts timestamp, end_ts timestamp, duration_seconds double, "
+                "status string, metadata map<string,string>")
+
+
+def append_stages(records: DataFrame, path: str) -> None:
+    """Append stage records to the run log table (durations derived from the timestamps)."""
+    out = records.select("stage_name", "start_ts", "end_ts",
+                         duration_seconds(F.col("start_ts"), F.col("end_ts")).alias("duration_seconds"),
+                         "status", "metadata")
+    out.write.mode("append").parquet(path)
+
+
+def read_stages(spark, path: str) -> DataFrame:
+    """The run log; a missing log is an empty table."""
+    try:
+        return spark.read.parquet(path)
+    except Exception:
+        return spark.createDataFrame([], STAGE_SCHEMA)

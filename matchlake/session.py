@@ -16,17 +16,33 @@ DEFAULTS = {
 }
 
 
+# Sizing for large clusters (hundreds of TB): many initial shuffle partitions that AQE
+# coalesces to ~256 MB each, 256 MB scan splits, skew splitting above 1 GB. Partitions
+# stay far below executor memory, so sorts and aggregations spill rarely.
+CLUSTER = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_session(master: str | None = None, app: str = "matchlake",
-                shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, extra: dict | None = None,
+                profile: str | None = None) -> SparkSession:
     """Create (or reuse) a session with the engine's defaults.
 
-    On a cluster ``master`` stays ``None`` and the launcher decides; locally the
-    tests pass ``local[*]``. Settings already present on the session win.
+    On a cluster ``master`` stays ``None`` and the launcher decides (``profile="cluster"``
+    adds the large-scale sizing above); locally the tests pass ``local[*]``.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULTS)
+    if profile == "cluster":
+        conf.update(CLUSTER)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -69,3 +69,23 @@ def test_classification_first_match_wins(spark):
     s = RS.audit_summary(RS.classify(gen, merged, base, useful, fired)).first()
     assert (s.total, s.useful_count, s.redundant_count, s.low_value_count, s.invalid_count) == (5, 1, 1, 2, 1)
     assert s.useful_pct_of_non_redundant == round(1 / 3, 4)
+
+
+def test_text_log_stats_and_stage_append(spark, tmp_path):
+    from matchlake.sources.files import text_lines
+    p = tmp_path / "run.log"
+    p.write_text("12:00:01  Found 4 models, 25 data tests, 1 source\n"
+                 "12:00:05  1 of 1 PASS unique_dim_teams_team_id [PASS]\n"
+                 "12:00:06  Finished running 25 data tests in 0 hours 0 minutes and 3.68 seconds (3.68s).\n")
+    r = runlog.parse_run_stats(text_lines(spark, str(p))).first()
+    assert (r.models, r.data_tests, r.elapsed_seconds) == (4, 25, 3.68)
+    t = dt.datetime(2024, 1, 1)
+    rec = spark.createDataFrame([("dbt_run", t, t + dt.timedelta(seconds=6.997), "success", {"models": "4"})],
+                                "stage_name string, start_ts timestamp, end_ts timestamp, status string, "
+                                "metadata map<string,string>")
+    path = str(tmp_path / "stages")
+    assert runlog.read_stages(spark, path).count() == 0
+    runlog.append_stages(rec, path)
+    runlog.append_stages(rec, path)
+    got = runlog.read_stages(spark, path).collect()
+    assert len(got) == 2 and got[0].duration_seconds == 6.997
