@@ -244,9 +244,12 @@ def q_suggest_warehouse(spark, sf_dir):
 
 
 def _mart_suggestions(spark, sf_dir):
+    """Suggestions read the materialised marts: profiling, confirmation and value lists are
+    several passes, none of which should re-run the staging joins."""
     from ..operators.suggest import suggest
-    stg = marts.stg_matches(Tables(spark, sf_dir))
-    return suggest({"dim_teams": marts.dim_teams(stg), "fct_matches": marts.fct_matches(stg)})
+    from . import experiment
+    m = experiment.clean_marts(spark, sf_dir)
+    return suggest({"dim_teams": m["dim_teams"], "fct_matches": m["fct_matches"]})
 
 
 @register("dq_suggest_rules", oracle.mart_suggest_sql())
