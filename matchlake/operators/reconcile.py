@@ -72,10 +72,16 @@ def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 BLOCK = 10_000
+KN, KV = "_kn", "_kv"   # key encoded as (is-null flag, value with NULL replaced): plain equi-joins
+
+
+def _sentinel(dtype):
+    from .rolling import _sentinel as s
+    return s(dtype)
 
 
 def _expand(groups: DataFrame, key: str, columns: list[str], block: int = BLOCK) -> DataFrame:
-    """(key, _n copies of _row) → one row per copy with its occurrence number in the key.
+    """(encoded key, _n copies of _row) → one row per copy with its occurrence number in the key.
 
     Occurrence numbers follow the row text order inside a key: a running total over the
     residual *groups* (one row per distinct row, never per copy) gives each group its
@@ -84,15 +90,15 @@ def _expand(groups: DataFrame, key: str, columns: list[str], block: int = BLOCK)
     over many tasks instead of one array in one task.
     """
     txt = row_text([f"_row.{c}" for c in columns])
-    w = (Window.partitionBy(key).orderBy(txt, F.md5(F.to_json("_row")))
+    w = (Window.partitionBy(KN, KV).orderBy(txt, F.md5(F.to_json("_row")))
          .rowsBetween(Window.unboundedPreceding, -1))
     g = groups.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    blocks = g.select(key, "_row", "_n", "_base",
+    blocks = g.select(KN, KV, "_row", "_n", "_base",
                       F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("long"))).alias("_b"))
-    blocks = blocks.repartition(key, "_b")
+    blocks = blocks.repartition(KN, KV, "_b")
     i = F.explode(F.sequence(F.col("_b") * block, F.least(F.col("_n"), (F.col("_b") + 1) * block) - 1))
-    return blocks.select(key, "_row", "_base", i.alias("_i")).select(
-        key, "_row", (F.col("_base") + F.col("_i") + 1).alias("_occ"))
+    return blocks.select(KN, KV, "_row", "_base", i.alias("_i")).select(
+        KN, KV, "_row", (F.col("_base") + F.col("_i") + 1).alias("_occ"))
 
 
 def paired(left: DataFrame, right: DataFrame, key: str, columns: list[str], numeric: list[str] | None = None,
@@ -100,32 +106,30 @@ def paired(left: DataFrame, right: DataFrame, key: str, columns: list[str], nume
     """Rows not identical on both sides, paired by occurrence within their key.
 
     Output: (key, occ, side ∈ {both, left_only, right_only}, cells array<struct<column,
-    left_value, right_value, differs>>).
+    left_value, right_value, differs>>). NULL keys pair with NULL keys.
     """
     numeric = numeric or []
     payload = [*columns, *[f"{c}__num" for c in numeric]]
-
     ident = row_text([*columns, *[f"{c}__num" for c in numeric]])
+    sent = _sentinel(left.schema[key].dataType)
 
     def grouped(df):
         # identical rows (canonical text and exact numbers) pair first
-        return (df.withColumn(HASH, F.md5(ident))
-                .groupBy(key, HASH)
-                .agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[F.col(c) for c in payload])).alias("_row")))
+        return (df.select(F.col(key).isNull().alias(KN), F.coalesce(F.col(key), sent).alias(KV),
+                          F.md5(ident).alias(HASH), F.struct(*[F.col(c) for c in payload]).alias("_row"))
+                .groupBy(KN, KV, HASH)
+                .agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row")))
 
     lg, rg = grouped(left), grouped(right)
-    j = lg.alias("l").join(rg.alias("r"), (F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")))
-                           & (F.col(f"l.{HASH}") == F.col(f"r.{HASH}")), "full")
+    j = lg.alias("l").join(rg.alias("r"), [KN, KV, HASH], "full")
     ln = F.coalesce(F.col("l._n"), F.lit(0))
     rn = F.coalesce(F.col("r._n"), F.lit(0))
-    surplus = j.select(F.coalesce(F.col(f"l.{key}"), F.col(f"r.{key}")).alias(key),
-                       (ln - rn).alias("_s"), F.col("l._row").alias("_lrow"), F.col("r._row").alias("_rrow"))
-    lres = _expand(surplus.filter(F.col("_s") > 0).select(key, F.col("_s").alias("_n"), F.col("_lrow").alias("_row")),
+    surplus = j.select(KN, KV, (ln - rn).alias("_s"), F.col("l._row").alias("_lrow"), F.col("r._row").alias("_rrow"))
+    lres = _expand(surplus.filter(F.col("_s") > 0).select(KN, KV, F.col("_s").alias("_n"), F.col("_lrow").alias("_row")),
                    key, columns)
-    rres = _expand(surplus.filter(F.col("_s") < 0).select(key, (-F.col("_s")).alias("_n"), F.col("_rrow").alias("_row")),
+    rres = _expand(surplus.filter(F.col("_s") < 0).select(KN, KV, (-F.col("_s")).alias("_n"), F.col("_rrow").alias("_row")),
                    key, columns)
-    p = lres.alias("l").join(rres.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-                             & (F.col("l._occ") == F.col("r._occ")), "full")
+    p = lres.alias("l").join(rres.alias("r"), [KN, KV, "_occ"], "full")
     side = (F.when(F.col("l._row").isNull(), F.lit("right_only"))
             .when(F.col("r._row").isNull(), F.lit("left_only")).otherwise(F.lit("both")))
     cells = []
@@ -137,8 +141,7 @@ def paired(left: DataFrame, right: DataFrame, key: str, columns: list[str], nume
             same = F.col(f"l._row.{c}").eqNullSafe(F.col(f"r._row.{c}"))
         cells.append(F.struct(F.lit(c).alias("column"), F.col(f"l._row.{c}").alias("left_value"),
                               F.col(f"r._row.{c}").alias("right_value"), (~same).alias("differs")))
-    return p.select(F.coalesce(F.col(f"l.{key}"), F.col(f"r.{key}")).alias(key),
-                    F.coalesce(F.col("l._occ"), F.col("r._occ")).alias("occ"), side.alias("side"),
+    return p.select(F.when(~F.col(KN), F.col(KV)).alias(key), F.col("_occ").alias("occ"), side.alias("side"),
                     F.array(*cells).alias("cells"))
 
 

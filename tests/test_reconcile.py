@@ -73,7 +73,7 @@ def test_migrated_copy_normalises_names_and_dates(spark):
 
 
 def test_expand_in_blocks_numbers_occurrences(spark):
-    g = spark.createDataFrame([("k", 10, ("b",)), ("k", 2, ("a",)), ("z", 1, ("a",))],
-                              "k string, _n long, _row struct<x:string>")
-    out = sorted((r.k, r._row.x, r._occ) for r in R._expand(g, "k", ["x"], block=3).collect())
+    g = spark.createDataFrame([(False, "k", 10, ("b",)), (False, "k", 2, ("a",)), (False, "z", 1, ("a",))],
+                              "_kn boolean, _kv string, _n long, _row struct<x:string>")
+    out = sorted((r._kv, r._row.x, r._occ) for r in R._expand(g, "k", ["x"], block=3).collect())
     assert out == [("k", "a", 1), ("k", "a", 2)] + [("k", "b", i) for i in range(3, 13)] + [("z", "a", 1)]
