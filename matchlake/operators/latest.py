@@ -35,3 +35,12 @@ def either_side(df: DataFrame, a: str, b: str, value=None) -> DataFrame:
     if value is None:
         return df
     return df.filter((F.col(a) == F.lit(value)) | (F.col(b) == F.lit(value)))
+
+
+def lookup_id(dim: DataFrame, name_col: str, id_col: str, names: DataFrame, as_col: str | None = None) -> DataFrame:
+    """Attach the id of each name (name → id lookup as a join, for many names at once).
+
+    A name that maps to several ids (two spellings of one entity are the opposite case)
+    yields one row per id, as a relational lookup does."""
+    d = dim.select(F.col(name_col).alias("_name"), F.col(id_col).alias(as_col or id_col)).distinct()
+    return names.join(d, names[name_col] == d["_name"], "left").drop("_name")

@@ -39,70 +39,102 @@ def base_name(col: str) -> str:
     return re.sub(r"^[a-z]_", "", col)
 
 
-def stats(df: DataFrame) -> dict:
-    """rows, and per column (nulls, approx distinct) from one aggregate."""
+def _stats_frame(model: str, df: DataFrame) -> DataFrame:
+    """(model, column, rows, nulls, approx_distinct) from one aggregate over the table."""
     exprs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         exprs += [F.count_if(F.col(c).isNull()).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
-    r = df.agg(*exprs).first()
-    return {"rows": r["rows"], "cols": {c: (r[f"n{i}"], r[f"d{i}"]) for i, c in enumerate(df.columns)}}
+    one = df.agg(*exprs)
+    per = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls"),
+                             F.col(f"d{i}").alias("approx")) for i, c in enumerate(df.columns)])
+    return one.select(F.lit(model).alias("model"), "rows", F.explode(per).alias("x")).select(
+        "model", "x.column", "rows", "x.nulls", "x.approx")
+
+
+def _union(parts):
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 def suggest(models: dict[str, DataFrame], max_values: int = 10) -> list[Rule]:
-    prof = {m: stats(df) for m, df in models.items()}
-    out: dict[str, list[Rule]] = {m: [] for m in models}
-    unique_ok: dict[str, set[str]] = {}
-    values: dict[tuple[str, str], list] = {}
+    """Suggested rules, in (table, column, kind) order. Four Spark jobs in total — table
+    statistics, unique confirmation, value lists, containment — each a union over all
+    tables, so independent tables are scanned in parallel."""
+    prof: dict[str, dict] = {m: {"rows": 0, "cols": {}} for m in models}
+    for r in _union([_stats_frame(m, df) for m, df in models.items()]).collect():
+        prof[r["model"]]["rows"] = r["rows"]
+        prof[r["model"]]["cols"][r["column"]] = (r["nulls"], r["approx"])
+    kinds = {m: {f.name: _kind(f.dataType) for f in df.schema.fields} for m, df in models.items()}
+
+    # unique: approximate pre-filter, exact confirmation (one grouped count per table)
+    cands: dict[int, Rule] = {}
+    checks = []
     for m, df in models.items():
-        p = prof[m]
-        rows = p["rows"]
-        kinds = {f.name: _kind(f.dataType) for f in df.schema.fields}
-        # unique: approximate pre-filter, exact confirmation (one shuffle for all candidates)
-        cand = [(i, Rule.make(m, c, "unique")) for i, c in enumerate(df.columns)
-                if kinds[c] != "other" and rows - p["cols"][c][0] > 0
-                and p["cols"][c][1] >= 0.9 * (rows - p["cols"][c][0])]
-        dup = {r["rule_id"] for r in (_unique_rules(df, cand).collect() if cand else [])}
-        unique_ok[m] = {r.column for i, r in cand if i not in dup}
-        # accepted values: exact value lists for low-cardinality text columns (bounded)
-        low = [c for c in df.columns if kinds[c] == "string" and 0 < p["cols"][c][1] <= 2 * max_values]
+        p, rows = prof[m], prof[m]["rows"]
+        items = []
+        for c in df.columns:
+            nn = rows - p["cols"][c][0]
+            if kinds[m][c] != "other" and nn > 0 and p["cols"][c][1] >= 0.9 * nn:
+                i = len(cands)
+                cands[i] = Rule.make(m, c, "unique")
+                items.append((i, cands[i]))
+        u = _unique_rules(df, items)
+        if u is not None:
+            checks.append(u.select("rule_id"))
+    dup = {r["rule_id"] for r in _union(checks).collect()} if checks else set()
+    unique_ok: dict[str, set[str]] = {m: set() for m in models}
+    for i, r in cands.items():
+        if i not in dup:
+            unique_ok[r.model].add(r.column)
+
+    # accepted values: exact value lists for low-cardinality text columns (bounded)
+    vparts = []
+    for m, df in models.items():
+        low = [c for c in df.columns if kinds[m][c] == "string" and 0 < prof[m]["cols"][c][1] <= 2 * max_values]
         if low:
             arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in low])
-            vals = (df.select(F.explode(arr).alias("x")).select("x.c", "x.v").filter(F.col("v").isNotNull())
-                    .distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n"),
+            vparts.append(df.select(F.explode(arr).alias("x")).select(F.lit(m).alias("m"), "x.c", "x.v")
+                          .filter(F.col("v").isNotNull()).distinct()
+                          .groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"),
                                                  F.slice(F.array_sort(F.collect_list("v")), 1, max_values + 1).alias("vs")))
-            for r in vals.collect():
-                if r["n"] <= max_values:
-                    values[(m, r["c"])] = sorted(r["vs"])
-    # relationships: name-suffix candidates, exact containment
+    values: dict[tuple[str, str], list] = {}
+    for r in (_union(vparts).collect() if vparts else []):
+        if r["n"] <= max_values:
+            values[(r["m"], r["c"])] = sorted(r["vs"])
+
+    # relationships: name-suffix candidates, exact containment (one anti join per parent)
     rel: list[tuple[str, str, str, str]] = []
     for m, df in models.items():
-        kinds = {f.name: _kind(f.dataType) for f in df.schema.fields}
         for c in df.columns:
-            if kinds[c] != "int":
+            if kinds[m][c] != "int":
                 continue
             for pm, pdf in models.items():
                 if pm == m:
                     continue
                 for pc in sorted(unique_ok[pm]):
-                    if _kind(pdf.schema[pc].dataType) == "int" and base_name(c).endswith(base_name(pc)):
+                    if kinds[pm][pc] == "int" and base_name(c).endswith(base_name(pc)):
                         rel.append((m, c, pm, pc))
-    rel_ok = set()
     by_parent: dict[tuple[str, str, str], list] = {}
     for i, (m, c, pm, pc) in enumerate(rel):
         by_parent.setdefault((m, pm, pc), []).append((i, Rule.make(m, c, "relationships", to=pm, field=pc)))
-    for (m, pm, pc), items in by_parent.items():
-        bad = {r["rule_id"] for r in _relationship_rules(models[m], models[pm], pc, items).collect()}
-        rel_ok |= {i for i, _ in items if i not in bad}
+    rparts = [_relationship_rules(models[m], models[pm], pc, items).select("rule_id")
+              for (m, pm, pc), items in by_parent.items()]
+    bad = {r["rule_id"] for r in _union(rparts).collect()} if rparts else set()
+    rel_ok = {i for i in range(len(rel)) if i not in bad}
+
+    out: list[Rule] = []
     for m, df in models.items():
         p = prof[m]
         for c in df.columns:
             if p["rows"] > 0 and p["cols"][c][0] == 0:
-                out[m].append(Rule.make(m, c, "not_null"))
+                out.append(Rule.make(m, c, "not_null"))
             if c in unique_ok[m]:
-                out[m].append(Rule.make(m, c, "unique"))
+                out.append(Rule.make(m, c, "unique"))
             if (m, c) in values:
-                out[m].append(Rule.make(m, c, "accepted_values", values=values[(m, c)]))
+                out.append(Rule.make(m, c, "accepted_values", values=values[(m, c)]))
             for i, (rm, rc, pm, pc) in enumerate(rel):
                 if rm == m and rc == c and i in rel_ok:
-                    out[m].append(Rule.make(m, c, "relationships", to=pm, field=pc))
-    return [r for m in models for r in out[m]]
+                    out.append(Rule.make(m, c, "relationships", to=pm, field=pc))
+    return out

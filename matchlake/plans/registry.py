@@ -394,3 +394,22 @@ def q_research_summary(spark, sf_dir):
         "useful_count", "redundant_count", "low_value_count", "invalid_count",
         rs.getField("compared").alias("tables_compared"), rs.getField("match_count").alias("tables_matching"),
         rs.getField("status").alias("reconciliation_status"))
+
+
+@register("rules_per_model", oracle.rules_per_model_sql())
+def q_rules_per_model(spark, sf_dir):
+    """How many rules of each kind the data supports per warehouse table."""
+    from pyspark.sql import functions as F
+    s = q_suggest_warehouse(spark, sf_dir)
+    return s.groupBy("model", "test").agg(F.count(F.lit(1)).alias("rules"))
+
+
+@register("name_lookup", oracle.NAME_LOOKUP)
+def q_name_lookup(spark, sf_dir):
+    """Entity id by name, for every event's home side (a join, not a per-name filter)."""
+    from ..operators.latest import lookup_id
+    stg = marts.stg_matches(Tables(spark, sf_dir))
+    fct = marts.fct_matches(stg).select("match_id", "home_team_name")
+    return lookup_id(marts.dim_teams(stg), "team_name", "team_id",
+                     fct.withColumnRenamed("home_team_name", "team_name"), "home_team_key") \
+        .withColumnRenamed("team_name", "home_team_name")
