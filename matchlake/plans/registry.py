@@ -266,15 +266,15 @@ def q_rules_merge(spark, sf_dir):
     return R.merge(base, new)
 
 
-# --- rule audit (rows-only: the suggested suite is itself data-derived) ----------------
+# --- rule audit -----------------------------------------------------------------------
 
-@register("rules_audit")
+@register("rules_audit", oracle.audit_sql("classified"))
 def q_rules_audit(spark, sf_dir):
     from . import experiment
     return experiment.audit(spark, sf_dir)["classified"]
 
 
-@register("rules_audit_summary")
+@register("rules_audit_summary", oracle.audit_sql("summary"))
 def q_rules_audit_summary(spark, sf_dir):
     from . import experiment
     return experiment.audit(spark, sf_dir)["summary"]
@@ -373,7 +373,7 @@ def q_inject_verify(spark, sf_dir):
     return out
 
 
-@register("research_summary")
+@register("research_summary", oracle.research_summary_sql())
 def q_research_summary(spark, sf_dir):
     """One row combining the run's artefacts: detection coverage and gain, reconciliation
     status and the rule audit (missing artefacts would stay NULL)."""
