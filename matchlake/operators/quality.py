@@ -82,22 +82,46 @@ def rules_frame(spark: SparkSession, rules: list[Rule], extra: dict[str, list] |
 
 
 def _agg_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
-    """One pass for all not_null / accepted_values rules of a model."""
+    """One pass for all not_null / accepted_values rules of a model: plain conditional
+    counts only (no DISTINCT, so no Expand that would copy every row per rule). The
+    distinct disallowed values of accepted_values rules come from ``_bad_values``."""
     exprs = []
     for i, r in items:
         c = F.col(r.column)
         if r.test == "not_null":
             bad = c.isNull()
-            exprs += [F.count_if(bad).alias(f"f{i}"), F.count_if(bad).alias(f"r{i}")]
         else:
-            vals = r.arg("values", [])
-            bad = c.isNotNull() & ~c.isin(vals)
-            exprs += [F.count_distinct(F.when(bad, c)).alias(f"f{i}"), F.count_if(bad).alias(f"r{i}")]
+            bad = c.isNotNull() & ~c.isin(r.arg("values", []))
+        exprs += [F.count_if(bad).alias(f"r{i}")]
     if not exprs:
         return None
     one = df.agg(*exprs)
-    stack = ", ".join(f"{i}, f{i}, r{i}" for i, _ in items)
-    return one.selectExpr(f"stack({len(items)}, {stack}) as (rule_id, failures, failing_rows)")
+    stack = ", ".join(f"{i}, r{i}" for i, _ in items)
+    acc = {i for i, r in items if r.test == "accepted_values"}
+    rows = one.selectExpr(f"stack({len(items)}, {stack}) as (rule_id, failing_rows)")
+    # not_null: failures = rows; accepted_values: failures filled in from the distinct count
+    return rows.select("rule_id", F.when(F.col("rule_id").isin(list(acc) or [-1]), F.lit(None).cast("bigint"))
+                       .otherwise(F.col("failing_rows")).alias("failures"), "failing_rows")
+
+
+def _bad_values(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
+    """Distinct disallowed values per accepted_values rule: rows are filtered to the bad
+    values *before* the (rule, value) shuffle, so only the violations move."""
+    if not items:
+        return None
+    fams: dict[str, list[tuple[int, Rule]]] = {}
+    for i, r in items:
+        fams.setdefault(_type_family(df.schema[r.column].dataType), []).append((i, r))
+    out = None
+    for fam, xs in fams.items():
+        pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"),
+                                   F.when(F.col(r.column).isNotNull() & ~F.col(r.column).isin(r.arg("values", [])),
+                                          F.col(r.column)).cast(fam).alias("v")) for i, r in xs])
+        e = df.select(F.explode(pairs).alias("p")).select("p.rule_id", "p.v").filter(F.col("v").isNotNull())
+        g = e.groupBy("rule_id", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("rule_id").agg(
+            F.count(F.lit(1)).alias("failures"))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 def _type_family(dt) -> str:
@@ -163,7 +187,10 @@ def evaluate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame
         df = models[model]
         a = _agg_rules(df, [x for x in items if x[1].test in ("not_null", "accepted_values")])
         u = _unique_rules(df, [x for x in items if x[1].test == "unique"])
-        parts += [p for p in (a, u) if p is not None]
+        bv = _bad_values(df, [x for x in items if x[1].test == "accepted_values"])
+        if bv is not None:
+            bv = bv.select("rule_id", "failures", F.lit(None).cast("bigint").alias("failing_rows"))
+        parts += [p for p in (a, u, bv) if p is not None]
         rel: dict[tuple[str, str], list] = {}
         for x in items:
             if x[1].test == "relationships":
@@ -177,6 +204,7 @@ def evaluate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame
         res = p if res is None else res.unionByName(p)
     if res is None:
         res = spark.createDataFrame([], RESULT_SCHEMA)
+    res = res.groupBy("rule_id").agg(F.max("failures").alias("failures"), F.max("failing_rows").alias("failing_rows"))
     rf = rules_frame(spark, rules)
     err = F.col("rule_id").isin(errors) if errors else F.lit(False)
     out = rf.join(res, "rule_id", "left")

@@ -56,3 +56,16 @@ def test_only_nation_is_broadcast_by_hint(spark):
     from matchlake.sources.tables import Tables
     logical = event_rows(Tables(spark, SF001))._jdf.queryExecution().analyzed().toString()
     assert logical.count("strategy=broadcast") == 2   # the two roles of the 25-row nation table
+
+
+def test_accepted_values_without_expand(spark):
+    from matchlake.operators.quality import Rule, evaluate
+    from matchlake.sources.tables import Tables
+    li = Tables(spark, SF001).lineitem()
+    rules = [Rule.make("lineitem", "l_returnflag", "accepted_values", values=["A", "N"]),
+             Rule.make("lineitem", "l_linestatus", "accepted_values", values=["F"]),
+             Rule.make("lineitem", "l_orderkey", "not_null")]
+    df = evaluate(spark, rules, {"lineitem": li})
+    assert "Expand" not in _formatted(df)
+    got = {r.column: (r.failures, r.failing_rows) for r in df.collect()}
+    assert got["l_returnflag"][0] == 1 and got["l_linestatus"][0] == 1 and got["l_orderkey"] == (0, 0)
