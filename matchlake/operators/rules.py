@@ -87,3 +87,55 @@ def audit_summary(classified: DataFrame) -> DataFrame:
     return c.select("*",
                     F.round(F.try_divide(F.col("useful_count"), F.col("total")), 4).alias("useful_pct_of_all"),
                     F.round(F.try_divide(F.col("useful_count"), nre), 4).alias("useful_pct_of_non_redundant"))
+
+
+def render_suites(rules: DataFrame) -> DataFrame:
+    """Rule rows (model, column, test, args, position) → one suite document per model:
+    ``{"version": 2, "models": [{"name", "columns": [{"name", "tests": [...]}]}]}``; a
+    test without arguments is a bare name, otherwise a one-key map. Groups are a
+    model's columns and a column's tests, both small."""
+    test_json = F.when(F.col("args") == "{}", F.to_json(F.array(F.col("test"))).substr(F.lit(2), F.length(
+        F.to_json(F.array(F.col("test")))) - 2)).otherwise(
+        F.concat(F.lit("{"), F.to_json(F.array(F.col("test"))).substr(F.lit(2), F.length(
+            F.to_json(F.array(F.col("test")))) - 2), F.lit(": "), F.col("args"), F.lit("}")))
+    cols = (rules.groupBy("model", "column")
+            .agg(F.min("position").alias("p"),
+                 F.array_sort(F.collect_list(F.struct("position", test_json.alias("j")))).alias("ts")))
+    col_json = F.concat(F.lit('{"name": '), F.to_json(F.array("column")).substr(F.lit(2), F.length(
+        F.to_json(F.array("column"))) - 2), F.lit(', "tests": ['), F.array_join(F.transform("ts", lambda x: x["j"]), ", "),
+        F.lit("]}"))
+    models = (cols.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("p", col_json.alias("j")))).alias("cs")))
+    doc = F.concat(F.lit('{"version": 2, "models": [{"name": '), F.to_json(F.array("model")).substr(F.lit(2), F.length(
+        F.to_json(F.array("model"))) - 2), F.lit(', "columns": ['), F.array_join(F.transform("cs", lambda x: x["j"]), ", "),
+        F.lit("]}]}"))
+    return models.select("model", doc.alias("suite"))
+
+
+def flatten_documents(docs: DataFrame, col: str = "suite", keep: list[str] | None = None) -> DataFrame:
+    """Suite documents → rule rows with positions, entirely in Spark (VARIANT + posexplode).
+
+    Malformed nodes yield nothing (a missing ``models`` / ``columns`` / ``tests`` array,
+    a test map with more than one key); ``{"arguments": {...}}`` is unwrapped and a
+    scalar argument becomes ``{"value": x}``. ``args`` is compact JSON with sorted keys.
+    """
+    keep = keep or []
+    v = docs.select(*keep, F.parse_json(F.col(col)).alias("_v"))
+    m = v.select(*keep, F.posexplode(F.try_variant_get("_v", "$.models", "array<variant>")).alias("mpos", "_m"))
+    c = m.select(*keep, "mpos", F.try_variant_get("_m", "$.name", "string").alias("model"),
+                 F.posexplode(F.try_variant_get("_m", "$.columns", "array<variant>")).alias("cpos", "_c"))
+    t = c.select(*keep, "mpos", "model", "cpos", F.try_variant_get("_c", "$.name", "string").alias("column"),
+                 F.posexplode(F.try_variant_get("_c", "$.tests", "array<variant>")).alias("tpos", "_t"))
+    bare = F.when(F.schema_of_variant("_t") == "STRING", F.try_variant_get("_t", "$", "string"))
+    as_map = F.try_variant_get("_t", "$", "map<string,variant>")
+    t = t.select("*", bare.alias("_bare"), as_map.alias("_map"))
+    named = t.filter(F.col("_bare").isNotNull()).select(
+        *keep, "mpos", "model", "cpos", "column", "tpos", F.col("_bare").alias("test"), F.lit("{}").alias("args"))
+    mapped = (t.filter(F.col("_bare").isNull() & (F.size("_map") == 1))
+              .select(*keep, "mpos", "model", "cpos", "column", "tpos", F.explode("_map").alias("test", "_a")))
+    inner = F.try_variant_get("_a", "$.arguments", "variant")
+    a = F.coalesce(inner, F.col("_a"))
+    is_obj = F.schema_of_variant(a).startswith("OBJECT")
+    args = F.when(is_obj, F.to_json(a)).otherwise(F.concat(F.lit('{"value":'), F.to_json(a), F.lit("}")))
+    args = F.regexp_replace(args, r"ref\('([^']*)'\)", "$1")  # ref('model') -> model
+    mapped = mapped.select(*keep, "mpos", "model", "cpos", "column", "tpos", "test", args.alias("args"))
+    return named.unionByName(mapped)

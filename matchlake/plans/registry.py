@@ -413,3 +413,16 @@ def q_name_lookup(spark, sf_dir):
     return lookup_id(marts.dim_teams(stg), "team_name", "team_id",
                      fct.withColumnRenamed("home_team_name", "team_name"), "home_team_key") \
         .withColumnRenamed("team_name", "home_team_name")
+
+
+@register("rules_flatten", oracle.rules_flatten_sql())
+def q_rules_flatten(spark, sf_dir):
+    """Suggested warehouse rules rendered as suite documents (one per table) and flattened
+    back to rule rows in Spark (VARIANT + posexplode)."""
+    from ..operators import rules as RS
+    from . import warehouse
+    from ..operators.suggest import suggest
+    t = Tables(spark, sf_dir)
+    rules = suggest({n: t.read(n) for n in oracle.WAREHOUSE_SUGGEST_TABLES})
+    docs = RS.render_suites(warehouse.rules_frame(spark, rules))
+    return RS.flatten_documents(docs).select("model", "column", "test", "args", "cpos", "tpos")

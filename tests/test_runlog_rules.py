@@ -89,3 +89,23 @@ def test_text_log_stats_and_stage_append(spark, tmp_path):
     runlog.append_stages(rec, path)
     got = runlog.read_stages(spark, path).collect()
     assert len(got) == 2 and got[0].duration_seconds == 6.997
+
+
+def test_flatten_suite_documents_in_spark(spark):
+    import json
+
+    from matchlake.plans import suites
+    tree = {"version": 2, "models": [{"name": m, "columns": [{"name": c, "tests": t} for c, t in cols.items()]}
+                                     for m, cols in suites.EXPANDED.items()]}
+    odd = {"models": [{"name": "x", "columns": [{"name": "c", "tests": ["not_null", {"a": 1, "b": 2},
+                                                                         {"accepted_values": 5}]}]}]}
+    docs = spark.createDataFrame([(json.dumps(tree),), (json.dumps({"models": "bad"}),), (json.dumps(odd),)],
+                                 "suite string")
+    rows = RS.flatten_documents(docs).orderBy("model", "mpos", "cpos", "tpos").collect()
+    got = [(r.model, r.column, r.test, json.dumps(json.loads(r.args), sort_keys=True)) for r in rows if r.model != "x"]
+    exp = [(x.model, x.column, x.test, x.args_json) for x in suites.suite_rules("manual_expanded")]
+    assert sorted(got) == sorted(exp)
+    assert [(r.test, r.args) for r in rows if r.model == "x"] == [("not_null", "{}"), ("accepted_values", '{"value":5}')]
+    back = RS.flatten_documents(RS.render_suites(
+        _rules(spark, [("m", "a", "not_null", "{}"), ("m", "a", "accepted_values", '{"values": ["x"]}')], "g")))
+    assert [(r.test, r.tpos) for r in back.orderBy("tpos").collect()] == [("not_null", 0), ("accepted_values", 1)]
