@@ -1,7 +1,7 @@
 """The anomaly-detection experiment as Spark jobs.
 
-Clean marts are built once and cut from their lineage (reliable checkpoint in the
-shared checkpoint folder). Each batch folds its corruptions over them; the *union* of
+Clean marts are built once and cut from their lineage (Parquet tables in the shared
+checkpoint folder). Each batch folds its corruptions over them; the *union* of
 all suites is evaluated once per batch and results are assigned to conditions by
 suite membership — three evaluations instead of one per (batch, suite).
 """
@@ -23,13 +23,13 @@ def clean_marts(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> di
     stg = marts.stg_matches(Tables(spark, sf_dir))
     if checkpoint:
         ensure_checkpoint_dir(spark)
-        stg = stg.checkpoint()
+        stg = marts.as_table(stg, "stg_matches")
     dim = marts.dim_teams(stg)
     if checkpoint:
-        dim = dim.checkpoint()
+        dim = marts.as_table(dim, "dim_teams")
     fct = marts.fct_matches(stg)
     if checkpoint:
-        fct = fct.checkpoint()
+        fct = marts.as_table(fct, "fct_matches")
     return {"fct_matches": fct, "dim_teams": dim}
 
 
@@ -65,8 +65,8 @@ def run(spark: SparkSession, clean: dict[str, DataFrame], batches: list[str] | N
         results = r if results is None else results.unionByName(r)
         manifests = m if manifests is None else manifests.unionByName(m)
     # results are one row per (batch, condition, rule): materialise once, every report reuses them
-    results = results.checkpoint()
-    manifests = manifests.checkpoint()
+    results = marts.as_table(results, "test_results")
+    manifests = marts.as_table(manifests, "manifest")
     conds = spark.createDataFrame([(b, c) for b in batches for c in list(conditions)],
                                   "batch_id string, condition string")
     det = scoring.detections(results, manifests, scoring.detectors_frame(spark, suites.DETECTORS), conds)

@@ -45,8 +45,8 @@ def pair_features(feat: DataFrame) -> DataFrame:
 
 
 def train(spark, sf_dir, num_trees: int = 100):
-    """Features are materialised once (checkpoint): the split and both passes reuse them."""
-    return ml.train_evaluate(features(spark, sf_dir).checkpoint(), num_trees)
+    """Features are materialised once (Parquet): the split and both passes reuse them."""
+    return ml.train_evaluate(marts.as_table(features(spark, sf_dir), "features"), num_trees)
 
 
 def model_metrics(spark, sf_dir):
@@ -54,6 +54,6 @@ def model_metrics(spark, sf_dir):
 
 
 def pair_scores(spark, sf_dir):
-    feat = features(spark, sf_dir).checkpoint()
+    feat = marts.as_table(features(spark, sf_dir), "features")
     model, _ = ml.train_evaluate(feat)
     return ml.class_probabilities(model, pair_features(feat))

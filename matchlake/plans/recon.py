@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reconcile as R
-from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
 from . import marts
 
@@ -31,14 +30,13 @@ TABLES = {
 
 
 def source_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The source store's marts; staging is materialised once (reliable checkpoint)."""
-    ensure_checkpoint_dir(spark)
-    stg = marts.stg_matches(Tables(spark, sf_dir)).checkpoint()
-    fct = marts.as_table(marts.fct_matches(stg))
+    """The source store's marts; staging is materialised once (Parquet in the shared folder)."""
+    stg = marts.as_table(marts.stg_matches(Tables(spark, sf_dir)), "stg_matches")
+    fct = marts.as_table(marts.fct_matches(stg), "fct_matches")
     # every table is read by several comparisons (both checksums, the diff, the null
     # profile): materialise each once, as the source store holds them as tables
-    return {"dim_teams": marts.as_table(marts.dim_teams(stg)), "fct_matches": fct,
-            "fct_training_dataset": marts.as_table(marts.training_dataset(fct))}
+    return {"dim_teams": marts.as_table(marts.dim_teams(stg), "dim_teams"), "fct_matches": fct,
+            "fct_training_dataset": marts.as_table(marts.training_dataset(fct), "fct_training_dataset")}
 
 
 def drift(features: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def test_log(spark, sf_dir) -> DataFrame:
     """The warehouse suite's results rendered as a runner log (then parsed back by the queries)."""
     from ..operators import quality
     rules = warehouse.warehouse_rules(warehouse.table_columns(spark, sf_dir))
-    res = quality.evaluate(spark, rules, warehouse.warehouse_models(spark, sf_dir, rules)).checkpoint()
+    from .marts import as_table
+    res = as_table(quality.evaluate(spark, rules, warehouse.warehouse_models(spark, sf_dir, rules)), "test_results")
     return runlog.render_log(res, len(rules))
 
 
