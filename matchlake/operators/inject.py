@@ -68,9 +68,11 @@ def targets(tables: dict[str, DataFrame], specs: list[Injection]) -> dict[tuple[
 
 
 def apply(spark: SparkSession, tables: dict[str, DataFrame], specs: list[Injection],
-          batch_id: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Fold ``specs`` over ``tables``; return the corrupted tables and the manifest."""
-    tg = targets(tables, specs)
+          batch_id: str, tg: dict | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Fold ``specs`` over ``tables``; return the corrupted tables and the manifest.
+
+    ``tg`` are precomputed targets (one top-k per table for several batches at once)."""
+    tg = tg if tg is not None else targets(tables, specs)
     cur = dict(tables)
     manifest = []
     for s in specs:

@@ -41,9 +41,9 @@ def with_features(models: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def batch_results(spark: SparkSession, clean: dict[str, DataFrame], batch_id: str,
-                  conditions) -> tuple[DataFrame, DataFrame]:
+                  conditions, tg: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Test results of every condition on one corrupted batch, and its manifest."""
-    corrupted, manifest = inject.apply(spark, clean, inject.BATCHES[batch_id], batch_id)
+    corrupted, manifest = inject.apply(spark, clean, inject.BATCHES[batch_id], batch_id, tg)
     models = with_features(corrupted)
     rules, member = suites.union_rules(conditions)
     res = quality.evaluate(spark, rules, models)
@@ -60,8 +60,10 @@ def run(spark: SparkSession, clean: dict[str, DataFrame], batches: list[str] | N
     batches = batches or list(inject.BATCHES)
     conditions = conditions or list(suites.CONDITIONS)
     results, manifests = None, None
+    # targets of all batches from one bounded top-k per table
+    tg = inject.targets(clean, [s for b in batches for s in inject.BATCHES[b]])
     for b in batches:
-        r, m = batch_results(spark, clean, b, conditions)
+        r, m = batch_results(spark, clean, b, conditions, tg)
         results = r if results is None else results.unionByName(r)
         manifests = m if manifests is None else manifests.unionByName(m)
     # results are one row per (batch, condition, rule): materialise once, every report reuses them
