@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.functions.exprs import first_path, iso_date, ratio, tolerant_equal
+from matchlake.functions.exprs import first_path, iso_date, ratio, to_timestamp_ntz, tolerant_equal
 from matchlake.operators.quality import Rule, describe, validate
 from matchlake.sources.files import json_reports, write_report
 
@@ -34,6 +34,9 @@ def test_expressions(spark):
     assert [(x.v, x.d, x.eq, x.r) for x in r] == [("1", "2024-01-02", True, 0.0), ("5", None, True, 4.0)]
     z = spark.createDataFrame([(1, 0)], "a int, b int").select(ratio(F.col("a"), F.col("b")).alias("r")).first()
     assert z.r is None
+    import datetime as dt
+    ts = spark.createDataFrame([(dt.date(2024, 1, 2),)], "d date").select(to_timestamp_ntz(F.col("d")).alias("t"))
+    assert ts.schema["t"].dataType.simpleString() == "timestamp_ntz" and ts.first().t == dt.datetime(2024, 1, 2)
 
 
 def test_json_reports_skip_corrupt_and_missing(spark, tmp_path):

@@ -37,6 +37,7 @@ def test_incremental_watermark_and_upsert(spark):
     assert sorted(r.match_id for r in inc_.collect()) == [2, 3, 3]
     empty = spark.createDataFrame([], schema)
     assert marts.incremental_batch(new, empty).count() == 3   # NULL watermark -> full load
+    assert marts.incremental_batch(new, target, full_refresh=True).count() == 3
 
 
 def test_classifier_shapes(spark):
