@@ -56,12 +56,6 @@ def canonical_text(c: Column, dtype) -> Column:
     return c.cast("string")
 
 
-def row_hash32(cols: list[Column]) -> Column:
-    """First 32 bits of MD5 over the '|'-joined canonical texts (NULL rendered as \\N)."""
-    txt = F.concat_ws("|", *[F.coalesce(c, F.lit("\\N")) for c in cols])
-    return F.conv(F.substring(F.md5(txt), 1, 8), 16, 10).cast("bigint")
-
-
 def first_path(js: Column, paths: list[str]) -> Column:
     """First non-NULL value among JSON paths (exact paths; a suffix match would be ambiguous)."""
     return F.coalesce(*[F.get_json_object(js, p) for p in paths])

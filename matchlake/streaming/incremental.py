@@ -10,7 +10,6 @@ same folder (idempotent) and readers always see a complete version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..plans import marts
 from ..sources.events import EVENT_SCHEMA, staged
