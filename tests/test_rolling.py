@@ -52,3 +52,21 @@ def test_hot_entity(spark):
     rows = [(e, d, i if j < 503 else 10_000 + i, a, b) for j, (e, d, i, a, b) in enumerate(rows)]
     got, exp = _cmp(spark, rows, 5)
     assert got == exp
+
+
+def test_property_random_inputs(spark):
+    """Random entities, dates (with NULLs), values (with NULLs), k and chunking."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    row = st.tuples(st.integers(0, 2) | st.none(), st.one_of(st.none(), st.dates(dt.date(2024, 1, 1), dt.date(2024, 1, 20))),
+                    st.integers(0, 10_000), st.integers(0, 6) | st.none(), st.integers(0, 6))
+
+    @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, min_size=1, max_size=60, unique_by=lambda r: r[2]), st.integers(1, 6), st.booleans())
+    def check(rows, k, weekly):
+        chunk = [F.date_trunc("week", F.col("d"))] if weekly else None
+        got, exp = _cmp(spark, rows, k, chunk=chunk)
+        assert got == exp
+
+    check()
