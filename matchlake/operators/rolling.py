@@ -5,9 +5,11 @@ ROWS BETWEEN k PRECEDING AND 1 PRECEDING)``: NULL when no non-NULL value precede
 
 A plain window puts each entity in one task; with few entities and long histories
 (one entity may own a third of the rows) that task is the whole job. Here every
-entity's history is cut into chunks (by default one per value of the first order
-column, e.g. a day) and the k rows that precede a chunk are brought to it as a *halo*:
+entity's history is cut into chunks (buckets of the first order column, e.g. runs of
+days) and the k rows that precede a chunk are brought to it as a *halo*:
 
+0. choose the chunk width from the data (about ``chunk_rows`` rows per chunk); when one
+   chunk would hold an entity's whole history, the plain window is used instead;
 1. hash-partition rows by (entity, chunk) — the only shuffle of the full data. Keys
    are encoded as never-NULL (is-null flag, value) pairs, so NULL entities and the
    NULL-date chunk behave like SQL partitions and every later join on them is a plain
@@ -51,16 +53,52 @@ def _sentinel(dtype):
     return F.lit(0).cast(dtype)
 
 
+def _position(c: Column, dtype):
+    """Numeric position of a date / timestamp / integral order value (days or the value)."""
+    from pyspark.sql import types as T
+    if isinstance(dtype, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(86_400_000_000)).cast("long")
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("long")
+    return None
+
+
+def auto_chunk(df: DataFrame, entity: str, first: str, chunk_rows: int = 1_000_000) -> list[Column] | None:
+    """Chunks of about ``chunk_rows`` rows: bucket width (days, or value units) from one
+    aggregate pass — row count, approximate distinct (entity, position) pairs and the
+    position range. ``None`` when one chunk would hold an entity's whole history (entities
+    are small enough for the plain window)."""
+    pos = _position(F.col(first), df.schema[first].dataType)
+    if pos is None:
+        return [F.col(first)]
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(F.col(entity), pos)).alias("d"),
+                F.min(pos).alias("lo"), F.max(pos).alias("hi")).first()
+    n, d = st["n"] or 0, st["d"] or 0
+    width = max(1, int(chunk_rows * d / n)) if n else 1
+    if st["lo"] is None or st["hi"] - st["lo"] < width:
+        return None
+    return [F.floor(pos / F.lit(width)).cast("long")]
+
+
 def trailing_mean(df: DataFrame, entity: str, order: list[str], values: dict[str, str], k: int = 5,
-                  chunk: list[Column] | None = None) -> DataFrame:
+                  chunk: list[Column] | None = None, chunk_rows: int = 1_000_000) -> DataFrame:
     """Return (entity, *order, *value inputs, *outputs); ``values`` maps output → input column.
 
     Only those columns flow through the operator (join other columns back on the order
-    key if needed). ``chunk`` are expressions that never decrease along ``order``
-    (default: the first order column). Rows with equal ``order`` values must be
-    interchangeable for the result to be deterministic, exactly as with the plain window.
+    key if needed). ``chunk`` are expressions that never decrease along ``order``; by
+    default they are buckets of the first order column sized to about ``chunk_rows``
+    rows per (entity, chunk) on average (``auto_chunk``): small data keeps one chunk per
+    entity (no halo work), a hot entity at scale is split into many. Rows with equal
+    ``order`` values must be interchangeable for the result to be deterministic, exactly
+    as with the plain window.
     """
-    chunk = chunk if chunk is not None else [F.col(order[0])]
+    chunk = chunk if chunk is not None else auto_chunk(df, entity, order[0], chunk_rows)
+    if chunk is None:  # every entity fits one chunk: the plain window is the cheaper plan
+        plain = trailing_mean_plain(df.select(*dict.fromkeys([entity, *order, *values.values()])),
+                                    entity, order, values, k)
+        return plain.select(*dict.fromkeys([entity, *order, *values.values()]), *values.keys())
     vin = list(dict.fromkeys(values.values()))
     base_cols = list(dict.fromkeys([entity, *order, *vin]))
     raw = df.select(*base_cols, F.col(entity).alias("_e"), *[c.alias(f"_c{i}") for i, c in enumerate(chunk)])

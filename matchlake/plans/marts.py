@@ -63,7 +63,7 @@ def dim_teams(stg: DataFrame, strict: bool = True) -> DataFrame:
     return sides.distinct()
 
 
-def team_form(fct: DataFrame, k: int = 5) -> DataFrame:
+def team_form(fct: DataFrame, k: int = 5, chunk_rows: int = 1_000_000) -> DataFrame:
     """Per (team, date): trailing mean of goals for/against over the k previous events.
 
     Same-date events are ordered by id (the reference leaves them unordered); several
@@ -75,15 +75,15 @@ def team_form(fct: DataFrame, k: int = 5) -> DataFrame:
     ], keep=["match_id", "match_date"])
     rolled = trailing_mean(per_side, "team_id", ["match_date", "match_id"],
                            {"avg_goals_scored_last_5": "goals_scored",
-                            "avg_goals_conceded_last_5": "goals_conceded"}, k=k)
+                            "avg_goals_conceded_last_5": "goals_conceded"}, k=k, chunk_rows=chunk_rows)
     return (rolled.groupBy("team_id", "match_date")
             .agg(F.max("avg_goals_scored_last_5").alias("avg_goals_scored_last_5"),
                  F.max("avg_goals_conceded_last_5").alias("avg_goals_conceded_last_5")))
 
 
-def training_dataset(fct: DataFrame, k: int = 5) -> DataFrame:
+def training_dataset(fct: DataFrame, k: int = 5, chunk_rows: int = 1_000_000) -> DataFrame:
     """Fact + outcome + both sides' form as of the event date (missing form → 0)."""
-    form = team_form(fct, k)
+    form = team_form(fct, k, chunk_rows)
     h = form.select(F.col("team_id").alias("_ht"), F.col("match_date").alias("_hd"),
                     F.col("avg_goals_scored_last_5").alias("_hs"), F.col("avg_goals_conceded_last_5").alias("_hc"))
     a = form.select(F.col("team_id").alias("_at"), F.col("match_date").alias("_ad"),

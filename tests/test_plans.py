@@ -28,7 +28,8 @@ def test_rolling_shuffles_the_data_once(spark):
     from matchlake.operators.rolling import trailing_mean
     from matchlake.plans.registry import QUERIES
     side = QUERIES["two_sided_unpivot"](spark, SF001)
-    r = trailing_mean(side, "team_id", ["match_date", "match_id"], {"a": "goals_scored", "b": "goals_conceded"})
+    r = trailing_mean(side, "team_id", ["match_date", "match_id"], {"a": "goals_scored", "b": "goals_conceded"},
+                      chunk_rows=1)  # the chunked (large-entity) path
     plan = _executed(r)
     assert "ReusedExchange" in plan   # the tail branch reuses the single data shuffle
 

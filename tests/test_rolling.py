@@ -20,7 +20,7 @@ def _rows(seed, n=400, entities=3, days=15, null_dates=3):
 def _cmp(spark, rows, k, chunk=None):
     df = spark.createDataFrame(rows, "e int, d date, id int, a int, b int")
     vals = {"ma": "a", "mb": "b"}
-    got = trailing_mean(df, "e", ["d", "id"], vals, k=k, chunk=chunk)
+    got = trailing_mean(df, "e", ["d", "id"], vals, k=k, chunk=chunk, chunk_rows=1)  # force day chunks
     exp = trailing_mean_plain(df, "e", ["d", "id"], vals, k=k)
     cols = ["e", "d", "id", "a", "b", "ma", "mb"]
     return sorted(map(tuple, got.select(*cols).collect()), key=str), sorted(map(tuple, exp.select(*cols).collect()), key=str)
@@ -70,3 +70,16 @@ def test_property_random_inputs(spark):
         assert got == exp
 
     check()
+
+
+def test_auto_chunk_width(spark):
+    from matchlake.operators.rolling import auto_chunk
+    df = spark.createDataFrame(_rows(7, n=300, entities=2, days=30), "e int, d date, id int, a int, b int")
+    one = df.select(auto_chunk(df, "e", "d", chunk_rows=1)[0].alias("c")).distinct().count()
+    assert one > 20                                        # day chunks
+    assert auto_chunk(df, "e", "d", chunk_rows=10**9) is None   # small entities: plain window
+    vals = {"ma": "a", "mb": "b"}
+    a = trailing_mean(df, "e", ["d", "id"], vals)          # plain path
+    b = trailing_mean(df, "e", ["d", "id"], vals, chunk_rows=1)  # chunked path
+    cols = ["e", "d", "id", "a", "b", "ma", "mb"]
+    assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.select(*cols).collect()), key=str)
