@@ -65,21 +65,43 @@ def _position(c: Column, dtype):
     return None
 
 
-def auto_chunk(df: DataFrame, entity: str, first: str, chunk_rows: int = 1_000_000) -> list[Column] | None:
-    """Chunks of about ``chunk_rows`` rows: bucket width (days, or value units) from one
-    aggregate pass — row count, approximate distinct (entity, position) pairs and the
-    position range. ``None`` when one chunk would hold an entity's whole history (entities
-    are small enough for the plain window)."""
+def auto_chunk(df: DataFrame, entity: str, first: str, chunk_rows: int = 1_000_000,
+               second: str | None = None) -> list[Column] | None:
+    """Chunks of about ``chunk_rows`` rows, or ``None`` when one chunk would hold an
+    entity's whole history (entities small enough for the plain window).
+
+    The bucket width of the first order column (days, or value units) comes from one
+    aggregate pass: rows, approximate distinct (entity, position) pairs, and ranges. When
+    the width is one unit and the busiest (entity, position) — counted exactly from a
+    pre-aggregated (entity, position) table — still exceeds ``chunk_rows``, each unit is
+    split further into buckets of the integral ``second`` order column (which orders rows
+    inside a unit), so even one hot entity-day is spread over several chunks.
+    """
     pos = _position(F.col(first), df.schema[first].dataType)
     if pos is None:
         return [F.col(first)]
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(F.col(entity), pos)).alias("d"),
-                F.min(pos).alias("lo"), F.max(pos).alias("hi")).first()
+    sub = None
+    if second is not None and _position(F.col(second), df.schema[second].dataType) is not None \
+            and not isinstance(df.schema[second].dataType, __import__("pyspark").sql.types.DateType):
+        sub = F.col(second).cast("long")
+    aggs = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(F.col(entity), pos)).alias("d"),
+            F.min(pos).alias("lo"), F.max(pos).alias("hi")]
+    if sub is not None:
+        aggs += [F.min(sub).alias("slo"), F.max(sub).alias("shi")]
+    st = df.agg(*aggs).first()
     n, d = st["n"] or 0, st["d"] or 0
     width = max(1, int(chunk_rows * d / n)) if n else 1
     if st["lo"] is None or st["hi"] - st["lo"] < width:
         return None
-    return [F.floor(pos / F.lit(width)).cast("long")]
+    chunk = [F.floor(pos / F.lit(width)).cast("long")]
+    if width == 1 and sub is not None and st["slo"] is not None:
+        busiest = (df.groupBy(F.col(entity), pos.alias("_p")).agg(F.count(F.lit(1)).alias("c"))
+                   .agg(F.max("c")).first()[0] or 0)
+        if busiest > chunk_rows:
+            parts = -(-busiest // chunk_rows)
+            sw = max(1, -(-(st["shi"] - st["slo"] + 1) // parts))
+            chunk.append(F.floor((sub - F.lit(st["slo"])) / F.lit(sw)).cast("long"))
+    return chunk
 
 
 def trailing_mean(df: DataFrame, entity: str, order: list[str], values: dict[str, str], k: int = 5,
@@ -94,7 +116,8 @@ def trailing_mean(df: DataFrame, entity: str, order: list[str], values: dict[str
     ``order`` values must be interchangeable for the result to be deterministic, exactly
     as with the plain window.
     """
-    chunk = chunk if chunk is not None else auto_chunk(df, entity, order[0], chunk_rows)
+    chunk = chunk if chunk is not None else auto_chunk(df, entity, order[0], chunk_rows,
+                                                       order[1] if len(order) > 1 else None)
     if chunk is None:  # every entity fits one chunk: the plain window is the cheaper plan
         plain = trailing_mean_plain(df.select(*dict.fromkeys([entity, *order, *values.values()])),
                                     entity, order, values, k)

@@ -83,3 +83,19 @@ def test_auto_chunk_width(spark):
     b = trailing_mean(df, "e", ["d", "id"], vals, chunk_rows=1)  # chunked path
     cols = ["e", "d", "id", "a", "b", "ma", "mb"]
     assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.select(*cols).collect()), key=str)
+
+
+def test_hot_entity_day_is_split_below_a_day(spark):
+    from matchlake.operators.rolling import auto_chunk
+    # 100 rows per entity-day; ids spread over their range (as order keys are over dates)
+    rows = [(0, dt.date(2024, 1, 1 + (i % 3)), i * 17, i % 7, i % 5) for i in range(300)]
+    rows += [(1, dt.date(2024, 1, 1), 17 * i + 5, 1, 1) for i in range(3)] + [(0, None, 5100, 1, 1)]
+    df = spark.createDataFrame(rows, "e int, d date, id int, a int, b int")
+    ch = auto_chunk(df, "e", "d", chunk_rows=10, second="id")
+    assert ch is not None and len(ch) == 2                  # day + id buckets
+    assert df.select(*[c.alias(f"c{i}") for i, c in enumerate(ch)], "e").distinct().count() > 10
+    vals = {"ma": "a", "mb": "b"}
+    got = trailing_mean(df, "e", ["d", "id"], vals, chunk_rows=10)
+    exp = trailing_mean_plain(df, "e", ["d", "id"], vals)
+    cols = ["e", "d", "id", "a", "b", "ma", "mb"]
+    assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(map(tuple, exp.select(*cols).collect()), key=str)
