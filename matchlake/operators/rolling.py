@@ -80,9 +80,10 @@ def auto_chunk(df: DataFrame, entity: str, first: str, chunk_rows: int = 1_000_0
     pos = _position(F.col(first), df.schema[first].dataType)
     if pos is None:
         return [F.col(first)]
+    from pyspark.sql import types as T
     sub = None
-    if second is not None and _position(F.col(second), df.schema[second].dataType) is not None \
-            and not isinstance(df.schema[second].dataType, __import__("pyspark").sql.types.DateType):
+    if second is not None and isinstance(df.schema[second].dataType, (T.ByteType, T.ShortType, T.IntegerType,
+                                                                       T.LongType)):
         sub = F.col(second).cast("long")
     aggs = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(F.col(entity), pos)).alias("d"),
             F.min(pos).alias("lo"), F.max(pos).alias("hi")]
