@@ -172,14 +172,14 @@ def evaluate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame
     parts: list[DataFrame] = []
     errors: list[int] = []
     by_model: dict[str, list[tuple[int, Rule]]] = {}
+    cols = {m: set(df.columns) for m, df in models.items()}  # one schema lookup per model
     for i, r in enumerate(rules):
-        df = models.get(r.model)
-        if df is None or r.column not in df.columns or r.test not in TESTS:
+        if r.model not in cols or r.column not in cols[r.model] or r.test not in TESTS:
             errors.append(i)
             continue
         if r.test == "relationships":
-            p = models.get(str(r.arg("to")))
-            if p is None or r.arg("field") not in p.columns:
+            to = str(r.arg("to"))
+            if to not in cols or r.arg("field") not in cols[to]:
                 errors.append(i)
                 continue
         by_model.setdefault(r.model, []).append((i, r))
