@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,13 +57,17 @@ def get_session(master: str | None = None, app: str = "matchlake",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
+    """Return the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (a local test run) a fresh scratch folder is
-    set; on a cluster the configured shared folder is always used.
+    A temporary folder is taken only where none is configured and the master is
+    ``local[...]`` (driver and executors are then one process); any other master without
+    a configured folder raises, because executors could not see each other's files.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; master {master} needs a folder all executors share")
         d = tempfile.mkdtemp(prefix="matchlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -69,8 +75,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    import uuid
+    """A path under the shared folder for a written intermediate table; removed at exit."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/matchlake/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/matchlake/{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(drop_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def drop_scratch() -> None:
+    """Delete the intermediate tables written so far (runs at interpreter exit, or call it
+    once the results that read them are no longer needed)."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        if spark.sparkContext._jsc is None:   # session already stopped
+            continue
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
