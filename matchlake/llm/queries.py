@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op4_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .packing import op1_packing
 from .pii import op3_pii
+from .simhash import op5_simhash
+from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_pii": op3_pii,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_simhash": op5_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 
 # Where SQL can express the operator; the others are tested against brute force in tests/llm.
