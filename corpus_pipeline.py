@@ -1,25 +1,74 @@
-"""Corpus pipeline: language ID, exact dedup, SimHash near-dedup, PII, packing."""
+"""Corpus pipeline: language ID, exact dedup, SimHash near-dedup, PII, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next stage's ``docs``; all but the last return the columns of
+``documents``. Each stage works on whatever its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchlake.llm.common import documents, staged
 from matchlake.llm.exact_dedup import exact_dedup
+from matchlake.llm.langid import NONE, held_out, identify, train
+from matchlake.llm.packing import pack, packed_pieces
 from matchlake.llm.pii import sanitise
+from matchlake.llm.simhash import near_dedup
+
+# A document is rejected when it has no letter, or when no language gets even half of its
+# pooled probability.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; a missing label is filled in. Without any labelled
+    document there is no language to test against and only texts without a letter go."""
+    model = train(docs.filter(~held_out()))
+    lang = F.coalesce(F.col("lang"), F.col("lang_pred")) if model else F.col("lang")
+    told = identify(docs, model).filter(F.col("lang_pred") != NONE).filter(F.col("score") >= LEAST_SCORE) if model else \
+        docs.filter(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
+    return told.withColumn("lang", lang).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup(docs, keep="largest").filter("kept").select(*docs.columns)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group within 4 of 64 bits stays (4-word shingles)."""
+    return near_dedup(docs, shingle=4, max_bits=4).filter("kept").select(*docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked and disclosive words generalised or removed."""
+    clean = sanitise(docs).withColumn("text", F.col("sanitised"))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences of 2048 tokens."""
+    return packed_pieces(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash", drop_near_copies),
+    ("pii", without_personal_data),
+    ("packing", packed),
+]
 
+# Recurrent networks, fingerprints and tokenizers are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each staged in the shared folder."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .hamming_topk import OP2_SQL, op2_hamming_topk
+from .langid import op10_language_id
+from .license_scan import op8_license_scan
+from .lm_score import op6_lm_score
 from .packing import op1_packing
 from .pii import op3_pii
 from .simhash import op5_simhash
@@ -11,14 +15,19 @@ from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_hamming_topk": op2_hamming_topk,
     "op3_pii": op3_pii,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash": op5_simhash,
+    "op6_lm_score": op6_lm_score,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 # Where SQL can express the operator; the others are tested against brute force in tests/llm.
 ORACLE = {
+    "op2_hamming_topk": OP2_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
