@@ -42,17 +42,26 @@ def ratio(num: Column, den: Column, places: int = 4) -> Column:
 
 
 def canonical_text(c: Column, dtype) -> Column:
-    """Portable text rendering of one value (same text in Spark and DuckDB)."""
+    """Text of one value that differs whenever the values differ (nothing is cut or rounded).
+
+    Dates are ISO, timestamps carry microseconds, doubles their full precision (negative
+    zero as zero), decimals their own digits, nested values and JSON-looking text (an
+    object or array) JSON with sorted keys, so that layout and key order do not matter.
+    """
     from pyspark.sql import types as T
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        # doubles are scaled to integers so that float formatting never differs
-        return F.round(c.cast("double") * F.lit(10000)).cast("bigint").cast("string")
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(c == 0, F.lit("0.0")).otherwise(c.cast("double").cast("string"))
     if isinstance(dtype, T.BooleanType):
         return F.when(c, F.lit("true")).when(~c, F.lit("false"))
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(F.try_parse_json(F.to_json(c, {"ignoreNullFields": "false"})))
+    if isinstance(dtype, T.StringType):
+        looks = c.rlike(r"^\s*[\[{]")
+        return F.coalesce(F.when(looks, F.to_json(F.try_parse_json(F.when(looks, c)))), c)
     return c.cast("string")
 
 

@@ -1,25 +1,28 @@
 """Reconciliation of two copies of a table (e.g. a source store and a migrated copy).
 
 Both sides are first *normalised*: column names lower-cased and every value rendered as
-canonical text (ints plain, dates ISO, doubles scaled to integers), so that a copy whose
-store changed names or types still compares. Numbers in tolerance columns keep their
-double value for the |a-b| <= eps test.
+canonical text that loses nothing (``canonical_text``). Numbers in tolerance columns are
+compared as doubles (text is made from the double, the number kept beside it).
 
 * counts and signed difference (right - left);
 * null profile: one aggregate per side for all columns, unpivoted, joined on the column;
-* order-free checksum: sum of 32-bit MD5 prefixes of the row texts (decimal sum, no overflow) + count;
-* keyed diff: identical rows are paired first by (key, row hash) counts — a combinable
-  aggregate, so a hot or duplicated key never becomes one window partition — and only
-  the rows left over are paired by occurrence within their key (NULL keys pair with
-  NULL keys) and compared cell by cell with the tolerance.
+* order-free checksum: the four 32-bit parts of each row's MD5 over an unambiguous row text
+  (a JSON array, so NULL, delimiters and empty text differ), summed part by part, + count;
+* keyed diff: one aggregate over (key, row hash) with +1 for left and -1 for right rows
+  finds what is left over; only the left-over rows' values are fetched, by a semi-join on the
+  hash. They are paired by occurrence within their key (NULL keys pair with NULL keys) and
+  compared cell by cell: both NULL are equal, one NULL differs, tolerance else.
+  Occurrence numbers are running totals over sorted ranges, so a key whose rows all differ
+  is spread over as many tasks as it needs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DEFAULT_TOLERANCE, canonical_text
+from .running import running_total
 
 HASH = "_h"
 
@@ -29,19 +32,22 @@ def normalise(df: DataFrame, columns: list[str], numeric: list[str] | None = Non
     low = {c.lower(): c for c in df.columns}
     out = []
     for c in columns:
-        src = low[c.lower()]
-        out.append(canonical_text(F.col(src), df.schema[src].dataType).alias(c))
-    for c in numeric or []:
-        out.append(F.col(low[c.lower()]).cast("double").alias(f"{c}__num"))
+        src = F.col(low[c.lower()])
+        if c in (numeric or []):
+            num = src.cast("double")
+            out += [F.when(num == 0, F.lit("0.0")).otherwise(num.cast("string")).alias(c), num.alias(f"{c}__num")]
+        else:
+            out.append(canonical_text(src, df.schema[low[c.lower()]].dataType).alias(c))
     return df.select(*out)
 
 
 def row_text(columns: list[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("\\N")) for c in columns])
+    """Unambiguous text of a row: NULLs, quotes and delimiters cannot be confused."""
+    return F.to_json(F.array(*[F.col(c) for c in columns]))
 
 
 def row_hash(columns: list[str]) -> Column:
-    return F.conv(F.substring(F.md5(row_text(columns)), 1, 8), 16, 10).cast("bigint")
+    return F.md5(row_text(columns))
 
 
 def counts(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -65,37 +71,29 @@ def null_compare(left: DataFrame, right: DataFrame, columns: list[str]) -> DataF
 
 
 def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, checksum) — independent of row order and partitioning."""
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(F.sum(row_hash(columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-                  .cast("string").alias("checksum"))
+    """(rows, checksum) — independent of row order and partitioning; all 128 hash bits count."""
+    h = df.select(row_hash(columns).alias(HASH))
+    part = lambda i: F.coalesce(F.sum(F.conv(F.substring(HASH, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")),
+                                F.lit(0).cast("decimal(38,0)")).cast("string")
+    return h.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *[part(i) for i in range(4)]).alias("checksum"))
 
 
 BLOCK = 10_000
 KN, KV = "_kn", "_kv"   # key encoded as (is-null flag, value with NULL replaced): plain equi-joins
 
 
-def _sentinel(dtype):
-    from .rolling import _sentinel as s
-    return s(dtype)
-
-
-def _expand(groups: DataFrame, key: str, columns: list[str], block: int = BLOCK) -> DataFrame:
+def _expand(groups: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
     """(encoded key, _n copies of _row) → one row per copy with its occurrence number in the key.
 
     Occurrence numbers follow the row text order inside a key: a running total over the
-    residual *groups* (one row per distinct row, never per copy) gives each group its
-    first number. Copies are produced in blocks of at most ``block``: the block list is
-    redistributed before it is expanded, so a row repeated a billion times is spread
-    over many tasks instead of one array in one task.
+    left-over *groups* (one row per distinct row, never per copy). Copies are produced in
+    blocks of at most ``block``: the block list is redistributed before it is expanded,
+    so a row repeated a billion times is spread over many tasks.
     """
-    txt = row_text([f"_row.{c}" for c in columns])
-    w = (Window.partitionBy(KN, KV).orderBy(txt, F.md5(F.to_json("_row")))
-         .rowsBetween(Window.unboundedPreceding, -1))
-    g = groups.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    g = running_total(groups.withColumn("_txt", row_text([f"_row.{c}" for c in columns])), [KN, KV], ["_txt"], "_n", "_base")
     blocks = g.select(KN, KV, "_row", "_n", "_base",
                       F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("long"))).alias("_b"))
-    blocks = blocks.repartition(KN, KV, "_b")
+    blocks = blocks.repartition(KN, KV, "_b", "_base")
     i = F.explode(F.sequence(F.col("_b") * block, F.least(F.col("_n"), (F.col("_b") + 1) * block) - 1))
     return blocks.select(KN, KV, "_row", "_base", i.alias("_i")).select(
         KN, KV, "_row", (F.col("_base") + F.col("_i") + 1).alias("_occ"))
@@ -110,35 +108,28 @@ def paired(left: DataFrame, right: DataFrame, key: str, columns: list[str], nume
     """
     numeric = numeric or []
     payload = [*columns, *[f"{c}__num" for c in numeric]]
-    ident = row_text([*columns, *[f"{c}__num" for c in numeric]])
-    sent = _sentinel(left.schema[key].dataType)
-
-    def grouped(df):
-        # identical rows (canonical text and exact numbers) pair first
-        return (df.select(F.col(key).isNull().alias(KN), F.coalesce(F.col(key), sent).alias(KV),
-                          F.md5(ident).alias(HASH), F.struct(*[F.col(c) for c in payload]).alias("_row"))
-                .groupBy(KN, KV, HASH)
-                .agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row")))
-
-    lg, rg = grouped(left), grouped(right)
-    j = lg.alias("l").join(rg.alias("r"), [KN, KV, HASH], "full")
-    ln = F.coalesce(F.col("l._n"), F.lit(0))
-    rn = F.coalesce(F.col("r._n"), F.lit(0))
-    surplus = j.select(KN, KV, (ln - rn).alias("_s"), F.col("l._row").alias("_lrow"), F.col("r._row").alias("_rrow"))
-    lres = _expand(surplus.filter(F.col("_s") > 0).select(KN, KV, F.col("_s").alias("_n"), F.col("_lrow").alias("_row")),
-                   key, columns)
-    rres = _expand(surplus.filter(F.col("_s") < 0).select(KN, KV, (-F.col("_s")).alias("_n"), F.col("_rrow").alias("_row")),
-                   key, columns)
-    p = lres.alias("l").join(rres.alias("r"), [KN, KV, "_occ"], "full")
+    keyed = lambda df: df.select(F.col(key).isNull().alias(KN), F.coalesce(F.col(key), F.lit("")).alias(KV),
+                                 row_hash(columns).alias(HASH), *payload)
+    l0, r0 = keyed(left), keyed(right)
+    both = l0.select(KN, KV, HASH, F.lit(1).alias("_s")).unionByName(r0.select(KN, KV, HASH, F.lit(-1).alias("_s")))
+    over = both.groupBy(KN, KV, HASH).agg(F.sum("_s").alias("_s")).filter(F.col("_s") != 0)
+
+    def residue(side, sign):
+        """The side's left-over rows: values fetched by hash, one row per distinct row."""
+        mine = over.filter(F.col("_s") * sign > 0).select(KN, KV, HASH, F.abs("_s").alias("_n"))
+        rows = side.join(mine, [KN, KV, HASH])
+        g = rows.groupBy(KN, KV, HASH).agg(F.max("_n").alias("_n"), F.first(F.struct(*payload)).alias("_row"))
+        return _expand(g.drop(HASH), columns)
+
+    p = residue(l0, 1).alias("l").join(residue(r0, -1).alias("r"), [KN, KV, "_occ"], "full")
     side = (F.when(F.col("l._row").isNull(), F.lit("right_only"))
             .when(F.col("r._row").isNull(), F.lit("left_only")).otherwise(F.lit("both")))
     cells = []
     for c in columns:
+        same = F.col(f"l._row.{c}").eqNullSafe(F.col(f"r._row.{c}"))
         if c in numeric:
             a, b = F.col(f"l._row.{c}__num"), F.col(f"r._row.{c}__num")
-            same = F.coalesce(a.eqNullSafe(b) | (F.abs(a - b) <= F.lit(eps)), F.lit(False))
-        else:
-            same = F.col(f"l._row.{c}").eqNullSafe(F.col(f"r._row.{c}"))
+            same = same | F.coalesce(F.abs(a - b) <= F.lit(eps), F.lit(False))
         cells.append(F.struct(F.lit(c).alias("column"), F.col(f"l._row.{c}").alias("left_value"),
                               F.col(f"r._row.{c}").alias("right_value"), (~same).alias("differs")))
     return p.select(F.when(~F.col(KN), F.col(KV)).alias(key), F.col("_occ").alias("occ"), side.alias("side"),

@@ -4,9 +4,12 @@ The copy is what a migration to another store produces: upper-case column names
 dates stored as ISO text. To exercise every comparison path the feature table's copy
 also carries controlled drift, chosen by row attributes (whole tables are compared):
 
-* DRAW rows: home_avg_goals_scored_last_5 + 0.001 (inside the 0.0011 tolerance);
-* HOME_WIN rows of home team 1: away_avg_goals_conceded_last_5 + 0.01 (outside);
-* AWAY_WIN rows of away team 2: away_team_name lost (NULL on one side);
+* even DRAW rows: home_avg_goals_scored_last_5 + 0.001 (inside the 0.0011 tolerance);
+  odd DRAW rows of home team 5: that average lost (NULL in a tolerance column);
+* HOME_WIN rows of home team 1: away_avg_goals_conceded_last_5 + 0.01 (outside); home team 6:
+  the same + 0.00001 where above 1 (a strict difference only);
+* AWAY_WIN rows: away_team_name lost for away team 2 (NULL on one side), the text ``\\N`` for
+  team 3 (not a NULL), delimiters and quotes appended for team 4;
 * DRAW rows of home team 3: missing in the copy;  DRAW rows of home team 4: copied twice.
 """
 
@@ -41,17 +44,18 @@ def source_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def drift(features: DataFrame) -> DataFrame:
     r, h, a = F.col("match_result"), F.col("home_team_id"), F.col("away_team_id")
+    scored, conceded, name = (F.col(c) for c in ("home_avg_goals_scored_last_5", "away_avg_goals_conceded_last_5", "away_team_name"))
+    win, draw, lost = r == "HOME_WIN", r == "DRAW", r == "AWAY_WIN"
     d = (features
          .withColumn("home_avg_goals_scored_last_5",
-                     F.when(r == "DRAW", F.col("home_avg_goals_scored_last_5") + 0.001)
-                     .otherwise(F.col("home_avg_goals_scored_last_5")))
+                     F.when(draw & (F.col("match_id") % 2 == 0), scored + 0.001)
+                     .when(draw & (h == 5), F.lit(None).cast("double")).otherwise(scored))
          .withColumn("away_avg_goals_conceded_last_5",
-                     F.when((r == "HOME_WIN") & (h == 1), F.col("away_avg_goals_conceded_last_5") + 0.01)
-                     .otherwise(F.col("away_avg_goals_conceded_last_5")))
-         .withColumn("away_team_name", F.when((r == "AWAY_WIN") & (a == 2), F.lit(None).cast("string"))
-                     .otherwise(F.col("away_team_name")))
-         .filter(~((r == "DRAW") & (h == 3))))
-    return d.unionByName(d.filter((r == "DRAW") & (h == 4)))
+                     F.when(win & (h == 1), conceded + 0.01).when((h == 6) & (conceded > 1), conceded + 0.00001).otherwise(conceded))
+         .withColumn("away_team_name", F.when(lost & (a == 2), F.lit(None).cast("string")).when(lost & (a == 3), F.lit("\\N"))
+                     .when(lost & (a == 4), F.concat(name, F.lit('|","'))).otherwise(name))
+         .filter(~(draw & (h == 3))))
+    return d.unionByName(d.filter(draw & (h == 4)))
 
 
 def migrated(df: DataFrame) -> DataFrame:

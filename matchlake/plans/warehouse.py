@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import canonical_text
 from ..operators import quality
@@ -65,8 +66,8 @@ def profile(spark: SparkSession, sf_dir: str, tables=PROFILE_TABLES) -> DataFram
         exprs = [F.count(F.lit(1)).alias("_rows")]
         for i, f in enumerate(df.schema.fields):
             c = F.col(f.name)
-            exprs += [F.count_if(c.isNull()).alias(f"n{i}"), canonical_text(F.min(c), f.dataType).alias(f"lo{i}"),
-                      canonical_text(F.max(c), f.dataType).alias(f"hi{i}")]
+            shown = (lambda x: x) if isinstance(f.dataType, T.StringType) else (lambda x, t=f.dataType: canonical_text(x, t))
+            exprs += [F.count_if(c.isNull()).alias(f"n{i}"), shown(F.min(c)).alias(f"lo{i}"), shown(F.max(c)).alias(f"hi{i}")]
         one = df.agg(*exprs)
         rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col("_rows").alias("rows"),
                                   F.col(f"n{i}").alias("nulls"), F.col(f"lo{i}").alias("min_value"),

@@ -22,7 +22,7 @@ def test_all_comparison_cases(spark):
     d = {(r.k, r.side): sorted(r.diff_columns) for r in R.diff(left, right, "k", COLS, ["x"]).collect()}
     assert d == {("3", "both"): ["x"], ("4", "both"): ["name"], ("5", "left_only"): [], ("6", "right_only"): []}
     cells = {(r.k, r.column): (r.left_value, r.right_value) for r in R.cell_diffs(left, right, "k", COLS, ["x"]).collect()}
-    assert cells == {("3", "x"): ("30000", "30100"), ("4", "name"): ("d", None)}
+    assert cells == {("3", "x"): ("3.0", "3.01"), ("4", "name"): ("d", None)}
     s = R.summary("t", left, right, "k", COLS, ["x"]).first()
     assert (s.left_rows, s.right_rows, s.row_diff, s.mismatched_rows, s.left_only_rows, s.right_only_rows) == \
         (8, 8, 0, 2, 1, 1)
@@ -75,5 +75,58 @@ def test_migrated_copy_normalises_names_and_dates(spark):
 def test_expand_in_blocks_numbers_occurrences(spark):
     g = spark.createDataFrame([(False, "k", 10, ("b",)), (False, "k", 2, ("a",)), (False, "z", 1, ("a",))],
                               "_kn boolean, _kv string, _n long, _row struct<x:string>")
-    out = sorted((r._kv, r._row.x, r._occ) for r in R._expand(g, "k", ["x"], block=3).collect())
+    out = sorted((r._kv, r._row.x, r._occ) for r in R._expand(g, ["x"], block=3).collect())
     assert out == [("k", "a", 1), ("k", "a", 2)] + [("k", "b", i) for i in range(3, 13)] + [("z", "a", 1)]
+
+
+def _both(spark, schema, left, right, numeric=()):
+    cols = [f.split()[0] for f in schema.split(", ")]
+    a, b = (R.normalise(spark.createDataFrame(x, schema), cols, list(numeric)) for x in (left, right))
+    return a, b, cols
+
+
+def test_null_in_a_tolerance_column(spark):
+    a, b, cols = _both(spark, "k int, x double", [(1, None), (2, None), (3, 1.0)], [(1, None), (2, 5.0), (3, None)], ["x"])
+    assert {r.k: r.diff_columns for r in R.diff(a, b, "k", cols, ["x"]).collect()} == {"2": ["x"], "3": ["x"]}
+    assert {(r.k, r.left_value, r.right_value) for r in R.cell_diffs(a, b, "k", cols, ["x"]).collect()} == {
+        ("2", None, "5.0"), ("3", "1.0", None)}
+
+
+def test_texts_that_look_alike_differ(spark):
+    for x, y in ((("a|b", "c"), ("a", "b|c")), (("\\N", "c"), (None, "c")), (('a","b', "c"), ("a", 'b","c')), (("", "c"), (None, "c"))):
+        a, b, cols = _both(spark, "k int, p string, q string", [(1, *x)], [(1, *y)])
+        s = R.summary("t", a, b, "k", cols).first()
+        assert not s.checksum_match and s.status_strict == "MISMATCH" and s.status_tolerant == "MISMATCH"
+
+
+def test_nothing_is_cut_or_rounded(spark):
+    import datetime as dt
+    from decimal import Decimal
+    t = dt.datetime(2024, 1, 1, 0, 0, 0)
+    cases = [("timestamp", t, t.replace(microsecond=900_000)), ("double", 1.0, 1.00003), ("double", 1e15, 1e15 + 1),
+             ("decimal(38,20)", Decimal("1.00000000000000000001"), Decimal("1.00000000000000000002"))]
+    for kind, x, y in cases:
+        cols = ["k", "v"]
+        a, b = (R.normalise(spark.createDataFrame([(1, v)], f"k int, v {kind}"), cols) for v in (x, y))
+        assert R.summary("t", a, b, "k", cols).first().status_strict == "MISMATCH"
+        assert R.summary("t", a, a, "k", cols).first().status_strict == "MATCH"
+    a, b, cols = _both(spark, "k int, x double", [(1, float("nan")), (2, 0.0), (3, 1e300)], [(1, float("nan")), (2, -0.0), (3, 1e300)], ["x"])
+    assert R.summary("t", a, b, "k", cols, ["x"]).first().status_strict == "MATCH"
+
+
+def test_nested_values_and_json_text(spark):
+    left = spark.sql("""SELECT 1 k, named_struct('b', 1, 'a', CAST(NULL AS INT)) s, array(1, 2) l, '{"x": 1, "a": [1,2]}' j, '[no json' t""")
+    right = spark.sql("""SELECT 1 K, named_struct('a', CAST(NULL AS INT), 'b', 1) S, array(1, 2) L, '{"a":[1, 2],"x":1}' J, '[no json' T""")
+    cols = ["k", "s", "l", "j", "t"]
+    a, b = R.normalise(left, cols), R.normalise(right, cols)
+    assert R.summary("t", a, b, "k", cols).first().status_strict == "MATCH"
+    assert a.first().t == "[no json"
+
+
+def test_hot_key_left_overs_are_numbered_once(spark):
+    n = 3000
+    a, b, cols = _both(spark, "k int, name string", [(None, f"l{i}") for i in range(n)], [(None, f"r{i}") for i in range(n - 5)])
+    p = R.paired(a, b, "k", cols)
+    rows = p.select("occ", "side").collect()
+    assert sorted(r.occ for r in rows) == list(range(1, n + 1))
+    assert sum(r.side == "left_only" for r in rows) == 5 and sum(r.side == "both" for r in rows) == n - 5
