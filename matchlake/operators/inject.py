@@ -89,7 +89,9 @@ def apply(spark: SparkSession, tables: dict[str, DataFrame], specs: list[Injecti
             row = spark.createDataFrame([(tkey, f"{tname}{s.value}")], df.select(key, name).schema)
             df = df.unionByName(row, allowMissingColumns=True)
         elif s.op == "insert_copy":
-            df = df.unionByName(df.filter(hit))
+            # one pass: a hit row is written twice
+            times = F.when(hit, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+            df = df.select("*", F.explode(times).alias("_copy")).drop("_copy")
         else:
             raise ValueError(s.op)
         cur[s.table] = df

@@ -1,33 +1,32 @@
 """Latest / n-th row selection without one-task-per-key windows.
 
-``latest_by`` keeps, per key, the row with the greatest (order columns..., tiebreak)
-using ``max(struct(...))``: a combinable aggregate, so a key holding a third of the
-rows is reduced map-side like any other. ``nth_keys`` picks the n-th key of a table in
-key order with a bounded top-k instead of a global window.
+``latest_by`` keeps, per key, the row with the greatest order tuple using ``max_by``: a
+combinable aggregate, so a key holding a third of the rows is reduced map-side like any
+other. Only the order columns are compared; the others may have any type (maps, variants).
+``nth_keys`` picks the n-th keys of a table in key order with a bounded top-k.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], where=None) -> DataFrame:
-    """One row per ``keys``: the row with the largest ``order`` tuple (NULLs lose)."""
+    """One row per ``keys``: a row with the largest ``order`` tuple (NULLs lose)."""
     if where is not None:
         df = df.filter(where)
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    pack = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*order, *rest])])
-    g = df.groupBy(*keys).agg(F.max(pack).alias("_r"))
-    return g.select(*keys, *[F.col(f"_r._{i}").alias(c) for i, c in enumerate([*order, *rest])]).select(*df.columns)
+    rest = [c for c in df.columns if c not in keys]
+    pack = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])
+    g = df.groupBy(*keys).agg(F.max_by(pack, F.struct(*order)).alias("_r"))
+    return g.select(*keys, *[F.col(f"_r._{i}").alias(c) for i, c in enumerate(rest)]).select(*df.columns)
 
 
 def nth_keys(df: DataFrame, key: str, positions: list[int]) -> DataFrame:
     """(position, key) for the requested 0-based positions of ``key`` in ascending order."""
-    need = max(positions) + 1
-    top = df.select(key).filter(F.col(key).isNotNull()).orderBy(F.col(key).asc()).limit(need)
-    rows = [(i, r[0]) for i, r in enumerate(top.collect()) if i in set(positions)]
-    return df.sparkSession.createDataFrame(rows, f"position int, {key} {df.schema[key].dataType.simpleString()}")
+    top = df.select(key).filter(F.col(key).isNotNull()).orderBy(F.col(key).asc()).limit(max(positions) + 1)
+    place = (F.row_number().over(Window.orderBy(key)) - 1).alias("position")   # over the few rows of the top-k
+    return top.select(place, key).filter(F.col("position").isin(positions))
 
 
 def either_side(df: DataFrame, a: str, b: str, value=None) -> DataFrame:

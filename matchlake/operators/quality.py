@@ -7,14 +7,16 @@ Rule kinds and their failure counts:
 * ``accepted_values`` number of *distinct* non-NULL values outside the list;
 * ``relationships``   child rows whose non-NULL value has no parent row.
 
-Per model the engine runs one aggregate for every ``not_null`` and ``accepted_values``
-rule, one grouped count (one shuffle) for all ``unique`` rules, and one anti join per
+Per model the engine runs one aggregate for every ``not_null`` rule, one grouped count per
+column-type family for all ``unique`` and ``accepted_values`` rules, and one anti join per
 (parent model, parent column) for all ``relationships`` rules pointing there. Results
-are a small table; a rule whose model or column does not exist gets status ``error``.
+are a small table; a rule whose model, column, value list or target does not exist or fit
+gets status ``error`` and the rest run.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 import re
 from dataclasses import dataclass, field
@@ -81,90 +83,102 @@ def rules_frame(spark: SparkSession, rules: list[Rule], extra: dict[str, list] |
     return spark.createDataFrame(rows, schema)
 
 
-def _agg_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
-    """One pass for all not_null / accepted_values rules of a model: plain conditional
-    counts only (no DISTINCT, so no Expand that would copy every row per rule). The
-    distinct disallowed values of accepted_values rules come from ``_bad_values``."""
-    exprs = []
-    for i, r in items:
-        c = F.col(r.column)
-        if r.test == "not_null":
-            bad = c.isNull()
-        else:
-            bad = c.isNotNull() & ~c.isin(r.arg("values", []))
-        exprs += [F.count_if(bad).alias(f"r{i}")]
-    if not exprs:
-        return None
-    one = df.agg(*exprs)
-    stack = ", ".join(f"{i}, r{i}" for i, _ in items)
-    acc = {i for i, r in items if r.test == "accepted_values"}
-    rows = one.selectExpr(f"stack({len(items)}, {stack}) as (rule_id, failing_rows)")
-    # not_null: failures = rows; accepted_values: failures filled in from the distinct count
-    return rows.select("rule_id", F.when(F.col("rule_id").isin(list(acc) or [-1]), F.lit(None).cast("bigint"))
-                       .otherwise(F.col("failing_rows")).alias("failures"), "failing_rows")
-
-
-def _bad_values(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
-    """Distinct disallowed values per accepted_values rule: rows are filtered to the bad
-    values *before* the (rule, value) shuffle, so only the violations move."""
+def _not_null_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
+    """One pass of plain conditional counts for all not_null rules of a model."""
     if not items:
         return None
-    fams: dict[str, list[tuple[int, Rule]]] = {}
-    for i, r in items:
-        fams.setdefault(_type_family(df.schema[r.column].dataType), []).append((i, r))
-    out = None
-    for fam, xs in fams.items():
-        pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"),
-                                   F.when(F.col(r.column).isNotNull() & ~F.col(r.column).isin(r.arg("values", [])),
-                                          F.col(r.column)).cast(fam).alias("v")) for i, r in xs])
-        e = df.select(F.explode(pairs).alias("p")).select("p.rule_id", "p.v").filter(F.col("v").isNotNull())
-        g = e.groupBy("rule_id", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("rule_id").agg(
-            F.count(F.lit(1)).alias("failures"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    one = df.agg(*[F.count_if(F.col(r.column).isNull()).alias(f"r{i}") for i, r in items])
+    stack = ", ".join(f"{i}, r{i}, r{i}" for i, _ in items)
+    return one.selectExpr(f"stack({len(items)}, {stack}) as (rule_id, failures, failing_rows)")
 
 
 def _type_family(dt) -> str:
-    return "bigint" if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else dt.simpleString()
+    return "bigint" if isinstance(dt, T.IntegralType) else dt.simpleString()
 
 
-def _unique_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
-    """All unique rules of a model: one shuffle per column-type family (usually one or two).
+def allowed_values(r: Rule, dtype: T.DataType) -> list | None:
+    """The rule's value list in the column's type; None where it has no list or one that
+    does not fit the type."""
+    values = r.arg("values")
+    if not isinstance(values, list) or not values:
+        return None
+    try:
+        if isinstance(dtype, T.IntegralType):
+            return [int(str(v)) for v in values]
+        if isinstance(dtype, T.FractionalType):
+            return [float(str(v)) for v in values]
+        if isinstance(dtype, T.BooleanType):
+            return [{"true": True, "false": False}[str(v).lower()] for v in values]
+        if isinstance(dtype, T.DateType):
+            return [datetime.date.fromisoformat(str(v)) for v in values]
+        return [str(v) for v in values] if isinstance(dtype, T.StringType) else None
+    except (ValueError, KeyError):
+        return None
+
 
-    Values stay typed (integral columns widened to bigint), rows are exploded to
-    (rule, value), grouped, and values seen more than once are counted. Partial
-    aggregation combines hot values map-side before the shuffle.
+def _value_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
+    """All unique and accepted_values rules of a model: one pass per column-type family.
+
+    Rows are exploded to (rule, value) — for accepted_values only the values outside the
+    list, so only violations move — and grouped; partial aggregation combines hot values
+    before the shuffle. unique counts values seen more than once, accepted_values counts
+    distinct disallowed values. Values stay typed (integral columns widened to bigint).
     """
-    if not items:
-        return None
     fams: dict[str, list[tuple[int, Rule]]] = {}
     for i, r in items:
         fams.setdefault(_type_family(df.schema[r.column].dataType), []).append((i, r))
     out = None
     for fam, xs in fams.items():
-        pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.col(r.column).cast(fam).alias("v")) for i, r in xs])
-        e = df.select(F.explode(pairs).alias("p")).select("p.rule_id", "p.v").filter(F.col("v").isNotNull())
-        dup = e.groupBy("rule_id", "v").agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > 1)
-        g = dup.groupBy("rule_id").agg(F.count(F.lit(1)).alias("failures"), F.sum("cnt").alias("failing_rows"))
+        pairs = []
+        for i, r in xs:
+            c, single = F.col(r.column), r.test == "unique"
+            v = c if single else F.when(~c.isin(allowed_values(r, df.schema[r.column].dataType)), c)
+            pairs.append(F.struct(F.lit(i).alias("rule_id"), F.lit(2 if single else 1).alias("least"), v.cast(fam).alias("v")))
+        e = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter(F.col("v").isNotNull())
+        bad = e.groupBy("rule_id", "least", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.col("least"))
+        g = bad.groupBy("rule_id").agg(F.count(F.lit(1)).alias("failures"), F.sum("n").alias("failing_rows"))
         out = g if out is None else out.unionByName(g)
     return out
 
 
+def _unique_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | None:
+    """The unique rules alone (used by the suggestion step)."""
+    return _value_rules(df, items)
+
+
+def _common_type(child: T.DataType, parent: T.DataType) -> str:
+    """The type in which a child's value is compared with its parent's key: nothing is narrowed."""
+    if isinstance(parent, T.IntegralType) and isinstance(child, (T.IntegralType, T.StringType)):
+        return "bigint"
+    if isinstance(parent, T.NumericType) and isinstance(child, (T.NumericType, T.StringType)):
+        whole = isinstance(child, (T.IntegralType, T.DecimalType)) and isinstance(parent, (T.IntegralType, T.DecimalType))
+        return "decimal(38,10)" if whole else "double"
+    return parent.simpleString() if isinstance(child, T.StringType) or child == parent else "string"
+
+
 def _relationship_rules(df: DataFrame, parent: DataFrame, pfield: str,
                         items: list[tuple[int, Rule]]) -> DataFrame:
     """Child rows without a parent, for every rule targeting ``parent.pfield``.
 
-    Child values are pre-aggregated to (rule, value, rows) before the anti join, so a hot
-    child value is combined map-side and crosses the shuffle once; parent keys are
-    de-duplicated. Failures are child *rows*.
+    Both sides are widened to a common type; a child value that cannot be converted has no
+    parent. Child values are pre-aggregated to (rule, value, rows) before the anti join, so
+    a hot child value is combined map-side and crosses the shuffle once; parent keys are
+    de-duplicated. Failures are child *rows*. One anti join per compared type.
     """
     ptype = parent.schema[pfield].dataType
-    pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.col(r.column).cast(ptype).alias("v")) for i, r in items])
-    child = (df.select(F.explode(pairs).alias("p")).select("p.rule_id", "p.v").filter(F.col("v").isNotNull())
-             .groupBy("rule_id", "v").agg(F.count(F.lit(1)).alias("n")))
-    keys = parent.select(F.col(pfield).alias("v")).filter(F.col("v").isNotNull()).distinct()
-    orphans = child.join(keys, "v", "left_anti")
-    return orphans.groupBy("rule_id").agg(F.sum("n").alias("failures"), F.sum("n").alias("failing_rows"))
+    fams: dict[str, list[tuple[int, Rule]]] = {}
+    for i, r in items:
+        fams.setdefault(_common_type(df.schema[r.column].dataType, ptype), []).append((i, r))
+    out = None
+    for fam, xs in fams.items():
+        pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.col(r.column).isNotNull().alias("set"),
+                                   F.col(r.column).try_cast(fam).alias("v")) for i, r in xs])
+        child = (df.select(F.explode(pairs).alias("p")).select("p.*").filter("set")
+                 .groupBy("rule_id", "v").agg(F.count(F.lit(1)).alias("n")))
+        keys = parent.select(F.col(pfield).try_cast(fam).alias("v")).filter(F.col("v").isNotNull()).distinct()
+        g = child.join(keys, "v", "left_anti").groupBy("rule_id").agg(F.sum("n").alias("failures"), F.sum("n").alias("failing_rows"))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 def evaluate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame]) -> DataFrame:
@@ -177,6 +191,9 @@ def evaluate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame
         if r.model not in cols or r.column not in cols[r.model] or r.test not in TESTS:
             errors.append(i)
             continue
+        if r.test == "accepted_values" and allowed_values(r, models[r.model].schema[r.column].dataType) is None:
+            errors.append(i)      # no list, or one the column's type cannot hold
+            continue
         if r.test == "relationships":
             to = str(r.arg("to"))
             if to not in cols or r.arg("field") not in cols[to]:
@@ -185,12 +202,9 @@ def evaluate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame
         by_model.setdefault(r.model, []).append((i, r))
     for model, items in by_model.items():
         df = models[model]
-        a = _agg_rules(df, [x for x in items if x[1].test in ("not_null", "accepted_values")])
-        u = _unique_rules(df, [x for x in items if x[1].test == "unique"])
-        bv = _bad_values(df, [x for x in items if x[1].test == "accepted_values"])
-        if bv is not None:
-            bv = bv.select("rule_id", "failures", F.lit(None).cast("bigint").alias("failing_rows"))
-        parts += [p for p in (a, u, bv) if p is not None]
+        a = _not_null_rules(df, [x for x in items if x[1].test == "not_null"])
+        v = _value_rules(df, [x for x in items if x[1].test in ("unique", "accepted_values")])
+        parts += [p for p in (a, v) if p is not None]
         rel: dict[tuple[str, str], list] = {}
         for x in items:
             if x[1].test == "relationships":
@@ -235,29 +249,6 @@ def rule_sql(r: Rule, table: str | None = None, parent: str | None = None) -> st
     raise ValueError(r.test)
 
 
-def profile(df: DataFrame, top: int = 20) -> DataFrame:
-    """One-pass column profile: rows, nulls, distinct, min/max text and a bounded value list.
-
-    The value list is only filled for columns with at most ``top`` distinct values (it is
-    built from a per-column distinct count and a capped ``collect_set`` guarded by that
-    count), so nothing unbounded reaches one task.
-    """
-    cols = df.columns
-    exprs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        col = F.col(c)
-        exprs += [F.count_if(col.isNull()).alias(f"n{i}"), F.approx_count_distinct(col).alias(f"a{i}"),
-                  F.min(col).cast("string").alias(f"lo{i}"), F.max(col).cast("string").alias(f"hi{i}")]
-    one = df.agg(*exprs)
-    rows = []
-    for i, c in enumerate(cols):
-        rows.append(F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
-                             F.col("_rows").alias("rows"), F.col(f"n{i}").alias("nulls"),
-                             F.col(f"a{i}").alias("approx_distinct"), F.col(f"lo{i}").alias("min"),
-                             F.col(f"hi{i}").alias("max")))
-    return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-
-
 def validate(spark: SparkSession, rules: list[Rule], models: dict[str, DataFrame]) -> DataFrame:
     """Rule-table validation: unknown model / column / test, missing arguments → invalid + reason."""
     cols = {m: set(df.columns) for m, df in models.items()}

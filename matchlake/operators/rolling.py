@@ -1,29 +1,18 @@
 """Trailing-window mean over the k rows *before* each row (the row itself excluded).
 
 Semantics equal ``AVG(v) OVER (PARTITION BY entity ORDER BY o1 NULLS LAST, o2 ...
-ROWS BETWEEN k PRECEDING AND 1 PRECEDING)``: NULL when no non-NULL value precedes.
-
-A plain window puts each entity in one task; with few entities and long histories
-(one entity may own a third of the rows) that task is the whole job. Here every
-entity's history is cut into chunks (buckets of the first order column, e.g. runs of
-days) and the k rows that precede a chunk are brought to it as a *halo*:
-
-0. choose the chunk width from the data (about ``chunk_rows`` rows per chunk); when one
-   chunk would hold an entity's whole history, the plain window is used instead;
-1. hash-partition rows by (entity, chunk) — the only shuffle of the full data. Keys
-   are encoded as never-NULL (is-null flag, value) pairs, so NULL entities and the
-   NULL-date chunk behave like SQL partitions and every later join on them is a plain
-   equi-join on the same partitioning;
-2. in that partitioning, one pass computes the in-chunk frame (sum, count over the k
-   previous rows), the row's position in its chunk, and the chunk's last k rows, which
-   are gathered per chunk (no shuffle: the grouping keys are the partitioning keys);
-3. over the small chunk table (one row per chunk: grows with chunks, not rows) a
-   k-chunk frame per entity gives each chunk the last k rows before it — its halo;
-4. rows join their chunk's halo (the big side keeps its partitioning) and the first k
-   rows of a chunk add the halo's last k-p+1 values.
-
-Sums are taken over doubles; for integral inputs the result is bit-equal to the plain
-window, for fractional inputs it can differ in the last bits (summation order).
+ROWS BETWEEN k PRECEDING AND 1 PRECEDING)``: NULL when no non-NULL value precedes. The k
+values are always added oldest first, so the answer has the same bits whichever plan ran.
+
+A plain window puts each entity in one task. Rows per entity are counted exactly (one
+combined aggregate); while the busiest entity has at most ``2 * chunk_rows`` rows that is
+the cheapest plan. Beyond it:
+
+1. rows are cut at row-count quantiles of the full order key (entity, o1, o2 ...), so a hot
+   entity, a hot day or consecutive ids all fall into ranges of about ``chunk_rows`` rows;
+2. one pass inside (range, entity) computes the lags and the range's last k rows;
+3. over the small table of (range, entity) pairs each pair gets the last k rows before it
+   (its halo), and the first k rows of a range take what they miss from there.
 """
 
 from __future__ import annotations
@@ -31,152 +20,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import ranged
+
 
 def _asc(c: str) -> Column:
     return F.col(c).asc_nulls_last()
 
 
-def _desc(c: str) -> Column:
-    return F.col(c).desc_nulls_first()
-
-
-def _sentinel(dtype):
-    from pyspark.sql import types as T
-    if isinstance(dtype, T.DateType):
-        return F.lit("1970-01-01").cast("date")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.lit("1970-01-01 00:00:00").cast(dtype)
-    if isinstance(dtype, T.StringType):
-        return F.lit("")
-    if isinstance(dtype, T.BooleanType):
-        return F.lit(False)
-    return F.lit(0).cast(dtype)
-
-
-def _position(c: Column, dtype):
-    """Numeric position of a date / timestamp / integral order value (days or the value)."""
-    from pyspark.sql import types as T
-    if isinstance(dtype, T.DateType):
-        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(86_400_000_000)).cast("long")
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return c.cast("long")
-    return None
-
-
-def auto_chunk(df: DataFrame, entity: str, first: str, chunk_rows: int = 1_000_000,
-               second: str | None = None) -> list[Column] | None:
-    """Chunks of about ``chunk_rows`` rows, or ``None`` when one chunk would hold an
-    entity's whole history (entities small enough for the plain window).
-
-    The bucket width of the first order column (days, or value units) comes from one
-    aggregate pass: rows, approximate distinct (entity, position) pairs, and ranges. When
-    the width is one unit and the busiest (entity, position) — counted exactly from a
-    pre-aggregated (entity, position) table — still exceeds ``chunk_rows``, each unit is
-    split further into buckets of the integral ``second`` order column (which orders rows
-    inside a unit), so even one hot entity-day is spread over several chunks.
-    """
-    pos = _position(F.col(first), df.schema[first].dataType)
-    if pos is None:
-        return [F.col(first)]
-    from pyspark.sql import types as T
-    sub = None
-    if second is not None and isinstance(df.schema[second].dataType, (T.ByteType, T.ShortType, T.IntegerType,
-                                                                       T.LongType)):
-        sub = F.col(second).cast("long")
-    aggs = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(F.col(entity), pos)).alias("d"),
-            F.min(pos).alias("lo"), F.max(pos).alias("hi")]
-    if sub is not None:
-        aggs += [F.min(sub).alias("slo"), F.max(sub).alias("shi")]
-    st = df.agg(*aggs).first()
-    n, d = st["n"] or 0, st["d"] or 0
-    width = max(1, int(chunk_rows * d / n)) if n else 1
-    if st["lo"] is None or st["hi"] - st["lo"] < width:
+def _mean(values: list[Column]) -> Column:
+    """Mean of the non-NULL ``values``, added in the order given."""
+    total, count = F.lit(0.0), F.lit(0)
+    for v in values:
+        total = total + F.coalesce(v, F.lit(0.0))
+        count = count + v.isNotNull().cast("int")
+    return F.when(count > 0, total / count)
+
+
+def cut(df: DataFrame, entity: str, order: list[str], chunk_rows: int) -> DataFrame | None:
+    """``df`` with ``_range`` (ranges of about ``chunk_rows`` rows of the order key), or ``None``
+    when no entity has more than twice as many rows."""
+    per = df.groupBy(F.col(entity)).agg(F.count(F.lit(1)).alias("n"))
+    total, busiest = per.agg(F.sum("n"), F.max("n")).first()
+    if not total or busiest <= 2 * chunk_rows:
         return None
-    chunk = [F.floor(pos / F.lit(width)).cast("long")]
-    if width == 1 and sub is not None and st["slo"] is not None:
-        busiest = (df.groupBy(F.col(entity), pos.alias("_p")).agg(F.count(F.lit(1)).alias("c"))
-                   .agg(F.max("c")).first()[0] or 0)
-        if busiest > chunk_rows:
-            parts = -(-busiest // chunk_rows)
-            sw = max(1, -(-(st["shi"] - st["slo"] + 1) // parts))
-            chunk.append(F.floor((sub - F.lit(st["slo"])) / F.lit(sw)).cast("long"))
-    return chunk
+    # half as many rows again would still be within the bound: ranges come from a sample
+    return ranged(df, [F.col(entity).asc_nulls_first(), *[_asc(c) for c in order]], -(-3 * total // (2 * chunk_rows)), "rolling")
 
 
 def trailing_mean(df: DataFrame, entity: str, order: list[str], values: dict[str, str], k: int = 5,
-                  chunk: list[Column] | None = None, chunk_rows: int = 1_000_000) -> DataFrame:
+                  chunk_rows: int = 1_000_000) -> DataFrame:
     """Return (entity, *order, *value inputs, *outputs); ``values`` maps output → input column.
 
     Only those columns flow through the operator (join other columns back on the order
-    key if needed). ``chunk`` are expressions that never decrease along ``order``; by
-    default they are buckets of the first order column sized to about ``chunk_rows``
-    rows per (entity, chunk) on average (``auto_chunk``): small data keeps one chunk per
-    entity (no halo work), a hot entity at scale is split into many. Rows with equal
-    ``order`` values must be interchangeable for the result to be deterministic, exactly
-    as with the plain window.
+    key if needed). Rows with equal ``order`` values must be interchangeable for the
+    result to be deterministic, exactly as with the plain window.
     """
-    chunk = chunk if chunk is not None else auto_chunk(df, entity, order[0], chunk_rows,
-                                                       order[1] if len(order) > 1 else None)
-    if chunk is None:  # every entity fits one chunk: the plain window is the cheaper plan
-        plain = trailing_mean_plain(df.select(*dict.fromkeys([entity, *order, *values.values()])),
-                                    entity, order, values, k)
-        return plain.select(*dict.fromkeys([entity, *order, *values.values()]), *values.keys())
+    base = list(dict.fromkeys([entity, *order, *values.values()]))
+    df = df.select(*base)
+    rows = cut(df, entity, order, chunk_rows)
+    if rows is None:
+        w = Window.partitionBy(entity).orderBy(*[_asc(c) for c in order])
+        lag = lambda c, j: F.lag(F.col(c).cast("double"), j).over(w)
+        return df.select(*base, *[_mean([lag(src, j) for j in range(k, 0, -1)]).alias(dst) for dst, src in values.items()])
+
     vin = list(dict.fromkeys(values.values()))
-    base_cols = list(dict.fromkeys([entity, *order, *vin]))
-    raw = df.select(*base_cols, F.col(entity).alias("_e"), *[c.alias(f"_c{i}") for i, c in enumerate(chunk)])
-    enc, part = [], []
-    for i, name in enumerate(["_e", *[f"_c{i}" for i in range(len(chunk))]]):
-        c = F.col(name)
-        enc += [c.isNull().alias(f"_n{i}"), F.coalesce(c, _sentinel(raw.schema[name].dataType)).alias(f"_v{i}")]
-        part += [f"_n{i}", f"_v{i}"]
-    keyed = raw.select(*base_cols, *enc).repartition(*part)
-    kpart = part[2:]  # chunk part of the key
-
-    # 2. one pass inside the (entity, chunk) partitioning
-    w_in = Window.partitionBy(*part).orderBy(*[_asc(c) for c in order])
-    w_frame = w_in.rowsBetween(-k, -1)
-    w_rev = Window.partitionBy(*part).orderBy(*[_desc(c) for c in order])
-    rows = keyed.select(
-        *base_cols, *part,
-        F.row_number().over(w_in).alias("_p"),
-        F.row_number().over(w_rev).alias("_rd"),
-        *[F.sum(F.col(v).cast("double")).over(w_frame).alias(f"_s{i}") for i, v in enumerate(vin)],
-        *[F.count(F.col(v)).over(w_frame).alias(f"_k{i}") for i, v in enumerate(vin)])
-    # element sort key: (is-null, value) per order column = ascending, NULLs last. The
-    # element carries every input column, so this branch reads the same columns as the
-    # main one and both share the single exchange (ReusedExchange in the plan).
-    elem = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c).alias(f"o_{c}"))],
-                    *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(vin)],
-                    *[F.col(c).alias(f"b_{c}") for c in base_cols if c not in order])
-    tails = (rows.filter(F.col("_rd") <= k).groupBy(*part)
-             .agg(F.array_sort(F.collect_list(elem)).alias("_t")))
-
-    # 3. halo per chunk: last k rows of the (at most k) previous chunks of the entity
-    w_prev = (Window.partitionBy(*part[:2]).orderBy(*[F.col(c).asc() for c in kpart]).rowsBetween(-k, -1))
-    prev = F.flatten(F.collect_list("_t").over(w_prev))
-    halo = tails.select(*part, prev.alias("_prev"))
-    halo = halo.select(*part, F.when(F.size("_prev") > 0, F.slice("_prev", F.greatest(
-        F.size("_prev") - k + 1, F.lit(1)), F.lit(k))).alias("_halo"))
-
-    # 4. add the halo's contribution to the first k rows of each chunk
-    j = rows.join(halo, part, "left")
-    need = F.lit(k) - F.col("_p") + 1
-    size = F.coalesce(F.size("_halo"), F.lit(0))
-    take = F.when(need > 0, F.least(need, size)).otherwise(F.lit(0))
-    sl = F.when(take > 0, F.slice("_halo", size - take + 1, take))
-    outs = []
-    for dst, src_col in values.items():
-        vi = vin.index(src_col)
-        hsum = F.coalesce(F.aggregate(sl, F.lit(0.0), lambda acc, x: acc + F.coalesce(x[f"v{vi}"], F.lit(0.0))),
-                          F.lit(0.0))
-        hcnt = F.coalesce(F.aggregate(sl, F.lit(0), lambda acc, x: acc + F.when(x[f"v{vi}"].isNotNull(), 1)
-                                      .otherwise(0)), F.lit(0))
-        tot = F.coalesce(F.col(f"_s{vi}"), F.lit(0.0)) + hsum
-        cnt = F.col(f"_k{vi}") + hcnt
-        outs.append(F.when(cnt > 0, tot / cnt).alias(dst))
-    return j.select(*base_cols, *outs)
+    # NULL entities are an entity of their own: a text key that is never NULL
+    keyed = rows.withColumn("_e", F.coalesce(F.concat(F.lit("v"), F.col(entity).cast("string")), F.lit("n")))
+    w = Window.partitionBy("_range", "_e").orderBy(*[_asc(c) for c in order])
+    back = Window.partitionBy("_range", "_e").orderBy(*[F.col(c).desc_nulls_first() for c in order])
+    one = keyed.select(*base, "_range", "_e", F.row_number().over(w).alias("_p"), F.row_number().over(back).alias("_rd"),
+                       *[F.lag(F.col(v).cast("double"), j).over(w).alias(f"_{i}_{j}") for i, v in enumerate(vin) for j in range(1, k + 1)])
+    last = F.struct((-F.col("_rd")).alias("at"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(vin)])
+    tails = one.filter(F.col("_rd") <= k).groupBy("_e", "_range").agg(F.array_sort(F.collect_list(last)).alias("_t"))
+    before = Window.partitionBy("_e").orderBy("_range").rowsBetween(-k, -1)
+    halo = tails.select("_e", "_range", F.flatten(F.collect_list("_t").over(before)).alias("_h"))
+    j = one.join(halo, ["_range", "_e"])
+
+    def previous(i: int, n: int) -> Column:
+        """The n-th previous value: in the range, else counted back from the halo's end."""
+        missing = F.get("_h", F.size("_h") + F.col("_p") - F.lit(n + 1)).getField(f"v{i}")
+        return F.when(F.col("_p") > n, F.col(f"_{i}_{n}")).otherwise(missing)
+    return j.select(*base, *[_mean([previous(vin.index(src), n) for n in range(k, 0, -1)]).alias(dst) for dst, src in values.items()])
 
 
 def trailing_mean_plain(df: DataFrame, entity: str, order: list[str], values: dict[str, str],

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .latest import latest_by
 
-# Patterns of a test-runner log (summary counters and failed tests).
+# Patterns of a test-runner log (lines begin with a clock time or not).
 SUMMARY_COUNTERS = ("PASS", "WARN", "ERROR", "SKIP", "NO-OP", "TOTAL")
-FAILED_TEST = r"FAIL (?:\d+ )?(\S+)"
+CLOCK = r"^(?:\d{1,2}:\d{2}:\d{2}(?:\.\d+)?\s+)?"
+TEST_LINE = CLOCK + r"\d+ of \d+ (PASS|FAIL|WARN|ERROR|SKIP)(?: (\d+))? (\S+)"
 FINISHED = r"Finished running .* in .*\(([0-9.]+)s\)"
-FOUND = r"Found (\d+) models?, (\d+) data tests?"
+FOUND = {"models": r"Found (?:.*, )?(\d+) models?\b", "data_tests": r"Found (?:.*, )?(\d+) data tests?\b",
+         "sources": r"Found (?:.*, )?(\d+) sources?\b"}
 
 
 def duration_seconds(start: Column, end: Column, places: int = 3) -> Column:
@@ -57,50 +60,59 @@ def metric_stats(df: DataFrame, group: str, metrics: list[str], places: int = 4)
     return g.select(group, F.explode(rows).alias("x")).select(group, "x.*")
 
 
-def render_log(results: DataFrame, total: int) -> DataFrame:
-    """Test results → runner-style log lines (``value``): one per test plus a summary line.
+def render_log(results: DataFrame, total: int, models: int, clock: str = "00:00:00") -> DataFrame:
+    """Test results → runner-style log lines (``value``): what was found, one line per test, a summary.
 
     Lines are numbered by the rule's declared position (``rule_id``), so no ordering
     window or extra pass is needed; ``total`` is the number of rules in the suite."""
+    at = F.lit(f"{clock}  ")
     word = F.upper(F.col("status"))
     tail = F.when(F.col("status") == "fail", F.concat(F.lit("FAIL "), F.col("failures").cast("string"))) \
         .otherwise(word)
-    lines = results.select(F.concat((F.col("rule_id") + 1).cast("string"), F.lit(f" of {total} "),
-                                    tail, F.lit(" "), F.col("test_name"), F.lit(" ["), tail,
-                                    F.lit("]")).alias("value"))
+    lines = results.select(F.concat(at, (F.col("rule_id") + 1).cast("string"), F.lit(f" of {total} "),
+                                    tail, F.lit(" "), F.col("test_name"), F.lit(" ..... ["), tail,
+                                    F.lit(" in 0.10s]")).alias("value"))
     cnt = results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("pass", "fail", "error")])
-    summary = cnt.select(F.concat(F.lit("Done. PASS="), F.col("pass").cast("string"), F.lit(" WARN=0 ERROR="),
-                                  (F.col("error") + F.col("fail")).cast("string"),
-                                  F.lit(" SKIP=0 NO-OP=0 TOTAL="),
-                                  (F.col("pass") + F.col("fail") + F.col("error")).cast("string")).alias("value"))
+    summary = cnt.select(F.explode(F.array(
+        F.concat(at, F.lit(f"Found {models} models, {total} data tests, 1 source, 475 macros")),
+        F.concat(at, F.lit("Done. PASS="), F.col("pass").cast("string"), F.lit(" WARN=0 ERROR="),
+                 (F.col("error") + F.col("fail")).cast("string"), F.lit(" SKIP=0 NO-OP=0 TOTAL="),
+                 (F.col("pass") + F.col("fail") + F.col("error")).cast("string")))).alias("value"))
     return lines.unionByName(summary)
 
 
+def _log(lines: DataFrame) -> list[str]:
+    """The columns that tell logs apart: the file, where the lines carry it."""
+    return ["file"] if "file" in lines.columns else []
+
+
 def parse_summary(lines: DataFrame) -> DataFrame:
-    """Counters from the ``Done.`` line(s): one row per counter (name, value)."""
+    """Counters from the ``Done.`` line(s): one row per log, line and counter (name, value)."""
     done = lines.filter(F.col("value").contains("PASS=") & F.col("value").contains("TOTAL="))
     cs = F.array(*[F.struct(F.lit(k).alias("counter"),
                             F.regexp_extract("value", rf"{k}=(\d+)", 1).try_cast("int").alias("value"))
                    for k in SUMMARY_COUNTERS])
-    return done.select(F.explode(cs).alias("x")).select("x.*")
+    return done.select(*_log(lines), F.explode(cs).alias("x")).select(*_log(lines), "x.*")
+
+
+def test_lines(lines: DataFrame) -> DataFrame:
+    """Result lines of a log: (file, status, failures, test_name)."""
+    part = lambda i: F.regexp_extract("value", TEST_LINE, i)
+    return (lines.filter(F.col("value").rlike(TEST_LINE))
+            .select(*_log(lines), F.lower(part(1)).alias("status"), part(2).try_cast("bigint").alias("failures"), part(3).alias("test_name")))
 
 
 def failed_tests(lines: DataFrame) -> DataFrame:
-    """Distinct test names from ``FAIL n name`` lines (the bracketed status is not a name)."""
-    names = lines.select(F.regexp_extract("value", r"^\d+ of \d+ " + FAILED_TEST, 1).alias("test_name"))
-    return names.filter(F.col("test_name") != "").distinct()
+    """Distinct names of failed tests per log, from ``n of m FAIL k name`` lines."""
+    return test_lines(lines).filter(F.col("status") == "fail").select(*_log(lines), "test_name").distinct()
 
 
 def parse_run_stats(lines: DataFrame) -> DataFrame:
-    """Run statistics from runner output: models / data tests found, elapsed seconds.
-
-    One row per log with the first non-NULL value of each field over its lines."""
-    found = F.regexp_extract("value", FOUND, 1)
-    tests = F.regexp_extract("value", FOUND, 2)
-    secs = F.regexp_extract("value", FINISHED, 1)
-    return lines.agg(F.max(F.when(found != "", found.cast("int"))).alias("models"),
-                     F.max(F.when(tests != "", tests.cast("int"))).alias("data_tests"),
-                     F.max(F.when(secs != "", secs.cast("double"))).alias("elapsed_seconds"))
+    """Run statistics, one row per log: models, data tests and sources found, elapsed seconds."""
+    found = lambda p: F.regexp_extract("value", p, 1)
+    stats = [F.max(F.when(found(p) != "", found(p).cast("int"))).alias(k) for k, p in FOUND.items()]
+    secs = found(FINISHED)
+    return lines.groupBy(*_log(lines)).agg(*stats, F.max(F.when(secs != "", secs.cast("double"))).alias("elapsed_seconds"))
 
 
 STAGE_SCHEMA = ("stage_name string, start_ts timestamp, end_ts timestamp, duration_seconds double, "
@@ -117,7 +129,10 @@ def append_stages(records: DataFrame, path: str) -> None:
 
 def read_stages(spark, path: str) -> DataFrame:
     """The run log; a missing log is an empty table."""
+    from ..sources.files import missing_path
     try:
         return spark.read.parquet(path)
-    except Exception:
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
         return spark.createDataFrame([], STAGE_SCHEMA)

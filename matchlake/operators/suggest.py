@@ -8,9 +8,8 @@ Conservative, restricted to the four rule kinds, never inventing columns:
 * ``relationships``   integral column whose name ends with the (prefix-stripped) name of
                       a unique column of another table, and every value has a parent.
 
-Approximate distinct counts (HyperLogLog, one pass per table) only *prune* candidates;
-every suggestion is then confirmed exactly by a fused Spark job, so the result is exact.
-Only the per-column profile and the bounded value lists reach the driver.
+Every candidate is decided exactly by a fused Spark job; no estimate takes part. Only the
+per-column counts and the value lists (at most ``max_values + 1`` each) reach the driver.
 """
 
 from __future__ import annotations
@@ -40,15 +39,14 @@ def base_name(col: str) -> str:
 
 
 def _stats_frame(model: str, df: DataFrame) -> DataFrame:
-    """(model, column, rows, nulls, approx_distinct) from one aggregate over the table."""
+    """(model, column, rows, nulls) from one aggregate over the table."""
     exprs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
-        exprs += [F.count_if(F.col(c).isNull()).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"d{i}")]
+        exprs.append(F.count_if(F.col(c).isNull()).alias(f"n{i}"))
     one = df.agg(*exprs)
-    per = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls"),
-                             F.col(f"d{i}").alias("approx")) for i, c in enumerate(df.columns)])
+    per = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls")) for i, c in enumerate(df.columns)])
     return one.select(F.lit(model).alias("model"), "rows", F.explode(per).alias("x")).select(
-        "model", "x.column", "rows", "x.nulls", "x.approx")
+        "model", "x.column", "rows", "x.nulls")
 
 
 def _union(parts):
@@ -65,18 +63,17 @@ def suggest(models: dict[str, DataFrame], max_values: int = 10) -> list[Rule]:
     prof: dict[str, dict] = {m: {"rows": 0, "cols": {}} for m in models}
     for r in _union([_stats_frame(m, df) for m, df in models.items()]).collect():
         prof[r["model"]]["rows"] = r["rows"]
-        prof[r["model"]]["cols"][r["column"]] = (r["nulls"], r["approx"])
+        prof[r["model"]]["cols"][r["column"]] = r["nulls"]
     kinds = {m: {f.name: _kind(f.dataType) for f in df.schema.fields} for m, df in models.items()}
 
-    # unique: approximate pre-filter, exact confirmation (one grouped count per table)
+    # unique: exact, all candidate columns of a table in one grouped count
     cands: dict[int, Rule] = {}
     checks = []
     for m, df in models.items():
         p, rows = prof[m], prof[m]["rows"]
         items = []
         for c in df.columns:
-            nn = rows - p["cols"][c][0]
-            if kinds[m][c] != "other" and nn > 0 and p["cols"][c][1] >= 0.9 * nn:
+            if kinds[m][c] != "other" and rows > p["cols"][c]:
                 i = len(cands)
                 cands[i] = Rule.make(m, c, "unique")
                 items.append((i, cands[i]))
@@ -92,17 +89,17 @@ def suggest(models: dict[str, DataFrame], max_values: int = 10) -> list[Rule]:
     # accepted values: exact value lists for low-cardinality text columns (bounded)
     vparts = []
     for m, df in models.items():
-        low = [c for c in df.columns if kinds[m][c] == "string" and 0 < prof[m]["cols"][c][1] <= 2 * max_values]
+        low = [c for c in df.columns if kinds[m][c] == "string" and prof[m]["rows"] > prof[m]["cols"][c]]
         if low:
             arr = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in low])
             vparts.append(df.select(F.explode(arr).alias("x")).select(F.lit(m).alias("m"), "x.c", "x.v")
-                          .filter(F.col("v").isNotNull()).distinct()
-                          .groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"),
-                                                 F.slice(F.array_sort(F.collect_list("v")), 1, max_values + 1).alias("vs")))
+                          .filter(F.col("v").isNotNull()).distinct())
     values: dict[tuple[str, str], list] = {}
-    for r in (_union(vparts).collect() if vparts else []):
-        if r["n"] <= max_values:
-            values[(r["m"], r["c"])] = sorted(r["vs"])
+    if vparts:
+        seen = _union(vparts)
+        few = seen.groupBy("m", "c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_values)
+        lists = seen.join(few, ["m", "c"]).groupBy("m", "c").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+        values = {(r["m"], r["c"]): list(r["vs"]) for r in lists.collect()}
 
     # relationships: name-suffix candidates, exact containment (one anti join per parent)
     rel: list[tuple[str, str, str, str]] = []
@@ -128,7 +125,7 @@ def suggest(models: dict[str, DataFrame], max_values: int = 10) -> list[Rule]:
     for m, df in models.items():
         p = prof[m]
         for c in df.columns:
-            if p["rows"] > 0 and p["cols"][c][0] == 0:
+            if p["rows"] > 0 and p["cols"][c] == 0:
                 out.append(Rule.make(m, c, "not_null"))
             if c in unique_ok[m]:
                 out.append(Rule.make(m, c, "unique"))

@@ -34,9 +34,12 @@ def clean_marts(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> di
 
 
 def with_features(models: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The feature table is a view over the (possibly corrupted) fact: corruption propagates."""
+    """The feature table is derived from the (possibly corrupted) fact: corruption propagates.
+
+    It is written once per batch: several rule families read it, each would otherwise run
+    the rolling averages and their joins again."""
     out = dict(models)
-    out["fct_training_dataset"] = marts.training_dataset(models["fct_matches"])
+    out["fct_training_dataset"] = marts.as_table(marts.training_dataset(models["fct_matches"]), "features")
     return out
 
 

@@ -12,6 +12,7 @@ from ..operators.rolling import trailing_mean
 from ..operators.unpivot import two_sided
 from ..sources.events import FINISHED, Tables, event_rows, staged
 
+# Output columns of the fact and of the feature table.
 FACT_COLUMNS = ("match_id", "league_id", "season", "match_date", "match_status", "home_team_id",
                 "home_team_name", "home_team_score", "away_team_id", "away_team_name", "away_team_score")
 
@@ -33,8 +34,13 @@ def as_table(df: DataFrame, name: str = "mart") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def stg_matches(tables: Tables) -> DataFrame:
-    return staged(event_rows(tables))
+def stg_matches(tables: Tables, status: str | None = None) -> DataFrame:
+    return staged(event_rows(tables, status))
+
+
+def fct_from_source(tables: Tables) -> DataFrame:
+    """The fact straight from the source: the status filter is pushed to the order scan."""
+    return fct_matches(stg_matches(tables, FINISHED))
 
 
 def fct_matches(stg: DataFrame, strict: bool = True) -> DataFrame:

@@ -24,19 +24,24 @@ def register(name: str, sql: str | None = None):
 
 
 def _fct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact as a materialised table (as the reference materialises it): queries that use
-    it several times (feature view, joins back) read it instead of re-running its joins."""
-    return marts.as_table(marts.fct_matches(marts.stg_matches(Tables(spark, sf_dir))))
+    """The fact as a lazy plan: for queries that read it once."""
+    return marts.fct_from_source(Tables(spark, sf_dir))
+
+
+def _fct_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact as a materialised table: queries that use it several times (feature view,
+    joins back) read it instead of re-running its joins."""
+    return marts.as_table(_fct(spark, sf_dir))
 
 
 @register("training_dataset", oracle.TRAINING_DATASET)
 def q_training_dataset(spark, sf_dir):
-    return marts.training_dataset(_fct(spark, sf_dir))
+    return marts.training_dataset(_fct_table(spark, sf_dir))
 
 
 @register("fact_finished", oracle.FACT_FINISHED)
 def q_fact_finished(spark, sf_dir):
-    return marts.fct_matches(marts.stg_matches(Tables(spark, sf_dir)))
+    return _fct(spark, sf_dir)
 
 
 @register("entity_dim", oracle.ENTITY_DIM)
@@ -148,7 +153,7 @@ def q_rolling_form(spark, sf_dir):
 def q_incremental(spark, sf_dir):
     """Initial load up to a cut-off date, then one incremental run over the full source."""
     from pyspark.sql import functions as F
-    fct = _fct(spark, sf_dir)
+    fct = _fct_table(spark, sf_dir)
     t0 = fct.filter(F.col("match_date") <= F.lit(oracle.INCREMENTAL_CUTOFF).cast("date"))
     return marts.upsert(t0, marts.incremental_batch(fct, t0), "match_id")
 
@@ -157,7 +162,7 @@ def q_incremental(spark, sf_dir):
 def q_upsert(spark, sf_dir):
     """A correction feed (two versions per key) replaces one season's rows."""
     from pyspark.sql import functions as F
-    fct = _fct(spark, sf_dir)
+    fct = _fct_table(spark, sf_dir)
     corr = (fct.filter(F.col("season") == oracle.UPSERT_SEASON)
             .withColumns({"home_team_score": F.col("away_team_score"), "away_team_score": F.col("home_team_score")}))
     batch = corr.unionByName(corr.withColumn("home_team_score", F.col("home_team_score") + 1))
@@ -177,7 +182,7 @@ def q_latest_form(spark, sf_dir):
 
     from ..operators.latest import latest_by
     from ..operators.unpivot import two_sided
-    tr = marts.training_dataset(_fct(spark, sf_dir))
+    tr = marts.training_dataset(_fct_table(spark, sf_dir))
     sides = two_sided(tr, [
         {"team_id": "home_team_id", "role": F.lit("home"), "avg_goals_scored_last_5": "home_avg_goals_scored_last_5",
          "avg_goals_conceded_last_5": "home_avg_goals_conceded_last_5"},
@@ -294,7 +299,8 @@ for _name, _fn, _sql in [("stage_latest", "stage_latest", oracle.STAGE_LATEST),
                          ("trial_stats", "trial_stats", oracle.trial_stats_sql()),
                          ("trial_counts", "trial_counts", oracle.TRIAL_COUNTS),
                          ("log_summary", "log_summary", oracle.log_sql("summary")),
-                         ("log_failed_tests", "log_failed_tests", oracle.log_sql("failed"))]:
+                         ("log_failed_tests", "log_failed_tests", oracle.log_sql("failed")),
+                         ("log_run_stats", "log_run_stats", oracle.log_sql("stats"))]:
     register(_name, _sql)(_runs(_fn))
 
 

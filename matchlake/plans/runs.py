@@ -53,12 +53,17 @@ def trial_counts(spark, sf_dir):
 
 
 def test_log(spark, sf_dir) -> DataFrame:
-    """The warehouse suite's results rendered as a runner log (then parsed back by the queries)."""
+    """Lines of the warehouse suite's run log, landed as text in the shared folder and read back."""
     from ..operators import quality
+    from ..session import scratch_path
+    from ..sources.files import text_lines
     rules = warehouse.warehouse_rules(warehouse.table_columns(spark, sf_dir))
     from .marts import as_table
-    res = as_table(quality.evaluate(spark, rules, warehouse.warehouse_models(spark, sf_dir, rules)), "test_results")
-    return runlog.render_log(res, len(rules))
+    models = warehouse.warehouse_models(spark, sf_dir, rules)
+    res = as_table(quality.evaluate(spark, rules, models), "test_results")
+    path = scratch_path(spark, "run-log")
+    runlog.render_log(res, len(rules), len(models)).write.text(path)
+    return text_lines(spark, path).drop("file")     # one log, however many part files it has
 
 
 def log_summary(spark, sf_dir):
@@ -67,3 +72,7 @@ def log_summary(spark, sf_dir):
 
 def log_failed_tests(spark, sf_dir):
     return runlog.failed_tests(test_log(spark, sf_dir))
+
+
+def log_run_stats(spark, sf_dir):
+    return runlog.parse_run_stats(test_log(spark, sf_dir)).select("models", "data_tests", "sources")

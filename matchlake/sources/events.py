@@ -34,26 +34,32 @@ def _status_text(code: F.Column) -> F.Column:
     return expr
 
 
-def event_rows(tables: Tables) -> DataFrame:
+def event_rows(tables: Tables, status: str | None = None) -> DataFrame:
     """Flat event records (one per order with line items and two different sides).
 
-    Plan: lineitem ⋈ supplier (size-checked by the planner / AQE), partial+final
-    aggregate by order, ⋈ orders ⋈ customer on keys, and two lookups into ``nation``,
-    which TPC-H fixes at 25 rows and is therefore broadcast.
+    ``status`` (a status text) keeps only such events: the order scan filters on the status
+    code, and line items are semi-joined to those orders before they are aggregated.
+
+    Plan: lineitem ⋈ supplier, partial+final aggregate by order, ⋈ orders ⋈ customer on
+    keys, and two lookups into ``nation``; the planner sizes every join.
     """
     li = tables.lineitem(["l_orderkey", "l_suppkey", "l_linestatus"])
+    o = tables.orders(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
+    if status is not None:
+        codes = [k for k, v in STATUS_TEXT.items() if v == status]
+        o = o.filter(F.col("o_orderstatus") == codes[0] if len(codes) == 1 else F.col("o_orderstatus").isin(codes))
+        li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     su = tables.supplier(["s_suppkey", "s_nationkey"])
     sides = (li.join(su, li.l_suppkey == su.s_suppkey)
              .groupBy("l_orderkey")
              .agg(F.min("s_nationkey").alias("away_nation"),
                   F.count_if(F.col("l_linestatus") == "F").alias("home_score"),
                   F.count_if(F.col("l_linestatus") == "O").alias("away_score")))
-    o = tables.orders(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
     c = tables.customer(["c_custkey", "c_nationkey"])
     nation = tables.nation(["n_nationkey", "n_name", "n_regionkey"])
-    hn = F.broadcast(nation.select(F.col("n_nationkey").alias("hn_key"), F.col("n_name").alias("hn_name"),
-                                   F.col("n_regionkey").alias("hn_region")))
-    an = F.broadcast(nation.select(F.col("n_nationkey").alias("an_key"), F.col("n_name").alias("an_name")))
+    hn = nation.select(F.col("n_nationkey").alias("hn_key"), F.col("n_name").alias("hn_name"),
+                       F.col("n_regionkey").alias("hn_region"))
+    an = nation.select(F.col("n_nationkey").alias("an_key"), F.col("n_name").alias("an_name"))
     j = (o.join(c, o.o_custkey == c.c_custkey)
          .join(sides, o.o_orderkey == sides.l_orderkey)
          .filter(F.col("c_nationkey") != F.col("away_nation"))
@@ -102,11 +108,18 @@ def explode_documents(docs: DataFrame, col: str = "json") -> DataFrame:
 
 
 def explode_documents_variant(docs: DataFrame, col: str = "json") -> DataFrame:
-    """Semi-structured path: parse to VARIANT, lateral-flatten ``events``; rows stay VARIANT."""
-    v = docs.select(F.parse_json(F.col(col)).alias("raw"))
+    """Semi-structured path: parse to VARIANT, lateral-flatten ``events``; rows stay VARIANT.
+
+    A document that is no JSON yields no rows (``malformed_documents`` lists those)."""
+    v = docs.select(F.try_parse_json(F.col(col)).alias("raw"))
     return v.select(F.explode(F.variant_get("raw", "$.events", "array<variant>")).alias("match_data"))
 
 
+def malformed_documents(docs: DataFrame, col: str = "json") -> DataFrame:
+    """The documents that cannot be parsed."""
+    return docs.filter(F.col(col).isNotNull() & F.try_parse_json(F.col(col)).isNull())
+
+
 def variant_fields(staged_variant: DataFrame) -> DataFrame:
     """Typed extraction from VARIANT rows (the ``match_data:field`` form), text typed."""
     return staged_variant.select(F.struct(*[

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +20,13 @@ def newest_files(spark: SparkSession, path: str, n: int = 30, glob: str = "*") -
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log files line by line (column ``value``)."""
-    return spark.read.text(path)
+    """Log files line by line: (file, value)."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def missing_path(e: AnalysisException) -> bool:
+    """Whether a read failed because there is nothing at its path (any other failure is one)."""
+    return e.getCondition() == "PATH_NOT_FOUND"
 
 
 def json_reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -29,7 +35,9 @@ def json_reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     try:
         df = (spark.read.schema(s).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    except Exception:  # missing path → empty table
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
         return spark.createDataFrame([], schema)
     return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 

@@ -68,3 +68,21 @@ def test_model_persistence(spark, tmp_path):
     a = ml.class_probabilities(model, df.drop("match_result")).select("p_home_win").collect()
     b = ml.class_probabilities(again, df.drop("match_result")).select("p_home_win").collect()
     assert a == b
+
+
+def test_only_a_local_master_may_do_without_a_shared_folder():
+    import pytest
+
+    from matchlake import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())

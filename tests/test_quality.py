@@ -56,3 +56,22 @@ def test_suite_flattening_both_argument_spellings():
     assert a == b
     assert flatten_tree({"m": {"c": [{"relationships": {"arguments": {"to": "ref('p')", "field": "k"}}}]}})[0].arg("to") == "p"
     assert flatten_tree({"m": "bad", "n": {"c": [{"a": 1, "b": 2}, "not_null"]}}) == [flatten_tree({"n": {"c": ["not_null"]}})[0]]
+
+
+def test_bad_arguments_mark_their_rule_and_the_rest_runs(spark):
+    from matchlake.operators.quality import Rule, evaluate
+    child = spark.createDataFrame([(3000000000, "abc", 1), (1, "1", 2), (2, None, 3)], "big bigint, txt string, n int")
+    parent = spark.createDataFrame([(1,), (2,)], "id int")
+    rules = [Rule.make("c", "big", "relationships", to="p", field="id"), Rule.make("c", "txt", "relationships", to="p", field="id"),
+             Rule.make("c", "n", "accepted_values", values=["a", "b"]), Rule.make("c", "n", "accepted_values"),
+             Rule.make("c", "n", "accepted_values", values=["1", 2]), Rule.make("c", "n", "unique")]
+    got = {r.rule_id: (r.status, r.failures) for r in evaluate(spark, rules, {"c": child, "p": parent}).collect()}
+    assert got == {0: ("fail", 1), 1: ("fail", 1), 2: ("error", None), 3: ("error", None), 4: ("fail", 1), 5: ("pass", 0)}
+
+
+def test_every_unique_column_is_found(spark):
+    from pyspark.sql import functions as F
+
+    from matchlake.operators.suggest import suggest
+    df = spark.range(20_000).select(*[(F.col("id") * (i + 3) + i).alias(f"c{i}") for i in range(200)])
+    assert sum(r.test == "unique" for r in suggest({"t": df})) == 200

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from matchlake.operators.rolling import trailing_mean, trailing_mean_plain
+from matchlake.operators.rolling import cut, trailing_mean, trailing_mean_plain
 
 
 def _rows(seed, n=400, entities=3, days=15, null_dates=3):
@@ -17,10 +17,10 @@ def _rows(seed, n=400, entities=3, days=15, null_dates=3):
     return out
 
 
-def _cmp(spark, rows, k, chunk=None):
+def _cmp(spark, rows, k, chunk_rows=1):
     df = spark.createDataFrame(rows, "e int, d date, id int, a int, b int")
     vals = {"ma": "a", "mb": "b"}
-    got = trailing_mean(df, "e", ["d", "id"], vals, k=k, chunk=chunk, chunk_rows=1)  # force day chunks
+    got = trailing_mean(df, "e", ["d", "id"], vals, k=k, chunk_rows=chunk_rows)
     exp = trailing_mean_plain(df, "e", ["d", "id"], vals, k=k)
     cols = ["e", "d", "id", "a", "b", "ma", "mb"]
     return sorted(map(tuple, got.select(*cols).collect()), key=str), sorted(map(tuple, exp.select(*cols).collect()), key=str)
@@ -41,8 +41,8 @@ def test_sparse_chunks_need_halo_from_several_chunks(spark):
     assert first[5] is None  # no preceding row -> NULL
 
 
-def test_other_k_and_custom_chunk(spark):
-    got, exp = _cmp(spark, _rows(3, n=200, days=40), 3, chunk=[F.date_trunc("week", F.col("d"))])
+def test_other_k_and_chunk_size(spark):
+    got, exp = _cmp(spark, _rows(3, n=200, days=40), 3, chunk_rows=20)
     assert got == exp
 
 
@@ -63,39 +63,41 @@ def test_property_random_inputs(spark):
                     st.integers(0, 10_000), st.integers(0, 6) | st.none(), st.integers(0, 6))
 
     @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-    @given(st.lists(row, min_size=1, max_size=60, unique_by=lambda r: r[2]), st.integers(1, 6), st.booleans())
-    def check(rows, k, weekly):
-        chunk = [F.date_trunc("week", F.col("d"))] if weekly else None
-        got, exp = _cmp(spark, rows, k, chunk=chunk)
+    @given(st.lists(row, min_size=1, max_size=60, unique_by=lambda r: r[2]), st.integers(1, 6), st.integers(1, 9))
+    def check(rows, k, chunk_rows):
+        got, exp = _cmp(spark, rows, k, chunk_rows)
         assert got == exp
 
     check()
 
 
-def test_auto_chunk_width(spark):
-    from matchlake.operators.rolling import auto_chunk
-    df = spark.createDataFrame(_rows(7, n=300, entities=2, days=30), "e int, d date, id int, a int, b int")
-    one = df.select(auto_chunk(df, "e", "d", chunk_rows=1)[0].alias("c")).distinct().count()
-    assert one > 20                                        # day chunks
-    assert auto_chunk(df, "e", "d", chunk_rows=10**9) is None   # small entities: plain window
-    vals = {"ma": "a", "mb": "b"}
-    a = trailing_mean(df, "e", ["d", "id"], vals)          # plain path
-    b = trailing_mean(df, "e", ["d", "id"], vals, chunk_rows=1)  # chunked path
-    cols = ["e", "d", "id", "a", "b", "ma", "mb"]
-    assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.select(*cols).collect()), key=str)
+def _largest(df, chunk_rows):
+    cut_ = cut(df, "e", ["d", "id"], chunk_rows)
+    return cut_.groupBy("_range").count().agg(F.max("count")).first()[0]
 
 
-def test_hot_entity_day_is_split_below_a_day(spark):
-    from matchlake.operators.rolling import auto_chunk
-    # 100 rows per entity-day; ids spread over their range (as order keys are over dates)
-    rows = [(0, dt.date(2024, 1, 1 + (i % 3)), i * 17, i % 7, i % 5) for i in range(300)]
-    rows += [(1, dt.date(2024, 1, 1), 17 * i + 5, 1, 1) for i in range(3)] + [(0, None, 5100, 1, 1)]
-    df = spark.createDataFrame(rows, "e int, d date, id int, a int, b int")
-    ch = auto_chunk(df, "e", "d", chunk_rows=10, second="id")
-    assert ch is not None and len(ch) == 2                  # day + id buckets
-    assert df.select(*[c.alias(f"c{i}") for i, c in enumerate(ch)], "e").distinct().count() > 10
-    vals = {"ma": "a", "mb": "b"}
-    got = trailing_mean(df, "e", ["d", "id"], vals, chunk_rows=10)
-    exp = trailing_mean_plain(df, "e", ["d", "id"], vals)
-    cols = ["e", "d", "id", "a", "b", "ma", "mb"]
-    assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(map(tuple, exp.select(*cols).collect()), key=str)
+def test_ranges_stay_small_beside_one_hot_entity(spark):
+    # a third of the rows belong to one entity, the others have one row each
+    one = spark.range(60_000).selectExpr("CAST(id + 1 AS INT) e", "DATE'2024-01-01' d", "CAST(id AS INT) id", "1 a", "2 b")
+    hot = spark.range(30_000).selectExpr("0 e", "DATE'2015-01-01' + CAST(id % 3000 AS INT) d", "CAST(100000 + id AS INT) id", "1 a", "2 b")
+    assert _largest(one.unionByName(hot), 3000) <= 6000
+    assert _largest(one.unionByName(hot), 1000) <= 2000
+
+
+def test_ranges_split_one_day_with_consecutive_ids(spark):
+    far = spark.range(30).selectExpr("0 e", "DATE'2024-01-02' d", "CAST(id * 1000000 AS INT) id", "1 a", "2 b")
+    hot = spark.range(30_000).selectExpr("0 e", "DATE'2024-01-01' d", "CAST(id AS INT) id", "CAST(id % 7 AS INT) a", "2 b")
+    df = far.unionByName(hot)
+    assert _largest(df, 1000) <= 2000
+    got = trailing_mean(df, "e", ["d", "id"], {"ma": "a", "mb": "b"}, chunk_rows=1000)
+    exp = trailing_mean_plain(df, "e", ["d", "id"], {"ma": "a", "mb": "b"}).select(got.columns)
+    assert got.exceptAll(exp).isEmpty() and got.count() == 30_030
+
+
+def test_same_bits_whichever_plan_runs(spark):
+    rows = [(0, dt.date(2024, 1, 1), i, 0.1 * i, 1 / (i + 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "e int, d date, id int, a double, b double")
+    a = trailing_mean(df, "e", ["d", "id"], {"ma": "a", "mb": "b"})
+    b = trailing_mean(df, "e", ["d", "id"], {"ma": "a", "mb": "b"}, chunk_rows=7)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert cut(df, "e", ["d", "id"], 100) is None

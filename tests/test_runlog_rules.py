@@ -41,6 +41,38 @@ def test_log_parsing(spark):
     assert c == {"PASS": 1, "WARN": 0, "ERROR": 2, "SKIP": 0, "NO-OP": 0, "TOTAL": 3}
 
 
+def test_runner_lines_with_clock_times_and_several_logs(spark, tmp_path):
+    from matchlake.sources.files import text_lines
+    # The shape of a runner's log lines.
+    (tmp_path / "a.log").write_text("""00:09:22  Found 4 models, 29 data tests, 1 source, 475 macros
+00:09:22  2 of 29 START test not_null_dim_teams_team_name ................ [RUN]
+00:09:22  3 of 29 FAIL 1 not_null_dim_teams_team_id ...................... [FAIL 1 in 0.10s]
+00:09:22  2 of 29 ERROR unique_fct_training_dataset_match_id ............. [ERROR in 0.14s]
+00:09:23  21 of 29 FAIL 6 relationships_fct_matches_away_team_id__team_id__ref_dim_teams_  [FAIL 6 in 0.09s]
+00:09:23  8 of 29 PASS not_null_fct_matches_home_team_id ................. [PASS in 0.06s]
+00:09:23  Done. PASS=13 WARN=0 ERROR=16 SKIP=0 NO-OP=0 TOTAL=29
+""")
+    (tmp_path / "b.log").write_text("00:00:01  Found 2 models, 1 data test, 3 sources\n1 of 1 FAIL 2 other_test [FAIL 2]\n")
+    lines = text_lines(spark, str(tmp_path))
+    name = lambda f: f.rsplit("/", 1)[1]
+    assert sorted((name(r.file), r.test_name) for r in runlog.failed_tests(lines).collect()) == [
+        ("a.log", "not_null_dim_teams_team_id"), ("a.log", "relationships_fct_matches_away_team_id__team_id__ref_dim_teams_"),
+        ("b.log", "other_test")]
+    assert {(r.status, r.failures, r.test_name[:8]) for r in runlog.test_lines(lines).collect() if name(r.file) == "a.log"} == {
+        ("fail", 1, "not_null"), ("error", None, "unique_f"), ("fail", 6, "relation"), ("pass", None, "not_null")}
+    stats = {name(r.file): (r.models, r.data_tests, r.sources) for r in runlog.parse_run_stats(lines).collect()}
+    assert stats == {"a.log": (4, 29, 1), "b.log": (2, 1, 3)}
+    assert {(name(r.file), r.counter): r.value for r in runlog.parse_summary(lines).collect()}[("a.log", "ERROR")] == 16
+
+
+def test_latest_by_carries_map_columns(spark, tmp_path):
+    from matchlake.operators.latest import latest_by
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("s", t, t, 1.0, "success", {"n": "1"}), ("s", t, t + dt.timedelta(1), 2.0, "success", {"n": "2"})],
+                               runlog.STAGE_SCHEMA)
+    assert [r.metadata for r in latest_by(df, ["stage_name"], ["end_ts"]).collect()] == [{"n": "2"}]
+
+
 def _rules(spark, rows, origin):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
                                  "position int, model string, column string, test string, args string") \
