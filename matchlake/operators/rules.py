@@ -119,7 +119,7 @@ def flatten_documents(docs: DataFrame, col: str = "suite", keep: list[str] | Non
     scalar argument becomes ``{"value": x}``. ``args`` is compact JSON with sorted keys.
     """
     keep = keep or []
-    v = docs.select(*keep, F.parse_json(F.col(col)).alias("_v"))
+    v = docs.select(*keep, F.try_parse_json(F.col(col)).alias("_v"))
     m = v.select(*keep, F.posexplode(F.try_variant_get("_v", "$.models", "array<variant>")).alias("mpos", "_m"))
     c = m.select(*keep, "mpos", F.try_variant_get("_m", "$.name", "string").alias("model"),
                  F.posexplode(F.try_variant_get("_m", "$.columns", "array<variant>")).alias("cpos", "_c"))
@@ -139,3 +139,17 @@ def flatten_documents(docs: DataFrame, col: str = "suite", keep: list[str] | Non
     args = F.regexp_replace(args, r"ref\('([^']*)'\)", "$1")  # ref('model') -> model
     mapped = mapped.select(*keep, "mpos", "model", "cpos", "column", "tpos", "test", args.alias("args"))
     return named.unionByName(mapped)
+
+
+def validate_documents(docs: DataFrame, col: str = "suite", expected: str | None = None) -> DataFrame:
+    """``docs`` with ``valid`` and ``reason``: a suite document is a JSON mapping with a version
+    and exactly one model, of the name in column ``expected`` if that is given."""
+    v = F.try_parse_json(F.col(col))
+    models = F.try_variant_get(v, "$.models", "array<variant>")
+    name = F.try_variant_get(F.get(models, 0), "$.name", "string")
+    reason = (F.when(v.isNull(), "not JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "root is no mapping")
+              .when(F.try_variant_get(v, "$.version", "variant").isNull(), "no version")
+              .when(models.isNull() | (F.size(models) != 1), "not exactly one model"))
+    if expected is not None:
+        reason = reason.when(~name.eqNullSafe(F.col(expected)), "unexpected model name")
+    return docs.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())

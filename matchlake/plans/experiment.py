@@ -91,10 +91,11 @@ def audit(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     generated = suggest({"dim_teams": clean["dim_teams"], "fct_matches": clean["fct_matches"]})
     base = suites.suite_rules("manual_only")
     merged_rules = list(base) + [r for r in generated if r.key not in {b.key for b in base}]
+    proposed = generated + suites.NOT_EXECUTABLE     # what cannot run is not merged
     out = run(spark, clean, conditions={"manual_only": base, "suggested_merged": merged_rules})
-    gen_df = warehouse.rules_frame(spark, generated, "suggested")
     base_df = warehouse.rules_frame(spark, base, "baseline")
-    merged_df = RS.merge(base_df, gen_df)
+    merged_df = RS.merge(base_df, warehouse.rules_frame(spark, generated, "suggested"))
+    gen_df = warehouse.rules_frame(spark, proposed, "suggested")
     useful = RS.useful_families(out["detections"], scoring.detectors_frame(spark, suites.DETECTORS),
                                 "suggested_merged")
     fired = out["results"].filter(F.col("status") == "fail")

@@ -149,15 +149,6 @@ def q_rolling_form(spark, sf_dir):
                     "avg_goals_scored_last_5", "avg_goals_conceded_last_5")
 
 
-@register("incremental_load", oracle.INCREMENTAL_LOAD)
-def q_incremental(spark, sf_dir):
-    """Initial load up to a cut-off date, then one incremental run over the full source."""
-    from pyspark.sql import functions as F
-    fct = _fct_table(spark, sf_dir)
-    t0 = fct.filter(F.col("match_date") <= F.lit(oracle.INCREMENTAL_CUTOFF).cast("date"))
-    return marts.upsert(t0, marts.incremental_batch(fct, t0), "match_id")
-
-
 @register("upsert_by_key", oracle.UPSERT_BY_KEY)
 def q_upsert(spark, sf_dir):
     """A correction feed (two versions per key) replaces one season's rows."""
@@ -432,3 +423,23 @@ def q_rules_flatten(spark, sf_dir):
     rules = suggest({n: t.read(n) for n in oracle.WAREHOUSE_SUGGEST_TABLES})
     docs = RS.render_suites(warehouse.rules_frame(spark, rules))
     return RS.flatten_documents(docs).select("model", "column", "test", "args", "cpos", "tpos")
+
+
+# --- sources, sinks and small operators -------------------------------------------------
+
+def _extras() -> None:
+    from .extras import EXTRAS
+    for name, (fn, sql) in EXTRAS.items():
+        register(name, sql)(fn)
+
+
+_extras()
+
+
+@register("rules_not_in_baseline", f"SELECT model, \"column\", test, args FROM ({oracle.rules_merge_sql()}) WHERE priority = 1")
+def q_rules_not_in(spark, sf_dir):
+    """Suggested rules that the baseline lacks."""
+    from ..operators import rules as R
+    from . import suites, warehouse
+    base = warehouse.rules_frame(spark, suites.suite_rules("manual_only"))
+    return R.not_in(_rules_df(spark, _mart_suggestions(spark, sf_dir)), base)

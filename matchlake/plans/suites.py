@@ -139,3 +139,7 @@ def union_rules(conditions: list[str] | dict[str, list[Rule]]) -> tuple[list[Rul
                 rules.append(r)
             member.append((c, index[r.key]))
     return rules, member
+
+
+# Proposals that no suite can run: a column that does not exist and a test nobody knows.
+NOT_EXECUTABLE = [Rule.make("fct_matches", "no_such_column", "not_null"), Rule.make("dim_teams", "team_name", "no_such_test")]

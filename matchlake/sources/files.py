@@ -59,8 +59,8 @@ def materialise(df: DataFrame, path: str, fmt: str = "parquet", compression: str
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Nested reports as JSON; flat reports as CSV with a header."""
-    w = df.coalesce(1).write.mode("overwrite")
+    """Nested reports as JSON; flat reports as CSV with a header (a part file per partition)."""
+    w = df.write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
