@@ -1,10 +1,12 @@
 """Personal data: base spans against the stated patterns in Python; disclosive words on a fixture."""
 
 import hashlib
+import math
 import random
 import re
 
 from matchlake.llm import pii
+from matchlake.llm.common import AZ
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -82,6 +84,55 @@ def test_disclosive_terms(spark):
     assert "jo@acme.org" not in got[300].sanitised
 
 
+def brute_terms(docs, generalise_at=0.75, min_contexts=3):
+    """term -> disclosure, by plain loops over the definition."""
+    word = lambda t: [w.translate(AZ) for w in re.findall(r"[^\W_]{3,}", t)]
+    seen, df_e, df_t = {}, {}, {}
+    for row, text in enumerate(docs):
+        spans = brute(text)
+        blank = list(text)
+        for _, s, e in spans:
+            blank[s:e] = " " * (e - s)
+        blank = "".join(blank)
+        for w in set(word(blank)):
+            df_t[w] = df_t.get(w, 0) + 1
+        for k, s, e in spans:
+            value = (k, text[s:e].translate(AZ) if k == "email" else text[s:e] if k == "ip" else re.sub("[^0-9]", "", text[s:e]))
+            df_e.setdefault(value, set()).add(row)
+            before, after = blank[max(0, s - 100):s], blank[e:e + 100]
+            before = re.sub(r"^\S*", "", before) if s > 100 else before
+            after = re.sub(r"\S*$", "", after) if len(after) == 100 else after
+            context = tuple(dict.fromkeys(word(before + " " + after)))
+            for w in context:
+                seen.setdefault((value, w), {}).setdefault(text, set()).add(context)
+    out = {}
+    for (value, w), per in seen.items():
+        # one context per document, by the smallest hash: only texts with one mention of the value are compared here
+        co = len({next(iter(c)) for c in per.values()})
+        n, e = len(docs), len(df_e[value])
+        if co >= min_contexts and e < n:
+            share = min(1.0, math.log2(n * co / (e * df_t[w])) / math.log2(n / e))
+            if share >= generalise_at:
+                out[w] = max(share, out.get(w, 0.0))
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    rnd = random.Random(6)
+    names = ["anna", "boris", "clara", "dieter", "emile", "the", "and", "mails", "street", "calls"]
+    docs = []
+    for _ in range(300):
+        words = [rnd.choice(names) for _ in range(rnd.randint(10, 50))]
+        if rnd.random() < 0.4:
+            who = rnd.choice(["anna", "boris", "clara"])
+            words.insert(rnd.randrange(len(words)), f"secret{who} {who}@mail.org code{who}")
+        docs.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    got = {r.term: r.disclosure for r in pii.disclosive_terms(df).collect()}
+    want = brute_terms(docs)
+    assert set(got) == set(want) and want and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
 def test_clash_and_empty(spark):
     df = spark.createDataFrame([(1, "x@y.zz", 3, "q"), (1, "x@y.zz", 3, "q")], "doc_id bigint, text string, SPANS int, t string")
     got = pii.sanitise(df)
