@@ -18,17 +18,13 @@ from matchlake.llm.packing import pack, packed_pieces
 from matchlake.llm.pii import sanitise
 from matchlake.llm.simhash import near_dedup
 
-# A document is rejected when it has no letter, or when no language gets even half of its
-# pooled probability.
-LEAST_SCORE = 0.5
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; a missing label is filled in. Without any labelled
-    document there is no language to test against and only texts without a letter go."""
+    """Documents with a language; a missing label is filled in. Rejected are texts without a
+    letter (``und``); a short text of uncertain language is clean and stays."""
     model = train(docs.filter(~held_out()))
     lang = F.coalesce(F.col("lang"), F.col("lang_pred")) if model else F.col("lang")
-    told = identify(docs, model).filter(F.col("lang_pred") != NONE).filter(F.col("score") >= LEAST_SCORE) if model else \
+    told = identify(docs, model).filter(F.col("lang_pred") != NONE) if model else \
         docs.filter(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     return told.withColumn("lang", lang).select(*docs.columns)
 
