@@ -170,18 +170,19 @@ class BiGRU:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 400,
-          train_words: int = 20_000, hidden: int = 16) -> BiGRU | None:
+          train_words: int = 20_000, max_langs: int = 1000, hidden: int = 16) -> BiGRU | None:
     """A network learned from rows with text and language; None where there is none.
 
-    Bound: about ``train_docs`` documents of each language, chosen by the hash of the
-    identifier, and of their distinct (language, word) rows the ``train_words`` most
-    frequent, ties by hash. Every language weighs the same.
+    Bound: about ``train_docs`` documents of each of the ``max_langs`` most frequent
+    languages, chosen by the hash of the identifier, and of their distinct (language, word)
+    rows the ``train_words`` most frequent, ties by hash. Every language weighs the same.
     """
     rows = labelled.select(F.col(identifier(id_col)).alias("id"), F.col(identifier(text_col)).alias("t"),
                            F.col(identifier(lang_col)).cast("string").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
-    known = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    known = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "l").limit(max_langs)
     lot = F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = rows.join(known, "l").filter(lot * F.col("n") < train_docs)
+    # at most max_langs rows: broadcast, so that no language's documents are gathered in one task
+    chosen = rows.join(F.broadcast(known), "l").filter(lot * F.col("n") < train_docs)
     words = (chosen.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(LETTERS), F.lit(0))).alias("w"))
              .groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")))
     sample = words.orderBy(F.col("n").desc(), F.xxhash64("w", "l"), "w", "l").limit(train_words).collect()
