@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from . import bpe
 from .common import documents, identifier, pieces, staged, texts
 
-MEMO = 300_000
+MEMO = 200_000
 # Characters for which the word rule below is exact; any other text goes to the library whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ‐-‧€]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -186,8 +186,10 @@ def pack(docs: DataFrame, vocabulary: str, weights: dict[str, float] | None = No
                                queue.alias("queue")), "id", "text", vocabulary, end)
     sums = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = sums.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    totals = sorted((r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())
+    # written, so that the join below knows its size: a row per (queue, part), held in each task while
+    # it is small, else joined by (queue, part)
+    first = staged(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-first")
+    totals = sorted((r.queue, r.n) for r in first.groupBy("queue").agg(F.sum("n").alias("n")).collect())
     names = [q for q, _ in totals]
     number = {q: k for k, q in enumerate(names)}
     # weights are taken as proportions; a queue without one gets their mean, as if it were an average source
@@ -286,7 +288,7 @@ def pack(docs: DataFrame, vocabulary: str, weights: dict[str, float] | None = No
                          pa.array(total), pa.array(padded), pa.ListArray.from_arrays(pa.array(many, pa.int32()), rows)],
                         names=out_schema.names)
 
-    placed = rows.join(first, ["queue", "part"]).withColumn("start", F.col("before") + F.col("at")).drop("before", "at", "part")
+    placed = rows.join(first.drop("n"), ["queue", "part"]).withColumn("start", F.col("before") + F.col("at")).drop("before", "at", "part")
     return placed.mapInArrow(deal, deal_schema).groupBy("lane").applyInArrow(fill, out_schema)
 
 
