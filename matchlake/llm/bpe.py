@@ -18,6 +18,7 @@ import numpy as np
 
 NONE = np.int64(1 << 40)
 LONG = 4000          # symbols; longer sequences are merged one by one with a heap (same result)
+BATCH = 16_384       # words merged at once: bounds the arrays of a round
 
 
 class MergeTable:
@@ -179,6 +180,13 @@ def merge_long(table: MergeTable, seq: np.ndarray) -> np.ndarray:
     return np.array([x for x in sym if x >= 0], np.int64)
 
 
+def _batched(encode, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [encode(words[i:i + BATCH]) for i in range(0, len(words), BATCH)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([p[0].astype(np.int32) for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def _splits(tokens: dict, rank_of) -> tuple[list, list, list, list]:
     """All ways to make a token of two symbols that are themselves known."""
     left, right, rank, merged = [], [], [], []
@@ -206,6 +214,9 @@ class ByteRanks:
         self.table = MergeTable(*_splits(ranks, lambda i: i), symbols=len(self.tokens))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _batched(self._encode, words)
+
+    def _encode(self, words):
         raw = [w.encode() for w in words]
         flat = self.start[np.frombuffer(b"".join(raw), np.uint8)]
         return merge(self.table, flat, np.fromiter(map(len, raw), np.int64, len(raw)))
@@ -231,6 +242,9 @@ class WordMerges:
         self.last = np.array([vocab[c + self.mark] for c in chars], np.int64)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _batched(self._encode, words)
+
+    def _encode(self, words):
         raw = [w.encode() for w in words]
         n = np.fromiter(map(len, raw), np.int64, len(raw))
         byte = np.frombuffer(b"".join(raw), np.uint8)
@@ -287,6 +301,9 @@ class Pieces:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each word: the merged symbols, unknown characters by their bytes."""
+        return np.concatenate([self._counts(words[i:i + BATCH]) for i in range(0, len(words), BATCH)] or [np.zeros(0, np.int64)])
+
+    def _counts(self, words):
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         flat = self.by_char[code].astype(np.int64)
         strange = flat < 0

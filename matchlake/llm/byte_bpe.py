@@ -35,7 +35,7 @@ from . import bpe
 from .common import documents, identifier, keep_columns, pieces, shuffle_partitions, texts
 
 BLOCK = 8 << 20     # bytes of text in a block
-MEMO = 400_000      # distinct words remembered by an encoding task before it starts afresh
+MEMO = 200_000      # distinct words remembered by an encoding task before it starts afresh
 # The stated pattern with letters and digits spelled out: exact (and fast) for these characters.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¿¡À-ÖØ-öø-ÿ‐-‧€]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
@@ -62,7 +62,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
                 self[w] = v = next(fresh)
                 return v
         words = Index()
-        at = [[words[w] for w in split(t)] for t in texts(b.column("text"))]
+        at = [np.array([words[w] for w in split(t)], "<u4") for t in texts(b.column("text"))]
         yield (part << 24) + k, b, at, list(words)
 
 
@@ -101,7 +101,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") ->
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Merge each distinct word of this task's hash range once."""
         vocab, memo = bpe.load("bytes", ranks), {}
-        for b in batches:
+        for b in pieces(batches, "words", 1 << 20):
             split = []
             for n, w in zip(b.column("sizes").to_pylist(), b.column("words").to_pylist(), strict=True):
                 end = np.cumsum(np.frombuffer(n, np.uint32), dtype=np.int64).tolist()
@@ -126,7 +126,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") ->
         for block, b, at, words in _blocks(batches, pattern):
             code = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
             homes = (code % parts).astype("<u4").tobytes()
-            packed = [zlib.compress(np.array(x, "<u4").tobytes(), 1) for x in at]
+            packed = [zlib.compress(x.tobytes(), 1) for x in at]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(at), pa.int64()), b.column("row"), pa.array(packed, pa.binary()),
                  pa.array([zlib.compress(homes, 1)] + [None] * (len(at) - 1), pa.binary()),

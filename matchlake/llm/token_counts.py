@@ -24,7 +24,7 @@ from .common import documents, identifier, keep_columns, pieces, texts
 
 MARK = "▁"        # stands for a space inside pieces
 RUNS = re.compile(" +[^ ]*")
-MEMO = 300_000         # pre-tokens remembered by a task before it starts afresh
+MEMO = 200_000         # pre-tokens remembered by a task before it starts afresh
 RESULT = ["n_bytes", "n_tokens", "over_limit"]
 
 
