@@ -1,7 +1,7 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
 encode: every text is cut into pre-tokens; the positions of a block of documents (about
-8 MB of text) refer to the block's list of distinct words. Only those lists are
+5 MB of text) refer to the block's list of distinct words. Only those lists are
 shuffled: by word hash, so all blocks' copies of a word meet in one task, which merges each
 distinct word once; the ids return to their block by a second shuffle, where the positions
 reassemble the documents. A word that stands in every text travels once per block, never
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from . import bpe
 from .common import documents, identifier, keep_columns, pieces, shuffle_partitions, texts
 
-BLOCK = 8 << 20     # bytes of text in a block
+BLOCK = 5 << 20     # bytes of text in a block
 MEMO = 200_000      # distinct words remembered by an encoding task before it starts afresh
 # The stated pattern with letters and digits spelled out: exact (and fast) for these characters.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¿¡À-ÖØ-öø-ÿ‐-‧€]*")
@@ -68,7 +68,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
 
 
 def _pack(words: list[bytes]) -> tuple[bytes, bytes]:
-    return np.fromiter(map(len, words), np.uint32, len(words)).tobytes(), b"".join(words)
+    return zlib.compress(np.fromiter(map(len, words), np.uint32, len(words)).tobytes(), 1), zlib.compress(b"".join(words), 1)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -101,10 +101,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") ->
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Merge each distinct word of this task's hash range once."""
         vocab, memo = bpe.load("bytes", ranks), {}
-        for b in pieces(batches, "words", 1 << 20):
+        for b in pieces(batches, "words", 1 << 19):
             split = []
             for n, w in zip(b.column("sizes").to_pylist(), b.column("words").to_pylist(), strict=True):
-                end = np.cumsum(np.frombuffer(n, np.uint32), dtype=np.int64).tolist()
+                end, w = np.cumsum(np.frombuffer(zlib.decompress(n), np.uint32), dtype=np.int64).tolist(), zlib.decompress(w)
                 split.append([w[i:j] for i, j in zip([0, *end], end, strict=False)])
             new = list(set(chain.from_iterable(split)).difference(memo))
             if new:
@@ -137,8 +137,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") ->
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks().sort_by("home")
         homes = next(np.frombuffer(zlib.decompress(h), "<u4") for h in left.column("homes").to_pylist() if h is not None)
-        sizes = np.frombuffer(b"".join(right.column("sizes").to_pylist()), np.uint32).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(right.column("ids").to_pylist()), "<u4")
+        whole = lambda c: b"".join(map(zlib.decompress, right.column(c).to_pylist()))
+        sizes = np.frombuffer(whole("sizes"), np.uint32).astype(np.int64) // 4
+        flat = np.frombuffer(whole("ids"), "<u4")
         check = sum(x for x in left.column("check").to_pylist() if x is not None)
         if len(sizes) != len(homes) or check != sum(right.column("check").to_pylist()):
             raise RuntimeError("the input rows changed between two passes; write them to a table first")
