@@ -92,7 +92,7 @@ def base_spans(df: DataFrame, text: str, out: str) -> DataFrame:
     made = []
     for k, kind in enumerate(KINDS):
         t, h = F.col(text), spare(df, f"{out}_{kind}")
-        maybe = F.contains(t, F.lit(HINT[kind])) if kind in HINT else t.rlike("[0-9]{2}")
+        maybe = F.contains(t, F.lit(HINT[kind])) if kind in HINT else t.rlike(r"[0-9][\x20-]?[0-9]")
         df = df.withColumn(h, F.when(maybe, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))))
         found = _placed(F.col(h), F.split(t, PATTERNS[kind], -1), k, F.lit(kind.upper()))
         made.append((h, F.when(F.size(h) > 0, F.filter(found, _check(kind))).otherwise(_none())))

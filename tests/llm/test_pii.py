@@ -149,3 +149,9 @@ def test_query(spark):
         b = ",".join(f"{k}:{s}:{e}" for k, s, e in brute(d.text))
         assert rows[d.doc_id].base_sha256 == hashlib.sha256(b.encode()).hexdigest()
         assert rows[d.doc_id].spans.startswith(b)
+
+
+def test_cards_with_every_digit_apart(spark):
+    apart = " ".join("4111111111111111")
+    got = check(spark, [apart, "no. " + apart.replace(" ", "-") + ".", "4 1 1 1", " ".join("4111111111111112")])
+    assert [len(got[i].spans) for i in range(4)] == [1, 1, 0, 0] and got[1].sanitised == "no. [CARD]."
