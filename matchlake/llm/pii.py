@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data (DataFrame functions only).
 
 1. Base entities: e-mail, IP, card and phone spans by pattern and check.
-2. Corpus co-occurrence: for each entity value, the words around its mentions. A document
-   gives one context per (entity, word); verbatim repeated contexts count once, so copies
-   of a text are no evidence. With N documents,
+2. Corpus co-occurrence: for each entity value, the words around its mentions. Everything is
+   counted over the N distinct texts (by their hash), so copies of a text neither add
+   evidence nor take it away; contexts repeated verbatim in different texts are one piece of
+   evidence. With df and co in distinct texts,
        IC(e) = log2(N / df(e)),  PMI(e; t) = log2(N * co(e, t) / (df(e) * df(t))),
    and ``PMI / IC`` is the share of the entity's information that the word reveals
    (1: whoever reads the word knows the entity).
@@ -128,6 +129,10 @@ def _blanked(text: Column, spans: Column) -> Column:
     return replaced(text, spans, lambda s: F.rpad(F.lit(""), (s["end"] - s["start"]).cast("int"), " "))
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(az_lower(text), F.lit(WORD), F.lit(0)))
 
@@ -141,7 +146,9 @@ def disclosive_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(identifier(text_col)), F.lit(""))
     base = base_spans(docs.select(text.alias("t")), "t", "s")
     blank = base.select("t", "s", _blanked(F.col("t"), F.col("s")).alias("m"))
-    total = docs.count()
+    copied = docs.select(_key(text).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    copied = staged(copied.filter("rows > 1"), "pii-copied")
+    total = docs.count() - (copied.agg(F.sum(F.col("rows") - 1)).first()[0] or 0)
 
     value = (F.when(F.col("x.kind") == 0, az_lower(F.col("x.value"))).when(F.col("x.kind") == 1, F.col("x.value"))
              .otherwise(_digits(F.col("x.value"))))
@@ -152,20 +159,26 @@ def disclosive_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     around = F.concat_ws(" ", F.when(F.col("x.start") > RADIUS, F.regexp_replace(before, r"^\S*", "")).otherwise(before),
                          F.when(F.length(after) == RADIUS, F.regexp_replace(after, r"\S*$", "")).otherwise(after))
     mentions = (blank.filter(F.size("s") > 0)
-                .select(F.md5("t").alias("doc"), "m", F.monotonically_increasing_id().alias("row"), F.explode("s").alias("x"))
-                .select("doc", "row", F.concat_ws(":", F.col("x.kind").cast("string"), value).alias("entity"),
+                .select(_key(F.col("t")).alias("doc"), "m", F.explode("s").alias("x"))
+                .select("doc", F.concat_ws(":", F.col("x.kind").cast("string"), value).alias("entity"),
                         _words(around).alias("words"))
                 .withColumn("context", F.xxhash64(F.concat_ws(" ", "words"))))
     mentions = staged(mentions, "pii-mentions")
-    entities = mentions.groupBy("entity", "row").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count("x").alias("df_e"))
+    entities = mentions.groupBy("entity", "doc").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count("x").alias("df_e"))
     pairs = (mentions.select("entity", "doc", "context", F.explode("words").alias("term"))
              .groupBy("entity", "term", "doc").agg(F.min("context").alias("context"))
-             .groupBy("entity", "term", "context").agg(F.lit(1).alias("x"))
-             .groupBy("entity", "term").agg(F.count("x").alias("co")).filter(F.col("co") >= min_contexts))
+             .groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("x"))
+             .groupBy("entity", "term").agg(F.sum("x").alias("co"), F.count("x").alias("contexts"))
+             .filter(F.col("contexts") >= min_contexts))
     pairs = staged(pairs, "pii-pairs")
     if pairs.isEmpty():          # no word has the evidence: nothing to count
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
-    counts = blank.select(F.explode(_words(F.col("m"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    # rows that hold a word, less the copies: a copied text's rows but one
+    rows = blank.select(F.explode(_words(F.col("m"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("x"))
+    again = (docs.select(_key(text).alias("key"), text.alias("t")).join(copied, "key").groupBy("key", "rows").agg(F.first("t").alias("t")))
+    again = base_spans(again, "t", "s").select((1 - F.col("rows")).alias("x"), F.explode(_words(_blanked(F.col("t"), F.col("s")))).alias("term"))
+    counts = (rows.unionByName(again.groupBy("term").agg(F.sum("x").alias("x")))
+              .groupBy("term").agg(F.sum("x").alias("df_t")))
     n = F.lit(float(total))
     ic = F.log2(n / F.col("df_e"))
     pmi = F.log2(n * F.col("co") / (F.col("df_e") * F.col("df_t")))
@@ -194,9 +207,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
         df = df.withColumn("spans", F.col("base"))
     else:
         lowered = az_lower(_blanked(F.col("t"), F.col("base")))
-        df = df.withColumn("key", F.md5("t"))
+        df = df.withColumn("key", _key(F.col("t")))
         hits = (docs.select(F.coalesce(F.col(identifier(text_col)), F.lit("")).alias("t")))
-        hits = base_spans(hits, "t", "s").select(F.md5("t").alias("key"),
+        hits = base_spans(hits, "t", "s").select(_key(F.col("t")).alias("key"),
                                                 F.explode(_words(_blanked(F.col("t"), F.col("s")))).alias("term"))
         found = (hits.join(terms, "term").groupBy("key")
                  .agg(F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("gone"),

@@ -155,3 +155,14 @@ def test_cards_with_every_digit_apart(spark):
     apart = " ".join("4111111111111111")
     got = check(spark, [apart, "no. " + apart.replace(" ", "-") + ".", "4 1 1 1", " ".join("4111111111111112")])
     assert [len(got[i].spans) for i in range(4)] == [1, 1, 0, 0] and got[1].sanitised == "no. [CARD]."
+
+
+def test_copies_do_not_erase_evidence(spark):
+    rnd = random.Random(7)
+    say = lambda n: " ".join(rnd.choice(["river", "stone", "cloud", "maple", "winter"]) + str(rnd.randrange(9)) for _ in range(n))
+    rows = [say(30) for _ in range(300)] + [f"{say(6)} zorblax writes to jo@acme.org {say(6)}" for _ in range(5)]
+    same = f"{say(5)} zorblax writes to jo@acme.org {say(5)}"
+    terms = lambda texts: {r.term: r.disclosure for r in pii.disclosive_terms(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    once, often = terms([*rows, same]), terms([*rows, *[same] * 400])
+    assert once["zorblax"] == 1 and set(once) == set(often) and all(abs(once[w] - often[w]) < 1e-9 for w in once)
