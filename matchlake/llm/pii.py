@@ -7,7 +7,11 @@
    evidence. With df and co in distinct texts,
        IC(e) = log2(N / df(e)),  PMI(e; t) = log2(N * co(e, t) / (df(e) * df(t))),
    and ``PMI / IC`` is the share of the entity's information that the word reveals
-   (1: whoever reads the word knows the entity).
+   (1: whoever reads the word knows the entity). Every entity counts, also one seen once:
+   with ``min_contexts`` different contexts the share stands as it is, with fewer it must
+   not be chance. Of df(e) * df(t) / N = E contexts expected by chance, the Poisson
+   probability of as many as were found, times the number of words beside the entity, is at
+   most ``CHANCE``. So the larger the corpus, the less often a word need be seen.
 3. Words whose share reaches ``generalise_at`` are disclosive wherever they stand: they
    become spans of kind ``term``; from ``remove_at`` on they are removed, below replaced by
    their word class.
@@ -39,6 +43,7 @@ HINT = {"email": "@", "ip": ".", "phone": "+"}   # a text without it has no such
 KINDS = list(PATTERNS)
 WORD = r"[\p{L}\p{N}]{3,}"
 RADIUS = 100          # code points of context on either side of a mention
+CHANCE = 0.01         # of any word beside an entity being there by chance, where contexts are few
 SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string,label:string>>"
 RESULT = ["spans", "sanitised"]
 
@@ -141,7 +146,8 @@ def disclosive_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      remove_at: float = 0.9, min_contexts: int = 3) -> DataFrame:
     """(term, disclosure, action): words that reveal an entity of the corpus.
 
-    Evidence is at least ``min_contexts`` different contexts of one entity value.
+    Evidence is ``min_contexts`` different contexts of one entity value, or fewer that are
+    not chance (``CHANCE``).
     """
     text = F.coalesce(F.col(identifier(text_col)), F.lit(""))
     base = base_spans(docs.select(text.alias("t")), "t", "s")
@@ -168,10 +174,9 @@ def disclosive_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = (mentions.select("entity", "doc", "context", F.explode("words").alias("term"))
              .groupBy("entity", "term", "doc").agg(F.min("context").alias("context"))
              .groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("x"))
-             .groupBy("entity", "term").agg(F.sum("x").alias("co"), F.count("x").alias("contexts"))
-             .filter(F.col("contexts") >= min_contexts))
+             .groupBy("entity", "term").agg(F.sum("x").alias("co"), F.count("x").alias("contexts")))
     pairs = staged(pairs, "pii-pairs")
-    if pairs.isEmpty():          # no word has the evidence: nothing to count
+    if pairs.isEmpty():          # no word beside an entity: nothing to count
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action"))
     # rows that hold a word, less the copies: a copied text's rows but one
     rows = blank.select(F.explode(_words(F.col("m"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("x"))
@@ -182,8 +187,14 @@ def disclosive_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = F.lit(float(total))
     ic = F.log2(n / F.col("df_e"))
     pmi = F.log2(n * F.col("co") / (F.col("df_e") * F.col("df_t")))
-    share = (pairs.join(entities, "entity").join(counts, "term")
-             .filter(F.col("df_e") < n).groupBy("term").agg(F.max(F.least(pmi / ic, F.lit(1.0))).alias("disclosure")))
+    tested = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("tested"))
+    # 1 - sum of the Poisson terms below the contexts found, as a series that loses no digits
+    mean, k = F.col("df_e") * F.col("df_t") / n, F.col("contexts").cast("double")
+    first = F.exp(-mean + k * F.log(mean) - F.aggregate(F.sequence(F.lit(1), F.least("contexts", F.lit(min_contexts)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i)))
+    chance = first * (1 + mean / (k + 1) * (1 + mean / (k + 2) * (1 + mean / (k + 3))))
+    evident = (F.col("contexts") >= min_contexts) | ((mean < 1) & (chance * F.col("tested") <= CHANCE))
+    share = (pairs.join(entities.join(tested, "entity"), "entity").join(counts, "term")
+             .filter((F.col("df_e") < n) & evident).groupBy("term").agg(F.max(F.least(pmi / ic, F.lit(1.0))).alias("disclosure")))
     return staged(share.filter(F.col("disclosure") >= generalise_at).select(
         "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action")),
         "pii-terms")

@@ -166,3 +166,18 @@ def test_copies_do_not_erase_evidence(spark):
         spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     once, often = terms([*rows, same]), terms([*rows, *[same] * 400])
     assert once["zorblax"] == 1 and set(once) == set(often) and all(abs(once[w] - often[w]) < 1e-9 for w in once)
+
+
+def test_entities_seen_once_or_twice(spark):
+    rnd = random.Random(8)
+    say = lambda n: " ".join(f"word{rnd.randrange(60)}" for _ in range(n))
+    rows = [say(20) for _ in range(6000)] + [f"{say(3)} zorblax jo@acme.org {say(3)}", "Zorblax " + say(9)]
+    rows += [f"{say(3)} quillon +49 30 1234567 {say(3)}" for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    terms = {r.term: r for r in pii.disclosive_terms(df).collect()}
+    assert set(terms) == {"zorblax", "quillon"}         # not the words that stand everywhere
+    n = len(set(rows))
+    assert abs(terms["zorblax"].disclosure - math.log2(n / 2) / math.log2(n)) < 1e-9 and terms["quillon"].disclosure == 1
+    got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert "orblax" not in got[6000].sanitised + got[6001].sanitised and "quillon" not in got[6002].sanitised
+    assert got[0].spans == [] and "word" in got[6000].sanitised
