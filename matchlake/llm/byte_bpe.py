@@ -8,7 +8,7 @@ reassemble the documents. A word that stands in every text travels once per bloc
 once per occurrence, so frequent words make no hot partition; words of one hash share a
 task, never a group in memory.
 
-decode: the ids of each document are joined with the token-byte table (one row per token
+decode: the ids of each document are looked up in the token-byte table (one row per token
 of the vocabulary, the fixed bound that lets it be held in each task).
 
 The pre-token pass runs once for the lists and once for the positions (the text itself is
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") ->
 
 
 def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``bytes``: the token-byte table joined to each id, in order.
+    """``encoded`` with ``bytes``: each id looked up in the token-byte table, which every task loads.
 
     NULL ids stay NULL; an id outside the vocabulary raises; columns named ``bytes`` give way.
     """
