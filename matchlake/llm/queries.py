@@ -8,6 +8,7 @@ from .hamming_topk import OP2_SQL, op2_hamming_topk
 from .langid import op10_language_id
 from .license_scan import op8_license_scan
 from .lm_score import op6_lm_score
+from .merkle import OP11_SQL, op11_merkle
 from .packing import op1_packing
 from .pii import op3_pii
 from .simhash import op5_simhash
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_merkle": op11_merkle,
 }
 
 # Where SQL can express the operator; the others are tested against brute force in tests/llm.
 ORACLE = {
     "op2_hamming_topk": OP2_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op11_merkle": OP11_SQL,
 }
