@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op4_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .hamming_topk import OP2_SQL, op2_hamming_topk
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .langid import op10_language_id
 from .license_scan import op8_license_scan
 from .lm_score import op6_lm_score
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
     "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 # Where SQL can express the operator; the others are tested against brute force in tests/llm.
@@ -33,4 +35,5 @@ ORACLE = {
     "op2_hamming_topk": OP2_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op11_merkle": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
