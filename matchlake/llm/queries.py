@@ -14,6 +14,7 @@ from .packing import op1_packing
 from .pii import op3_pii
 from .simhash import op5_simhash
 from .token_counts import op9_token_counts
+from .token_files import op13_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_merkle": op11_merkle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_files": op13_token_files,
 }
 
 # Where SQL can express the operator; the others are tested against brute force in tests/llm.
