@@ -23,10 +23,8 @@ token of each).
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,38 +35,34 @@ from pyspark.sql import types as T
 
 from . import bpe
 from .common import documents, identifier, pieces, staged, texts
-
-MEMO = 200_000
-# Characters for which the word rule below is exact; any other text goes to the library whole.
-PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ‐-‧€]*")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-
+from .pretokens import PLAIN, Memory, cut, per_text
 
 class WordTokenizer:
-    """Ids of the public word vocabulary; distinct pre-tokens are merged once per task."""
+    """Ids of the public word vocabulary as the tokenizers library gives them: plain texts are cut by
+    arrays and each distinct word is merged once while it is remembered; any other text goes to the
+    library whole. ``dtype``: two bytes an id where the vocabulary allows it, else four."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.path, self.whole, self.memo = path, Tokenizer.from_file(path), {}
+        self.whole = Tokenizer.from_file(path)
+        self.dtype = id_code(self.whole)
+        self.memory = Memory(bpe.load("words", path).encode, 16 << 20)
 
-    def encode(self, batch: list[str], end: int) -> list[bytes]:
-        """Little-endian 16-bit ids of each text, then ``end``."""
+    def encode(self, batch: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per text) with ``end`` behind each text."""
         plain = ["<|" not in t and PLAIN.fullmatch(t) is not None and unicodedata.is_normalized("NFC", t) for t in batch]
-        split = [WORDS.findall(t.lower()) if ok else [] for t, ok in zip(batch, plain, strict=True)]
-        new = list(set(chain.from_iterable(split)).difference(self.memo))
-        if new:
-            sym, n = bpe.load("words", self.path).encode(new)
-            raw, at = sym.astype("<u2").tobytes(), (np.concatenate([[0], np.cumsum(n)]) * 2).tolist()
-            self.memo.update((w, raw[i:j]) for w, i, j in zip(new, at, at[1:], strict=False))
-        last = np.array([end], "<u2").tobytes()
-        out = []
-        for t, ok, words in zip(batch, plain, split, strict=True):
-            ids = b"".join(map(self.memo.__getitem__, words)) if ok else np.array(
-                self.whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
-            out.append(ids + last)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        return out
+        words, per = cut([t.lower() for t, ok in zip(batch, plain, strict=True) if ok], spaces=False)
+        flat, n = self.memory.ids(words)
+        done = iter(np.split(flat, np.cumsum(per_text(n, per))[:-1]) if len(per) else [])
+        each = [next(done) if ok else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int64)
+                for t, ok in zip(batch, plain, strict=True)]
+        last = np.array([end])
+        ids = np.concatenate([x for one in each for x in (one, last)]) if each else np.zeros(0, np.int64)
+        return ids.astype(self.dtype), np.fromiter((len(x) + 1 for x in each), np.int64, len(each))
+
+
+def id_code(tokenizer) -> str:
+    return "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
 class Mixture:
@@ -147,14 +141,17 @@ def _tokens(docs, id_col, text_col, vocabulary, end):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, tokenizer = TaskContext.get().partitionId(), {}, WordTokenizer(vocabulary)
         for b in pieces(batches, "text"):
-            ids = tokenizer.encode(texts(b.column("text")), end)
-            n, at = [len(x) // 2 for x in ids], []
-            for q, k in zip(b.column("queue").to_pylist(), n, strict=True):
+            ids, n = tokenizer.encode(texts(b.column("text")), end)
+            at = []
+            for q, k in zip(b.column("queue").to_pylist(), n.tolist(), strict=True):
                 at.append(seen.get(q, 0))
                 seen[q] = at[-1] + k
+            edge = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+            raw = ids.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(n), pa.int64()), b.column("queue"), pa.array(at, pa.int64()), b.column("id"),
-                 pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+                [pa.array([part] * len(n), pa.int64()), b.column("queue"), pa.array(at, pa.int64()), b.column("id"), pa.array(n),
+                 pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(raw)]) if edge[-1] < 1 << 31
+                 else pa.array([raw[i:j] for i, j in zip(edge, edge[1:], strict=False)], pa.binary())], names=schema.names)
 
     return staged(docs.mapInArrow(run, schema), "pack-ids")
 
@@ -167,14 +164,18 @@ def pack(docs: DataFrame, vocabulary: str, weights: dict[str, float] | None = No
     ``input_ids``: little-endian unsigned 32-bit ids; ``pieces``: array of (doc_id, start,
     length, offset, doc_tokens), gapless from offset 0; ``padded``: ``window``, or
     ``n_tokens`` where that is a power of two. ``weights``: target proportion per source
-    (sources not named get the mean of the named weights); None: each source's share of all tokens. Every id lies
-    in exactly one piece, only the last sequence can be short.
+    (positive, else it raises; sources not named get the mean of the named weights); None: each source's share of
+    all tokens. Every id lies in exactly one piece, only the last sequence can be short.
 
     A NULL text is empty (its document is the end id alone), a NULL source is the queue
     ''. Repeated rows are packed each on its own, NULL identifiers are carried. An empty table gives
     no sequences. Other columns are not read.
     """
-    spark = docs.sparkSession
+    if weights and not all(0 < w < float("inf") for w in weights.values()):
+        raise ValueError("target proportions must be positive numbers")
+    from tokenizers import Tokenizer
+    spark, code = docs.sparkSession, id_code(Tokenizer.from_file(vocabulary))
+    width = np.dtype(code).itemsize
     source = F.coalesce(F.col(identifier(source_col)).cast("string"), F.lit(""))
     many = docs.select(source.alias("s")).distinct().limit(window + 1).count() > window
     named = weights or {}
@@ -236,7 +237,7 @@ def pack(docs: DataFrame, vocabulary: str, weights: dict[str, float] | None = No
             row, lane, place, at = row[order], lane[order], place[order], at[order]
             to = np.where(np.append(row[1:] == row[:-1], False), np.append(at[1:], 0), n[row])
             ids = b.column("ids").to_pylist()
-            cut = [ids[r][2 * i:2 * j] for r, i, j in zip(row.tolist(), at.tolist(), to.tolist(), strict=True)]
+            cut = [ids[r][width * i:width * j] for r, i, j in zip(row.tolist(), at.tolist(), to.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lane), pa.array(queue[row].astype(np.int32)), pa.array(place), b.column("id").take(pa.array(row)),
                  pa.array(at), pa.array(n[row]), pa.array(cut, pa.binary())], names=deal_schema.names)
@@ -255,8 +256,8 @@ def pack(docs: DataFrame, vocabulary: str, weights: dict[str, float] | None = No
         table = table.combine_chunks().sort_by([("queue", "ascending"), ("place", "ascending")])
         lane = table.column("lane")[0].as_py()
         queue = table.column("queue").to_numpy()
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), "<u2")
-        n = np.array([len(x) // 2 for x in table.column("ids").to_pylist()], np.int64)
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), code)
+        n = np.array([len(x) // width for x in table.column("ids").to_pylist()], np.int64)
         content = np.bincount(queue, weights=n, minlength=len(names)).astype(np.int64)
         served = _serve(mix, lane, lane_windows, window, content)
         # runs: (window, queue) stretches of the lane's ids, which are ordered by queue

@@ -21,7 +21,8 @@ def library():
 
 def test_ids_equal_the_library(library):
     texts = ODD + [f"{a} {b}!" for a in ODD for b in ODD] + [" ".join(["thereof", "ab" * 40, "x" * 5000])]
-    got = [np.frombuffer(x, "<u2").tolist() for x in WordTokenizer(VOCAB).encode(texts, 1)]
+    flat, n = WordTokenizer(VOCAB).encode(texts, 1)
+    got = [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
     assert got == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
@@ -90,3 +91,10 @@ def test_deficits_carry():
         assert (served.sum(1) == 10).all()
         run = cuts[lane] + np.cumsum(served, 0)
         assert np.abs(run - mix.fluid(40 * lane + 10 * np.arange(1, 5))).max() < 2
+
+
+def test_target_proportions_must_be_positive(spark):
+    df = spark.createDataFrame([(1, "a", "s")], "doc_id bigint, text string, source string")
+    for w in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="positive"):
+            pack(df, VOCAB, weights={"s": w})
