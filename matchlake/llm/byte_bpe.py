@@ -1,168 +1,206 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
 encode: every text is cut into pre-tokens; the positions of a block of documents (about
-5 MB of text) refer to the block's list of distinct words. Only those lists are
-shuffled: by word hash, so all blocks' copies of a word meet in one task, which merges each
-distinct word once; the ids return to their block by a second shuffle, where the positions
-reassemble the documents. A word that stands in every text travels once per block, never
-once per occurrence, so frequent words make no hot partition; words of one hash share a
-task, never a group in memory.
-
-decode: the ids of each document are looked up in the token-byte table (one row per token
-of the vocabulary, the fixed bound that lets it be held in each task).
-
-The pre-token pass runs once for the lists and once for the positions (the text itself is
-never shuffled). Both must see the same rows in the same partitions, as a table scan does;
-a block whose list differs in number or check sum raises instead of giving wrong ids.
+5 MB of text) refer to the block's list of distinct words. Positions and lists are written
+once. Only the lists are dealt out by word hash, so all blocks' copies of a word meet in one
+task, which merges each distinct word once; the ids return to their block by a second
+shuffle, where the positions reassemble the documents. A word that stands in every text
+travels once per block, never once per occurrence, so frequent words make no hot partition;
+words of one hash share a task, never a group in memory.
+
+decode: ids are joined with the token-byte table (one row per token of the vocabulary, the
+fixed bound that lets every task hold it): a gather by id on flat arrays.
+
+Because the cut texts are a written table, both sides of the last join see the same blocks
+whatever the input is and whichever executors are lost.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import re
-import zlib
-from collections.abc import Iterator
-from itertools import chain, count
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import documents, identifier, keep_columns, pieces, shuffle_partitions, texts
+from .common import documents, identifier, keep_columns, pieces, shuffle_partitions, staged, texts
+from .pretokens import PLAIN, Memory, cut
 
-BLOCK = 5 << 20     # bytes of text in a block
-MEMO = 200_000      # distinct words remembered by an encoding task before it starts afresh
-# The stated pattern with letters and digits spelled out: exact (and fast) for these characters.
-PLAIN = re.compile("[\t\n\r\x20-\x7e¿¡À-ÖØ-öø-ÿ‐-‧€]*")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+BLOCK = 5 << 20      # bytes of text in a block
+MEMORY = 16 << 20    # bytes of distinct words and ids that an encoding task remembers before it starts afresh
+CHUNK = 1 << 18      # ids gathered at once
 
 
-def splitter(pattern: str):
-    """text -> pre-tokens of ``pattern`` (every character is in one)."""
+def splitter(pattern: str) -> Callable[[list[str]], tuple[pa.Array, list[np.ndarray]]]:
+    """texts -> (their pre-tokens by ``pattern``, places of each text's pre-tokens among them)."""
     import public_tokenizers
     import regex
-    full = regex.compile(pattern)
-    if pattern != public_tokenizers.PATTERN:
-        return full.findall
-    return lambda t: WORDS.findall(t) if PLAIN.fullmatch(t) else full.findall(t)
+    full, known = regex.compile(pattern), pattern == public_tokenizers.PATTERN
 
+    def split(batch: list[str]):
+        plain = [known and PLAIN.fullmatch(t) is not None for t in batch]
+        words, per = cut([t for t, ok in zip(batch, plain, strict=True) if ok], spaces=True)
+        other = [full.findall(t) for t, ok in zip(batch, plain, strict=True) if not ok]
+        if other:
+            words = pa.concat_arrays([words, pa.array([w for x in other for w in x], pa.string())])
+        size = [iter(per.tolist()), iter(map(len, other))]
+        at, places = [0, int(per.sum())], []
+        for ok in plain:
+            k = 0 if ok else 1
+            n = next(size[k])
+            places.append(np.arange(at[k], at[k] + n))
+            at[k] += n
+        return words, places
+    return split
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
-    """(block number, its record batch, positions per text, distinct words in order of first use)."""
-    split, part = splitter(pattern), TaskContext.get().partitionId()
-    for k, b in enumerate(pieces(batches, "text", BLOCK)):
-        fresh = count()
 
-        class Index(dict):
-            def __missing__(self, w):
-                self[w] = v = next(fresh)
-                return v
-        words = Index()
-        at = [np.array([words[w] for w in split(t)], "<u4") for t in texts(b.column("text"))]
-        yield (part << 24) + k, b, at, list(words)
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, byte lengths) of Arrow strings."""
+    edge = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4) if len(words) else np.zeros(1, np.int32)
+    data = words.buffers()[2] if len(words) else None
+    return (np.frombuffer(data, np.uint8)[edge[0]:edge[-1]] if data is not None and edge[-1] > edge[0] else np.zeros(0, np.uint8),
+            np.diff(edge).astype(np.int64))
 
 
+def _hashes(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of every word (none is empty)."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
+        place = np.arange(len(raw)) - np.repeat(begin, size)
+        h = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * power[place & 1023], begin) + size.astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
 
-def _pack(words: list[bytes]) -> tuple[bytes, bytes]:
-    return zlib.compress(np.fromiter(map(len, words), np.uint32, len(words)).tobytes(), 1), zlib.compress(b"".join(words), 1)
 
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text") -> DataFrame:
+
+class TokenTable:
+    """Rows of bytes by id; ``joined`` yields the bytes of ids in order, a stretch at a time."""
+
+    def __init__(self, rows: list[bytes]):
+        self.flat, self.size = np.frombuffer(b"".join(rows), np.uint8), np.fromiter(map(len, rows), np.int64, len(rows))
+        self.begin = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray) -> Iterator[bytes]:
+        for i in range(0, len(ids), CHUNK):
+            x = ids[i:i + CHUNK]
+            yield _gather(self.flat, self.begin[x], self.size[x]).tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def token_table(ranks: str) -> TokenTable:
+    return TokenTable(bpe.load("bytes", ranks).tokens)
+
+
+@functools.lru_cache(maxsize=2)
+def decimals(count: int) -> TokenTable:
+    """Each id in decimal, a space behind it."""
+    return TokenTable([b"%d " % i for i in range(count)])
+
+
+def _press(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x), 1)
+
+
+def _unpress(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
+           then: tuple[T.StructType, Callable[[list[np.ndarray]], list[pa.Array]]] | None = None) -> DataFrame:
     """``docs`` (without the text) with ``ids``: little-endian unsigned 32-bit token ids.
 
     NULL and empty texts have no ids; rows are independent (repeated rows, NULL
     identifiers); an empty table gives an empty result; columns named ``ids`` give way.
+    ``then``: columns to return in place of ``ids``, with a function that makes them from the
+    ids of a block's documents in the task that reassembles them.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    carried = [c for c in keep_columns(docs, ["ids"]) if c != text_col]
+    made = then[0] if then else T.StructType([T.StructField("ids", T.BinaryType())])
+    carried = [c for c in keep_columns(docs, made.names) if c != text_col]
     row = docs.select(F.struct(*[F.col(identifier(c)) for c in carried], F.lit(0).alias("_")).alias("row"),
                       F.col(identifier(text_col)).alias("text"))
     row_type = row.schema["row"].dataType
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, words in _blocks(batches, pattern):
-            raw = [w.encode() for w in words]
-            home = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % parts
+    cut_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("home", T.IntegerType()),     # a list: block, home, sizes, words
+                             T.StructField("sizes", T.BinaryType()), T.StructField("words", T.BinaryType()),
+                             T.StructField("row", row_type), T.StructField("at", T.BinaryType()),              # a text: block, row, at
+                             T.StructField("homes", T.BinaryType())])                                          # and with a block's first
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, part = splitter(pattern), TaskContext.get().partitionId()
+        for k, b in enumerate(pieces(batches, "text", BLOCK)):
+            words, places = split(texts(b.column("text")))
+            coded = words.dictionary_encode()
+            index = coded.indices.to_numpy(zero_copy_only=False)
+            raw, size = _flat(coded.dictionary)
+            home = (_hashes(raw, size) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(home, kind="stable")
-            cut = np.searchsorted(home[order], np.arange(parts + 1)).tolist()
-            order = order.tolist()
-            rows = [(h, *_pack(w := [raw[i] for i in order[a:z]]), sum(map(zlib.crc32, w))) for h, (a, z) in enumerate(zip(cut, cut[1:], strict=False)) if z > a]
-            if rows:
-                h, n, w, check = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(h), pa.int64()), pa.array(h, pa.int32()),
-                                                  pa.array(check, pa.int64()), pa.array(n, pa.binary()), pa.array(w, pa.binary())],
-                                                 names=["block", "home", "check", "sizes", "words"])
+            begin = np.cumsum(size) - size
+            edge = np.searchsorted(home[order], np.arange(parts + 1))
+            lists = [(h, _press(size[o].astype("<u4")), _press(_gather(raw, begin[o], size[o])))
+                     for h, (i, j) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)) if j > i for o in [order[i:j]]]
+            n, m, block = len(places), len(lists), (part << 24) + k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * (m + n), pa.int64()), pa.array([x[0] for x in lists] + [None] * n, pa.int32()),
+                 pa.array([x[1] for x in lists] + [None] * n, pa.binary()), pa.array([x[2] for x in lists] + [None] * n, pa.binary()),
+                 pa.concat_arrays([pa.nulls(m, b.column("row").type), b.column("row")]),
+                 pa.array([None] * m + [_press(index[x].astype("<u4")) for x in places], pa.binary()),
+                 pa.array([None] * m + [_press(home.astype("<u4"))] + [None] * (n - 1), pa.binary())], names=cut_type.names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Merge each distinct word of this task's hash range once."""
-        vocab, memo = bpe.load("bytes", ranks), {}
+        memory = Memory(bpe.load("bytes", ranks).encode, MEMORY)
         for b in pieces(batches, "words", 1 << 19):
-            split = []
-            for n, w in zip(b.column("sizes").to_pylist(), b.column("words").to_pylist(), strict=True):
-                end, w = np.cumsum(np.frombuffer(zlib.decompress(n), np.uint32), dtype=np.int64).tolist(), zlib.decompress(w)
-                split.append([w[i:j] for i, j in zip([0, *end], end, strict=False)])
-            new = list(set(chain.from_iterable(split)).difference(memo))
-            if new:
-                sym, n = vocab.encode([w.decode() for w in new])
-                raw, at = sym.astype("<u4").tobytes(), (np.concatenate([[0], np.cumsum(n)]) * 4).tolist()
-                memo.update((w, raw[i:j]) for w, i, j in zip(new, at, at[1:], strict=False))
-            done = [_pack([memo[w] for w in words]) for words in split]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("home"), b.column("check"),
-                                              pa.array([x[0] for x in done], pa.binary()),
-                                              pa.array([x[1] for x in done], pa.binary())], names=["block", "home", "check", "sizes", "ids"])
-            if len(memo) > MEMO:
-                memo.clear()
-
-    place = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", row_type), T.StructField("at", T.BinaryType()),
-                          T.StructField("homes", T.BinaryType()), T.StructField("check", T.LongType())])
-
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Positions as numbers into the block's list; the block's first row has the words' homes."""
-        for block, b, at, words in _blocks(batches, pattern):
-            code = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
-            homes = (code % parts).astype("<u4").tobytes()
-            packed = [zlib.compress(x.tobytes(), 1) for x in at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(at), pa.int64()), b.column("row"), pa.array(packed, pa.binary()),
-                 pa.array([zlib.compress(homes, 1)] + [None] * (len(at) - 1), pa.binary()),
-                 pa.array([int(code.sum())] + [None] * (len(at) - 1), pa.int64())], names=place.names)
-
-    out = T.StructType([T.StructField("row", row_type), T.StructField("ids", T.BinaryType())])
+            size = [_unpress(x, "<u4") for x in b.column("sizes").to_pylist()]
+            raw = b"".join(map(zstandard.decompress, b.column("words").to_pylist()))
+            edge = np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)])
+            words = pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(raw))
+            flat, n = memory.ids(words)
+            word, end = np.cumsum([0, *map(len, size)]).tolist(), np.concatenate([[0], np.cumsum(n)])
+            done = [(_press(n[i:j].astype("<u4")), _press(flat[end[i]:end[j]].astype("<u4"))) for i, j in zip(word, word[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("home"), pa.array([x[0] for x in done], pa.binary()),
+                                              pa.array([x[1] for x in done], pa.binary())], names=["block", "home", "sizes", "ids"])
+
+    table = staged(row.mapInArrow(blocks, cut_type), "bpe-blocks")
+    out = T.StructType([T.StructField("row", table.schema["row"].dataType), *made.fields])
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks().sort_by("home")
-        homes = next(np.frombuffer(zlib.decompress(h), "<u4") for h in left.column("homes").to_pylist() if h is not None)
-        whole = lambda c: b"".join(map(zlib.decompress, right.column(c).to_pylist()))
-        sizes = np.frombuffer(whole("sizes"), np.uint32).astype(np.int64) // 4
-        flat = np.frombuffer(whole("ids"), "<u4")
-        check = sum(x for x in left.column("check").to_pylist() if x is not None)
-        if len(sizes) != len(homes) or check != sum(right.column("check").to_pylist()):
-            raise RuntimeError("the input rows changed between two passes; write them to a table first")
-        where = np.empty(len(homes), np.int64)             # list number -> place among the returned words
-        where[np.argsort(homes, kind="stable")] = np.arange(len(homes))
-        begin = (np.cumsum(sizes) - sizes)[where]
-        size = sizes[where]
+        home = next(_unpress(h, "<u4") for h in left.column("homes").to_pylist() if h is not None)
+        whole = lambda c: np.concatenate([_unpress(x, "<u4") for x in right.column(c).to_pylist()] or [np.zeros(0, "<u4")])
+        size, flat = whole("sizes").astype(np.int64), whole("ids")
+        where = np.empty(len(home), np.int64)              # list number -> place among the returned words
+        where[np.argsort(home, kind="stable")] = np.arange(len(home))
+        begin, size = (np.cumsum(size) - size)[where], size[where]
         ids = []
         for x in left.column("at").to_pylist():
-            i = np.frombuffer(zlib.decompress(x), "<u4")
-            n = size[i]
-            ids.append(flat[np.repeat(begin[i] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes())
-        return pa.table([left.column("row"), pa.array(ids, pa.binary())], names=out.names)
-
-    words = row.mapInArrow(lists, "block bigint, home int, check bigint, sizes binary, words binary")
-    merged = words.repartition(parts, "home").mapInArrow(merge, "block bigint, home int, check bigint, sizes binary, ids binary")
-    placed = row.mapInArrow(positions, place)
+            i = _unpress(x, "<u4")
+            ids.append(_gather(flat, begin[i], size[i]))
+        arrays = then[1](ids) if then else [pa.array([x.tobytes() for x in ids], pa.binary())]
+        return pa.table([left.column("row"), *arrays], names=out.names)
+
+    merged = (table.filter("home IS NOT NULL").select("block", "home", "sizes", "words").repartition(parts, "home")
+              .mapInArrow(merge, "block bigint, home int, sizes binary, ids binary"))
+    placed = table.filter("home IS NULL").select("block", "row", "at", "homes")
     back = placed.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, out)
-    return back.select(*[F.col("row").getField(c).alias(c) for c in carried], "ids")
+    return back.select(*[F.col("row").getField(c).alias(c) for c in carried], *made.names)
 
 
 def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``bytes``: each id looked up in the token-byte table, which every task loads.
+    """``encoded`` with ``bytes``: its ids joined with the token-byte table.
 
     NULL ids stay NULL; an id outside the vocabulary raises; columns named ``bytes`` give way.
     """
@@ -170,33 +208,32 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids") -> DataFrame:
     schema = T.StructType([encoded.schema[c] for c in carried] + [T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bpe.load("bytes", ranks).tokens
+        table = token_table(ranks)
         for b in pieces(batches, ids_col):
-            out = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                   for x in b.column(ids_col).to_pylist()]
+            out = [None if x is None else b"".join(table.joined(np.frombuffer(x, "<u4"))) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=schema.names)
 
     return encoded.select(*[F.col(identifier(c)) for c in carried]).mapInArrow(run, schema)
 
 
-def _ids_digest(df: DataFrame, vocabulary_size: int) -> DataFrame:
-    """n_tokens and the SHA-256 of the decimal ids joined by a space."""
-    carried = [c for c in df.columns if c != "ids"]
-    schema = T.StructType([df.schema[c] for c in carried] + [T.StructField("n_tokens", T.LongType()),
-                                                             T.StructField("ids_sha256", T.StringType())])
+DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                        T.StructField("decoded_sha256", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digits = [str(i) for i in range(vocabulary_size)]
-        for b in pieces(batches, "ids"):
-            n, sha = [], []
-            for x in b.column("ids").to_pylist():
-                ids = np.frombuffer(x, "<u4").tolist()
-                n.append(len(ids))
-                sha.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carried], pa.array(n, pa.int64()), pa.array(sha, pa.string())],
-                                             names=schema.names)
 
-    return df.select(*carried, "ids").mapInArrow(run, schema)
+def digests(ids: list[np.ndarray], ranks: str) -> list[pa.Array]:
+    """Number of ids, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded bytes."""
+    table = token_table(ranks)
+    decimal = decimals(len(table.size))
+
+    def sha(pieces_of, cut_last):
+        h, held = hashlib.sha256(), b""
+        for x in pieces_of:
+            h.update(held)
+            held = x
+        h.update(held[:-1] if cut_last else held)
+        return h.hexdigest()
+    return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(decimal.joined(x), True) for x in ids], pa.string()),
+            pa.array([sha(table.joined(x), False) for x in ids], pa.string())]
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
@@ -204,6 +241,5 @@ def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    back = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    small = back.select("doc_id", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
-    return _ids_digest(small, 50_256).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    made = encode(docs, ranks, public_tokenizers.PATTERN, then=(DIGESTS, lambda ids: digests(ids, ranks)))
+    return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
