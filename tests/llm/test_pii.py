@@ -85,7 +85,7 @@ def test_disclosive_terms(spark):
 
 
 def brute_terms(docs, generalise_at=0.75, min_contexts=3):
-    """term -> disclosure, by plain loops over the definition."""
+    """term -> disclosure, by plain loops over the definition (texts differ from each other)."""
     word = lambda t: [w.translate(AZ) for w in re.findall(r"[^\W_]{3,}", t)]
     seen, df_e, df_t = {}, {}, {}
     for row, text in enumerate(docs):
@@ -105,12 +105,19 @@ def brute_terms(docs, generalise_at=0.75, min_contexts=3):
             context = tuple(dict.fromkeys(word(before + " " + after)))
             for w in context:
                 seen.setdefault((value, w), {}).setdefault(text, set()).add(context)
-    out = {}
+    out, tested = {}, {}
+    for value, _ in seen:
+        tested[value] = tested.get(value, 0) + 1
     for (value, w), per in seen.items():
         # one context per document, by the smallest hash: only texts with one mention of the value are compared here
         co = len({next(iter(c)) for c in per.values()})
         n, e = len(docs), len(df_e[value])
-        if co >= min_contexts and e < n:
+        top = 2 ** (math.floor(math.log2(df_t[w])) + 1)
+        rarer = (sum(x for x in df_t.values() if x < top) + 3) / sum(df_t.values())
+        mean = e * df_t[w] / n
+        tail = 1 - sum(math.exp(-mean) * mean ** i / math.factorial(i) for i in range(co - 1))
+        evident = co >= min_contexts or (mean < 1 and tested[value] * rarer * tail <= pii.CHANCE)
+        if evident and e < n:
             share = min(1.0, math.log2(n * co / (e * df_t[w])) / math.log2(n / e))
             if share >= generalise_at:
                 out[w] = max(share, out.get(w, 0.0))
@@ -181,3 +188,49 @@ def test_entities_seen_once_or_twice(spark):
     got = {r.doc_id: r for r in pii.sanitise(df).collect()}
     assert "orblax" not in got[6000].sanitised + got[6001].sanitised and "quillon" not in got[6002].sanitised
     assert got[0].spans == [] and "word" in got[6000].sanitised
+
+
+def test_few_contexts_equal_brute_force(spark):
+    rnd = random.Random(9)
+    say = lambda n: " ".join(f"word{rnd.randrange(40)}" for _ in range(n))
+    docs = [f"{say(18)} n{i}" for i in range(1500)]
+    for k, often in enumerate([1, 1, 2, 2, 3, 4]):          # entities with a rare word beside them, some of which stand elsewhere too
+        docs += [f"{say(3)} secret{k} u{k}@mail.org {say(3)} a{i}" for i in range(often)]
+        docs += [f"secret{k} {say(9)} b{i}" for i in range(k % 3 * 2)]
+    docs += [f"{say(4)} rare{i}x v{i}@mail.org {say(4)}" for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    got = {r.term: r.disclosure for r in pii.disclosive_terms(df).collect()}
+    want = brute_terms(docs)
+    assert set(got) == set(want) and len(want) >= 4 and all(abs(got[w] - want[w]) < 1e-6 for w in want)
+
+
+def test_rare_words_beside_an_entity_seen_once_are_no_evidence(spark):
+    rnd = random.Random(10)
+    say = lambda n: " ".join(rnd.choice(["the", "and", "river"]) if rnd.random() < 0.7 else f"name{rnd.randrange(10 ** 6)}" for _ in range(n))
+    docs = [say(30) for _ in range(800)] + [f"{say(10)} x{i}@mail.org {say(10)}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    assert pii.disclosive_terms(df).isEmpty()
+
+
+def test_clean_documents_are_left_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = pii.sanitise(docs).select("text", "sanitised", "spans").collect()
+    clean = [r for r in got if not brute(r.text)]
+    assert len(clean) > 500 and sum(r.sanitised == r.text for r in clean) >= 0.95 * len(clean)
+
+
+def test_very_many_spans_in_one_text(spark):
+    one = "mail a@b.cd or +49 30 1234567, \u00e9 "
+    text = one * 16_000                                       # 32,000 spans
+    got = check(spark, [text])[0]
+    assert got.sanitised == "mail [EMAIL] or [PHONE], \u00e9 " * 16_000
+
+
+def test_running_sums_over_runs(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(4)
+    data = [[rnd.randrange(100) for _ in range(n)] for n in (0, 1, 2, 127, 128, 129, 256, 1000)]
+    df = spark.createDataFrame([(x,) for x in data], "x array<bigint>")
+    got = df.select("x", pii._sums(F.col("x")).alias("s"), pii._scan(F.col("x"), lambda a, x: F.greatest(a, x), F.lit(0).cast("bigint")).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.x[:i]) for i in range(len(r.x))] and r.m == [max(r.x[:i], default=0) for i in range(len(r.x))]
