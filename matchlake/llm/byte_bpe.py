@@ -111,11 +111,12 @@ def decimals(count: int) -> TokenTable:
 
 
 def _press(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x), 1)
+    """Unsigned 32-bit numbers, compressed byte by byte: first all low bytes, last all high ones."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T), 3)
 
 
-def _unpress(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), kind)
+def _unpress(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
@@ -136,8 +137,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
     row_type = row.schema["row"].dataType
     cut_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("home", T.IntegerType()),     # a list: block, home, sizes, words
                              T.StructField("sizes", T.BinaryType()), T.StructField("words", T.BinaryType()),
-                             T.StructField("row", row_type), T.StructField("at", T.BinaryType()),              # a text: block, row, at
-                             T.StructField("homes", T.BinaryType())])                                          # and with a block's first
+                             T.StructField("row", row_type), T.StructField("number", T.IntegerType()),         # a text: block, row, number; the first
+                             T.StructField("per", T.BinaryType()), T.StructField("at", T.BinaryType()),        # has the block's pre-tokens per text,
+                             T.StructField("homes", T.BinaryType())])                                          # their places, the words' homes
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, part = splitter(pattern), TaskContext.get().partitionId()
@@ -145,32 +147,37 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
             words, places = split(texts(b.column("text")))
             coded = words.dictionary_encode()
             index = coded.indices.to_numpy(zero_copy_only=False)
-            raw, size = _flat(coded.dictionary)
+            often = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")   # frequent words get low numbers
+            number = np.empty(len(often), np.int64)
+            number[often] = np.arange(len(often))
+            raw, size = _flat(coded.dictionary.take(pa.array(often)))
             home = (_hashes(raw, size) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             begin = np.cumsum(size) - size
             edge = np.searchsorted(home[order], np.arange(parts + 1))
-            lists = [(h, _press(size[o].astype("<u4")), _press(_gather(raw, begin[o], size[o])))
+            lists = [(h, _press(size[o]), zstandard.compress(_gather(raw, begin[o], size[o]).tobytes(), 3))
                      for h, (i, j) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)) if j > i for o in [order[i:j]]]
             n, m, block = len(places), len(lists), (part << 24) + k
+            at = number[index[np.concatenate(places)]] if len(index) else np.zeros(0, np.int64)
+            first = lambda x: pa.array([None] * m + [x] + [None] * (n - 1), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * (m + n), pa.int64()), pa.array([x[0] for x in lists] + [None] * n, pa.int32()),
                  pa.array([x[1] for x in lists] + [None] * n, pa.binary()), pa.array([x[2] for x in lists] + [None] * n, pa.binary()),
                  pa.concat_arrays([pa.nulls(m, b.column("row").type), b.column("row")]),
-                 pa.array([None] * m + [_press(index[x].astype("<u4")) for x in places], pa.binary()),
-                 pa.array([None] * m + [_press(home.astype("<u4"))] + [None] * (n - 1), pa.binary())], names=cut_type.names)
+                 pa.array([None] * m + list(range(n)), pa.int32()), first(_press(np.fromiter(map(len, places), np.int64, n))),
+                 first(_press(at)), first(_press(home))], names=cut_type.names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Merge each distinct word of this task's hash range once."""
         memory = Memory(bpe.load("bytes", ranks).encode, MEMORY)
         for b in pieces(batches, "words", 1 << 19):
-            size = [_unpress(x, "<u4") for x in b.column("sizes").to_pylist()]
+            size = [_unpress(x) for x in b.column("sizes").to_pylist()]
             raw = b"".join(map(zstandard.decompress, b.column("words").to_pylist()))
             edge = np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)])
             words = pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(raw))
             flat, n = memory.ids(words)
             word, end = np.cumsum([0, *map(len, size)]).tolist(), np.concatenate([[0], np.cumsum(n)])
-            done = [(_press(n[i:j].astype("<u4")), _press(flat[end[i]:end[j]].astype("<u4"))) for i, j in zip(word, word[1:], strict=False)]
+            done = [(_press(n[i:j]), _press(flat[end[i]:end[j]])) for i, j in zip(word, word[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("home"), pa.array([x[0] for x in done], pa.binary()),
                                               pa.array([x[1] for x in done], pa.binary())], names=["block", "home", "sizes", "ids"])
 
@@ -178,23 +185,21 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
     out = T.StructType([T.StructField("row", table.schema["row"].dataType), *made.fields])
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.combine_chunks(), right.combine_chunks().sort_by("home")
-        home = next(_unpress(h, "<u4") for h in left.column("homes").to_pylist() if h is not None)
-        whole = lambda c: np.concatenate([_unpress(x, "<u4") for x in right.column(c).to_pylist()] or [np.zeros(0, "<u4")])
+        left, right = left.combine_chunks().sort_by("number"), right.combine_chunks().sort_by("home")
+        per, at, home = (_unpress(left.column(c)[0].as_py()) for c in ("per", "at", "homes"))
+        whole = lambda c: np.concatenate([_unpress(x) for x in right.column(c).to_pylist()] or [np.zeros(0, "<u4")])
         size, flat = whole("sizes").astype(np.int64), whole("ids")
         where = np.empty(len(home), np.int64)              # list number -> place among the returned words
         where[np.argsort(home, kind="stable")] = np.arange(len(home))
         begin, size = (np.cumsum(size) - size)[where], size[where]
-        ids = []
-        for x in left.column("at").to_pylist():
-            i = _unpress(x, "<u4")
-            ids.append(_gather(flat, begin[i], size[i]))
+        edge = np.concatenate([[0], np.cumsum(per, dtype=np.int64)]).tolist()
+        ids = [_gather(flat, begin[x], size[x]) for x in (at[i:j] for i, j in zip(edge, edge[1:], strict=False))]
         arrays = then[1](ids) if then else [pa.array([x.tobytes() for x in ids], pa.binary())]
         return pa.table([left.column("row"), *arrays], names=out.names)
 
     merged = (table.filter("home IS NOT NULL").select("block", "home", "sizes", "words").repartition(parts, "home")
               .mapInArrow(merge, "block bigint, home int, sizes binary, ids binary"))
-    placed = table.filter("home IS NULL").select("block", "row", "at", "homes")
+    placed = table.filter("home IS NULL").select("block", "row", "number", "per", "at", "homes")
     back = placed.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, out)
     return back.select(*[F.col("row").getField(c).alias(c) for c in carried], *made.names)
 
