@@ -88,11 +88,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch() -> None:
-    """Delete the intermediate tables written so far (runs at interpreter exit, or call it
-    once the results that read them are no longer needed)."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+def scratch_tables() -> list[str]:
+    """Paths of the intermediate tables that exist now."""
+    return [path for _, path in _SCRATCH]
+
+
+def drop_scratch(paths: list[str] | None = None) -> None:
+    """Delete the intermediate tables written so far, or those of ``paths`` (runs at interpreter exit,
+    or call it once the results that read them are no longer needed)."""
+    chosen = [x for x in _SCRATCH if paths is None or x[1] in paths]
+    while chosen:
+        spark, path = chosen.pop()
+        _SCRATCH.remove((spark, path))
         if spark.sparkContext._jsc is None:   # session already stopped
             continue
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
