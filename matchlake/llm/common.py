@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """A written table, marked for broadcast where it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def addressed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` and the same with its rows' addresses ``_file`` and ``_row``. Rows of files have
+    one; any other table is written first."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        return docs, docs.select("*", *place)
+    except AnalysisException:
+        docs = staged(docs, "addressed")
+        return docs, docs.select("*", *place)
+
+
 def spare(df: DataFrame, base: str) -> str:
     """A column name that no column of ``df`` has (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@
 
 All counts cover all documents; nothing is sampled. Words are counted with map-side
 combination; only disclosive words leave the documents again. Small tables (copied texts,
-disclosive words, texts that hold one) are counted and broadcast up to ``SMALL`` rows;
+disclosive words, texts that hold one) are counted and broadcast up to a fixed number of rows;
 beyond that they are joined by shuffle, with the same result.
 
 Positions come from running sums in two levels (``_scan``) and texts are cut by way of
@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import az_lower, documents, identifier, keep_columns, spare, staged
+from .common import az_lower, documents, identifier, keep_columns, small, spare, staged
 
 # The four base kinds in order, as possessive forms of the stated patterns.
 # card: a whole run of digits with single separators, 16 to 19 digits long.
@@ -190,14 +190,6 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(az_lower(text), F.lit(WORD), F.lit(0)))
 
 
-SMALL = 200_000      # rows of a small table, at most, that is broadcast
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast where it has at most ``SMALL`` rows."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def _text(docs: DataFrame, text_col: str) -> DataFrame:
     """t (NULL: empty), its base spans s, and m: the text with those blanked."""
     base = base_spans(docs.select(F.coalesce(F.col(identifier(text_col)), F.lit("")).alias("t")), "t", "s")
@@ -208,7 +200,7 @@ def _word_counts(docs: DataFrame, text_col: str, copied: DataFrame) -> DataFrame
     """(term, df_t): distinct texts that hold a word. Rows that hold it, less the copies: a copied text's rows but one."""
     rows = _text(docs, text_col).select(F.explode(_words(F.col("m"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("x"))
     text = F.coalesce(F.col(identifier(text_col)), F.lit(""))
-    again = (docs.select(_key(text).alias("key"), text.alias("t")).join(_small(copied), "key")
+    again = (docs.select(_key(text).alias("key"), text.alias("t")).join(small(copied), "key")
              .groupBy("key", "rows").agg(F.first("t").alias("t")))
     again = (base_spans(again, "t", "s").select((1 - F.col("rows")).alias("x"), F.explode(_words(_blanked(F.col("t"), F.col("s")))).alias("term"))
              .groupBy("term").agg(F.sum("x").alias("x")))
@@ -292,11 +284,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
         df = df.withColumn("spans", F.col("base"))
     else:
         hits = _text(docs, text_col).select(_key(F.col("t")).alias("key"), F.explode(_words(F.col("m"))).alias("term"))
-        found = staged(hits.join(_small(terms), "term").groupBy("key")
+        found = staged(hits.join(small(terms), "term").groupBy("key")
                        .agg(F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("gone"),
                             F.collect_set(F.when(F.col("action") != "remove", F.col("term"))).alias("general")), "pii-found")
         lowered = az_lower(_blanked(F.col("t"), F.col("base")))
-        df = (df.withColumn("key", _key(F.col("t"))).join(_small(found), "key", "left")
+        df = (df.withColumn("key", _key(F.col("t"))).join(small(found), "key", "left")
               .withColumn("spans", F.when(F.col("gone").isNull(), F.col("base")).otherwise(
                   F.concat("base", term_spans(lowered, F.col("gone"), F.col("general"))))))
     mark = lambda s: F.when(s["label"] == "", F.lit("")).otherwise(F.concat(F.lit("["), s["label"], F.lit("]")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import AZ_BYTES, documents, identifier, keep_columns, pieces, staged, texts
+from .common import AZ_BYTES, addressed, documents, identifier, keep_columns, pieces, small, staged, texts
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161,
                                              9650029242287828579, 2870177450012600261))   # Fixed values: XXH64 primes
@@ -420,6 +420,15 @@ def near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str
         F.col("best.id").alias("component_id"), (F.col("rid") == F.col("best.rid")).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_dedup`` keeps. Texts are read for the fingerprints alone: only
+    identifiers and addresses travel, and the rows to leave out are dropped where they are read."""
+    docs, placed = addressed(docs)
+    slim = placed.select(F.col(identifier(id_col)).alias("id"), F.col(identifier(text_col)).alias("fingerprint"), "_file", "_row")
+    gone = staged(near_dedup(slim, shingle, max_bits, "id", "fingerprint").filter(~F.col("kept")).select("_file", "_row"), "simhash-gone")
+    return placed.join(small(gone), ["_file", "_row"], "left_anti").select(*[F.col(identifier(c)) for c in docs.columns])
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     """Whole ``documents``: 4-word shingles, links at 4 or fewer differing bits."""
     docs = documents(spark, sf_dir).select("doc_id", "text")

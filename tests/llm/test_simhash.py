@@ -116,3 +116,16 @@ def test_empty(spark):
 def test_query(spark):
     src = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF0001}/documents.parquet").collect()]
     assert sorted([tuple(r) for r in op5_simhash(spark, SF0001).collect()], key=str) == expect(src)
+
+
+def test_rows_without_near_copies(spark, tmp_path):
+    from matchlake.llm.simhash import near_dedup, without_near_copies
+    src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(1, None, "x", "y", 3), (1, None, "x", "y", 3)], src.schema)
+    both = src.unionByName(extra)
+    path = str(tmp_path / "docs")
+    both.repartition(3).write.parquet(path)
+    for docs in (spark.read.parquet(path), both, both.limit(0)):
+        got, want = without_near_copies(docs), near_dedup(docs).filter("kept")
+        assert got.columns == docs.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
