@@ -16,7 +16,22 @@ from matchlake.llm.exact_dedup import exact_dedup
 from matchlake.llm.langid import NONE, held_out, identify, train
 from matchlake.llm.packing import pack, packed_pieces
 from matchlake.llm.pii import sanitise
-from matchlake.llm.simhash import near_dedup
+from matchlake.llm.simhash import without_near_copies
+from matchlake.session import drop_scratch, scratch_tables
+
+_MADE: list[str] = []
+
+
+def _stage(fn):
+    """``fn`` as a stage: its result is written before the next stage begins, so the next one
+    first removes the scratch tables that this one made."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(_MADE)
+        before = set(scratch_tables())
+        out = fn(spark, docs, sf_dir)
+        _MADE[:] = [path for path in scratch_tables() if path not in before]
+        return out
+    return run
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +51,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group within 4 of 64 bits stays (4-word shingles)."""
-    return near_dedup(docs, shingle=4, max_bits=4).filter("kept").select(*docs.columns)
+    return without_near_copies(docs, shingle=4, max_bits=4)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +66,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", known_language),
-    ("exact_dedup", drop_exact_copies),
-    ("simhash", drop_near_copies),
-    ("pii", without_personal_data),
-    ("packing", packed),
+    ("language_id", _stage(known_language)),
+    ("exact_dedup", _stage(drop_exact_copies)),
+    ("simhash", _stage(drop_near_copies)),
+    ("pii", _stage(without_personal_data)),
+    ("packing", _stage(packed)),
 ]
 
 # Recurrent networks, fingerprints and tokenizers are beyond SQL; tests/llm compares with brute force.
