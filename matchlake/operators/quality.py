@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import number_key
+
 TESTS = ("not_null", "unique", "accepted_values", "relationships")
 
 RESULT_SCHEMA = T.StructType([
@@ -146,36 +148,42 @@ def _unique_rules(df: DataFrame, items: list[tuple[int, Rule]]) -> DataFrame | N
     return _value_rules(df, items)
 
 
+NUMBER = "number"      # compared by the digits of number_key
+
+
 def _common_type(child: T.DataType, parent: T.DataType) -> str:
-    """The type in which a child's value is compared with its parent's key: nothing is narrowed."""
-    if isinstance(parent, T.IntegralType) and isinstance(child, (T.IntegralType, T.StringType)):
+    """The type in which a child's value is compared with its parent's key: nothing is narrowed
+    or rounded. Numbers of different types, and text against numbers, compare by their digits."""
+    if isinstance(child, T.IntegralType) and isinstance(parent, T.IntegralType):
         return "bigint"
+    if child == parent:
+        return parent.simpleString()
     if isinstance(parent, T.NumericType) and isinstance(child, (T.NumericType, T.StringType)):
-        whole = isinstance(child, (T.IntegralType, T.DecimalType)) and isinstance(parent, (T.IntegralType, T.DecimalType))
-        return "decimal(38,10)" if whole else "double"
-    return parent.simpleString() if isinstance(child, T.StringType) or child == parent else "string"
+        return NUMBER
+    return parent.simpleString() if isinstance(child, T.StringType) else "string"
 
 
 def _relationship_rules(df: DataFrame, parent: DataFrame, pfield: str,
                         items: list[tuple[int, Rule]]) -> DataFrame:
     """Child rows without a parent, for every rule targeting ``parent.pfield``.
 
-    Both sides are widened to a common type; a child value that cannot be converted has no
-    parent. Child values are pre-aggregated to (rule, value, rows) before the anti join, so
-    a hot child value is combined map-side and crosses the shuffle once; parent keys are
-    de-duplicated. Failures are child *rows*. One anti join per compared type.
+    Both sides are brought to a common type without loss; a child value that cannot be
+    converted has no parent. Child values are pre-aggregated to (rule, value, rows) before
+    the anti join, so a hot child value is combined map-side and crosses the shuffle once;
+    parent keys are de-duplicated. Failures are child *rows*. One anti join per compared type.
     """
     ptype = parent.schema[pfield].dataType
+    as_key = lambda d, c, fam: number_key(F.col(c), d.schema[c].dataType) if fam == NUMBER else F.col(c).try_cast(fam)
     fams: dict[str, list[tuple[int, Rule]]] = {}
     for i, r in items:
         fams.setdefault(_common_type(df.schema[r.column].dataType, ptype), []).append((i, r))
     out = None
     for fam, xs in fams.items():
         pairs = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.col(r.column).isNotNull().alias("set"),
-                                   F.col(r.column).try_cast(fam).alias("v")) for i, r in xs])
+                                   as_key(df, r.column, fam).alias("v")) for i, r in xs])
         child = (df.select(F.explode(pairs).alias("p")).select("p.*").filter("set")
                  .groupBy("rule_id", "v").agg(F.count(F.lit(1)).alias("n")))
-        keys = parent.select(F.col(pfield).try_cast(fam).alias("v")).filter(F.col("v").isNotNull()).distinct()
+        keys = parent.select(as_key(parent, pfield, fam).alias("v")).filter(F.col("v").isNotNull()).distinct()
         g = child.join(keys, "v", "left_anti").groupBy("rule_id").agg(F.sum("n").alias("failures"), F.sum("n").alias("failing_rows"))
         out = g if out is None else out.unionByName(g)
     return out

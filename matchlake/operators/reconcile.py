@@ -1,8 +1,9 @@
 """Reconciliation of two copies of a table (e.g. a source store and a migrated copy).
 
 Both sides are first *normalised*: column names lower-cased and every value rendered as
-canonical text that loses nothing (``canonical_text``). Numbers in tolerance columns are
-compared as doubles (text is made from the double, the number kept beside it).
+canonical text that loses nothing (``canonical_text``). Numbers in tolerance columns keep
+a double beside their text for the tolerance; the text is the double's, or the number's own
+digits where a double cannot hold them.
 
 * counts and signed difference (right - left);
 * null profile: one aggregate per side for all columns, unpivoted, joined on the column;
@@ -12,16 +13,22 @@ compared as doubles (text is made from the double, the number kept beside it).
   finds what is left over; only the left-over rows' values are fetched, by a semi-join on the
   hash. They are paired by occurrence within their key (NULL keys pair with NULL keys) and
   compared cell by cell: both NULL are equal, one NULL differs, tolerance else.
-  Occurrence numbers are running totals over sorted ranges, so a key whose rows all differ
-  is spread over as many tasks as it needs.
+  What is left over is written once, and counted: nothing left ends the diff there. While no
+  key has more than ``KEY_ROWS`` left-over rows, a window by key numbers them; beyond that the
+  same numbers are running totals over sorted ranges, so a key whose rows all differ is spread
+  over as many tasks as it needs.
+* one-row summary: every row is hashed once; equal checksums and an empty left-over table
+  say the same of the two sides, so the summary reads the latter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import DEFAULT_TOLERANCE, canonical_text
+from ..session import scratch_path
 from .running import running_total
 
 HASH = "_h"
@@ -34,8 +41,11 @@ def normalise(df: DataFrame, columns: list[str], numeric: list[str] | None = Non
     for c in columns:
         src = F.col(low[c.lower()])
         if c in (numeric or []):
-            num = src.cast("double")
-            out += [F.when(num == 0, F.lit("0.0")).otherwise(num.cast("string")).alias(c), num.alias(f"{c}__num")]
+            dtype, num = df.schema[low[c.lower()]].dataType, src.cast("double")
+            text = F.when(num == 0, F.lit("0.0")).otherwise(num.cast("string"))
+            if isinstance(dtype, (T.DecimalType, T.IntegralType)):      # digits that a double would lose
+                text = F.when(num.try_cast(dtype).eqNullSafe(src), text).otherwise(src.cast("string"))
+            out += [text.alias(c), num.alias(f"{c}__num")]
         else:
             out.append(canonical_text(src, df.schema[low[c.lower()]].dataType).alias(c))
     return df.select(*out)
@@ -79,18 +89,25 @@ def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 BLOCK = 10_000
+KEY_ROWS = 100_000      # left-over rows of a key that one window may number
 KN, KV = "_kn", "_kv"   # key encoded as (is-null flag, value with NULL replaced): plain equi-joins
 
 
-def _expand(groups: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
+def _expand(groups: DataFrame, columns: list[str], block: int = BLOCK, hot: bool = True) -> DataFrame:
     """(encoded key, _n copies of _row) → one row per copy with its occurrence number in the key.
 
     Occurrence numbers follow the row text order inside a key: a running total over the
-    left-over *groups* (one row per distinct row, never per copy). Copies are produced in
-    blocks of at most ``block``: the block list is redistributed before it is expanded,
-    so a row repeated a billion times is spread over many tasks.
+    left-over *groups* (one row per distinct row, never per copy), by a window per key or,
+    with a ``hot`` key, over sorted ranges. Copies are produced in blocks of at most ``block``:
+    the block list is redistributed before it is expanded, so a row repeated a billion times
+    is spread over many tasks.
     """
-    g = running_total(groups.withColumn("_txt", row_text([f"_row.{c}" for c in columns])), [KN, KV], ["_txt"], "_n", "_base")
+    groups = groups.withColumn("_txt", row_text([f"_row.{c}" for c in columns]))
+    if hot:
+        g = running_total(groups, [KN, KV], ["_txt"], "_n", "_base")
+    else:
+        before = Window.partitionBy(KN, KV).orderBy("_txt").rowsBetween(Window.unboundedPreceding, -1)
+        g = groups.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     blocks = g.select(KN, KV, "_row", "_n", "_base",
                       F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("long"))).alias("_b"))
     blocks = blocks.repartition(KN, KV, "_b", "_base")
@@ -99,27 +116,43 @@ def _expand(groups: DataFrame, columns: list[str], block: int = BLOCK) -> DataFr
         KN, KV, "_row", (F.col("_base") + F.col("_i") + 1).alias("_occ"))
 
 
+def _keyed(df: DataFrame, key: str, columns: list[str], payload: list[str]) -> DataFrame:
+    return df.select(F.col(key).isNull().alias(KN), F.coalesce(F.col(key), F.lit("")).alias(KV), row_hash(columns).alias(HASH), *payload)
+
+
+def left_over(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(encoded key, row hash, _s): rows that the sides do not share, as copies more on the left
+    (positive) or on the right; written once."""
+    l, r = _keyed(left, key, columns, []), _keyed(right, key, columns, [])
+    both = l.withColumn("_s", F.lit(1)).unionByName(r.withColumn("_s", F.lit(-1)))
+    path = scratch_path(left.sparkSession, "left-over")
+    both.groupBy(KN, KV, HASH).agg(F.sum("_s").alias("_s")).filter(F.col("_s") != 0).write.parquet(path)
+    return left.sparkSession.read.parquet(path)
+
+
 def paired(left: DataFrame, right: DataFrame, key: str, columns: list[str], numeric: list[str] | None = None,
-           eps: float = DEFAULT_TOLERANCE) -> DataFrame:
+           eps: float = DEFAULT_TOLERANCE, over: DataFrame | None = None, key_rows: int = KEY_ROWS) -> DataFrame:
     """Rows not identical on both sides, paired by occurrence within their key.
 
     Output: (key, occ, side ∈ {both, left_only, right_only}, cells array<struct<column,
-    left_value, right_value, differs>>). NULL keys pair with NULL keys.
+    left_value, right_value, differs>>). NULL keys pair with NULL keys. ``over``: the sides'
+    ``left_over``, where it is known already.
     """
     numeric = numeric or []
     payload = [*columns, *[f"{c}__num" for c in numeric]]
-    keyed = lambda df: df.select(F.col(key).isNull().alias(KN), F.coalesce(F.col(key), F.lit("")).alias(KV),
-                                 row_hash(columns).alias(HASH), *payload)
-    l0, r0 = keyed(left), keyed(right)
-    both = l0.select(KN, KV, HASH, F.lit(1).alias("_s")).unionByName(r0.select(KN, KV, HASH, F.lit(-1).alias("_s")))
-    over = both.groupBy(KN, KV, HASH).agg(F.sum("_s").alias("_s")).filter(F.col("_s") != 0)
+    l0, r0 = _keyed(left, key, columns, payload), _keyed(right, key, columns, payload)
+    over = left_over(left, right, key, columns) if over is None else over
+    most = over.groupBy(KN, KV, F.col("_s") > 0).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if not most:
+        cell = "struct<column:string,left_value:string,right_value:string,differs:boolean>"
+        return left.sparkSession.createDataFrame([], f"`{key}` string, occ bigint, side string, cells array<{cell}>")
 
     def residue(side, sign):
         """The side's left-over rows: values fetched by hash, one row per distinct row."""
         mine = over.filter(F.col("_s") * sign > 0).select(KN, KV, HASH, F.abs("_s").alias("_n"))
         rows = side.join(mine, [KN, KV, HASH])
         g = rows.groupBy(KN, KV, HASH).agg(F.max("_n").alias("_n"), F.first(F.struct(*payload)).alias("_row"))
-        return _expand(g.drop(HASH), columns)
+        return _expand(g.drop(HASH), columns, hot=most > key_rows)
 
     p = residue(l0, 1).alias("l").join(residue(r0, -1).alias("r"), [KN, KV, "_occ"], "full")
     side = (F.when(F.col("l._row").isNull(), F.lit("right_only"))
@@ -137,9 +170,9 @@ def paired(left: DataFrame, right: DataFrame, key: str, columns: list[str], nume
 
 
 def diff(left: DataFrame, right: DataFrame, key: str, columns: list[str], numeric: list[str] | None = None,
-         eps: float = DEFAULT_TOLERANCE) -> DataFrame:
+         eps: float = DEFAULT_TOLERANCE, over: DataFrame | None = None) -> DataFrame:
     """Paired rows that differ or lack a partner: (key, occ, side, diff_columns array<string>)."""
-    p = paired(left, right, key, columns, numeric, eps)
+    p = paired(left, right, key, columns, numeric, eps, over)
     dc = F.transform(F.filter("cells", lambda x: x["differs"]), lambda x: x["column"])
     out = p.select(key, "occ", "side", F.when(F.col("side") == "both", dc)
                    .otherwise(F.array().cast("array<string>")).alias("diff_columns"))
@@ -157,17 +190,14 @@ def cell_diffs(left: DataFrame, right: DataFrame, key: str, columns: list[str],
 def summary(name: str, left: DataFrame, right: DataFrame, key: str, columns: list[str],
             numeric: list[str] | None = None, eps: float = DEFAULT_TOLERANCE) -> DataFrame:
     """One row: counts, checksum match, mismatching rows and both status modes."""
-    rc = checksum(right, columns).select(F.struct("rows", "checksum")).scalar()
-    dc = diff(left, right, key, columns, numeric, eps).agg(F.struct(
-        F.count_if(F.col("side") == "both").alias("m"), F.count_if(F.col("side") == "left_only").alias("l"),
-        F.count_if(F.col("side") == "right_only").alias("r"))).scalar()
-    j = checksum(left, columns).select(
-        F.col("rows").alias("left_rows"), F.col("checksum").alias("lck"),
-        rc.getField("rows").alias("right_rows"), rc.getField("checksum").alias("rck"),
-        dc.getField("m").alias("mismatched_rows"), dc.getField("l").alias("left_only_rows"),
-        dc.getField("r").alias("right_only_rows"))
+    over = left_over(left, right, key, columns)
+    none = over.isEmpty()
+    dc = diff(left, right, key, columns, numeric, eps, over).agg(
+        F.count_if(F.col("side") == "both").alias("mismatched_rows"), F.count_if(F.col("side") == "left_only").alias("left_only_rows"),
+        F.count_if(F.col("side") == "right_only").alias("right_only_rows"))
+    j = dc.select(left.agg(F.count(F.lit(1))).scalar().alias("left_rows"), right.agg(F.count(F.lit(1))).scalar().alias("right_rows"), "*")
     eq_rows = F.col("left_rows") == F.col("right_rows")
-    ck = F.col("lck") == F.col("rck")
+    ck = F.lit(none)
     clean = (F.col("mismatched_rows") + F.col("left_only_rows") + F.col("right_only_rows")) == 0
     return j.select(F.lit(name).alias("table"), "left_rows", "right_rows",
                     (F.col("right_rows") - F.col("left_rows")).alias("row_diff"),

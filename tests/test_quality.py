@@ -75,3 +75,19 @@ def test_every_unique_column_is_found(spark):
     from matchlake.operators.suggest import suggest
     df = spark.range(20_000).select(*[(F.col("id") * (i + 3) + i).alias(f"c{i}") for i in range(200)])
     assert sum(r.test == "unique" for r in suggest({"t": df})) == 200
+
+
+def test_relationships_compare_numbers_exactly(spark):
+    from matchlake.operators.quality import Rule, evaluate
+    parent = spark.sql("SELECT CAST(x AS DECIMAL(38,18)) d, CAST(x AS DOUBLE) f, CAST(x AS BIGINT) i FROM VALUES "
+                       "(1.0), (0.1), (9007199254740992), (100000000000000000000), (-2.5) t(x) WHERE x < 1e18").unionByName(
+        spark.sql("SELECT CAST(NULL AS DECIMAL(38,18)) d, 1e20D f, CAST(NULL AS BIGINT) i"))
+    child = spark.sql("SELECT CAST(d AS DECIMAL(38,18)) dec, CAST(i AS BIGINT) int, CAST(f AS DOUBLE) dbl, s FROM VALUES "
+                      "(1.000000000004, 9007199254740993, 0.1D, '1.000000000004'), (1, 9007199254740992, 1e20D, '01.0'), "
+                      "(0.1, 1, 0.30000000000000004D, ' 9007199254740993 '), (-2.5, NULL, -2.5D, '-2.50'), (NULL, 0, 1e-25D, 'x'), "
+                      "(0.3, 2, NULL, '1e0'), (-0.0, 1, 1.0D, '+1') t(d, i, f, s)")
+    rules = [Rule.make("c", c, "relationships", to="p", field=f) for c in ("dec", "int", "dbl", "s") for f in ("d", "f", "i")]
+    got = {(r.column, r.args): r.failures for r in evaluate(spark, rules, {"c": child, "p": parent}).collect()}
+    want = {"dec": (3, 3, 4), "int": (3, 3, 2), "dbl": (3, 2, 5), "s": (3, 3, 4)}
+    for c, (d, f, i) in want.items():
+        assert [got[(c, '{"field": "%s", "to": "p"}' % x)] for x in "dfi"] == [d, f, i], (c, got)

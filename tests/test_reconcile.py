@@ -130,3 +130,48 @@ def test_hot_key_left_overs_are_numbered_once(spark):
     rows = p.select("occ", "side").collect()
     assert sorted(r.occ for r in rows) == list(range(1, n + 1))
     assert sum(r.side == "left_only" for r in rows) == 5 and sum(r.side == "both" for r in rows) == n - 5
+
+
+def test_nested_values_and_long_numbers_lose_nothing(spark):
+    def side(ts, dec, js, d, big, raw):
+        df = spark.sql(f"SELECT 1 k, named_struct('t', TIMESTAMP_NTZ '{ts}', 'n', CAST({dec} AS DECIMAL(38,20)), 'a', array(map('x', DATE '2024-01-02')), "
+                       f"'s', 'q\"]', 'e', CAST(NULL AS INT)) v, '{js}' j, CAST({d} AS DECIMAL(38,18)) x, {big} y, X'{raw}' b")
+        return R.normalise(df, ["k", "v", "j", "x", "y", "b"], ["x", "y"])
+    base = ("2024-01-01 00:00:00.000001", "0.12345678901234567890", '{"a": 1.5, "b": [1, 2]}', "1.000000000000000001", "9007199254740993L", "FF00")
+    same = ("2024-01-01 00:00:00.000001", "0.12345678901234567890", '{"b":[1,2],"a":1.5}', "1.000000000000000001", "9007199254740993L", "FF00")
+    cols = ["k", "v", "j", "x", "y", "b"]
+    s = R.summary("t", side(*base), side(*same), "k", cols, ["x", "y"]).first()
+    assert s.status_strict == "MATCH" and s.checksum_match
+    long = "1." + "1" * 50
+    changes = [(0, "2024-01-01 00:00:00.000002", False), (1, "0.12345678901234567891", False), (2, '{"a": 1.6, "b": [1, 2]}', False),
+               (3, "1.000000000000000002", True), (4, "9007199254740992L", True), (5, "FF01", False)]     # x and y have a tolerance
+    for at, value, close in changes:
+        other = [*base[:at], value, *base[at + 1:]]
+        s = R.summary("t", side(*base), side(*other), "k", cols, ["x", "y"]).first()
+        lc, rc = (R.checksum(side(*x), cols).first().checksum for x in (base, other))
+        assert s.status_strict == "MISMATCH" and not s.checksum_match and lc != rc, at
+        assert s.status_tolerant == ("MATCH" if close else "MISMATCH")
+    for a, b in ((f'{{"n": {long}1}}', f'{{"n": {long}2}}'), ('{"n": 1.00000000000000000001e0}', '{"n": 1e0}')):
+        l, r = ([*base[:2], x, *base[3:]] for x in (a, b))
+        assert R.summary("t", side(*l), side(*r), "k", cols, ["x", "y"]).first().status_tolerant == "MISMATCH"
+
+
+def test_a_struct_equals_its_json_text(spark):
+    df = spark.sql("SELECT 1 k, named_struct('b', 1, 'a', array('x', NULL), 'c', 1.50D) v")
+    text = spark.sql("""SELECT 1 k, '{"a": ["x", null], "b": 1, "c": 1.5}' v""")
+    l, r = R.normalise(df, ["k", "v"]), R.normalise(text, ["k", "v"])
+    assert l.first().v == r.first().v
+
+
+def test_left_overs_are_numbered_alike_by_window_and_by_ranges(spark):
+    left = _side(spark, [(i % 3, f"n{i}", float(i)) for i in range(60)] + [(1, "x", 0.0)] * 5)
+    right = _side(spark, [(i % 3, f"n{i}", i + 1.0) for i in range(50)])
+    both = [sorted(map(str, R.paired(left, right, "k", COLS, ["x"], key_rows=n).collect())) for n in (1, 1000)]
+    assert both[0] == both[1] and len(both[0]) == 65
+
+
+def test_no_residue_ends_the_diff(spark):
+    rows = [(1, "a", 1.0), (None, "b", 2.0)]
+    left, right = _side(spark, rows), _side(spark, rows)
+    assert R.diff(left, right, "k", COLS, ["x"]).count() == 0 and R.cell_diffs(left, right, "k", COLS, ["x"]).columns == \
+        ["k", "occ", "column", "left_value", "right_value"]
