@@ -1,48 +1,42 @@
 """Incremental fact maintenance as a Structured Streaming job.
 
 Raw event files (Parquet or JSON lines with the event schema) land in a folder; each
-micro-batch is typed, filtered to finished events, cut at the target's high-water mark
-and upserted by key. Without a table format the target is versioned: batch ``n`` reads
-the newest version and writes ``version=<n>`` in full, so a retried batch rewrites the
-same folder (idempotent) and readers always see a complete version.
+micro-batch is typed, filtered to finished events, cut at the target's high-water mark (kept
+in the target's version, no row is read for it) and merged by key into a partitioned table:
+only the partitions a batch touches are rewritten, a version is committed by one rename, and
+a retried epoch changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans import marts
 from ..sources.events import EVENT_SCHEMA, staged
+from .partitioned import PartitionedTable
 
+BUCKETS = 64
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+
+def table(spark: SparkSession, target: str) -> PartitionedTable:
+    return PartitionedTable(spark, target, "match_id", buckets=BUCKETS, high_water="match_date")
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The newest complete version of the target table, or None."""
-    v = _versions(spark, target)
-    return spark.read.parquet(f"{target}/version={v[-1]}") if v else None
+    """The newest committed version of the target table, or None."""
+    return table(spark, target).read()
 
 
 def upsert_batch(spark: SparkSession, batch_events: DataFrame, target: str, epoch: int,
-                 inclusive: bool = False) -> None:
-    fct = marts.fct_matches(staged(batch_events), strict=False)
-    prev = current(spark, target)
-    new = marts.incremental_batch(fct, prev, inclusive=inclusive)
-    out = new if prev is None else marts.upsert(prev, new, "match_id")
-    out.write.mode("overwrite").parquet(f"{target}/version={epoch + 1}")
+                 inclusive: bool = False) -> list[str]:
+    """Merge one micro-batch as version ``epoch``; the partitions rewritten."""
+    new, t = marts.fct_matches(staged(batch_events), strict=False), table(spark, target)
+    high = t.high()
+    if high is not None:
+        day, mark = F.col("match_date"), F.lit(high).cast("date")
+        new = new.filter(day >= mark if inclusive else day > mark)
+    return t.merge(new, epoch)
 
 
 def start(spark: SparkSession, source: str, target: str, checkpoint: str, fmt: str = "parquet",
