@@ -1,11 +1,15 @@
 """Rule-set algebra over rule *tables* (model, column, test, args, ...).
 
 Rules are data: many suites and many runs are just more rows, so merging, membership
-and the usefulness audit are joins and combinable aggregates, never driver loops.
+and the usefulness audit are joins and combinable aggregates, never driver loops. Where the
+tables hold several runs, ``by`` names the columns that tell them apart (``["run_id"]``):
+every step is then taken within each run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,48 +20,47 @@ def canonical_key() -> F.Column:
     return F.concat_ws("|", *[F.col(c) for c in KEY])
 
 
-def merge(base: DataFrame, new: DataFrame) -> DataFrame:
+def merge(base: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Base rules first (in their order), then new rules not already present.
 
     Output: (priority, position, model, column, test, args, origin); the merged order is
     (priority, position). De-duplication keeps the first occurrence via ``min(struct)``.
     """
-    u = (base.select(F.lit(0).alias("priority"), "position", *KEY, "origin")
-         .unionByName(new.select(F.lit(1).alias("priority"), "position", *KEY, "origin")))
-    g = u.groupBy(*KEY).agg(F.min(F.struct("priority", "position", "origin")).alias("f"))
-    return g.select(F.col("f.priority").alias("priority"), F.col("f.position").alias("position"), *KEY,
+    u = (base.select(*by, F.lit(0).alias("priority"), "position", *KEY, "origin")
+         .unionByName(new.select(*by, F.lit(1).alias("priority"), "position", *KEY, "origin")))
+    g = u.groupBy(*by, *KEY).agg(F.min(F.struct("priority", "position", "origin")).alias("f"))
+    return g.select(*by, F.col("f.priority").alias("priority"), F.col("f.position").alias("position"), *KEY,
                     F.col("f.origin").alias("origin"))
 
 
-def not_in(a: DataFrame, b: DataFrame) -> DataFrame:
+def not_in(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rules of ``a`` whose canonical key is absent from ``b``."""
-    return a.join(b.select(*KEY).distinct(), KEY, "left_anti")
+    return a.join(b.select(*by, *KEY).distinct(), [*by, *KEY], "left_anti")
 
 
 def useful_families(detections: DataFrame, detectors: DataFrame, condition: str,
-                    baseline: str = "manual_only") -> DataFrame:
+                    baseline: str = "manual_only", by: Sequence[str] = ()) -> DataFrame:
     """(test, model, column) of detectors whose anomaly ``condition`` caught and the baseline
     missed in the same batch."""
     d = detections.filter(F.col("condition").isin(condition, baseline))
-    g = d.groupBy("batch_id", "anomaly_id").agg(
+    g = d.groupBy(*dict.fromkeys([*by, "batch_id", "anomaly_id"])).agg(
         F.max(F.when(F.col("condition") == condition, F.col("detected"))).alias("c"),
         F.max(F.when(F.col("condition") == baseline, F.col("detected"))).alias("b"))
-    gained = g.filter(F.col("c") & ~F.coalesce(F.col("b"), F.lit(False))).select("anomaly_id").distinct()
-    return gained.join(detectors, "anomaly_id").select("test", "model", "column").distinct()
+    gained = g.filter(F.col("c") & ~F.coalesce(F.col("b"), F.lit(False))).select(*by, "anomaly_id").distinct()
+    return gained.join(detectors, "anomaly_id").select(*by, "test", "model", "column").distinct()
 
 
 def classify(generated: DataFrame, merged: DataFrame, baseline: DataFrame, useful: DataFrame,
-             fired: DataFrame | None = None) -> DataFrame:
+             fired: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """First match wins: not in merged → invalid; in baseline → redundant; detector family
     useful → useful; else low_value (split into fired_no_gain / no_evidence when ``fired``
     — (test, model, column) that failed in some run — is given). Adds a rationale."""
-    g = generated
-    g = g.join(merged.select(*KEY).distinct().withColumn("_in_merged", F.lit(True)), KEY, "left")
-    g = g.join(baseline.select(*KEY).distinct().withColumn("_in_base", F.lit(True)), KEY, "left")
-    g = g.join(useful.withColumn("_useful", F.lit(True)), ["test", "model", "column"], "left")
+    g, family = generated, [*by, "test", "model", "column"]
+    g = g.join(merged.select(*by, *KEY).distinct().withColumn("_in_merged", F.lit(True)), [*by, *KEY], "left")
+    g = g.join(baseline.select(*by, *KEY).distinct().withColumn("_in_base", F.lit(True)), [*by, *KEY], "left")
+    g = g.join(useful.withColumn("_useful", F.lit(True)), family, "left")
     if fired is not None:
-        g = g.join(fired.select("test", "model", "column").distinct().withColumn("_fired", F.lit(True)),
-                   ["test", "model", "column"], "left")
+        g = g.join(fired.select(*family).distinct().withColumn("_fired", F.lit(True)), family, "left")
     else:
         g = g.withColumn("_fired", F.lit(None).cast("boolean"))
     cls = (F.when(F.col("_in_merged").isNull(), "invalid")
@@ -75,9 +78,9 @@ def classify(generated: DataFrame, merged: DataFrame, baseline: DataFrame, usefu
                     detail.alias("classification_detail"), why.alias("rationale"))
 
 
-def audit_summary(classified: DataFrame) -> DataFrame:
+def audit_summary(classified: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts per class, share of all rules and of non-redundant executable rules (4 dp)."""
-    c = classified.agg(
+    c = (classified.groupBy(*by) if by else classified).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("classification") == "useful").alias("useful_count"),
         F.count_if(F.col("classification") == "redundant").alias("redundant_count"),

@@ -101,3 +101,36 @@ def audit(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     fired = out["results"].filter(F.col("status") == "fail")
     classified = RS.classify(gen_df, merged_df, base_df, useful, fired)
     return {"classified": classified, "summary": RS.audit_summary(classified), "useful": useful, **out}
+
+
+def results_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every suite on every corrupted batch, the batches as runs of one rule table."""
+    from ..operators import rule_table
+    clean = clean_marts(spark, sf_dir)
+    tg = inject.targets(clean, [s for specs in inject.BATCHES.values() for s in specs])
+    runs = {b: with_features(inject.apply(spark, clean, specs, b, tg)[0]) for b, specs in inject.BATCHES.items()}
+    rules, member = suites.union_rules(list(suites.CONDITIONS))
+    table = quality.rules_frame(spark, rules).join(spark.createDataFrame([(b,) for b in runs], "run_id string"))
+    mem = spark.createDataFrame(member, "condition string, rule_id int")
+    return rule_table.evaluate(table, runs).join(mem, "rule_id").select(
+        F.col("run_id").alias("batch_id"), "condition", "model", "column", "test", "args", "test_name", "status", "failures")
+
+
+def audit_by_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The audit with every batch as a run of its own: a suggestion may be useful in one run only."""
+    from ..operators import rules as RS
+    from ..operators.suggest import suggest
+    from . import warehouse
+    by, clean = ["run_id"], clean_marts(spark, sf_dir)
+    generated = suggest({"dim_teams": clean["dim_teams"], "fct_matches": clean["fct_matches"]})
+    base = suites.suite_rules("manual_only")
+    merged_rules = list(base) + [r for r in generated if r.key not in {b.key for b in base}]
+    out = run(spark, clean, conditions={"manual_only": base, "suggested_merged": merged_rules})
+    ids = spark.createDataFrame([(b,) for b in inject.BATCHES], "run_id string")
+    frame = lambda rules, origin: warehouse.rules_frame(spark, rules, origin).join(ids)  # noqa: E731  a row per run and rule
+    base_df, run_id = frame(base, "baseline"), F.col("batch_id").alias("run_id")
+    merged_df = RS.merge(base_df, frame(generated, "suggested"), by)
+    useful = RS.useful_families(out["detections"].select("*", run_id), scoring.detectors_frame(spark, suites.DETECTORS), "suggested_merged", by=by)
+    fired = out["results"].filter(F.col("status") == "fail").select("*", run_id)
+    classified = RS.classify(frame(generated + suites.NOT_EXECUTABLE, "suggested"), merged_df, base_df, useful, fired, by)
+    return {"classified": classified, "summary": RS.audit_summary(classified, by)}

@@ -11,6 +11,7 @@ from ..operators import latest, ml, rules, runlog
 from ..session import scratch_path
 from ..sources import events, files
 from ..sources.tables import Tables
+from ..streaming.partitioned import PartitionedTable
 from . import marts, oracle, predict, runs
 
 # Fixed value: deadline of the first load in the incremental query.
@@ -39,6 +40,29 @@ def incremental_load(spark, sf_dir) -> DataFrame:
     return marts.upsert(t0, marts.incremental_batch(offered, t0), "match_id", prefer=["home_team_score"])
 
 
+def _merged_table(spark, sf_dir):
+    """The fact partitioned by month: a first load up to a cut-off, then a season offered with two
+    corrections of every row (the higher one stays), then that epoch once more with other values,
+    which must change nothing."""
+    fct = marts.as_table(marts.fct_from_source(Tables(spark, sf_dir)), "fct")
+    table = PartitionedTable(spark, scratch_path(spark, "merged"), "match_id", F.date_format("match_date", "yyyy-MM"), high_water="match_date")
+    table.merge(fct.filter(F.col("match_date") <= F.lit(CUTOFF).cast("date")), 0)
+    offered = fct.filter(F.col("season") == oracle.UPSERT_SEASON)
+    score = lambda *more: F.explode(F.array(*[F.col("home_team_score") + n for n in more]))
+    table.merge(offered.withColumn("home_team_score", score(100, 101)), 1, prefer=["home_team_score"])
+    table.merge(offered.withColumn("home_team_score", score(900)), 1)
+    return table
+
+
+def partition_merge(spark, sf_dir) -> DataFrame:
+    return _merged_table(spark, sf_dir).read()
+
+
+def partition_merge_log(spark, sf_dir) -> DataFrame:
+    """Which epoch last wrote a month: only the season's months are rewritten."""
+    return _merged_table(spark, sf_dir).log()
+
+
 def all_sides(spark, sf_dir) -> DataFrame:
     return latest.either_side(marts.fct_from_source(Tables(spark, sf_dir)), "home_team_id", "away_team_id", None)
 
@@ -133,6 +157,10 @@ a AS (SELECT DISTINCT ON (away_team_id) * FROM features ORDER BY away_team_id, m
 p AS (SELECT DISTINCT home_team_id, away_team_id FROM features WHERE home_team_id <> away_team_id)
 """
 
+_MERGED = oracle.FCT + f""",
+merged AS (SELECT * REPLACE (home_team_score + CASE WHEN season = '{oracle.UPSERT_SEASON}' THEN 101 ELSE 0 END AS home_team_score)
+           FROM fct WHERE match_date <= DATE '{CUTOFF}' OR season = '{oracle.UPSERT_SEASON}')"""
+
 EXTRAS = {
     "landed_documents": (landed_documents, oracle.NESTED_EXPLODE),
     "full_refresh": (full_refresh, oracle.FACT_FINISHED),
@@ -140,6 +168,10 @@ EXTRAS = {
 t0 AS (SELECT * FROM fct WHERE match_date <= DATE '{CUTOFF}')
 SELECT * REPLACE (home_team_score + CASE WHEN match_date <= DATE '{CUTOFF}' THEN 0 ELSE 101 END AS home_team_score) FROM fct
 WHERE match_date <= DATE '{CUTOFF}' OR match_date > (SELECT max(match_date) FROM t0) OR (SELECT count(*) FROM t0) = 0"""),
+    "partition_merge": (partition_merge, "WITH " + _MERGED + " SELECT * FROM merged"),
+    "partition_merge_log": (partition_merge_log, "WITH " + _MERGED + f""" SELECT strftime(match_date, '%Y-%m') AS partition,
+       CAST(max(CASE WHEN season = '{oracle.UPSERT_SEASON}' THEN 1 ELSE 0 END) AS INTEGER) AS epoch, count(*) AS rows,
+       strftime(max(match_date), '%Y-%m-%d') AS high FROM merged GROUP BY 1"""),
     "all_sides": (all_sides, oracle.FACT_FINISHED),
     "teams_by_name": (teams_by_name, oracle.ENTITY_DIM),
     "iso_dates": (iso_dates, """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso,

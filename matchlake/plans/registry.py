@@ -276,6 +276,20 @@ def q_rules_audit_summary(spark, sf_dir):
     return experiment.audit(spark, sf_dir)["summary"]
 
 
+@register("rules_audit_runs", oracle.audit_sql("by_run"))
+def q_rules_audit_runs(spark, sf_dir):
+    """The audit's summary keyed by run (every batch a run)."""
+    from . import experiment
+    return experiment.audit_by_run(spark, sf_dir)["summary"]
+
+
+@register("rules_by_run", oracle.experiment_sql("results"))
+def q_rules_by_run(spark, sf_dir):
+    """Three suites over three runs' tables, all rules as rows of one table."""
+    from . import experiment
+    return experiment.results_by_run(spark, sf_dir)
+
+
 # --- run analytics --------------------------------------------------------------------
 
 def _runs(fn):
