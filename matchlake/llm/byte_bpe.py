@@ -11,8 +11,10 @@ words of one hash share a task, never a group in memory.
 decode: ids are joined with the token-byte table (one row per token of the vocabulary, the
 fixed bound that lets every task hold it): a gather by id on flat arrays.
 
-Because the cut texts are a written table, both sides of the last join see the same blocks
-whatever the input is and whichever executors are lost.
+Both sides of the last join must see the same blocks. The cut texts are therefore written
+first, whatever the input is and whichever executors are lost; a caller whose input is a plain
+scan of files, which gives the same rows in the same partitions every time, may have it cut
+twice instead (``again``) and saves that table; lists that differ then raise.
 """
 
 from __future__ import annotations
@@ -120,13 +122,14 @@ def _unpress(x: bytes) -> np.ndarray:
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
-           then: tuple[T.StructType, Callable[[list[np.ndarray]], list[pa.Array]]] | None = None) -> DataFrame:
+           then: tuple[T.StructType, Callable[[list[np.ndarray]], list[pa.Array]]] | None = None, again: bool = False) -> DataFrame:
     """``docs`` (without the text) with ``ids``: little-endian unsigned 32-bit token ids.
 
     NULL and empty texts have no ids; rows are independent (repeated rows, NULL
     identifiers); an empty table gives an empty result; columns named ``ids`` give way.
     ``then``: columns to return in place of ``ids``, with a function that makes them from the
-    ids of a block's documents in the task that reassembles them.
+    ids of a block's documents in the task that reassembles them. ``again``: ``docs`` is a plain
+    scan of files and is cut once for the lists and once for the positions.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -141,7 +144,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
                              T.StructField("per", T.BinaryType()), T.StructField("at", T.BinaryType()),        # has the block's pre-tokens per text,
                              T.StructField("homes", T.BinaryType())])                                          # their places, the words' homes
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch], keep: tuple[bool, bool] = (True, True)) -> Iterator[pa.RecordBatch]:
+        """Lists and texts of every block, or one of the two."""
         split, part = splitter(pattern), TaskContext.get().partitionId()
         for k, b in enumerate(pieces(batches, "text", BLOCK)):
             words, places = split(texts(b.column("text")))
@@ -151,44 +155,59 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
             number = np.empty(len(often), np.int64)
             number[often] = np.arange(len(often))
             raw, size = _flat(coded.dictionary.take(pa.array(often)))
-            home = (_hashes(raw, size) % np.uint64(parts)).astype(np.int64)
+            code = _hashes(raw, size)
+            home = (code % np.uint64(parts)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             begin = np.cumsum(size) - size
             edge = np.searchsorted(home[order], np.arange(parts + 1))
-            lists = [(h, _press(size[o]), zstandard.compress(_gather(raw, begin[o], size[o]).tobytes(), 3))
-                     for h, (i, j) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)) if j > i for o in [order[i:j]]]
+            lists = [(h, _press(np.append(size[o], int(code[o].sum()) & 0xFFFFFFFF)), zstandard.compress(_gather(raw, begin[o], size[o]).tobytes(), 3))
+                     for h, (i, j) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)) if j > i and keep[0] for o in [order[i:j]]]
+            if not keep[1]:
+                b, places = b.slice(0, 0), []
             n, m, block = len(places), len(lists), (part << 24) + k
-            at = number[index[np.concatenate(places)]] if len(index) else np.zeros(0, np.int64)
-            first = lambda x: pa.array([None] * m + [x] + [None] * (n - 1), pa.binary())
+            at = number[index[np.concatenate(places)]] if n and len(index) else np.zeros(0, np.int64)
+            # the words' homes, and two words of a check sum over the list
+            homes = np.append(home, [int(code.sum()) & 0xFFFFFFFF, len(code)])
+            first = lambda x: pa.array(([None] * m + [x] + [None] * n)[:m + n], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * (m + n), pa.int64()), pa.array([x[0] for x in lists] + [None] * n, pa.int32()),
                  pa.array([x[1] for x in lists] + [None] * n, pa.binary()), pa.array([x[2] for x in lists] + [None] * n, pa.binary()),
                  pa.concat_arrays([pa.nulls(m, b.column("row").type), b.column("row")]),
                  pa.array([None] * m + list(range(n)), pa.int32()), first(_press(np.fromiter(map(len, places), np.int64, n))),
-                 first(_press(at)), first(_press(home))], names=cut_type.names)
+                 first(_press(at)), first(_press(homes))], names=cut_type.names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Merge each distinct word of this task's hash range once."""
         memory = Memory(bpe.load("bytes", ranks).encode, MEMORY)
         for b in pieces(batches, "words", 1 << 19):
             size = [_unpress(x) for x in b.column("sizes").to_pylist()]
+            check, size = [int(x[-1]) for x in size], [x[:-1] for x in size]
             raw = b"".join(map(zstandard.decompress, b.column("words").to_pylist()))
             edge = np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)])
             words = pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(raw))
             flat, n = memory.ids(words)
             word, end = np.cumsum([0, *map(len, size)]).tolist(), np.concatenate([[0], np.cumsum(n)])
-            done = [(_press(n[i:j]), _press(flat[end[i]:end[j]])) for i, j in zip(word, word[1:], strict=False)]
+            done = [(_press(np.append(n[i:j], c)), _press(flat[end[i]:end[j]])) for i, j, c in zip(word, word[1:], check, strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("home"), pa.array([x[0] for x in done], pa.binary()),
                                               pa.array([x[1] for x in done], pa.binary())], names=["block", "home", "sizes", "ids"])
 
-    table = staged(row.mapInArrow(blocks, cut_type), "bpe-blocks")
+    if again:
+        lists = row.mapInArrow(lambda x: blocks(x, (True, False)), cut_type)
+        table = row.mapInArrow(lambda x: blocks(x, (False, True)), cut_type)
+    else:
+        table = staged(row.mapInArrow(blocks, cut_type), "bpe-blocks")
+        lists, table = table.filter("home IS NOT NULL"), table.filter("home IS NULL")
     out = T.StructType([T.StructField("row", table.schema["row"].dataType), *made.fields])
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks().sort_by("number"), right.combine_chunks().sort_by("home")
         per, at, home = (_unpress(left.column(c)[0].as_py()) for c in ("per", "at", "homes"))
-        whole = lambda c: np.concatenate([_unpress(x) for x in right.column(c).to_pylist()] or [np.zeros(0, "<u4")])
-        size, flat = whole("sizes").astype(np.int64), whole("ids")
+        lists = [_unpress(x) for x in right.column("sizes").to_pylist()]
+        join = lambda v: np.concatenate([np.zeros(0, "<u4"), *v])
+        size, flat = join([x[:-1] for x in lists]).astype(np.int64), join([_unpress(x) for x in right.column("ids").to_pylist()])
+        check, home = home[-2:].tolist(), home[:-2]
+        if check != [sum(int(x[-1]) for x in lists) & 0xFFFFFFFF, len(size)]:
+            raise RuntimeError("the input rows changed between two passes; do not ask for them to be cut twice")
         where = np.empty(len(home), np.int64)              # list number -> place among the returned words
         where[np.argsort(home, kind="stable")] = np.arange(len(home))
         begin, size = (np.cumsum(size) - size)[where], size[where]
@@ -197,9 +216,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text",
         arrays = then[1](ids) if then else [pa.array([x.tobytes() for x in ids], pa.binary())]
         return pa.table([left.column("row"), *arrays], names=out.names)
 
-    merged = (table.filter("home IS NOT NULL").select("block", "home", "sizes", "words").repartition(parts, "home")
+    merged = (lists.select("block", "home", "sizes", "words").repartition(parts, "home")
               .mapInArrow(merge, "block bigint, home int, sizes binary, ids binary"))
-    placed = table.filter("home IS NULL").select("block", "row", "number", "per", "at", "homes")
+    placed = table.select("block", "row", "number", "per", "at", "homes")
     back = placed.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(reassemble, out)
     return back.select(*[F.col("row").getField(c).alias(c) for c in carried], *made.names)
 
@@ -246,5 +265,5 @@ def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    made = encode(docs, ranks, public_tokenizers.PATTERN, then=(DIGESTS, lambda ids: digests(ids, ranks)))
+    made = encode(docs, ranks, public_tokenizers.PATTERN, then=(DIGESTS, lambda ids: digests(ids, ranks)), again=True)
     return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

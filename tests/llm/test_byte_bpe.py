@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import uuid
 
 import numpy as np
 import public_tokenizers as P
@@ -56,3 +57,16 @@ def test_query(spark, library):
         r = got[d.doc_id]
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+
+
+def test_cutting_twice_gives_the_same_and_notices_other_rows(spark, library, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t) for i, t in enumerate(sample())], "doc_id bigint, text string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    rows = [sorted(((r.doc_id, bytes(r.ids)) for r in encode(docs, RANKS, P.PATTERN, again=a).collect())) for a in (False, True)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(sample())
+    from pyspark.sql import functions as F
+    moving = docs.withColumn("text", F.udf(lambda t: f"{t} {uuid.uuid4()}").asNondeterministic()("text"))
+    with pytest.raises(Exception, match="changed between two passes"):
+        encode(moving, RANKS, P.PATTERN, again=True).collect()
+    assert encode(moving, RANKS, P.PATTERN).count() == len(rows[0])
