@@ -239,6 +239,21 @@ def q_suggest_warehouse(spark, sf_dir):
     return _rules_df(spark, suggest({n: t.read(n) for n in oracle.WAREHOUSE_SUGGEST_TABLES}))
 
 
+@register("inclusion_dependencies", oracle.inclusion_sql())
+def q_inclusion_dependencies(spark, sf_dir):
+    """Which columns' values are contained in which others, found without names."""
+    from ..operators.dependencies import inclusion_dependencies
+    t = Tables(spark, sf_dir)
+    columns = {n: [c for c, ty in oracle.WAREHOUSE_TYPES[n].items() if ty in ("int", "bigint", "string")] for n in oracle.DEPENDENCY_TABLES}
+    return inclusion_dependencies({n: t.read(n, c) for n, c in columns.items()})
+
+
+@register("composite_keys", oracle.composite_keys_sql())
+def q_composite_keys(spark, sf_dir):
+    from ..operators.dependencies import composite_keys
+    return composite_keys("lineitem", Tables(spark, sf_dir).read("lineitem", list(oracle.KEY_COLUMNS)))
+
+
 def _mart_suggestions(spark, sf_dir):
     """Suggestions read the materialised marts: profiling, confirmation and value lists are
     several passes, none of which should re-run the staging joins."""
