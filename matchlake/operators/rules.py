@@ -144,6 +144,58 @@ def flatten_documents(docs: DataFrame, col: str = "suite", keep: list[str] | Non
     return named.unionByName(mapped)
 
 
+def _nodes(docs: DataFrame, col: str, side: int, by: Sequence[str]) -> dict[str, DataFrame]:
+    """Models, columns and tests of suite documents, each with its ``rank`` (side, document, positions)."""
+    doc = docs.select(*by, F.col("position").alias("d"), F.try_parse_json(F.col(col)).alias("_v"))
+    text = lambda c, f: F.try_variant_get(c, f"$.{f}", "string")
+    m = doc.select(*by, "d", F.posexplode(F.try_variant_get("_v", "$.models", "array<variant>")).alias("i", "_m"))
+    m = m.select(*by, text("_m", "name").alias("model"), F.nullif(text("_m", "description"), F.lit("")).alias("description"), "_m",
+                 F.array(F.lit(side), F.col("d"), F.col("i")).alias("rank")).filter("model IS NOT NULL AND model <> ''")
+    c = m.select(*by, "model", "rank", F.posexplode(F.try_variant_get("_m", "$.columns", "array<variant>")).alias("i", "_c"))
+    c = c.select(*by, "model", text("_c", "name").alias("column"), F.nullif(text("_c", "description"), F.lit("")).alias("description"), "_c",
+                 F.concat("rank", F.array("i")).alias("rank")).filter("column IS NOT NULL AND column <> ''")
+    t = c.select(*by, "model", "column", "rank", F.posexplode(F.try_variant_get("_c", "$.tests", "array<variant>")).alias("i", "_t"))
+    t = t.select(*by, "model", "column", F.to_json("_t").alias("j"), _test_key(F.col("_t")).alias("key"), F.concat("rank", F.array("i")).alias("rank"))
+    return {"model": m.drop("_m"), "column": c.drop("_c"), "test": t}
+
+
+def _test_key(t):
+    """What makes two tests the same: name and arguments, however they are spelt."""
+    entry = F.map_entries(F.try_variant_get(t, "$", "map<string,variant>"))
+    one = F.get(entry, 0)
+    args = F.coalesce(F.try_variant_get(one["value"], "$.arguments", "variant"), one["value"])
+    mapped = F.concat(one["key"], F.lit(" "), F.regexp_replace(F.to_json(args), r"ref\('([^']*)'\)", "$1"))
+    return F.when(F.schema_of_variant(t) == "STRING", F.concat(F.try_variant_get(t, "$", "string"), F.lit(" {}"))).when(F.size(entry) == 1, mapped).otherwise(F.to_json(t))
+
+
+def merge_documents(base: DataFrame, new: DataFrame, col: str = "suite", by: Sequence[str] = ()) -> DataFrame:
+    """Suite documents merged as trees: (by, suite) from ``base`` and ``new`` (by, position, ``col``).
+
+    Models, columns and tests are matched by name (tests by name and arguments, in either
+    spelling) on three levels. What the base has keeps its order, its tests (repeated ones, too)
+    and its descriptions; a missing description is taken from the first new document that has
+    one; unseen models, columns and tests follow in the order of the new documents.
+    """
+    b, n = _nodes(base, col, 0, by), _nodes(new, col, 1, by)
+    both = {k: b[k].unionByName(n[k]) for k in b}
+    path = [*by, "model", "column"]
+    fresh = (n["test"].join(b["test"].select(*path, "key").distinct(), [*path, "key"], "left_anti")
+             .groupBy(*path, "key").agg(F.min(F.struct("rank", "j")).alias("f")).select(*path, "f.j", "f.rank"))
+    tests = b["test"].select(*path, "j", "rank").unionByName(fresh)
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x["j"]), ", ")
+    described = lambda: F.min(F.when(F.col("description").isNotNull(), F.struct("rank", "description")))["description"]
+    quote = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    head = lambda c: F.concat(F.lit('{"name": '), quote(F.col(c)), F.when(
+        F.col("description").isNotNull(), F.concat(F.lit(', "description": '), quote(F.col("description")))).otherwise(""))
+    of_column = tests.groupBy(*path).agg(in_order("j").alias("t"))
+    columns = both["column"].groupBy(*path).agg(F.min("rank").alias("rank"), described().alias("description")).join(of_column, path, "left")
+    columns = columns.withColumn("j", F.concat(head("column"), F.coalesce(F.concat(F.lit(', "tests": ['), F.col("t"), F.lit("]")), F.lit("")), F.lit("}")))
+    of_model = columns.groupBy(*by, "model").agg(in_order("j").alias("c"))
+    models = both["model"].groupBy(*by, "model").agg(F.min("rank").alias("rank"), described().alias("description")).join(of_model, [*by, "model"], "left")
+    models = models.withColumn("j", F.concat(head("model"), F.lit(', "columns": ['), F.coalesce("c", F.lit("")), F.lit("]}")))
+    return models.groupBy(*by).agg(F.concat(F.lit('{"version": 2, "models": ['), in_order("j"), F.lit("]}")).alias("suite"))
+
+
 def validate_documents(docs: DataFrame, col: str = "suite", expected: str | None = None) -> DataFrame:
     """``docs`` with ``valid`` and ``reason``: a suite document is a JSON mapping with a version
     and exactly one model, of the name in column ``expected`` if that is given."""

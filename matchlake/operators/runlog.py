@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .latest import latest_by
@@ -107,6 +107,19 @@ def failed_tests(lines: DataFrame) -> DataFrame:
     return test_lines(lines).filter(F.col("status") == "fail").select(*_log(lines), "test_name").distinct()
 
 
+def failed_in_order(lines: DataFrame) -> DataFrame:
+    """(file, position from 1, test_name): names that follow the word FAIL (and its count) on lines of
+    ``ordered_lines``, each once per log, in the order of their first line."""
+    words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    at = F.array_position(words, "FAIL")
+    after = lambda k: F.get(words, (at + k - 1).cast("int"))
+    name = F.when(after(1).rlike("^[0-9]+$") & after(2).isNotNull(), after(2)).otherwise(after(1))
+    named = (lines.filter(F.col("value").contains(" FAIL ") & (at > 0)).select("file", "line_no", name.alias("test_name"))
+             .filter(F.col("test_name").isNotNull() & ~F.col("test_name").isin("in", "of", "[FAIL")))
+    first = named.groupBy("file", "test_name").agg(F.min("line_no").alias("line_no"))
+    return first.select("file", F.row_number().over(Window.partitionBy("file").orderBy("line_no")).alias("position"), "test_name")
+
+
 def parse_run_stats(lines: DataFrame) -> DataFrame:
     """Run statistics, one row per log: models, data tests and sources found, elapsed seconds."""
     found = lambda p: F.regexp_extract("value", p, 1)

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_path, iso_date, to_timestamp_ntz
-from ..operators import latest, ml, rules, runlog
+from ..operators import latest, ml, reports, rules, runlog, textmatch
 from ..session import scratch_path
-from ..sources import events, files
+from ..sources import copying, events, files, schema
 from ..sources.tables import Tables
 from ..streaming.partitioned import PartitionedTable
 from . import marts, oracle, predict, runs
@@ -96,6 +96,91 @@ def report_metrics(spark, sf_dir) -> DataFrame:
                       metric("$.events.total").alias("events"))
 
 
+# The names under which the trial reports may hold a metric, in order.
+ALIASES = [("purchases", 0, "bought.total"), ("purchases", 1, "purchases.total"), ("events", 0, "events.total"), ("absent", 0, "nowhere")]
+
+
+def alias_metrics(spark, sf_dir) -> DataFrame:
+    """Trials as nested JSON reports, metrics found by the ends of their paths. Two paths end in
+    ``events.total``: the first in document order counts and the metric is flagged."""
+    t = runs.trials(spark, sf_dir).select("trial", F.to_json(F.struct(
+        F.struct(F.struct(F.col("purchases").alias("total")).alias("purchases")).alias("sums"),
+        F.struct((F.col("events") * 10).alias("total")).alias("not_events"),
+        F.struct(F.col("events").alias("total")).alias("events"))).alias("report"))
+    aliases = spark.createDataFrame(ALIASES, "metric string, position int, alias string")
+    found = reports.resolve(reports.leaves(t, "trial", "report"), aliases)
+    return found.select(F.col("id").alias("trial"), "metric", "path", F.col("value").cast("bigint").alias("value"), "ambiguous")
+
+
+def trial_records(spark, sf_dir) -> DataFrame:
+    """A row per trial with a column per event type: leaves of the trials' nested counts, pivoted."""
+    e = Tables(spark, sf_dir).events(["user_id", "event_type"])
+    n = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    docs = n.groupBy("user_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n")))).alias("by_type"))).alias("report"))
+    kinds = ("click", "error", "purchase", "signup", "view")
+    aliases = spark.createDataFrame([(k, 0, f"by_type.{k}.n") for k in kinds], "metric string, position int, alias string")
+    table = reports.records(reports.resolve(reports.leaves(docs, "user_id", "report"), aliases), list(kinds))
+    return table.select(F.col("id").alias("user_id"), *[F.coalesce(F.col(k).cast("bigint"), F.lit(0)).alias(k) for k in kinds])
+
+
+def json_leaves(spark, sf_dir) -> DataFrame:
+    """Paths and types of the events' properties, and how many events have each."""
+    e = Tables(spark, sf_dir).events(["event_id", "props"])
+    return reports.leaves(e, "event_id", "props").groupBy("path", "type").agg(F.count(F.lit(1)).alias("events"))
+
+
+def contained_names(spark, sf_dir) -> DataFrame:
+    """Which parts' names contain which words of three letters or more from the brands' and types' names."""
+    p = Tables(spark, sf_dir).part(["p_partkey", "p_name", "p_type"])
+    words = p.select(F.explode(F.split(F.lower("p_type"), " ")).alias("name")).filter(F.length("name") > 2).distinct()
+    parts = p.select("p_partkey", F.lower("p_name").alias("text"))
+    first = parts.select(F.substring("text", 1, 4).alias("name")).distinct()
+    hit = textmatch.containment(words.union(first).distinct(), parts)
+    return hit.groupBy("name").agg(F.count(F.lit(1)).alias("parts"), F.count_if("prefix").alias("starts"))
+
+
+def schema_drift(spark, sf_dir) -> DataFrame:
+    """Event documents against the last landing's: erroneous events have a new field and text for a number."""
+    e = Tables(spark, sf_dir).events(["event_id", "event_type", "value"])
+    error = F.col("event_type") == "error"
+    last = e.select(F.to_json(F.struct(F.struct("event_type", "event_id").alias("event"), F.col("event_id").alias("n"), F.lit(True).alias("old"))).alias("js"))
+    now = e.select(F.to_json(F.struct(
+        F.struct("event_type", F.when(error, F.lit("x")).alias("code")).alias("event"),
+        F.when(error, F.lit('"text"')).otherwise(F.col("event_id").cast("string")).alias("n"))).alias("js"))
+    now = now.select(F.regexp_replace(F.regexp_replace("js", r'"n":"([0-9]+)"', r'"n":$1'), r'\\\\"', "").alias("js"))
+    return schema.drift(schema.inferred(last, "js"), schema.inferred(now, "js")).select("path", "change")
+
+
+def stored_variant(spark, sf_dir) -> DataFrame:
+    """Event documents landed as a VARIANT column; two fields read back by path."""
+    docs = events.event_documents(events.event_rows(Tables(spark, sf_dir)))
+    table = schema.land(spark, docs, "json", scratch_path(spark, "variant"))
+    e = table.select(F.explode(F.variant_get("raw", "$.events", "array<variant>")).alias("e"))
+    return e.select(F.variant_get("e", "$.idEvent", "string").alias("idEvent"), F.variant_get("e", "$.strStatus", "string").alias("strStatus"))
+
+
+def copy_chunks(spark, sf_dir) -> DataFrame:
+    """Orders copied in chunks: stopped after the first wave, then resumed; rows per state of the ledger."""
+    orders, path = Tables(spark, sf_dir).orders(), scratch_path(spark, "copied")
+    copying.copy(orders, path, "o_orderkey", chunks=12, wave=5, stop_after=1)
+    done = copying.copy(orders, path, "o_orderkey", chunks=12, wave=7)
+    both = copying.copied(spark, path, orders.schema).agg(F.count(F.lit(1)).alias("copied_rows"), F.sum("o_orderkey").alias("key_sum"))
+    return done.groupBy("status").agg(F.count(F.lit(1)).alias("chunks"), F.sum("rows").alias("rows")).join(both)
+
+
+def suite_trees(spark, sf_dir) -> DataFrame:
+    """The baseline suite's document merged with the suggestions' documents as trees, flattened again."""
+    from ..operators.suggest import suggest
+    from . import experiment, suites, warehouse
+    m = experiment.clean_marts(spark, sf_dir)
+    base = rules.render_suites(warehouse.rules_frame(spark, suites.suite_rules("manual_only"), "baseline"))
+    new = rules.render_suites(warehouse.rules_frame(spark, suggest({"dim_teams": m["dim_teams"], "fct_matches": m["fct_matches"]}), "suggested"))
+    # a document per model on either side, numbered by the models' order
+    number = F.when(F.col("model") == "dim_teams", 0).otherwise(1).alias("position")
+    merged = rules.merge_documents(base.select(number, "suite"), new.select(number, "suite"))
+    return rules.flatten_documents(merged).select("model", "column", "test", "args")
+
+
 def csv_run_totals(spark, sf_dir) -> DataFrame:
     """A flat report as CSV with a header, read back."""
     path = scratch_path(spark, "totals")
@@ -177,6 +262,23 @@ WHERE match_date <= DATE '{CUTOFF}' OR match_date > (SELECT max(match_date) FROM
     "iso_dates": (iso_dates, """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso,
        strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || ' 00:00:00' AS "at" FROM orders"""),
     "report_metrics": (report_metrics, "WITH " + oracle.TRIALS + " SELECT trial, mode, nullif(purchases, 0) AS purchases, events FROM trials"),
+    "alias_metrics": (alias_metrics, "WITH " + oracle.TRIALS + """
+SELECT trial, 'purchases' AS metric, 'sums.purchases.total' AS path, purchases AS value, false AS ambiguous FROM trials
+UNION ALL SELECT trial, 'events', 'not_events.total', events * 10, true FROM trials"""),
+    "trial_records": (trial_records, """SELECT user_id, """ + ", ".join(
+        f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id"),
+    "json_leaves": (json_leaves, """SELECT lower(k) AS path, CASE json_type(props, '$.' || k) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT'
+       ELSE json_type(props, '$.' || k) END AS type, count(*) AS events
+FROM (SELECT props, UNNEST(json_keys(props)) AS k FROM events) GROUP BY ALL"""),
+    "contained_names": (contained_names, """WITH p AS (SELECT p_partkey, lower(p_name) AS t, lower(p_type) AS ty FROM part),
+n AS (SELECT DISTINCT w AS name FROM (SELECT UNNEST(string_split(ty, ' ')) AS w FROM p) WHERE length(w) > 2 UNION SELECT DISTINCT substr(t, 1, 4) FROM p)
+SELECT name, count(*) AS parts, count(*) FILTER (WHERE starts_with(t, name)) AS starts FROM n JOIN p ON contains(t, name) GROUP BY name"""),
+    "schema_drift": (schema_drift, """SELECT * FROM (VALUES ('event.event_id', 'lost'), ('old', 'lost')) AS v(path, change)
+UNION ALL SELECT * FROM (VALUES ('event.code', 'added'), ('n', 'retyped')) AS w(path, change)
+WHERE EXISTS (SELECT 1 FROM events WHERE event_type = 'error')"""),
+    "stored_variant": (stored_variant, f"SELECT idEvent, strStatus FROM ({oracle.NESTED_EXPLODE})"),
+    "copy_chunks": (copy_chunks, """SELECT 'done' AS status, 12 AS chunks, count(*) AS rows, count(*) AS copied_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders"""),
+    "suite_trees": (suite_trees, f"SELECT model, \"column\", test, replace(replace(args, '\": ', '\":'), ', \"', ',\"') AS args FROM ({oracle.rules_merge_sql()})"),
     "csv_run_totals": (csv_run_totals, "WITH " + oracle.STAGES + " SELECT run_id, count(*) AS stages FROM latest GROUP BY run_id"),
     "stage_log": (stage_log, "WITH " + oracle.STAGES + """ SELECT stage_name, status, count(*) AS records,
        count(DISTINCT run_id) AS runs FROM stages2 GROUP BY ALL"""),

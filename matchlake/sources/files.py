@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 
 def newest_files(spark: SparkSession, path: str, n: int = 30, glob: str = "*") -> DataFrame:
     """Newest ``n`` objects under ``path``: (path, modificationTime, length), newest first.
@@ -24,6 +26,24 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Log files line by line with places: (file, line_no from 1, value), read in parallel.
+
+    A line's place within its split is known where it is read; the splits' line counts, one row
+    per split, give every split the number of lines before it in its file. Lines are written once,
+    so that both see the same splits.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                                       "value", F.monotonically_increasing_id().alias("at"))
+    scratch = scratch_path(spark, "lines")
+    raw.write.parquet(scratch)
+    lines = spark.read.parquet(scratch)
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(placed, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
+
+
 def missing_path(e: AnalysisException) -> bool:
     """Whether a read failed because there is nothing at its path (any other failure is one)."""
     return e.getCondition() == "PATH_NOT_FOUND"
