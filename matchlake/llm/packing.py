@@ -42,11 +42,17 @@ class WordTokenizer:
     arrays and each distinct word is merged once while it is remembered; any other text goes to the
     library whole. ``dtype``: two bytes an id where the vocabulary allows it, else four."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.whole = Tokenizer.from_file(path)
-        self.dtype = id_code(self.whole)
-        self.memory = Memory(bpe.load("words", path).encode, 16 << 20)
+    def __init__(self, path: str, dtype: str | None = None):
+        self.path, self._whole = path, None
+        self.memory = Memory(bpe.load("words", path).encode, 8 << 20)
+        self.dtype = dtype or id_code(self.whole())
+
+    def whole(self):
+        """The library's tokenizer, loaded where a text needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
 
     def encode(self, batch: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text) with ``end`` behind each text."""
@@ -54,7 +60,7 @@ class WordTokenizer:
         words, per = cut([t.lower() for t, ok in zip(batch, plain, strict=True) if ok], spaces=False)
         flat, n = self.memory.ids(words)
         done = iter(np.split(flat, np.cumsum(per_text(n, per))[:-1]) if len(per) else [])
-        each = [next(done) if ok else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int64)
+        each = [next(done) if ok else np.array(self.whole().encode(t, add_special_tokens=False).ids, np.int64)
                 for t, ok in zip(batch, plain, strict=True)]
         last = np.array([end])
         ids = np.concatenate([x for one in each for x in (one, last)]) if each else np.zeros(0, np.int64)
@@ -132,15 +138,18 @@ def _serve(mix: Mixture, lane: int, lane_windows: int, window: int, content: np.
     return served
 
 
-def _tokens(docs, id_col, text_col, vocabulary, end):
+PIECE = 1 << 20      # bytes of text encoded at once
+
+
+def _tokens(docs, id_col, text_col, vocabulary, end, code):
     """(part, queue, at, id, n, ids): a document's ids and its place in the queue of its part."""
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("queue", T.StringType()),
                            T.StructField("at", T.LongType()), T.StructField("id", docs.schema["id"].dataType),
                            T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, tokenizer = TaskContext.get().partitionId(), {}, WordTokenizer(vocabulary)
-        for b in pieces(batches, "text"):
+        part, seen, tokenizer = TaskContext.get().partitionId(), {}, WordTokenizer(vocabulary, code)
+        for b in pieces(batches, "text", PIECE):
             ids, n = tokenizer.encode(texts(b.column("text")), end)
             at = []
             for q, k in zip(b.column("queue").to_pylist(), n.tolist(), strict=True):
@@ -184,7 +193,7 @@ def pack(docs: DataFrame, vocabulary: str, weights: dict[str, float] | None = No
         queue = F.when(source.isin(list(named)), source) if named else F.when(F.lit(False), source)
         queue = F.coalesce(queue, F.concat(F.lit("hash "), F.pmod(F.xxhash64(source), F.lit(window)).cast("string")))
     rows = _tokens(docs.select(F.col(identifier(id_col)).alias("id"), F.col(identifier(text_col)).alias("text"),
-                               queue.alias("queue")), "id", "text", vocabulary, end)
+                               queue.alias("queue")), "id", "text", vocabulary, end, code)
     sums = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # written, so that the join below knows its size: a row per (queue, part), held in each task while

@@ -346,17 +346,22 @@ class ByteTokenizer:
     texts are cut by arrays and each distinct word is merged once while it is remembered."""
 
     def __init__(self, path: str, ranks: str):
-        from tokenizers import Tokenizer
-        self.whole = Tokenizer.from_file(path)
-        self.symbols = self.whole.get_vocab_size(with_added_tokens=True)
-        self.memory = Memory(bpe.load("bytes", ranks).encode, 16 << 20)
+        self.path, self._whole = path, None
+        self.memory = Memory(bpe.load("bytes", ranks).encode, 8 << 20)
+
+    def whole(self):
+        """The library's tokenizer, loaded where a text needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         plain = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in batch]
         words, per = cut([t for t, ok in zip(batch, plain, strict=True) if ok], spaces=True)
         flat, n = self.memory.ids(words)
         done = iter(np.split(flat, np.cumsum(per_text(n, per))[:-1]) if len(per) else [])
-        return [next(done) if ok else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
+        return [next(done) if ok else np.array(self.whole().encode(t, add_special_tokens=False).ids, np.int32)
                 for t, ok in zip(batch, plain, strict=True)]
 
 
@@ -369,7 +374,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str, id_col
     (its document is ``end`` alone), repeated rows are written each, an empty table gives files without
     frames. A long text gets a frame of its own, whatever its length. Other columns are not read.
     """
+    from tokenizers import Tokenizer
     parts = partitions or shuffle_partitions(docs.sparkSession)
+    symbols = max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), end + 1)
     rows = docs.select(F.col(identifier(id_col)).cast("long").alias("id"), F.coalesce(F.col(identifier(text_col)), F.lit("")).alias("text"))
     rows = rows.withColumn("salt", F.monotonically_increasing_id())          # equal rows may fill several ranges
     ordered = rows.repartitionByRange(parts, "id", F.xxhash64("text"), "salt").sortWithinPartitions("id", F.xxhash64("text"), "text").drop("salt")
@@ -383,11 +390,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str, id_col
             nonlocal number, before, held, doc_ids, parts_of
             ids = np.concatenate([x for pair in parts_of for x in pair])
             made = make_frame(part, number, before, doc_ids, np.array([len(a) + len(b) for a, b in parts_of], np.int64), ids,
-                              max(tokenizer.symbols, end + 1))
+                              symbols)
             number, before, held, doc_ids, parts_of = number + 1, before + len(ids), 0, [], []
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["frame"])
 
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 1 << 20):
             for i, ids in zip(b.column("id").to_pylist(), tokenizer.encode(texts(b.column("text"))), strict=True):
                 if held and held + len(ids) + 1 > LANES * BLOCK:
                     yield frame()
