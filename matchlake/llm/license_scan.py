@@ -2,9 +2,11 @@
 
 The automaton of all templates (a few hundred words, built once per task) is fed a file's
 words; after each word it knows the longest stretch ending there that occurs in some
-template (the matching statistics). Stretches of at least ``min_words`` words that cannot
-be extended are chained, template by template, in template order; a chain that covers
-enough of its template is a span with that licence's label. Phrases are further strings of
+template (the matching statistics), and by its suffix links the longest one of every other
+template. Stretches of at least ``min_words`` words (or a whole shorter template) that their
+own template does not continue are chained, template by template, in template order; a chain
+that covers enough of its template is a span with that licence's label. So a short notice counts
+also where the text goes on as another template does. Phrases are further strings of
 the same automaton: a phrase ends at a word exactly if its node is the current state or one
 of its suffix-link ancestors.
 
@@ -59,6 +61,46 @@ conditions and the following disclaimer. Redistributions in binary form must rep
 list of conditions and the following disclaimer in the documentation and/or other materials provided with the
 distribution."""),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("mit", """The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the
+warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or
+copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise,
+arising from, out of or in connection with the software or the use or other dealings in the software."""),
+    ("bsd", """This software is provided by the copyright holders and contributors "as is" and any express or implied warranties,
+including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are
+disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special,
+exemplary, or consequential damages"""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("mpl", "Mozilla Public License Version 2.0"),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any
+later version."""),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version."""),
+    ("agpl", "GNU Affero General Public License"),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions"""),
+    ("bsl", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so"""),
+    ("epl", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License."),
+    ("cc0", """To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this
+software to the public domain worldwide. This software is distributed without any warranty."""),
 ]
 
 
@@ -157,7 +199,9 @@ class Scanner:
         self.labels = [label for label, _ in templates]
         strings = [words_of(t) for _, t in templates]
         self.length = [len(s) for s in strings]
-        self.min_words, self.max_gap, self.coverage = min_words, max_gap, coverage
+        self.max_gap, self.coverage = max_gap, coverage
+        self.need = [max(2, min(min_words, n)) for n in self.length]       # words a stretch must have
+        self.least = min(self.need, default=2)
         found = [(words_of(p), label) for p, label in phrases]
         self.phrase = [(len(p), label) for p, label in found]
         self.sam = Automaton(strings + [p for p, _ in found])
@@ -173,17 +217,34 @@ class Scanner:
         """Phrase places (label, first word) and covered template spans (label, first, last, coverage)."""
         base, hits = [], []
         for first, codes in self.sam.runs(words):
-            stats = list(self.sam.statistics(codes))
-            for i, (v, n) in enumerate(stats):
+            last: dict[tuple[int, int], int] = {}
+            for i, (v, n) in enumerate(self.sam.statistics(codes)):
                 for k in self.tails[v]:
                     if n >= self.phrase[k][0]:
                         base.append((self.phrase[k][1], first + i - self.phrase[k][0] + 1))
-                grows = i + 1 < len(stats) and stats[i + 1][1] == n + 1
-                if not grows and n >= 2:
-                    hits += [(k, first + i - n + 1, end - n + 1, n) for k, end in self.sam.ends[v] if k < len(self.length)
-                             and n >= min(self.min_words, self.length[k])]
+                now = self._matches(v, n)
+                hits += self._ended(last, now, first + i - 1)
+                last = now
+            hits += self._ended(last, {}, first + len(codes) - 1)
         return base, self._chain(hits)
 
+    def _matches(self, v: int, n: int) -> dict[tuple[int, int], int]:
+        """(template, its word) -> how many words up to here are the template's up to that word: the
+        state's strings by the whole match, its suffix-link ancestors' by their own lengths."""
+        out: dict[tuple[int, int], int] = {}
+        while v and n >= self.least:
+            for k, end in self.sam.ends[v]:
+                if k < len(self.length) and n >= self.need[k]:
+                    out.setdefault((k, end), n)
+            v = self.sam.link[v]
+            n = self.sam.size[v]
+        return out
+
+    @staticmethod
+    def _ended(last: dict, now: dict, at: int) -> list[tuple[int, int, int, int]]:
+        """Matches up to text word ``at`` that their own template does not continue."""
+        return [(k, at - n + 1, end - n + 1, n) for (k, end), n in last.items() if now.get((k, end + 1)) != n + 1]
+
     def _chain(self, hits: list[tuple[int, int, int, int]]) -> list:
         """hits: (template, text start, template start, words) -> spans of chains."""
         spans = []
@@ -258,6 +319,15 @@ def scan_licenses(docs: DataFrame, templates=None, phrases=None, text_col: str =
     return docs.select(*[F.col(identifier(c)) for c in carried]).mapInArrow(run, schema)
 
 
+def read_templates(spark, path: str) -> list[tuple[str, str]]:
+    """Templates as data: every text file under ``path`` is one, named ``<label>.txt`` or
+    ``<label>-<anything>.txt`` with two hyphens between. They are held by every task, so the
+    folder is meant for licence texts (a few megabytes), not for a corpus."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:--.*)?\.txt$", 1)
+    rows = spark.read.option("wholetext", True).text(path).select(name.alias("label"), "value").collect()
+    return sorted((r.label, r.value) for r in rows if r.label)
+
+
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licence phrases and template spans in every whole text of ``documents``."""
     s = scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))

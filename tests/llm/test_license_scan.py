@@ -82,3 +82,53 @@ def test_query(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (
             len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for x, _ in base})))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def brute_hits(words, templates, min_words=4):
+    """(template, text start, template start, words) of all stretches that can be extended to neither side."""
+    out = set()
+    for k, t in enumerate(templates):
+        need = max(2, min(min_words, len(t)))
+        for i in range(len(words)):
+            for j in range(len(t)):
+                if words[i] == t[j] and (i == 0 or j == 0 or words[i - 1] != t[j - 1]):
+                    n = 0
+                    while i + n < len(words) and j + n < len(t) and words[i + n] == t[j + n]:
+                        n += 1
+                    if n >= need:
+                        out.add((k, i, j, n))
+    return out
+
+
+def test_every_template_gets_its_own_stretches(monkeypatch):
+    rnd = random.Random(12)
+    templates = [" ".join(rnd.choice("abcde") for _ in range(n)) for n in (3, 5, 9, 14, 20)]
+    sc = Scanner(tuple((f"t{k}", t) for k, t in enumerate(templates)), (), 4, 12, 0.6)
+    seen = []
+    monkeypatch.setattr(sc, "_chain", lambda hits: seen.extend(hits) or [])
+    for _ in range(300):
+        words = [rnd.choice("abcdex") for _ in range(40)]
+        at = rnd.randrange(20)
+        words[at:at + 9] = rnd.choice(templates).split()[:9]
+        seen.clear()
+        sc.scan(words)
+        assert sorted(seen) == sorted(brute_hits(words, [t.split() for t in templates])) and len(seen) == len(set(seen))
+
+
+def test_a_short_notice_counts_where_another_template_goes_on():
+    sc = scanner()
+    spans = sc.scan(words_of('Licensed under the Apache License, Version 2.0 (the "License"); see LICENSE'))[1]
+    assert ("apache", 0, 7, 1.0) in spans
+    for text, label in (("Mozilla Public License Version 2.0", "mpl"), ("under the GNU Lesser General Public License or", "lgpl"),
+                        ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form", "unlicense")):
+        assert label in {s[0] for s in sc.scan(words_of(text))[1]}, label
+
+
+def test_templates_are_read_as_data(spark, tmp_path):
+    from matchlake.llm.license_scan import read_templates
+    (tmp_path / "own.txt").write_text("you may do as you please with this")
+    (tmp_path / "own--short.txt").write_text("do as you please")
+    templates = read_templates(spark, str(tmp_path))
+    assert templates == [("own", "do as you please"), ("own", "you may do as you please with this")]
+    df = spark.createDataFrame([(1, "Well: do as you please.")], "doc_id bigint, text string")
+    assert [s.label for s in scan_licenses(df, templates).first().license_spans] == ["own"]
