@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,9 +147,11 @@ class BiGRU:
 
     def fit(self, words: list[str], label: np.ndarray, weight: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.01,
             updates: int = 300) -> BiGRU:
-        """Adam over shuffled batches of whole words (first stretch of a long word); few words
+        """Adam over shuffled batches of words (all stretches of a long one); few words
         are gone through more often, until there were ``updates`` batches."""
-        raw = [stretches(w)[0] for w in words]
+        cut = [stretches(w) for w in words]
+        raw, times = [s for c in cut for s in c], np.fromiter(map(len, cut), np.int64, len(cut))
+        label, weight = np.repeat(label, times), np.repeat(weight, times)
         rnd = np.random.default_rng(11)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -174,8 +176,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """A network learned from rows with text and language; None where there is none.
 
     Bound: about ``train_docs`` documents of each of the ``max_langs`` most frequent
-    languages, chosen by the hash of the identifier, and of their distinct (language, word)
-    rows the ``train_words`` most frequent, ties by hash. Every language weighs the same.
+    languages, chosen by the hash of the identifier, and of their distinct words the most
+    frequent, ties by hash: ``train_words`` divided by the number of languages for each (at least
+    20), so that no language is crowded out. Every language weighs the same.
     """
     rows = labelled.select(F.col(identifier(id_col)).alias("id"), F.col(identifier(text_col)).alias("t"),
                            F.col(identifier(lang_col)).cast("string").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
@@ -185,7 +188,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     chosen = rows.join(F.broadcast(known), "l").filter(lot * F.col("n") < train_docs)
     words = (chosen.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(LETTERS), F.lit(0))).alias("w"))
              .groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")))
-    sample = words.orderBy(F.col("n").desc(), F.xxhash64("w", "l"), "w", "l").limit(train_words).collect()
+    share = max(20, train_words // max(1, known.count()))
+    # a window by language: its words are those of about train_docs documents
+    first = Window.partitionBy("l").orderBy(F.col("n").desc(), F.xxhash64("w", "l"), "w")
+    sample = (words.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= share)
+              .select("l", "w", "n").orderBy(F.col("n").desc(), F.xxhash64("w", "l"), "w", "l").collect())
     if not sample:
         return None
     langs = sorted({r.l for r in sample})

@@ -61,3 +61,43 @@ def test_rows(spark):
     assert [r.lang_pred for r in got.collect()] == ["und", "und", "und", "en", "en", "fr"]
     assert train(df.limit(0)) is None and {r.lang_pred for r in identify(odd, None).collect()} == {"und"}
     assert identify(odd.limit(0), model).count() == 0
+
+
+def test_a_rare_language_is_not_crowded_out(spark):
+    common = [(i, " ".join(f"the{c}ing" for c in "abcdefghijklmnop"), "en") for i in range(200)]
+    rare = [(1000, "日本語 東京 京都", "ja"), (1001, "Привет мир как дела", "ru")]
+    df = spark.createDataFrame(common + rare, "doc_id bigint, text string, lang string")
+    model = train(df, train_words=60)
+    assert set(model.langs) == {"en", "ja", "ru"}
+    got = {r.doc_id: r.lang_pred for r in identify(df, model).collect()}
+    assert got[1000] == "ja" and got[1001] == "ru" and got[0] == "en"
+
+
+def test_forward_pass_equals_a_plain_loop():
+    from matchlake.llm.langid import BiGRU, layout, stretches
+    net = BiGRU(["a", "b", "c"], 4)
+    rnd = np.random.default_rng(3)
+    net.p = {k: rnd.normal(0, 0.5, v.shape).astype(np.float32) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    H = net.hidden
+    for word in ("ab", "été", "x", "longer"):
+        raw = stretches(word)[0]
+        x, size = layout([raw])
+        codes = x[0][:size[0]].tolist()
+
+        def run(seq, d):
+            h, out = np.zeros(H), []
+            for c in seq:
+                a = net.p[f"x{d}"][c] + np.concatenate([h @ net.p[f"h{d}"][:, :2 * H], np.zeros(H)])
+                z, r = sig(a[:H]), sig(a[H:2 * H])
+                n = np.tanh(a[2 * H:] + (r * h) @ net.p[f"h{d}"][:, 2 * H:])
+                h = (1 - z) * h + z * n
+                out.append(h)
+            return out
+        f, b = run(codes, "f"), run(codes[::-1], "b")[::-1]
+        total = np.zeros(3)
+        for t in range(1, len(codes) - 1):          # the edges are no bytes of the word
+            o = np.concatenate([f[t], b[t]]) @ net.p["out"] + net.p["bias"]
+            total += o - np.log(np.exp(o).sum())
+        got, n = net.log_probs([raw])
+        assert n[0] == len(codes) - 2 and np.allclose(got[0], total, atol=1e-4), word
