@@ -97,6 +97,26 @@ for _name, _fn, _out in [("recon_counts", "recon_counts", "counts"), ("recon_nul
     register(_name, oracle.recon_sql(_out))(_recon(_fn))
 
 
+@register("recon_nested", oracle.RECON_NESTED)
+def q_recon_nested(spark, sf_dir):
+    """A copy whose nested timestamps, nested decimals and long JSON numbers differ in their last place."""
+    from pyspark.sql import functions as F
+
+    from ..operators import reconcile as R
+    k = F.col("o_orderkey")
+    micros = lambda n: F.timestamp_micros(F.unix_micros(F.to_timestamp("o_orderdate")) + n)
+    hit = lambda n: F.when(k % 50 == n, 1).otherwise(0)
+    tiny = lambda c: (c.cast("decimal(1,0)") * F.lit("0.000000000000000001").cast("decimal(18,18)"))
+
+    def side(changed):
+        at, n, j = (hit(i) if changed else F.lit(0) for i in range(3))
+        v = F.struct(micros(k % 1000 + at).alias("at"), (k.cast("decimal(19,0)") + tiny(n)).cast("decimal(38,18)").alias("n"))
+        js = F.concat(F.lit('{"n": 0.'), F.lit("7" * 45), (k * 10 + j).cast("string"), F.lit("}"))
+        df = Tables(spark, sf_dir).orders(["o_orderkey", "o_orderdate"]).select(k.alias("k"), v.alias("v"), js.alias("j"))
+        return R.normalise(df, ["k", "v", "j"])
+    return R.cell_diffs(side(False), side(True), "k", ["k", "v", "j"]).groupBy("column").agg(F.count(F.lit(1)).alias("cells"))
+
+
 # --- sources, marts extras, selections ------------------------------------------------
 
 @register("nested_explode", oracle.NESTED_EXPLODE)
@@ -140,15 +160,21 @@ def q_two_sided(spark, sf_dir):
 
 
 @register("rolling_form", oracle.ROLLING_FORM)
-def q_rolling_form(spark, sf_dir):
+def q_rolling_form(spark, sf_dir, **chunks):
     from ..operators.rolling import trailing_mean
-    side = q_two_sided(spark, sf_dir)
+    side = marts.as_table(q_two_sided(spark, sf_dir), "sides")     # counted, then read
     r = trailing_mean(side, "team_id", ["match_date", "match_id"],
-                      {"avg_goals_scored_last_5": "goals_scored", "avg_goals_conceded_last_5": "goals_conceded"})
+                      {"avg_goals_scored_last_5": "goals_scored", "avg_goals_conceded_last_5": "goals_conceded"}, **chunks)
     return r.select("team_id", "match_id", "match_date", "goals_scored", "goals_conceded",
                     "avg_goals_scored_last_5", "avg_goals_conceded_last_5")
 
 
+@register("rolling_form_ranged", oracle.ROLLING_FORM)
+def q_rolling_form_ranged(spark, sf_dir):
+    """The same by ranges of about 300 rows with a halo, as entities beyond a million rows are rolled."""
+    return q_rolling_form(spark, sf_dir, chunk_rows=300)
+
+
 @register("upsert_by_key", oracle.UPSERT_BY_KEY)
 def q_upsert(spark, sf_dir):
     """A correction feed (two versions per key) replaces one season's rows."""
@@ -221,6 +247,23 @@ for _name, _tests in [("dq_not_null", ("not_null",)), ("dq_unique", ("unique",))
     register(_name, oracle.rules_results_sql(_rules))(_wh_query(_tests))
 
 
+@register("dq_relationships_mixed", oracle.RELATIONSHIPS_MIXED)
+def q_relationships_mixed(spark, sf_dir):
+    """Children and parents of different numeric types: fractions that a narrower type would round
+    away, and whole numbers beyond what a double tells apart."""
+    from pyspark.sql import functions as F
+
+    from ..operators import quality
+    t = Tables(spark, sf_dir)
+    key, big = F.col("l_orderkey"), F.lit(2 ** 53)
+    child = t.lineitem(["l_orderkey", "l_linenumber"]).select(
+        (key.cast("decimal(20,0)") + F.when(F.col("l_linenumber") == 2, F.lit("0.000000000004")).otherwise("0").cast("decimal(13,12)")).alias("fraction"),
+        (key + big).alias("large"), F.concat(F.lit(" 0"), key.cast("string"), F.when(F.col("l_linenumber") == 3, ".50").otherwise(".00")).alias("text"))
+    parent = t.orders(["o_orderkey"]).select(F.col("o_orderkey").cast("double").alias("number"), (F.col("o_orderkey") + big).cast("double").alias("large"))
+    rules = [quality.Rule.make("child", c, "relationships", to="parent", field=f) for c, f in (("fraction", "number"), ("large", "large"), ("text", "number"))]
+    return quality.evaluate(spark, rules, {"child": child, "parent": parent}).select("column", "status", "failures")
+
+
 @register("dq_profile", oracle.profile_sql(("orders", "lineitem", "customer", "events")))
 def q_dq_profile(spark, sf_dir):
     from . import warehouse
