@@ -15,6 +15,7 @@ from ..operators import inject, quality, scoring
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
 from . import marts, suites
+from .parallel import together
 
 
 def clean_marts(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> dict[str, DataFrame]:
@@ -24,12 +25,9 @@ def clean_marts(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> di
     if checkpoint:
         ensure_checkpoint_dir(spark)
         stg = marts.as_table(stg, "stg_matches")
-    dim = marts.dim_teams(stg)
+    dim, fct = marts.dim_teams(stg), marts.fct_matches(stg)
     if checkpoint:
-        dim = marts.as_table(dim, "dim_teams")
-    fct = marts.fct_matches(stg)
-    if checkpoint:
-        fct = marts.as_table(fct, "fct_matches")
+        dim, fct = together(lambda x: marts.as_table(*x), [(dim, "dim_teams"), (fct, "fct_matches")])
     return {"fct_matches": fct, "dim_teams": dim}
 
 
@@ -65,13 +63,11 @@ def run(spark: SparkSession, clean: dict[str, DataFrame], batches: list[str] | N
     results, manifests = None, None
     # targets of all batches from one bounded top-k per table
     tg = inject.targets(clean, [s for b in batches for s in inject.BATCHES[b]])
-    for b in batches:
-        r, m = batch_results(spark, clean, b, conditions, tg)
+    for r, m in together(lambda b: batch_results(spark, clean, b, conditions, tg), batches):
         results = r if results is None else results.unionByName(r)
         manifests = m if manifests is None else manifests.unionByName(m)
     # results are one row per (batch, condition, rule): materialise once, every report reuses them
-    results = marts.as_table(results, "test_results")
-    manifests = marts.as_table(manifests, "manifest")
+    results, manifests = together(lambda x: marts.as_table(*x), [(results, "test_results"), (manifests, "manifest")])
     conds = spark.createDataFrame([(b, c) for b in batches for c in list(conditions)],
                                   "batch_id string, condition string")
     det = scoring.detections(results, manifests, scoring.detectors_frame(spark, suites.DETECTORS), conds)
@@ -108,7 +104,7 @@ def results_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import rule_table
     clean = clean_marts(spark, sf_dir)
     tg = inject.targets(clean, [s for specs in inject.BATCHES.values() for s in specs])
-    runs = {b: with_features(inject.apply(spark, clean, specs, b, tg)[0]) for b, specs in inject.BATCHES.items()}
+    runs = dict(zip(inject.BATCHES, together(lambda b: with_features(inject.apply(spark, clean, inject.BATCHES[b], b, tg)[0]), inject.BATCHES), strict=True))
     rules, member = suites.union_rules(list(suites.CONDITIONS))
     table = quality.rules_frame(spark, rules).join(spark.createDataFrame([(b,) for b in runs], "run_id string"))
     mem = spark.createDataFrame(member, "condition string, rule_id int")

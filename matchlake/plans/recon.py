@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import reconcile as R
 from ..sources.tables import Tables
 from . import marts
+from .parallel import together
 
 # Compared tables, their key and tolerance columns.
 TABLES = {
@@ -38,8 +39,9 @@ def source_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     fct = marts.as_table(marts.fct_matches(stg), "fct_matches")
     # every table is read by several comparisons (both checksums, the diff, the null
     # profile): materialise each once, as the source store holds them as tables
-    return {"dim_teams": marts.as_table(marts.dim_teams(stg), "dim_teams"), "fct_matches": fct,
-            "fct_training_dataset": marts.as_table(marts.training_dataset(fct), "fct_training_dataset")}
+    dim, features = together(lambda x: marts.as_table(x[0](x[1]), x[2]), [
+        (marts.dim_teams, stg, "dim_teams"), (marts.training_dataset, fct, "fct_training_dataset")])
+    return {"dim_teams": dim, "fct_matches": fct, "fct_training_dataset": features}
 
 
 def drift(features: DataFrame) -> DataFrame:
@@ -110,21 +112,18 @@ def recon_checksum(spark, sf_dir):
 
 
 def recon_diff_rows(spark, sf_dir):
-    parts = []
-    for n, k, c, num, l, r in pairs(spark, sf_dir):
-        d = R.diff(l, r, k, c, num)
-        parts.append(d.select(F.lit(n).alias("table"), F.col(k).alias("key"), "occ", "side",
-                              F.array_join("diff_columns", ",").alias("diff_columns")))
-    return _union(parts)
+    def one(x):
+        n, k, c, num, l, r = x
+        return R.diff(l, r, k, c, num).select(F.lit(n).alias("table"), F.col(k).alias("key"), "occ", "side",
+                                              F.array_join("diff_columns", ",").alias("diff_columns"))
+    return _union(together(one, pairs(spark, sf_dir)))
 
 
 def recon_diff_cells(spark, sf_dir):
-    parts = []
-    for n, k, c, num, l, r in pairs(spark, sf_dir):
-        d = R.cell_diffs(l, r, k, c, num)
-        parts.append(d.select(F.lit(n).alias("table"), F.col(k).alias("key"), "occ", "column",
-                              "left_value", "right_value"))
-    return _union(parts)
+    def one(x):
+        n, k, c, num, l, r = x
+        return R.cell_diffs(l, r, k, c, num).select(F.lit(n).alias("table"), F.col(k).alias("key"), "occ", "column", "left_value", "right_value")
+    return _union(together(one, pairs(spark, sf_dir)))
 
 
 def recon_first_diffs(spark, sf_dir, n: int = 10):
@@ -133,7 +132,7 @@ def recon_first_diffs(spark, sf_dir, n: int = 10):
 
 
 def recon_summary(spark, sf_dir):
-    return _union([R.summary(n, l, r, k, c, num) for n, k, c, num, l, r in pairs(spark, sf_dir)])
+    return _union(together(lambda x: R.summary(x[0], x[4], x[5], x[1], x[2], x[3]), pairs(spark, sf_dir)))
 
 
 def recon_status(spark, sf_dir):
