@@ -3,7 +3,9 @@
 ``evaluate`` takes rules as rows (run_id, rule_id, model, column, test, args) and the tables of
 every run. Rows are unpivoted once to (run, model, column, value) and counted, so one shuffle
 with map-side combination serves all rules: NULLs, repeated values, values outside a list and
-values without a parent are all read off these counts by joins on the rules' columns. No
+values without a parent are all read off these counts by joins on the rules' columns. The
+counts are the large side whatever their file's size says: rules are broadcast to them (or, if
+there are many, both are shuffled), and values meet their parents in a shuffle on the value. No
 expression is built per rule: the plan depends on the tables and their columns, not on how
 many rules there are, and the driver never sees the rules.
 
@@ -23,6 +25,7 @@ from ..session import scratch_path
 from .quality import TESTS
 
 RUN = ["run_id", "rule_id"]
+SMALL = 200_000      # rules up to which they are broadcast
 WHOLE, NUMBER, FLAG, DAY, TEXT, OTHER = "int", "number", "boolean", "date", "string", "other"
 
 
@@ -95,12 +98,18 @@ def evaluate(rules: DataFrame, runs: dict[str, dict[str, DataFrame]]) -> DataFra
     # a rule's values; a text value is read as the parent's kind
     key = F.when(linked, F.when((F.col("kind") == TEXT) & (F.col("_tkind") != TEXT), _as_kind(
         F.col("value"), F.when(F.col("_tkind") == WHOLE, F.lit(NUMBER)).otherwise(F.col("_tkind")))).otherwise(F.col("value")))
-    cell = fit.join(cells, ["run_id", "model", "column"]).select(
+    many = rules.count() > SMALL
+    beside = lambda df: df.hint("merge") if many else F.broadcast(df)
+    cell = cells.join(beside(fit), ["run_id", "model", "column"]).select(
         *RUN, "test", "_to", "_field", "value", "n", key.alias("_key"), F.when(listed, F.col("value")).alias("_item"))
     inside = fit.filter(listed).select(*RUN, F.explode(F.array_distinct("_allowed")).alias("_item"), F.lit(True).alias("_in"))
     parents = cells.filter("value IS NOT NULL").select("run_id", F.col("model").alias("_to"), F.col("column").alias("_field"),
                                                       F.col("value").alias("_key"), F.lit(True).alias("_has"))
-    cell = cell.join(inside, [*RUN, "_item"], "left").join(parents, ["run_id", "_to", "_field", "_key"], "left")
+    # only values of relationships look for a parent, only those of lists for an item
+    none = F.lit(None).cast("boolean")
+    cell = (cell.filter(linked).join(parents.hint("merge"), ["run_id", "_to", "_field", "_key"], "left").withColumn("_in", none)
+            .unionByName(cell.filter(listed).join(inside, [*RUN, "_item"], "left").withColumn("_has", none))
+            .unionByName(cell.filter(~linked & ~listed).withColumns({"_in": none, "_has": none})))
     set_ = F.col("value").isNotNull()
     bad = (F.when(F.col("test") == "not_null", ~set_).when(F.col("test") == "unique", set_ & (F.col("n") > 1))
            .when(listed, set_ & F.col("_in").isNull()).otherwise(set_ & F.col("_has").isNull()))

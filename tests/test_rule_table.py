@@ -82,3 +82,17 @@ def test_audit_steps_stay_within_their_run(spark):
                                        "run_id string, batch_id string, anomaly_id string, condition string, detected boolean")
     detectors = spark.createDataFrame([("n1", "unique", "m", "x")], "anomaly_id string, test string, model string, column string")
     assert [r.run_id for r in RS.useful_families(detections, detectors, "c", by=by).collect()] == ["a"]
+
+
+def test_counted_values_are_not_broadcast(spark, tables):
+    """The counts' file may be small and their rows many: rules go to them, values meet parents in a shuffle."""
+    out = rule_table.evaluate(as_table(spark, all_rules(), ["one"]), {"one": tables})
+    lines, inside = out._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for below in lines[i + 1:]:
+                if depth(below) <= depth(line):
+                    break
+                inside.append(below)
+    assert any("FileScan" in x for x in lines) and not any("FileScan" in x for x in inside)
