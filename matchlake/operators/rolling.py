@@ -9,7 +9,8 @@ combined aggregate); while the busiest entity has at most ``2 * chunk_rows`` row
 the cheapest plan. Beyond it:
 
 1. rows are cut at row-count quantiles of the full order key (entity, o1, o2 ...), so a hot
-   entity, a hot day or consecutive ids all fall into ranges of about ``chunk_rows`` rows;
+   entity, a hot day or consecutive ids all fall into ranges of about ``chunk_rows`` rows
+   (short ranges are counted out inside tasks of about ``TASK_ROWS`` rows);
 2. one pass inside (range, entity) computes the lags and the range's last k rows;
 3. over the small table of (range, entity) pairs each pair gets the last k rows before it
    (its halo), and the first k rows of a range take what they miss from there.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .running import ranged
 
+TASK_ROWS = 200_000     # rows of a task that cuts several ranges
+
 
 def _asc(c: str) -> Column:
     return F.col(c).asc_nulls_last()
@@ -43,8 +46,9 @@ def cut(df: DataFrame, entity: str, order: list[str], chunk_rows: int) -> DataFr
     total, busiest = per.agg(F.sum("n"), F.max("n")).first()
     if not total or busiest <= 2 * chunk_rows:
         return None
-    # half as many rows again would still be within the bound: ranges come from a sample
-    return ranged(df, [F.col(entity).asc_nulls_first(), *[_asc(c) for c in order]], -(-3 * total // (2 * chunk_rows)), "rolling")
+    # half as many rows again would still be within the bound: the tasks' ranges come from a sample
+    tasks = -(-3 * total // (2 * max(chunk_rows, TASK_ROWS)))
+    return ranged(df, [F.col(entity).asc_nulls_first(), *[_asc(c) for c in order]], tasks, "rolling", chunk_rows)
 
 
 def trailing_mean(df: DataFrame, entity: str, order: list[str], values: dict[str, str], k: int = 5,

@@ -15,11 +15,20 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
-def ranged(df: DataFrame, columns: list[str], partitions: int | None = None, name: str = "ranged") -> DataFrame:
-    """``df`` with ``_range``: the number of its sampled range in the order of ``columns``."""
+def ranged(df: DataFrame, columns: list[str], partitions: int | None = None, name: str = "ranged", rows: int | None = None) -> DataFrame:
+    """``df`` with ``_range``: the number of its sampled range in the order of ``columns``.
+
+    ``rows``: each sampled range, a task, is cut by counting into ranges of at most so many rows,
+    so ranges may be many without as many tasks and as large a sample; numbers ascend with gaps."""
     cut = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
     path = scratch_path(df.sparkSession, name)
-    cut.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    number = F.spark_partition_id()
+    if rows:
+        cut = cut.sortWithinPartitions(*columns)
+        # a task's number in the upper bits, the row's place in the lower ones
+        at = F.monotonically_increasing_id()
+        number = at.bitwiseAND(F.lit(-1 << 33)) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / rows)
+    cut.withColumn("_range", number).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -101,3 +101,16 @@ def test_same_bits_whichever_plan_runs(spark):
     b = trailing_mean(df, "e", ["d", "id"], {"ma": "a", "mb": "b"}, chunk_rows=7)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert cut(df, "e", ["d", "id"], 100) is None
+
+
+def test_many_short_ranges_in_few_tasks(spark):
+    """Ranges are counted out inside tasks: the sample of their borders and the tasks do not grow with their number."""
+    df = spark.range(20_000).selectExpr("CAST(id % 3 AS INT) e", "DATE'2024-01-01' + CAST(id % 700 AS INT) d", "CAST(id AS INT) id", "CAST(id % 7 AS INT) a", "2 b")
+    ranges = cut(df, "e", ["d", "id"], 20)
+    assert ranges.select(F.input_file_name()).distinct().count() == 1
+    assert ranges.select("_range").distinct().count() == 1000 and _largest(df, 20) == 20
+    borders = ranges.groupBy("_range").agg(F.min(F.struct("e", "d", "id")).alias("lo"), F.max(F.struct("e", "d", "id")).alias("hi")).orderBy("_range").collect()
+    assert all(tuple(x.hi) < tuple(y.lo) for x, y in zip(borders, borders[1:], strict=False))
+    got = trailing_mean(df, "e", ["d", "id"], {"ma": "a", "mb": "b"}, chunk_rows=20)
+    exp = trailing_mean_plain(df, "e", ["d", "id"], {"ma": "a", "mb": "b"}).select(got.columns)
+    assert got.exceptAll(exp).isEmpty() and got.count() == 20_000
