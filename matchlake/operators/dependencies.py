@@ -8,7 +8,11 @@ intersected per column. Two shuffles, both combined map-side; a value that stand
 row crosses once per task, and no pairs of columns are formed.
 
 Composite keys: level by level, a set of columns is tried where none of its subsets is a key
-already; a level is one pass over the table, that groups the rows of all its sets at once.
+already. A slice of the values (by their hash, so with all rows of a value) settles the sets in
+which a value of the slice repeats. Of the others all rows are counted by 64-bit hashes: where
+no hash repeats, no value does. Where one does, its rows' values are compared, and only if
+hashes met by chance are all rows grouped by the values themselves. So the answer is exact and
+what crosses the network is a hash per row and set that is a key or nearly one.
 
 Values are compared as ``rule_table`` compares them: numbers by their digits whatever their
 type, text, dates and flags among themselves. NULLs are no values.
@@ -19,13 +23,14 @@ from __future__ import annotations
 import itertools
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .rule_table import DAY, FLAG, NUMBER, TEXT, WHOLE, _value, kind_of
 
 WORD = 62      # columns per word of bits
+SLICES = 64    # slices of values, of which one is looked at first
 CLASS = {WHOLE: NUMBER, NUMBER: NUMBER, TEXT: TEXT, DAY: DAY, FLAG: FLAG}
 
 
@@ -102,15 +107,35 @@ def composite_keys(model: str, df: DataFrame, columns: list[str] | None = None,
         tried = [s for s in itertools.combinations(range(len(columns)), size) if not any(set(k) <= set(s) for k in keys)]
         if not tried:
             break
-        cell = [F.struct(F.lit(i).alias("s"), F.when(_all_set([columns[j] for j in s]), F.to_json(F.array(*[text[columns[j]] for j in s]))).alias("v"))
-                for i, s in enumerate(tried)]
-        counted = (df.select(F.explode(F.array(*cell)).alias("x")).select("x.*").filter("v IS NOT NULL")
-                   .groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max("n").alias("n")))
-        keys += [tried[r.s] for r in counted.collect() if r.n == 1]          # a row per set tried
+        whole = {s: _all_set([columns[j] for j in s]) for s in tried}
+        hashed = {s: _hash(*[text[columns[j]] for j in s]) for s in tried}
+        value = {s: F.to_json(F.array(*[text[columns[j]] for j in s])) for s in tried}
+        part = _most(df, {s: F.when(whole[s] & (F.pmod(hashed[s], F.lit(SLICES)) == 0), value[s]) for s in tried})
+        tried = [s for s in tried if s not in part or part[s].n == 1]
+        by_hash = _most(df, {s: F.when(whole[s], hashed[s]) for s in tried})
+        again = {s: r.v for s, r in by_hash.items() if r.n > 1}
+        met = _most(df, {s: F.when(whole[s] & (hashed[s] == F.lit(h)), value[s]) for s, h in again.items()})
+        by_value = _most(df, {s: F.when(whole[s], value[s]) for s in again if met[s].n == 1})
+        keys += [s for s in tried if s in by_hash and (by_value.get(s) or met.get(s) or by_hash[s]).n == 1]
     rows = [(model, json.dumps([columns[j] for j in k]), len(k)) for k in sorted(keys)]
     return spark.createDataFrame(rows, "model string, columns string, size int")
 
 
+def _most(df: DataFrame, cells: dict[tuple[int, ...], Column]) -> dict[tuple[int, ...], Row]:
+    """Of every set of ``cells`` with a value that is not NULL: how often (n) its most frequent value v occurs."""
+    if not cells:
+        return {}
+    sets = list(cells)
+    cell = [F.struct(F.lit(i).alias("s"), cells[s].alias("v")) for i, s in enumerate(sets)]
+    counted = (df.select(F.explode(F.array(*cell)).alias("x")).select("x.*").filter("v IS NOT NULL")
+               .groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "v")).alias("m")))
+    return {sets[r.s]: r.m for r in counted.collect()}          # a row per set
+
+
+def _hash(*values: Column) -> Column:
+    return F.xxhash64(*values)
+
+
 def _all_set(columns: list[str]):
     out = F.lit(True)
     for c in columns:

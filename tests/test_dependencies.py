@@ -3,6 +3,8 @@
 import itertools
 import json
 
+from pyspark.sql import functions as F
+
 from matchlake.operators import dependencies as D
 from matchlake.operators import quality
 
@@ -55,3 +57,22 @@ def test_composite_keys(spark):
                 want.add(json.dumps(list(s)))
     assert {r.columns for r in D.composite_keys("lines", lines).collect()} == want and json.dumps(["o", "n"]) in want
     assert D.composite_keys("lines", lines.limit(0)).count() == 0
+
+
+def test_composite_keys_whatever_the_hashes(spark, monkeypatch):
+    lines = spark.createDataFrame([(i // 3, i % 3, i % 2, f"t{i}" if i else None, None) for i in range(12)] + [(None, 1, 0, "t1", None)],
+                                  "o int, n int, p int, t string, never int")
+    want = {json.dumps(s) for s in (["o", "n"], ["o", "t"], ["p", "t"])}
+    real = D._hash
+    # as they are, all in the slice, none in the slice and all alike
+    for fake in (real, lambda *v: F.lit(0).cast("bigint"), lambda *v: F.lit(1).cast("bigint"), lambda *v: F.pmod(real(*v), F.lit(3)) + 1):
+        monkeypatch.setattr(D, "_hash", fake)
+        assert {r.columns for r in D.composite_keys("lines", lines).collect()} == want
+
+
+def test_composite_keys_shuffle_hashes_not_values(spark, monkeypatch):
+    lines = spark.createDataFrame([(i // 3, i % 3) for i in range(300)], "o int, n int")
+    whole, real = [], D._most
+    monkeypatch.setattr(D, "_most", lambda df, cells: whole.append([df.select(c).schema[0].dataType.simpleString() for c in cells.values()]) or real(df, cells))
+    assert [r.columns for r in D.composite_keys("lines", lines).collect()] == [json.dumps(["o", "n"])]
+    assert whole[1] == ["bigint", "bigint"] and ["bigint"] in whole
