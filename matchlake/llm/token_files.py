@@ -111,45 +111,56 @@ class Counts:
     def __init__(self, seen: np.ndarray, symbols: int):
         lanes, t = seen.shape
         self.t, self.total, self.wide = t, symbols + STEP * t, np.int64(symbols + STEP * t + 1)
-        ids = np.sort(seen, axis=1).astype(np.int64)
-        self.ids = ids.ravel()
-        self.lane = np.arange(lanes, dtype=np.int64)
-        place = np.arange(t, dtype=np.int64)
-        self.low = (ids + STEP * place + self.lane[:, None] * self.wide).ravel()       # where an occurrence's share begins
+        ids = np.sort(seen.astype(np.int32), axis=1)
+        self.ids, self.low = ids.ravel(), None
         new = np.ones((lanes, t), bool)
         new[:, 1:] = ids[:, 1:] != ids[:, :-1]
-        run = np.flatnonzero(new.ravel())
-        self.number = np.cumsum(new.ravel()) - 1                                       # run of each occurrence
-        self.first = run % t if t else run
-        self.size = np.diff(np.append(run, lanes * t))
-        self.run_key = self.ids[run] + (run // max(t, 1)) * self.wide
+        self.new = new.ravel()
+        self.run = np.flatnonzero(self.new)
+        self.first = self.run % t if t else self.run
+        self.size = np.diff(np.append(self.run, lanes * t))
 
     def share(self, lane, x):
         """(low, frequency) of ids ``x``."""
+        run_key = self.ids[self.run] + (self.run // max(self.t, 1)) * self.wide
         key = x + lane * self.wide
-        j = np.searchsorted(self.run_key, key)
-        inside = j < len(self.run_key)
+        j = np.searchsorted(run_key, key)
+        inside = j < len(run_key)
         at = np.where(inside, j, 0)
-        hit = inside & (self.run_key[at] == key) if len(self.run_key) else inside
+        hit = inside & (run_key[at] == key) if len(run_key) else inside
         if not self.t:
             return x, np.ones(len(x), np.int64)
         # occurrences of smaller ids in the lane
-        begin = np.append(self.first + (self.run_key // self.wide) * self.t, len(self.ids))
+        begin = np.append(self.first + (run_key // self.wide) * self.t, len(self.ids))
         rank = begin[j] - lane * self.t
         return x + STEP * np.clip(rank, 0, self.t), np.where(hit, 1 + STEP * self.size[at], 1)
 
+    def _table(self):
+        """Where the occurrences' shares begin: a row a lane, behind a -1, filled up to a power of two."""
+        lanes, self.row = len(self.ids) // self.t, 1 << self.t.bit_length()
+        low = np.full((lanes, self.row), np.iinfo(np.int32).max, np.int32)
+        low[:, 0] = -1
+        np.add(self.ids.reshape(lanes, self.t), STEP * np.arange(self.t, dtype=np.int32), out=low[:, 1:self.t + 1])
+        self.low, self.number = low.ravel(), np.cumsum(self.new, dtype=np.int32) - 1      # run of each occurrence
+
     def find(self, lane, v):
         """(id, low, frequency) of the share that holds ``v``."""
         if not self.t:
             return v, v, np.ones(len(v), np.int64)
-        j = np.searchsorted(self.low, v + lane * self.wide, side="right") - 1
+        if self.low is None:
+            self._table()
+        at, v32, step = lane * self.row, v.astype(np.int32), self.row >> 1
+        while step:                                     # the last that begins at or before v, in all lanes at once
+            at += (self.low.take(at + step) <= v32) * np.int64(step)
+            step >>= 1
+        j = at - lane * (self.row - self.t) - 1
         none = j < lane * self.t
         j = np.where(none, 0, j)
-        s, run = self.ids[j], self.number[j]
-        over = v + lane * self.wide - self.low[j]
+        s, run = self.ids.take(j).astype(np.int64), self.number.take(j)
+        over = v - self.low.take(at)
         hit = ~none & (over <= STEP)
         x = np.where(none, v, np.where(hit, s, s + over - STEP))
-        return x, np.where(hit, s + STEP * self.first[run], v), np.where(hit, 1 + STEP * self.size[run], 1)
+        return x, np.where(hit, s + STEP * self.first.take(run), v), np.where(hit, 1 + STEP * self.size.take(run), 1)
 
 
 def _lanes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

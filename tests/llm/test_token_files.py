@@ -101,3 +101,23 @@ def test_query_equals_the_library(spark):
         start += len(ids) // 4
     got = op13_token_files(spark, "/root/testdata/sf0.001").select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_counts_equal_a_plain_loop():
+    from matchlake.llm.token_files import STEP, Counts
+    rnd, symbols = np.random.default_rng(6), 11
+    for t in (0, 1, 31, 32, 33, 64):
+        seen = rnd.integers(0, symbols, (5, t)) * (rnd.random((5, t)) < 0.6)
+        counts, total = Counts(seen, symbols), symbols + STEP * t
+        for lane in range(5):
+            n = 1 + STEP * np.bincount(seen[lane].astype(int), minlength=symbols)
+            low = np.cumsum(n) - n
+            rows = np.full(symbols, lane)
+            assert [a.tolist() for a in counts.share(rows, np.arange(symbols))] == [low.tolist(), n.tolist()]
+            assert counts.low is None                       # coding looks no value up and builds nothing for it
+        for lane in range(5):
+            n = 1 + STEP * np.bincount(seen[lane].astype(int), minlength=symbols)
+            want = np.repeat(np.arange(symbols), n)
+            x, low, f = counts.find(np.full(total, lane), np.arange(total))
+            assert x.tolist() == want.tolist() and low.tolist() == (np.cumsum(n) - n)[want].tolist() and f.tolist() == n[want].tolist()
+            counts.low = None
