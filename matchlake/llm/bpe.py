@@ -19,6 +19,12 @@ import numpy as np
 NONE = np.int64(1 << 40)
 LONG = 4000          # symbols; longer sequences are merged one by one with a heap (same result)
 BATCH = 16_384       # words merged at once: bounds the arrays of a round
+SHORT = 16           # symbols; shorter sequences of bytes are merged in columns of a matrix
+NO_PAIR = np.int32((1 << 31) - 1)
+LOWEST, HIGHEST = np.zeros(1 << SHORT, np.int8), np.zeros(1 << SHORT, np.int8)     # set bit of a number
+for _b in range(SHORT):
+    HIGHEST[1 << _b:2 << _b] = _b
+    LOWEST[1 << _b::2 << _b] = _b
 
 
 class MergeTable:
@@ -136,7 +142,9 @@ def _apply(table, sym, seq, rank, at, slot):
     new = np.cumsum(keep) - 1
     sym, seq, rank = sym[keep], seq[keep], rank[keep]
     here = new[at]
-    fresh = np.unique(np.concatenate([here, np.maximum(here - 1, 0)]))
+    near = np.zeros(len(sym), bool)
+    near[here] = near[np.maximum(here - 1, 0)] = True
+    fresh = np.flatnonzero(near)
     nxt = np.minimum(fresh + 1, len(sym) - 1)
     inner = (nxt > fresh) & (seq[nxt] == seq[fresh])
     rank[fresh] = NONE
@@ -180,6 +188,62 @@ def merge_long(table: MergeTable, seq: np.ndarray) -> np.ndarray:
     return np.array([x for x in sym if x >= 0], np.int64)
 
 
+class ShortMerges:
+    """Merges of short sequences of bytes: a column a sequence, one pair of each merged in every round.
+
+    For vocabularies in which a pair's rank is the symbol it becomes. A row of ``pair`` holds the rank of
+    the pair that begins in that place, with the place, so that a minimum finds the leftmost lowest."""
+
+    def __init__(self, table: MergeTable, start: np.ndarray):
+        self.table, self.start = table, start.astype(np.int32)
+        self.first = self._ranks(np.repeat(start, 256), np.tile(start, 256))     # of two bytes
+
+    def _ranks(self, left, right):
+        return np.minimum(self.table.ranks(left, right), NO_PAIR >> 4).astype(np.int32)
+
+    def merge(self, raw: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat symbols, symbols per sequence) of the sequences of ``raw`` at ``begin``, none empty or over SHORT."""
+        wide, count = int(lengths.max()), len(lengths)
+        place, column = np.arange(wide, dtype=np.int32)[:, None], np.arange(count)
+        byte = raw.take(np.minimum(begin + place, len(raw) - 1))
+        sym = self.start.take(byte)
+        pair = np.full((wide, count), NO_PAIR, np.int32)
+        rank = self.first.take((byte[:-1].astype(np.int64) << 8) + byte[1:])
+        known = (place[1:] < lengths) & (rank < NO_PAIR >> 4)
+        np.copyto(pair[:-1], rank << 4 | place[:-1], where=known)
+        alive = (1 << lengths) - 1
+        done, done_alive, live = np.empty((count, wide), np.int32), np.empty(count, np.int64), column
+        while count:
+            low = pair.min(axis=0)
+            going = low < NO_PAIR
+            if not going.all():
+                stop, go = np.flatnonzero(~going), np.flatnonzero(going)
+                done[live[stop]], done_alive[live[stop]] = sym[:, stop].T, alive[stop]
+                sym, pair = sym.take(go, axis=1), pair.take(go, axis=1)
+                alive, live, low = alive[go], live[go], low[go]
+                count, column = len(go), column[:len(go)]
+                if not count:
+                    break
+            at, new = (low & 15).astype(np.int64), low >> 4
+            bit = np.int64(1) << at
+            above = alive & -(bit << 1)
+            gone = LOWEST.take(above)                                      # the pair's right symbol
+            above &= above - 1
+            below, alive = alive & bit - 1, alive ^ (np.int64(1) << gone)
+            flat_sym, flat_pair, here = sym.ravel(), pair.ravel(), at * count + column
+            flat_sym[here] = new
+            flat_pair[here] = flat_pair[gone * np.int64(count) + column] = NO_PAIR
+            right, left = np.flatnonzero(above), np.flatnonzero(below)
+            before = HIGHEST.take(below[left]).astype(np.int64)
+            there = before * count + left
+            after = flat_sym.take(LOWEST.take(above[right]) * np.int64(count) + right)
+            rank = self._ranks(np.concatenate([new[right], flat_sym.take(there)]), np.concatenate([after, new[left]]))
+            value = np.where(rank < NO_PAIR >> 4, rank << 4 | np.concatenate([at[right], before]).astype(np.int32), NO_PAIR)
+            flat_pair[here[right]], flat_pair[there] = value[:len(right)], value[len(right):]
+        chosen = (done_alive[:, None] >> np.arange(wide) & 1).astype(bool)
+        return done[chosen], np.count_nonzero(chosen, axis=1)
+
+
 def _batched(encode, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [encode(words[i:i + BATCH]) for i in range(0, len(words), BATCH)]
     if not parts:
@@ -212,14 +276,38 @@ class ByteRanks:
             self.tokens[i] = t
         self.start = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.table = MergeTable(*_splits(ranks, lambda i: i), symbols=len(self.tokens))
+        self.short = ShortMerges(self.table, self.start) if len(self.tokens) < NO_PAIR >> 4 else None
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return _batched(self._encode, words)
 
+    def encode_array(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """The same of an Arrow string array without nulls, from its bytes."""
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+        byte = np.frombuffer(data or b"", np.uint8)
+        done = [self._bytes(byte[o[0]:o[-1]], np.diff(o)) for o in (offsets[i:i + BATCH + 1] for i in range(0, len(words), BATCH))]
+        return np.concatenate([d[0] for d in done]).astype(np.int32), np.concatenate([d[1] for d in done])
+
     def _encode(self, words):
         raw = [w.encode() for w in words]
-        flat = self.start[np.frombuffer(b"".join(raw), np.uint8)]
-        return merge(self.table, flat, np.fromiter(map(len, raw), np.int64, len(raw)))
+        return self._bytes(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
+
+    def _bytes(self, byte, n):
+        if self.short is None:
+            return merge(self.table, self.start[byte], n)
+        begin, size = np.cumsum(n) - n, np.zeros(len(n), np.int64)
+        kinds = [np.flatnonzero((n > a) & (n <= b)) for a, b in ((0, SHORT // 2), (SHORT // 2, SHORT))]
+        done = [(k, *self.short.merge(byte, begin[k], n[k])) for k in kinds if len(k)]
+        long = np.flatnonzero(n > SHORT)
+        if len(long):
+            done.append((long, *merge(self.table, self.start[byte[np.repeat(n > SHORT, n)]], n[long])))
+        for k, _, m in done:
+            size[k] = m
+        out, first = np.empty(int(size.sum()), np.int64), np.cumsum(size) - size
+        for k, sym, m in done:
+            out[np.repeat(first[k] - (np.cumsum(m) - m), m) + np.arange(len(sym))] = sym
+        return out, size
 
 
 class WordMerges:

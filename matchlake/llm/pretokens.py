@@ -105,11 +105,11 @@ def cut(texts: list[str], spaces: bool) -> tuple[pa.Array, np.ndarray]:
 class Memory:
     """Ids of words met before, as Arrow strings and one flat array; bounded by bytes.
 
-    ``encode``: distinct words (list of text) -> (flat ids, ids per word).
+    ``encode``: distinct words (list of text; ``arrow``: an Arrow array) -> (flat ids, ids per word).
     """
 
-    def __init__(self, encode, limit: int = 6 << 20):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode, limit: int = 6 << 20, arrow: bool = False):
+        self.encode, self.limit, self.arrow = encode, limit, arrow
         self._clear()
 
     def _clear(self):
@@ -127,7 +127,7 @@ class Memory:
         flat, size = self.flat, self.size
         if len(new):
             fresh = distinct.take(pa.array(new))
-            more, count = self.encode(fresh.to_pylist())
+            more, count = self.encode(fresh if self.arrow else fresh.to_pylist())
             place[new] = len(size) + np.arange(len(new))
             flat = np.concatenate([flat, more.astype(np.int32)])
             size = np.concatenate([size, count])
@@ -136,11 +136,11 @@ class Memory:
                 self.words, self.flat, self.size = pa.concat_arrays([self.words, fresh]), flat, size
             else:
                 self._clear()
-        end = np.cumsum(size)
-        at = place[index]
-        n = size[at]
-        begin = (end - size)[at]
-        return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+        at = place.take(index)
+        n = size.take(at)
+        stop = np.cumsum(n)
+        shift = (np.cumsum(size) - size).take(at) - (stop - n)
+        return flat.take(np.repeat(shift, n) + np.arange(int(stop[-1]))), n
 
 
 def per_text(n: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -39,7 +39,10 @@ from .common import documents, identifier, pieces, shuffle_partitions, texts
 from .pretokens import PLAIN, Memory, cut, per_text
 
 BLOCK = 2048                  # ids in a block
-LANES = 1024                  # blocks coded in step
+LANES = 4096                  # blocks coded in step, those of several frames
+FRAME = 1024                  # blocks in a frame of more than one document
+AT_ONCE = 1 << 16             # ids whose tables are built together, so that they stay in the cache
+SHIFT = 8                     # of the multiples before which begins are counted
 STEP = 32                     # what one occurrence adds to an id's order-0 count of 1
 BITS = 12                     # of a context's slot
 MARK = "\n--end of token frame--\n"
@@ -49,51 +52,68 @@ INDEX = np.dtype([("ids", "<u4"), ("words", "<u4"), ("crc_ids", "<u4"), ("crc_wo
 U32, ONE = np.uint64(32), np.uint64(1)
 FLOOR = np.uint64(1 << 32)
 
-# change of a context's confidence (0-7) after a miss, after a hit; after a miss at 0 or 1 the id is replaced
-CHANGE = np.array([(c >> 1) - c for c in range(8)] + [1] * 7 + [0], np.int32)
+K1, K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+# change of a context's confidence (0-7) after a hit, after a miss; after a miss at 0 or 1 the id is replaced
+CHANGE = np.array([1] * 7 + [0] + [(c >> 1) - c for c in range(8)], np.int32)
+CHANGE_TWO = np.repeat(CHANGE << 3, 8)
 
 
 class Model:
-    """Predictions of orders 0 to 2 for ``lanes`` blocks of ids below ``symbols``."""
+    """Predictions of orders 0 to 2 for ``lanes`` blocks of ids below ``symbols``.
+
+    Ids are held as (id + 1) << 6, the lowest six bits are for confidences: order 1 uses the lower
+    three, order 2 the upper three. Choices between lanes are made by masks (-1: yes, 0: no).
+    """
 
     def __init__(self, lanes: int, symbols: int):
         if symbols + STEP * BLOCK >= 1 << 20:
             raise ValueError("the vocabulary is too large for the coder's precision")
-        self.symbols, self.base = symbols, np.arange(lanes, dtype=np.int64) << BITS
-        self.one, self.two = (np.zeros(lanes << BITS, np.int32) for _ in range(2))     # successor + 1, confidence
-        start = np.array([(65536 * c) // (c + 2) for c in range(8)], np.int32)
+        self.base, self.keys = np.arange(lanes, dtype=np.int64) << BITS, np.arange(lanes, dtype=np.int64) << 7
+        self.one, self.two = (np.zeros(lanes << BITS, np.int32) for _ in range(2))     # successor, confidence
+        start = np.array([(65536 * c) // (c + 2) for c in range(8)], np.uint32)
         by = np.arange(128)
-        self.p_two = np.tile(start[by >> 3 & 7], lanes)                                # chance that order 2 is right
-        self.p_one = np.tile(np.where(by >= 64, 0, start[by & 7]).astype(np.int32), lanes)   # that order 1 is, if order 2 is not
-        self.keys = np.arange(lanes, dtype=np.int64) << 7
-        self.x1 = self.x2 = np.full(lanes, symbols, np.int64)
+        # of 65536, below 65506: upper half the chance that order 2 is right, lower half that order 1 is, if order 2 is not
+        self.p = np.tile(start[by >> 3 & 7] << np.uint32(16) | np.where(by >= 64, 0, start[by & 7]).astype(np.uint32), lanes)
+        first = np.full(lanes, symbols, np.uint32)
+        self.g = first * K2
+        self._slots(first)
+
+    def _slots(self, x):
+        h, m = x * K1, len(x)
+        two, shift = h + self.g[:m], np.uint32(32 - BITS)
+        self.i1, self.i2 = self.base[:m] + (h >> shift), self.base[:m] + (two >> shift)
+        self.g = x * K2
 
     def predict(self, m: int):
-        """For the first ``m`` lanes: ids by order 2 and 1 (-1: none) and their weights of 4096."""
-        if m < len(self.x1):
-            self.x1, self.x2 = self.x1[:m], self.x2[:m]
-        h = self.x1 * 0x9E3779B1
-        self.i1 = self.base[:m] + ((h & 0xFFFFFFFF) >> 32 - BITS)
-        self.i2 = self.base[:m] + ((h + self.x2 * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - BITS)
-        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
-        self.c1, self.c2 = self.e1 & 7, self.e2 & 7
-        self.s1, self.s2 = (self.e1 >> 3) - 1, (self.e2 >> 3) - 1
-        self.k = self.keys[:m] + ((self.c2 << 3) + self.c1 + ((self.s1 == self.s2) << 6))
-        self.q2, self.q1 = self.p_two.take(self.k), self.p_one.take(self.k)
+        """For the first ``m`` lanes: weights of orders 2 and 1 of 4096."""
+        if m < len(self.i1):
+            self.i1, self.i2 = self.i1[:m], self.i2[:m]
+        self.e1, self.e2 = e1, e2 = self.one.take(self.i1), self.two.take(self.i2)
+        same = ((e1 ^ e2) - 64 >> 31) & 64
+        self.k = self.keys[:m] + ((e1 + e2 & 63) + same)
+        q = self.p.take(self.k)
+        self.q2, self.q1 = (q >> np.uint32(16)).view(np.int32), (q & np.uint32(0xFFFF)).view(np.int32)
         w2 = np.minimum(np.maximum(self.q2 >> 4, 1), 4093)
         w1 = 1 + ((4094 - w2) * (self.q1 >> 4) >> 12)
-        return self.s2, self.s1, w2, w1
-
-    def update(self, x, hit2, hit1):
-        """``hit1``: order 1 is right (order 2 may be as well)."""
-        fresh = (x + 1 << 3 | 1).astype(np.int32)
-        for table, at, e, c, hit in ((self.one, self.i1, self.e1, self.c1, hit1), (self.two, self.i2, self.e2, self.c2, hit2)):
-            new = e + CHANGE.take(c + (hit.view(np.int8) << 3))
-            np.copyto(new, fresh, where=(c < 2) & ~hit)
-            table[at] = new
-        self.p_two[self.k] = self.q2 + ((hit2 * np.int32(65536) - self.q2) >> 5)
-        self.p_one[self.k] = np.where(hit2, self.q1, self.q1 + ((hit1 * np.int32(65536) - self.q1) >> 5))
-        self.x2, self.x1 = self.x1, x
+        return w2, w1
+
+    def hits(self, x):
+        """Masks: order 2 is right about ``x`` (held as above), order 1 is (both may be)."""
+        self.z2, self.z1 = self.e2 ^ x, self.e1 ^ x
+        self.n2, self.n1 = self.z2 - 64 >> 31, self.z1 - 64 >> 31
+        return self.n2, self.n1
+
+    def update(self, x):
+        j = np.minimum(self.z1, self.z1 & 7 | 8)                        # confidence, 8 more after a miss
+        new, keep = self.e1 + CHANGE.take(j), ((j | 1) ^ 9) - 1 >> 31
+        self.one[self.i1] = new ^ ((new ^ (x | 1)) & keep)
+        j = np.minimum(self.z2, self.z2 & 56 | 64)
+        new, keep = self.e2 + CHANGE_TWO.take(j), ((j | 8) ^ 72) - 1 >> 31
+        self.two[self.i2] = new ^ ((new ^ (x | 8)) & keep)
+        q2 = self.q2 + ((self.n2 & 65536) - self.q2 >> 5)
+        q1 = self.q1 + (((self.n1 & 65536) - self.q1 >> 5) & ~self.n2)
+        self.p[self.k] = (q2 << 16 | q1).view(np.uint32)
+        self._slots((x >> 6).view(np.uint32) - np.uint32(1))
 
 
 def _epochs(longest: int) -> list[int]:
@@ -109,39 +129,48 @@ class Counts:
     """Order-0 counts of the ids each lane has shown by some step."""
 
     def __init__(self, seen: np.ndarray, symbols: int):
-        lanes, t = seen.shape
-        self.t, self.total, self.wide = t, symbols + STEP * t, np.int64(symbols + STEP * t + 1)
-        ids = np.sort(seen.astype(np.int32), axis=1)
-        self.ids, self.low = ids.ravel(), None
-        new = np.ones((lanes, t), bool)
-        new[:, 1:] = ids[:, 1:] != ids[:, :-1]
-        self.new = new.ravel()
-        self.run = np.flatnonzero(self.new)
-        self.first = self.run % t if t else self.run
-        self.size = np.diff(np.append(self.run, lanes * t))
+        self.lanes, self.t = seen.shape
+        self.symbols, self.total = symbols, symbols + STEP * self.t
+        self.ids, self.low = seen.astype(np.int32), None
+        self.ids.sort(axis=1)
 
     def share(self, lane, x):
         """(low, frequency) of ids ``x``."""
-        run_key = self.ids[self.run] + (self.run // max(self.t, 1)) * self.wide
-        key = x + lane * self.wide
-        j = np.searchsorted(run_key, key)
-        inside = j < len(run_key)
-        at = np.where(inside, j, 0)
-        hit = inside & (run_key[at] == key) if len(run_key) else inside
-        if not self.t:
-            return x, np.ones(len(x), np.int64)
-        # occurrences of smaller ids in the lane
-        begin = np.append(self.first + (run_key // self.wide) * self.t, len(self.ids))
-        rank = begin[j] - lane * self.t
-        return x + STEP * np.clip(rank, 0, self.t), np.where(hit, 1 + STEP * self.size[at], 1)
+        wide = np.int64(self.total + 1)
+        row = np.arange(self.lanes, dtype=np.int64)[:, None] * wide
+        below, upto = (np.searchsorted((self.ids + row).ravel(), x + lane * wide, side) for side in ("left", "right"))
+        return x + STEP * (below - lane * self.t), 1 + STEP * (upto - below)
 
     def _table(self):
-        """Where the occurrences' shares begin: a row a lane, behind a -1, filled up to a power of two."""
-        lanes, self.row = len(self.ids) // self.t, 1 << self.t.bit_length()
-        low = np.full((lanes, self.row), np.iinfo(np.int32).max, np.int32)
-        low[:, 0] = -1
-        np.add(self.ids.reshape(lanes, self.t), STEP * np.arange(self.t, dtype=np.int32), out=low[:, 1:self.t + 1])
-        self.low, self.number = low.ravel(), np.cumsum(self.new, dtype=np.int32) - 1      # run of each occurrence
+        """Where the shares of the ids seen begin, and how many begin before each multiple of 2 ** shift.
+
+        They are more than STEP apart, so few begin between two multiples. In ``low`` a lane has
+        a begin below all, its ids in order, as many beyond all as a search may look past the end."""
+        lanes, t = self.ids.shape
+        self.shift = max(SHIFT, (self.total >> 11).bit_length())
+        self.ahead, self.row = 1 << self.shift - 5, (self.total >> self.shift) + 1
+        self.before, low, place, held = np.empty(lanes * self.row, np.int32), [], [], 0
+        rows = max(8, AT_ONCE // t)
+        for i in range(0, lanes, rows):
+            ids = self.ids[i:i + rows]
+            n, lane = len(ids), np.arange(len(ids), dtype=np.int64)
+            new = np.ones((n, t), bool)
+            np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+            run = np.flatnonzero(new)
+            size = np.diff(run, append=n * t)
+            own = np.repeat(lane, np.count_nonzero(new, axis=1))
+            first = run - own * t                        # occurrences of smaller ids
+            begin = ids.ravel().take(run) + STEP * first
+            at = np.arange(1, len(run) + 1) + own * (1 + self.ahead)
+            low.append(np.full(len(run) + n * (1 + self.ahead), np.iinfo(np.int32).max, np.int32))
+            place.append(np.zeros(len(low[-1]), np.int32))
+            low[-1][at], place[-1][at] = begin, first << 12 | size
+            count = np.bincount((begin >> self.shift) + own * self.row, minlength=n * self.row)
+            sums = (np.cumsum(count) - count).reshape(n, self.row) + (held + lane * (1 + self.ahead))[:, None]
+            low[-1][sums[:, 0] - held] = -1 << 30
+            self.before[i * self.row:(i + n) * self.row] = sums.ravel()
+            held += len(low[-1])
+        self.low, self.place = np.concatenate(low), np.concatenate(place)
 
     def find(self, lane, v):
         """(id, low, frequency) of the share that holds ``v``."""
@@ -149,18 +178,55 @@ class Counts:
             return v, v, np.ones(len(v), np.int64)
         if self.low is None:
             self._table()
-        at, v32, step = lane * self.row, v.astype(np.int32), self.row >> 1
-        while step:                                     # the last that begins at or before v, in all lanes at once
-            at += (self.low.take(at + step) <= v32) * np.int64(step)
+        v = v.astype(np.int32)
+        at = self.before.take(lane * self.row + (v >> self.shift)).astype(np.int64)
+        step = self.ahead
+        while step:                                      # the last that begins at or before v, in all lanes at once
+            at += (self.low.take(at + step) <= v) * np.int64(step)
             step >>= 1
-        j = at - lane * (self.row - self.t) - 1
-        none = j < lane * self.t
-        j = np.where(none, 0, j)
-        s, run = self.ids.take(j).astype(np.int64), self.number.take(j)
-        over = v - self.low.take(at)
-        hit = ~none & (over <= STEP)
-        x = np.where(none, v, np.where(hit, s, s + over - STEP))
-        return x, np.where(hit, s + STEP * self.first.take(run), v), np.where(hit, 1 + STEP * self.size.take(run), 1)
+        over, place = v - self.low.take(at), self.place.take(at)
+        extra = (place & 4095) * STEP
+        inside = over - extra - 1 >> 31                  # mask: v is in that share; else it is the share of an id not seen
+        low = v - (over & inside)
+        return low - (place >> 12) * STEP - (extra & ~inside), low, 1 + (extra & inside)
+
+
+def _shares(ids: np.ndarray, epochs: list[int]) -> np.ndarray:
+    """Of each id (a row a step, a column a lane) the occurrences before its epoch of smaller ids and
+    of the same id, as one number: the first times 4096 plus the second.
+
+    ``ids``: a row a lane. Each row is sorted once, then an id's occurrences are a run in order of step;
+    running counts of what each epoch has seen, 12 bits an epoch and five in a number, answer for all epochs."""
+    lanes, longest = ids.shape
+    out = np.empty((longest, lanes), np.int32)
+    bits = max(1, (longest - 1).bit_length())
+    epoch = np.searchsorted(epochs, np.arange(longest), side="right") - 1
+    words = (len(epochs) + 4) // 5
+    adds = np.zeros((words, longest), np.int64)                # by step
+    for k, t in enumerate(epochs):
+        adds[k // 5, :t] += 1 << 12 * (k % 5)
+    word, shift = epoch // 5, 12 * (epoch % 5)
+    rows = max(8, AT_ONCE // longest)
+    for i in range(0, lanes, rows):
+        key = ids[i:i + rows].astype(np.int64 if bits > 11 else np.int32) << bits | np.arange(longest, dtype=np.int32)
+        key.sort(axis=1)
+        n, step = len(key), key & (1 << bits) - 1
+        new = np.ones((n, longest), bool)
+        np.greater(key[:, 1:] ^ key[:, :-1], (1 << bits) - 1, out=new[:, 1:])
+        run = np.flatnonzero(new)
+        seen = np.zeros((words, n, longest + 1), np.int64)
+        for k in range(words):
+            np.cumsum(adds[k].take(step), axis=1, out=seen[k, :, 1:])
+        seen = seen.ravel()
+        here = np.arange(n, dtype=np.int64)[:, None] * (longest + 1) + np.arange(longest)
+        begin = np.repeat(here.ravel()[run], np.diff(run, append=n * longest)).reshape(n, longest)
+        which, by = word.take(step) * (n * (longest + 1)), shift.take(step)
+        below = seen.take(which + begin) >> by & 4095
+        upto = seen.take(which + here) >> by & 4095
+        part = np.empty(longest * n, np.int32)
+        part[step * np.int64(n) + np.arange(n)[:, None]] = below << 12 | upto - below
+        out[:, i:i + n] = part.reshape(longest, n)
+    return out
 
 
 def _lanes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +241,7 @@ def encode_blocks(blocks: list[np.ndarray], symbols: int) -> list[bytes]:
     lanes = len(blocks)
     order, length = _lanes(np.array([len(b) for b in blocks], np.int64))
     longest = int(length[0])
-    ids = np.zeros((lanes, longest), np.int64)
+    ids = np.zeros((lanes, longest), np.int32)
     for k, b in enumerate(order.tolist()):
         ids[k, :length[k]] = blocks[b]
     model, low, wide = Model(lanes, symbols), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
@@ -183,32 +249,30 @@ def encode_blocks(blocks: list[np.ndarray], symbols: int) -> list[bytes]:
     active = np.searchsorted(-length, -np.arange(longest), side="left")        # lanes longer than t
     epochs = _epochs(longest)
     flat_out, row = out.ravel(), np.arange(lanes, dtype=np.int64) * out.shape[1]
+    share, by_step = _shares(ids, epochs), np.ascontiguousarray(ids.T)
+    del ids
     for begin, end in zip(epochs, [*epochs[1:], longest], strict=True):
-        m = int(active[begin])
-        counts = Counts(ids[:m, :begin], symbols)
-        some = ids[:m, begin:end].ravel()
-        lane = np.repeat(np.arange(m, dtype=np.int64), end - begin)
-        f_low, f_wide = (x.reshape(m, -1) for x in counts.share(lane, some))
-        total = np.uint64(counts.total)
+        total = np.uint64(symbols + STEP * begin)
         for t in range(begin, end):
             m = int(active[t])
-            x = ids[:m, t]
+            x = by_step[t, :m] + 1 << 6
             if m < len(low):
                 low_done, wide_done = low[m:], wide[m:]
                 _flush(flat_out, row, pos, low_done, wide_done, m)
                 low, wide = low[:m], wide[:m]
-            s2, s1, w2, w1 = model.predict(m)
-            hit2, hit1 = x == s2, x == s1
-            r = wide >> np.uint64(12)
+            w2, w1 = model.predict(m)
+            n2, n1 = model.hits(x)
+            r, n0 = wide >> np.uint64(12), ~(n2 | n1)
             # share of the mix: order 2, then order 1, then order 0 with the rest
-            f = np.where(hit2, w2, np.where(hit1, w1, 4096 - w2 - w1)).astype(np.uint64)
-            add = r * np.where(hit2, 0, np.where(hit1, w2, w2 + w1)).astype(np.uint64)
-            wide = r * f
-            miss = np.flatnonzero(~(hit2 | hit1))
+            both = w2 + w1
+            f = w2 & n2 | w1 & n1 & ~n2 | (4096 - both) & n0
+            add = r * (w2 & ~(n2 | n0) | both & n0).astype(np.uint64)
+            wide = r * f.astype(np.uint64)
+            miss = np.flatnonzero(n0)
             if len(miss):
-                r0 = wide[miss] // total
-                add[miss] += r0 * f_low[miss, t - begin].astype(np.uint64)
-                wide[miss] = r0 * f_wide[miss, t - begin].astype(np.uint64)
+                r0, count = wide.take(miss) // total, share[t].take(miss)
+                add[miss] += r0 * (by_step[t].take(miss) + STEP * (count >> 12)).astype(np.uint64)
+                wide[miss] = r0 * (1 + STEP * (count & 4095)).astype(np.uint64)
             new = low + add
             carry = np.flatnonzero(new < low)
             if len(carry):
@@ -216,12 +280,15 @@ def encode_blocks(blocks: list[np.ndarray], symbols: int) -> list[bytes]:
             low = new
             small = np.flatnonzero(wide < FLOOR)
             if len(small):
-                flat_out[row[small] + pos[small]] = low[small] >> U32
-                pos[small] += 1
-                low[small] <<= U32
-                wide[small] <<= U32
-            model.update(x, hit2, hit1)
+                at, value = pos.take(small), low.take(small)
+                flat_out[row.take(small) + at] = value >> U32
+                pos[small] = at + 1
+                low[small] = value << U32
+                wide[small] = wide.take(small) << U32
+            model.update(x)
+    del model, share, by_step
     _flush(flat_out, row, pos, low, wide, 0)
+    out = out[:, :int(pos.max())]
     over = out >> U32
     while over.any():                                           # carries run to the left
         out &= np.uint64(0xFFFFFFFF)
@@ -256,7 +323,8 @@ def decode_blocks(words: list[np.ndarray], lengths: list[int], symbols: int) ->
         data[k, :len(words[b])] = words[b]
     flat, at = data.ravel(), np.arange(lanes, dtype=np.int64) * wide_most + 2
     code, wide = (data[:, 0] << U32) | data[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64)
-    ids, model = np.zeros((lanes, longest), np.int64), Model(lanes, symbols)
+    ids, model = np.zeros((lanes, longest), np.int32), Model(lanes, symbols)
+    by_step = np.zeros((longest, lanes), np.int32)              # held as in the model
     active = np.searchsorted(-length, -np.arange(longest), side="left")
     epochs = _epochs(longest)
     for begin, end in zip(epochs, [*epochs[1:], longest], strict=True):
@@ -266,27 +334,33 @@ def decode_blocks(words: list[np.ndarray], lengths: list[int], symbols: int) ->
             m = int(active[t])
             if m < len(code):
                 code, wide, at = code[:m], wide[:m], at[:m]
-            s2, s1, w2, w1 = model.predict(m)
+            w2, w1 = model.predict(m)
             r = wide >> np.uint64(12)
-            high2, high1 = r * w2.astype(np.uint64), r * (w2 + w1).astype(np.uint64)
-            hit2, known = code < high2, code < high1
-            x = np.where(hit2, s2, s1).astype(np.int64)
-            wide = r * np.where(hit2, w2, np.where(known, w1, 4096 - w2 - w1)).astype(np.uint64)
-            code = code - np.where(hit2, 0, np.where(known, high2, high1))
-            miss = np.flatnonzero(~known)
+            both = w2 + w1
+            hit2, known = code < r * w2.astype(np.uint64), code < r * both.astype(np.uint64)
+            n2, n0 = -hit2.astype(np.int32), known.astype(np.int32) - 1
+            n1 = ~(n2 | n0)
+            x = (model.e2 & n2 | model.e1 & n1) & -64
+            wide = r * (w2 & n2 | w1 & n1 | (4096 - both) & n0).astype(np.uint64)
+            code = code - r * (w2 & n1 | both & n0).astype(np.uint64)
+            miss = np.flatnonzero(n0)
             if len(miss):
-                r0, c = wide[miss] // total, code[miss]
+                r0, c = wide.take(miss) // total, code.take(miss)
                 v = np.minimum(c // r0, total - ONE).astype(np.int64)
-                x[miss], low, f = counts.find(miss, v)
+                found, low, f = counts.find(miss, v)
+                x[miss] = found + 1 << 6
                 code[miss] = c - r0 * low.astype(np.uint64)
                 wide[miss] = r0 * f.astype(np.uint64)
             small = np.flatnonzero(wide < FLOOR)
             if len(small):
-                code[small] = (code[small] << U32) | flat[np.minimum(at[small], len(flat) - 1)]
-                wide[small] <<= U32
-                at[small] += 1
-            ids[:m, t] = x
-            model.update(x, hit2, x == s1)
+                place = at.take(small)
+                code[small] = (code.take(small) << U32) | flat.take(place, mode="clip")
+                wide[small] = wide.take(small) << U32
+                at[small] = place + 1
+            by_step[t, :m] = x
+            model.hits(x)
+            model.update(x)
+        ids[:, begin:end] = (by_step[begin:end] >> 6).T - 1
     out: list = [None] * lanes
     for k, b in enumerate(order.tolist()):
         out[b] = ids[k, :length[k]].astype("<u4")
@@ -299,8 +373,19 @@ def _crc(x) -> int:
 
 def make_frame(part: int, number: int, before: int, doc_ids: list, lengths: np.ndarray, ids: np.ndarray, symbols: int) -> bytes:
     """One frame of whole documents: their identifiers, lengths and coded ids."""
-    blocks = [ids[i:i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    words = encode_blocks(blocks, symbols) if blocks else []
+    return next(make_frames(part, [(number, before, doc_ids, lengths, ids)], symbols))
+
+
+def make_frames(part: int, frames: list[tuple], symbols: int) -> Iterator[bytes]:
+    """Frames, each (number, ids before, identifiers, lengths, ids); the blocks of all advance in step."""
+    cut = [[ids[i:i + BLOCK] for i in range(0, len(ids), BLOCK)] for *_, ids in frames]
+    blocks_of_all = [b for blocks in cut for b in blocks]
+    coded = iter(encode_blocks(blocks_of_all, symbols) if blocks_of_all else [])
+    for (number, before, doc_ids, lengths, ids), blocks in zip(frames, cut, strict=True):
+        yield _frame(part, number, before, doc_ids, lengths, len(ids), blocks, [next(coded) for _ in blocks])
+
+
+def _frame(part, number, before, doc_ids, lengths, n_ids, blocks, words) -> bytes:
     index = np.array([(len(b), len(w) // 4, _crc(b), zlib.crc32(w)) for b, w in zip(blocks, words, strict=True)], INDEX)
     table = zlib.compress(np.array([i is None for i in doc_ids], np.uint8).tobytes()
                           + np.array([0 if i is None else i for i in doc_ids], "<i8").tobytes() + lengths.astype("<i8").tobytes(), 6)
@@ -308,7 +393,7 @@ def make_frame(part: int, number: int, before: int, doc_ids: list, lengths: np.n
     body += b"\0" * (-len(body) % 4)
     crc, mark, plain, nonce = zlib.crc32(body), MARK.encode(), np.frombuffer(body, "<u4"), 0
     while True:
-        head = HEAD.pack(MAGIC, nonce, part, number, before, len(ids), len(doc_ids), len(blocks), len(table), crc)
+        head = HEAD.pack(MAGIC, nonce, part, number, before, n_ids, len(doc_ids), len(blocks), len(table), crc)
         frame = head + (plain ^ np.uint32(nonce)).tobytes()
         if (frame + mark).find(mark) == len(frame):
             return frame
@@ -358,7 +443,7 @@ class ByteTokenizer:
 
     def __init__(self, path: str, ranks: str):
         self.path, self._whole = path, None
-        self.memory = Memory(bpe.load("bytes", ranks).encode, 8 << 20)
+        self.memory = Memory(bpe.load("bytes", ranks).encode_array, 16 << 20, arrow=True)
 
     def whole(self):
         """The library's tokenizer, loaded where a text needs it."""
@@ -394,26 +479,35 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tokenizer, last = TaskContext.get().partitionId(), ByteTokenizer(vocabulary, ranks), np.array([end], np.int32)
-        number = before = held = 0
-        doc_ids, parts_of = [], []
+        number = before = held = blocks = 0
+        doc_ids, parts_of, waiting = [], [], []
 
-        def frame():
-            nonlocal number, before, held, doc_ids, parts_of
+        def close():
+            nonlocal number, before, held, blocks, doc_ids, parts_of
             ids = np.concatenate([x for pair in parts_of for x in pair])
-            made = make_frame(part, number, before, doc_ids, np.array([len(a) + len(b) for a, b in parts_of], np.int64), ids,
-                              symbols)
+            waiting.append((number, before, doc_ids, np.array([len(a) + len(b) for a, b in parts_of], np.int64), ids))
+            blocks += -(-len(ids) // BLOCK)
             number, before, held, doc_ids, parts_of = number + 1, before + len(ids), 0, [], []
-            return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["frame"])
 
-        for b in pieces(batches, "text", 1 << 20):
+        def coded():
+            nonlocal blocks
+            for made in make_frames(part, waiting, symbols):
+                yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["frame"])
+            blocks = 0
+            waiting.clear()
+
+        for b in pieces(batches, "text", 4 << 20):
             for i, ids in zip(b.column("id").to_pylist(), tokenizer.encode(texts(b.column("text"))), strict=True):
-                if held and held + len(ids) + 1 > LANES * BLOCK:
-                    yield frame()
+                if held and held + len(ids) + 1 > FRAME * BLOCK:
+                    close()
+                    if blocks + FRAME > LANES:
+                        yield from coded()
                 doc_ids.append(i)
                 parts_of.append((ids, last))
                 held += len(ids) + 1
         if held:
-            yield frame()
+            close()
+        yield from coded()
 
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", MARK).text(path)
 

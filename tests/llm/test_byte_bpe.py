@@ -70,3 +70,17 @@ def test_cutting_twice_gives_the_same_and_notices_other_rows(spark, library, tmp
     with pytest.raises(Exception, match="changed between two passes"):
         encode(moving, RANKS, P.PATTERN, again=True).collect()
     assert encode(moving, RANKS, P.PATTERN).count() == len(rows[0])
+
+
+def test_short_words_merge_as_long_ones_do():
+    import pyarrow as pa
+
+    from matchlake.llm import bpe
+    vocabulary, rnd = bpe.load("bytes", RANKS), random.Random(9)
+    words = ["", "a", "aaaa", "é", " the", "a" * 16, "a" * 17, *("".join(rnd.choice("aehinort sé東") for _ in range(rnd.randint(0, 24))) for _ in range(3000))]
+    raw = [w.encode() for w in words]
+    flat, n = bpe.merge(vocabulary.table, vocabulary.start[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(r) for r in raw]))
+    got = vocabulary.encode(words)
+    assert got[0].tolist() == flat.tolist() and got[1].tolist() == n.tolist()
+    part = vocabulary.encode_array(pa.array(words).slice(5))
+    assert part[0].tolist() == flat[int(n[:5].sum()):].tolist() and part[1].tolist() == n[5:].tolist()

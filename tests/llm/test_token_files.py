@@ -121,3 +121,32 @@ def test_counts_equal_a_plain_loop():
             x, low, f = counts.find(np.full(total, lane), np.arange(total))
             assert x.tolist() == want.tolist() and low.tolist() == (np.cumsum(n) - n)[want].tolist() and f.tolist() == n[want].tolist()
             counts.low = None
+
+
+def test_frames_coded_together_are_the_frames_coded_alone():
+    rng = np.random.default_rng(8)
+    given = [(k, 10 * k, [k, None], np.array([n, 5]), np.minimum(rng.zipf(1.4, n + 5), 999)) for k, n in enumerate((1, 3000, 2043, 9000))]
+    together = list(T.make_frames(4, given, 1000))
+    assert together == [make_frame(4, *g, 1000) for g in given]
+    assert [d.tolist() for d in decode_frames([Frame(x) for x in together], 1000)] == [g[-1].tolist() for g in given]
+
+
+def test_files_are_as_before():
+    """Words of the first version of the coder: files written then can be read."""
+    rng = np.random.default_rng(3)
+    given = [np.minimum(rng.zipf(1.2, n) - 1, 50256) for n in (2048, 2048, 1500, 40, 1)]
+    assert [zlib.crc32(w) for w in encode_blocks(given, 50257)] == [3260315841, 498319973, 3373144439, 3811608177, 75568507]
+
+
+def test_shares_equal_counts():
+    rng = np.random.default_rng(5)
+    for lanes, longest, rows in ((3, 1, 1), (20, 500, 2000), (9, 2048, 4096)):
+        T_at_once, T.AT_ONCE = T.AT_ONCE, rows
+        ids, epochs = np.minimum(rng.zipf(1.3, (lanes, longest)), 2999), T._epochs(longest)
+        share = T._shares(ids.astype(np.int32), epochs)
+        T.AT_ONCE = T_at_once
+        for begin, end in zip(epochs, [*epochs[1:], longest], strict=True):
+            lane = np.repeat(np.arange(lanes), end - begin)
+            low, f = T.Counts(ids[:, :begin], 3000).share(lane, ids[:, begin:end].ravel())
+            got = share[begin:end].T.ravel()
+            assert (ids[:, begin:end].ravel() + T.STEP * (got >> 12) == low).all() and (1 + T.STEP * (got & 4095) == f).all()
