@@ -44,7 +44,7 @@ def cut(texts: list[str], spaces: bool) -> tuple[pa.Array, np.ndarray]:
         code = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint16)
         wide = np.zeros(len(code) + 1, np.int64)
         np.cumsum(1 + (code > 0x7F) + (code > 0x7FF), out=wide[1:])
-    kind = CLASS[code]
+    kind = CLASS[code] if wide is not None else np.frombuffer(raw.translate(CLASS[:256].tobytes()), np.uint8)
     n = len(code)
     text_start = np.zeros(n + 1, bool)
     begin = np.cumsum(size) - size

@@ -23,6 +23,7 @@ row), so neither a hot identifier nor a hot source fills one range.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -210,11 +211,12 @@ def _shares(ids: np.ndarray, epochs: list[int]) -> np.ndarray:
     for i in range(0, lanes, rows):
         key = ids[i:i + rows].astype(np.int64 if bits > 11 else np.int32) << bits | np.arange(longest, dtype=np.int32)
         key.sort(axis=1)
-        n, step = len(key), key & (1 << bits) - 1
+        n, step = len(key), (key & (1 << bits) - 1).astype(np.int64)
         new = np.ones((n, longest), bool)
         np.greater(key[:, 1:] ^ key[:, :-1], (1 << bits) - 1, out=new[:, 1:])
         run = np.flatnonzero(new)
-        seen = np.zeros((words, n, longest + 1), np.int64)
+        seen = np.empty((words, n, longest + 1), np.int64)
+        seen[:, :, 0] = 0
         for k in range(words):
             np.cumsum(adds[k].take(step), axis=1, out=seen[k, :, 1:])
         seen = seen.ravel()
@@ -224,7 +226,7 @@ def _shares(ids: np.ndarray, epochs: list[int]) -> np.ndarray:
         below = seen.take(which + begin) >> by & 4095
         upto = seen.take(which + here) >> by & 4095
         part = np.empty(longest * n, np.int32)
-        part[step * np.int64(n) + np.arange(n)[:, None]] = below << 12 | upto - below
+        part[step * n + np.arange(n)[:, None]] = below << 12 | upto - below
         out[:, i:i + n] = part.reshape(longest, n)
     return out
 
@@ -443,7 +445,7 @@ class ByteTokenizer:
 
     def __init__(self, path: str, ranks: str):
         self.path, self._whole = path, None
-        self.memory = Memory(bpe.load("bytes", ranks).encode_array, 16 << 20, arrow=True)
+        self.memory = Memory(bpe.load("bytes", ranks).encode_array, 24 << 20, arrow=True)
 
     def whole(self):
         """The library's tokenizer, loaded where a text needs it."""
@@ -461,6 +463,12 @@ class ByteTokenizer:
                 for t, ok in zip(batch, plain, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str, ranks: str) -> ByteTokenizer:
+    """One for all tasks of a Python process: words met in one task are known in the next."""
+    return ByteTokenizer(path, ranks)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str, id_col: str = "doc_id", text_col: str = "text",
                  end: int = 2, partitions: int | None = None) -> None:
     """Write every text's ids, then ``end``, as token files under ``path``.
@@ -478,7 +486,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, ranks: str, id_col
     ordered = rows.repartitionByRange(parts, "id", F.xxhash64("text"), "salt").sortWithinPartitions("id", F.xxhash64("text"), "text").drop("salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tokenizer, last = TaskContext.get().partitionId(), ByteTokenizer(vocabulary, ranks), np.array([end], np.int32)
+        part, tokenizer, last = TaskContext.get().partitionId(), _tokenizer(vocabulary, ranks), np.array([end], np.int32)
         number = before = held = blocks = 0
         doc_ids, parts_of, waiting = [], [], []
 
